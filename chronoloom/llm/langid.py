@@ -36,7 +36,8 @@ BUCKETS = 1 << 13
 DIMENSION = 16
 #: Bound of the training sample: rows of a language, and rows in all.
 ROWS_PER_LANGUAGE, ROWS = 500, 4000
-EPOCHS, BATCH, RATE, SEED = 30, 32, 8.0, 7
+#: Passes over the sample, and more until there are so many steps.
+EPOCHS, STEPS, BATCH, RATE, SEED = 30, 600, 32, 8.0, 7
 REJECTED = 0.005
 SEGMENT = 1 << 19
 UNKNOWN = "und"
@@ -108,8 +109,9 @@ def train(x: np.ndarray, y: np.ndarray, n_languages: int) -> tuple[np.ndarray, n
     table = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (x.shape[1], DIMENSION)).astype(np.float32)
     weights, bias = np.zeros((DIMENSION, n_languages), np.float32), np.zeros(n_languages, np.float32)
     wanted = np.eye(n_languages, dtype=np.float32)[y]
-    for epoch in range(EPOCHS):
-        rate = np.float32(RATE * (1 - epoch / EPOCHS))
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(x)))
+    for epoch in range(epochs):
+        rate = np.float32(RATE * (1 - epoch / epochs))
         order = rng.permutation(len(x))
         for k in range(0, len(x), BATCH):
             rows = order[k : k + BATCH]
