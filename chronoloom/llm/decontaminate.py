@@ -131,9 +131,9 @@ def is_contaminated(found: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= found["n_words"])
 
 
-def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per text: key, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = contamination(docs.select(key, text), benchmark, text).select(key, F.col("contamination").alias("c"))
+    found = contamination(docs.select(key, text), benchmark, text, block_bytes=block_bytes).select(key, F.col("contamination").alias("c"))
     return found.select(
         key,
         F.col("c.n_words").alias("n_words"),
