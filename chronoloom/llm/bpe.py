@@ -5,7 +5,8 @@ segment tree over the byte positions holds the rank of the pair that starts at
 each live position, its root gives the smallest rank and a walk down finds the
 leftmost position with it. A merge changes the pairs at the merged position and
 its left neighbour and clears the swallowed position, which are three point
-updates of logarithmic cost, so a piece of n bytes takes O(n log n).
+updates of logarithmic cost, so a piece of n bytes takes O(n log n). A leaf of
+the tree covers a few neighbouring positions; a short piece has just one.
 
 Null text encodes as the empty text: no ids, empty bytes. Repeated rows are
 encoded like any other. Only the text column is read, so other columns with any
@@ -15,6 +16,7 @@ name are harmless.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,11 @@ CACHE_PIECES = 400_000
 CACHE_PIECE_CHARS = 64
 
 NONE = 1 << 40
+#: Byte positions under a leaf of the segment tree, which keeps their least rank.
+LEAF_BITS = 4
+LEAF = 1 << LEAF_BITS
+#: Code points below this are Latin letters, digits and signs.
+LATIN = 0x250
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,46 +46,43 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one piece."""
-    if piece in ranks:
-        return [ranks[piece]]
-    n = len(piece)
-    width = 1 << max(0, n - 1).bit_length()
-    tree = [NONE] * (2 * width)
-    for i in range(n - 1):
-        tree[width + i] = ranks.get(piece[i : i + 2], NONE)
-    for node in range(width - 1, 0, -1):
-        tree[node] = min(tree[2 * node], tree[2 * node + 1])
+    if (whole := ranks.get(piece)) is not None:
+        return [whole]
+    n, get = len(piece), ranks.get
+    lows = [get(piece[i : i + 2], NONE) for i in range(n - 1)]
+    lows.append(NONE)
     after = list(range(1, n + 1))  # where the token at a live position ends
     before = list(range(-1, n - 1))  # the live position on its left
-
-    def put(i: int, rank: int) -> None:
-        node = width + i
-        tree[node] = rank
-        node >>= 1
-        while node:
-            low = tree[2 * node] if tree[2 * node] <= tree[2 * node + 1] else tree[2 * node + 1]
-            if tree[node] == low:
-                return
-            tree[node] = low
-            node >>= 1
-
-    while tree[1] != NONE:
+    width = 1 << (max(0, n - 1) >> LEAF_BITS).bit_length()  # leaves of the tree, each over 2 ** LEAF_BITS positions
+    tree: list[int] = []
+    if width > 1:
+        tree = [NONE] * width + [min(lows[k : k + LEAF], default=NONE) for k in range(0, width * LEAF, LEAF)]
+        for node in range(width - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+    while (low := tree[1] if tree else min(lows)) != NONE:
         node = 1
         while node < width:
             node *= 2
-            if tree[node] != tree[node >> 1]:
+            if tree[node] != low:
                 node += 1
-        i = node - width
+        i = lows.index(low, (node - width) << LEAF_BITS)
         gone = after[i]
         end = after[i] = after[gone]
-        put(gone, NONE)
+        lows[gone] = NONE
         if end < n:
             before[end] = i
-            put(i, ranks.get(piece[i : after[end]], NONE))
+            lows[i] = get(piece[i : after[end]], NONE)
         else:
-            put(i, NONE)
+            lows[i] = NONE
         if (left := before[i]) >= 0:
-            put(left, ranks.get(piece[left:end], NONE))
+            lows[left] = get(piece[left:end], NONE)
+        if tree:
+            for at in {i >> LEAF_BITS, gone >> LEAF_BITS, max(left, 0) >> LEAF_BITS}:
+                node = width + at
+                tree[node] = min(lows[at << LEAF_BITS : (at + 1) << LEAF_BITS])
+                while node := node >> 1:
+                    tree[node] = min(tree[2 * node], tree[2 * node + 1])
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -86,17 +90,32 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def splitter(pattern: str):
+    """A function from text to its pieces. Texts of Latin letters go through the standard library's engine, with the pattern's classes spelled out; all others through the engine that knows the classes."""
+    find = regex.compile(pattern).findall
+    chars = [chr(c) for c in range(LATIN)]
+    of = lambda cls: "".join(f"\\x{ord(c):02x}" if ord(c) < 256 else c for c in chars if regex.match(cls, c))
+    letters, numbers, spaces = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
+    inside = re.sub(r"\[\^[^\]]*\]", lambda m: m[0].replace(r"\s", spaces).replace(r"\p{L}", letters).replace(r"\p{N}", numbers), pattern)
+    spelled = inside.replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+    quick, other = re.compile(spelled).findall, re.compile(f"[^\\x00-{chars[-1]}]").search
+    return lambda text: find(text) if other(text) else quick(text)
+
+
+#: Pieces met by this Python worker, by rank file and pattern.
+_known: dict[tuple[str, str], dict[str, bytes]] = {}
+
+
 def encoder(spark: SparkSession, path: str, pattern: str):
     """A column function: text to array<int> of token ids."""
     ranks_everywhere = spark.sparkContext.broadcast(load_ranks(path))
 
-    @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ranks, find = ranks_everywhere.value, regex.compile(pattern).findall
-        known: dict[str, bytes] = {}
+        ranks, pieces = ranks_everywhere.value, splitter(pattern)
+        known = _known.setdefault((path, pattern), {})
 
         def ids(piece: str) -> bytes:
-            packed = np.asarray(merge(piece.encode(), ranks), dtype=np.int32).tobytes()
+            packed = np.array(merge(piece.encode(), ranks), dtype=np.int32).tobytes()
             if len(piece) <= CACHE_PIECE_CHARS:
                 if len(known) >= CACHE_PIECES:
                     known.clear()
@@ -106,13 +125,13 @@ def encoder(spark: SparkSession, path: str, pattern: str):
         for texts in batches:
             parts, ends, total = [], [0], 0
             for text in texts:
-                packed = b"".join([known.get(p) or ids(p) for p in find(text.as_py() or "")])
+                packed = b"".join([known.get(p) or ids(p) for p in pieces(text.as_py() or "")])
                 total += len(packed) // 4
                 parts.append(packed)
                 ends.append(total)
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
 
-    return encode
+    return F.arrow_udf(encode, "array<int>")
 
 
 def decoder(spark: SparkSession, path: str):
@@ -123,8 +142,8 @@ def decoder(spark: SparkSession, path: str):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         token = tokens_everywhere.value.__getitem__
         for rows in batches:
-            flat, ends = rows.values.to_pylist(), rows.offsets.to_pylist()
-            yield pa.array([b"".join(map(token, flat[a:b])) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+            flat, ends = rows.values.to_numpy(), rows.offsets.to_pylist()
+            yield pa.array([b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
 
     return decode
 
