@@ -28,7 +28,7 @@ BUCKETS = 10_000
 #: Expected rows of the trusted sample; labels are drawn by a hash of their key.
 TRUSTED_ROWS = 20_000
 #: Least mean weight per n-gram, in millionths.
-LEAST = -300_000
+LEAST = -50_000
 SMOOTHING = 1.0
 WINDOW = 5
 
