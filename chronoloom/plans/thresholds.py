@@ -32,7 +32,7 @@ def otsu_threshold(spark, sf):
     n1 = F.col("nt") - F.col("n")
     within = (F.col("q") - F.col("x") ** 2 / F.col("n") + (F.col("qt") - F.col("q")) - (F.col("xt") - F.col("x")) ** 2 / n1) / F.col("nt")
     best = both.where((F.col("n") > 0) & (n1 > 0)).agg(F.min_by("k", F.struct(F.round(within, 9), "k")).alias("k"))
-    return best.select(F.round(lo + (hi - lo) * (F.col("k") + 1) / 199, 6).alias("threshold"))
+    return best.select(F.round(lo + (hi - lo) * F.col("k") / 199, 6).alias("threshold"))
 
 
 @query("q_mad_quantile", f"WITH {CURVE_SQL}, m AS (SELECT event_type, median(s) AS m FROM curve GROUP BY event_type), d AS (SELECT event_type, any_value(m) AS m, median(abs(s - m)) AS mad FROM curve JOIN m USING (event_type) GROUP BY event_type), z AS (SELECT event_type, avg((s > d.m + 1.4826 * mad)::INT) AS share FROM curve JOIN d USING (event_type) GROUP BY event_type) SELECT event_type, round(m, 6) AS median, round(mad, 6) AS mad, round(share, 9) AS share FROM d JOIN z USING (event_type)")
