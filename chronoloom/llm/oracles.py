@@ -1,7 +1,76 @@
-"""DuckDB SQL of the corpus queries that SQL can express."""
+"""DuckDB SQL of the corpus queries that SQL can express: decontamination, WARC and licences.
+
+The others rest on a 64-bit hash, a trained model, tokenizer ranks or corpus
+statistics that DuckDB's functions don't offer; tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
+import re
+
+from chronoloom.llm.licenses import BASE, TEMPLATES, parsed
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str) -> str:
+    return f"coalesce(regexp_extract_all(translate({text}, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {_words('text')} AS ws FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, 'null') AS id, {_words('text')} AS ws FROM benchmark),
+win AS (SELECT DISTINCT id, least(len(ws), 13) AS n, array_to_string(ws[k:k + 12], ' ') AS w FROM (SELECT *, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS k FROM i WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+dwin AS (SELECT doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS k FROM d, sizes WHERE len(ws) >= n)),
+hits AS (SELECT doc_id, id, dwin.n, k FROM dwin JOIN win ON win.n = dwin.n AND win.w = dwin.w),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, html, sha1(encode(html)) AS x, max(page_id) OVER (PARTITION BY html) AS top FROM p),
+b AS (SELECT *, list_transform(range(8), lambda g: ('0x' || x[5 * g + 1:5 * g + 5])::BIGINT) AS v FROM s)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31) + 1]), '') AS payload_digest,
+  CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
+FROM b
+"""
+
+
+def _pattern(template: str) -> str:
+    """The template as a regular expression over words with a space before each and one at the end."""
+    out = ""
+    for kind, *given in parsed(template):
+        if kind == "var":
+            out += "(?: (?:%s)){0,%d}" % (given[0].replace(".+", "[^ ]+"), given[1])
+        else:
+            body = "".join(f" {re.escape(w)}" for w in given[0])
+            out += f"(?:{body})?" if kind == "may" else body
+    return out + " "
+
+
+def _places(phrase: str) -> str:
+    own = phrase.split()
+    test = " AND ".join(f"ws[k + {i + 1}] = '{w}'" for i, w in enumerate(own))
+    return f"list_filter(range(greatest(len(ws) - {len(own) - 1}, 0)), lambda k: {test})"
+
+
+LICENCES = f"""
+WITH d AS (SELECT doc_id, {_words('text')} AS ws FROM documents),
+p AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS j, {', '.join(f'{_places(p)} AS b{k}' for k, p in enumerate(BASE))} FROM d),
+l AS (SELECT doc_id, len(ws)::BIGINT AS n_words, list_concat({', '.join(f'b{k}' for k in range(len(BASE)))}) AS places,
+  list_filter([{', '.join(f"CASE WHEN len(b{k}) > 0 THEN '{label}' END" for k, label in enumerate(BASE.values()))}], lambda x: x IS NOT NULL) AS base,
+  list_filter([{', '.join(f"CASE WHEN regexp_matches(j, '{_pattern(t)}') THEN '{label}' END" for label, t in TEMPLATES.items())}], lambda x: x IS NOT NULL) AS more FROM p)
+SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+  array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, more))), ',') AS labels,
+  CASE WHEN len(more) > 0 THEN 1.0 WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM l
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": DECONTAMINATION, "op4_warc": WARC, "op8_licences": LICENCES}
