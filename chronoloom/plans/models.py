@@ -189,7 +189,7 @@ def vector_pooling(spark, sf):
 def box_overlap(spark, sf):
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_extendedprice")
     box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("l_quantity").alias("x1"), (F.col("l_extendedprice") / 1000).alias("y1"))
-    b = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", box.alias("a")).withColumn("b", F.lead("a").over(w)).where("b is not null")
+    b = read(spark, sf, "lineitem").withColumn("a", box).withColumn("b", F.lead("a").over(w)).where("b is not null")
     return b.select("l_orderkey", "l_linenumber", F.round(S.box_iou(F.col("a"), F.col("b")), 6).alias("iou"))
 
 
