@@ -391,10 +391,31 @@ def test_shards_edges(edge, empty):
 
 def test_gear_equals_its_recurrence():
     data = np.random.default_rng(1).integers(0, 256, 500, dtype=np.uint8)
-    h = [sum(int(simple) << k for k, simple in enumerate(substring.GEAR[data[max(0, i - 15) : i + 1]][::-1])) & 0xFFFF for i in range(len(data))]
+    h = [sum(int(simple) << k for k, simple in enumerate(substring.GEAR[data[max(0, i - 7) : i + 1]][::-1])) & 0xFFFF for i in range(len(data))]
     assert substring.gear(data).tolist() == h
 
 
+def test_every_run_of_words_has_a_cut():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5, 8, 300):
+        h = rng.integers(0, 50, n)
+        found = substring.cuts(h).tolist()
+        expected = {min(range(a, min(a + substring.REACH, n)), key=lambda i: (h[i], i)) for a in range(max(1, n - substring.REACH + 1))} if n else set()
+        assert set(found) == expected
+
+
+def test_passages_of_51_words_are_always_found():
+    rng = np.random.default_rng(9)
+    prose = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(n))
+    for _ in range(300):
+        passage = prose(51)
+        a, b = (f"{prose(rng.integers(0, 30))} {passage} {prose(rng.integers(0, 30))}" for _ in range(2))
+        common = {a.encode()[x:y] for x, y in zip(*(substring.stretches(a)[k] for k in ("start", "end")), strict=True)}
+        s = substring.stretches(b)
+        hit = [(f, f + n) for f, n, x, y in zip(s["first_word"], s["words"], s["start"], s["end"], strict=True) if b.encode()[x:y] in common]
+        assert max(e for _, e in hit) - min(f for f, _ in hit) >= substring.SPAN_WORDS
+
+
 def brute_repeats(own):
     """Words of each text that lie in a stretch which another text has."""
     places = defaultdict(set)

@@ -1,7 +1,7 @@
 """The pipeline against its stages done one after the other in plain Python."""
 
 import pytest
-from test_operators import brute_contamination, brute_quality, brute_simhash, reference
+from test_llm_operators import brute_contamination, brute_quality, brute_simhash, reference
 
 import corpus_pipeline
 from chronoloom.llm import pii
