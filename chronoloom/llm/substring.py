@@ -1,22 +1,29 @@
 """Substring duplicates by content-defined chunking with a gear rolling hash.
 
-The gear hash of a byte is the shifted sum of random numbers of the last 16
-bytes, so a cut depends on these bytes alone; an insertion moves cuts near it and
-no others. Cuts move on to the next space, so chunks are whole words. The hash of
-all bytes is found by doubling: sums over 2, 4, 8, then 16 bytes.
-
-Chunks are small, and a chunk alone says little. Each one is therefore taken with
-the chunks after it until ``WINDOW_WORDS`` words stand together, and these
-variable stretches are deduplicated by digest. Stretches found in more than one
-text are united into spans, and spans of at least ``SPAN_WORDS`` words are
-reported. A shared passage loses the words before its first common cut and after
-its last, about ten; ``SPAN_WORDS`` allows for that in passages of over 50 words.
-
-A first pass counts 64-bit digests, a second takes the places of those that
-occur again and compares 128 bits. Both aggregate before they shuffle.
-
-Null and empty texts have no spans. Texts are told apart by key and hash of the
-text, so rows repeated with the same key are one text. Offsets are code points.
+The gear hash of a byte is the shifted sum of random numbers of the last 8 bytes.
+A word may begin a chunk if the hash just before it is the least of ``REACH``
+neighbouring words'; every run of so many words has such a cut, so chunks are
+variable but bounded, and a cut depends on the text near it alone: an insertion
+moves cuts around it and no others. The hash of all bytes is found by doubling:
+sums over 2, 4, then 8 bytes.
+
+Chunks are small, and one alone says little. Each is taken with the chunks after
+it, ``CHUNKS`` together, and these variable stretches are deduplicated by digest.
+Stretches found in more than one text are united into spans, and spans of at
+least ``SPAN_WORDS`` words are reported. A shared passage has its first common
+cut at most about ten words from its begin and its last at most eight from its
+end, so one of over 50 words shows at least ``SPAN_WORDS``; one of under
+``SPAN_WORDS`` never does.
+
+A first pass counts in how many texts a digest stands, and the smallest key that
+has it; it aggregates before it shuffles. A second pass sends the places of all
+stretches to these counts and keeps those that occur again. Digests have 64 bits:
+a chance pair of equal digests marks one stretch, and a reported span needs
+several that adjoin.
+
+Null and empty texts have no spans. Texts are told apart by key and a hash of the
+text. Rows repeated with their key count as texts that share everything; all of
+them carry the smallest key and so are first. Offsets are code points.
 """
 
 from __future__ import annotations
@@ -32,22 +39,22 @@ from pyspark.sql import Window as W
 
 from chronoloom.llm.shared import arrow_function, stored
 
-#: Mean bytes between cuts, words of a stretch, words of a reported span.
-MEAN_CHUNK, WINDOW_WORDS, SPAN_WORDS = 24, 16, 34
-REACH = 16
+#: Bytes under the hash, words of which one begins a chunk, chunks of a stretch, words of a reported span.
+HASHED_BYTES, REACH, CHUNKS, SPAN_WORDS = 8, 8, 4, 34
 
 GEAR = np.random.default_rng(2026).integers(0, 1 << 16, 256, dtype=np.uint16)
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, *range(9, 14)]] = True
 
-STRETCH = "struct<d1:bigint,d2:bigint,start:int,end:int,words:int,first_word:int>"
+#: Offsets and word numbers travel as the halves of one number each.
+STRETCH = "struct<digest:bigint,place:bigint,words:bigint>"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """Gear hash at each byte: the sum over k < 16 of GEAR[byte k places back] << k, in 16 bits."""
+    """Gear hash at each byte: the sum over k < 8 of GEAR[byte k places back] << k, in 16 bits."""
     h = GEAR[data]
     step = 1
-    while step < REACH:
+    while step < HASHED_BYTES:
         moved = np.zeros_like(h)
         moved[step:] = h[:-step] << np.uint16(step)
         h = h + moved
@@ -55,77 +62,94 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def cuts(hashes: np.ndarray) -> np.ndarray:
+    """Positions that are the least, the first of equals, in any window of REACH positions."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, np.int64)
+    ranked = hashes.astype(np.int64) << 32 | np.arange(n)
+    least = np.lib.stride_tricks.sliding_window_view(ranked, min(REACH, n)).min(axis=1)
+    return np.unique(least & 0xFFFFFFFF)
+
+
 def stretches(text: str | None) -> dict[str, np.ndarray]:
     """Stretches of a text: byte offsets, words, number of the first word."""
     raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
     space = SPACES[raw]
     begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(raw) else np.zeros(0, np.int64)
-    none = {k: np.zeros(0, np.int64) for k in ("start", "end", "words", "first_word")}
-    if len(begins) < WINDOW_WORDS:
-        return none
+    if not len(begins):
+        return {k: np.zeros(0, np.int64) for k in ("start", "end", "words", "first_word")}
     ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
-    cut = np.flatnonzero(gear(raw) < (1 << 16) // MEAN_CHUNK)
-    # a chunk begins at the first word that begins behind a cut
-    first = np.unique(np.concatenate([[0], np.searchsorted(begins, cut, side="right")]))
-    first = first[first < len(begins)]
-    bound = np.append(first, len(begins))
-    last = bound[np.minimum(np.searchsorted(bound, first + WINDOW_WORDS), len(bound) - 1)]  # the chunk end at which there are enough words
-    ok = last - first >= WINDOW_WORDS
-    first, last = first[ok], last[ok]
+    before = np.concatenate([[0], gear(raw)])[begins]
+    bound = np.unique(np.concatenate([[0], cuts(before), [len(begins)]]))
+    k = min(CHUNKS, len(bound) - 1)
+    first, last = bound[:-k], bound[k:]
     return {"start": begins[first], "end": ends[last - 1], "words": last - first, "first_word": first}
 
 
 def _digests(raw: bytes, s: dict[str, np.ndarray]) -> np.ndarray:
-    digest = xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(s["start"].tolist(), s["end"].tolist(), strict=True)]), dtype=">i8").astype(np.int64).reshape(-1, 2)
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(raw[a:b]) for a, b in zip(s["start"].tolist(), s["end"].tolist(), strict=True)], dtype=np.uint64).view(np.int64)
+
+
+def _lists(parts: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    return pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 @arrow_function("array<bigint>")
-def first_digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Distinct 64-bit digests of a text's stretches."""
+def distinct_digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Distinct digests of a text's stretches."""
     for texts in batches:
         out = []
         for t in texts:
             text = t.as_py()
-            out.append(np.unique(_digests((text or "").encode(), stretches(text))[:, 0]))
-        yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+            out.append(np.unique(_digests((text or "").encode(), stretches(text))))
+        ends, flat = _lists(out)
+        yield pa.ListArray.from_arrays(ends, pa.array(flat))
 
 
 @arrow_function(f"array<{STRETCH}>")
 def placed_digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Stretches with both halves of their digest and code point offsets."""
+    """Stretches with digest, code point offsets (start, end) and words (first, number)."""
     for texts in batches:
-        columns, sizes = [], [0]
+        digests, places, numbers = [], [], []
         for t in texts:
             text = t.as_py()
             raw, s = (text or "").encode(), stretches(text)
-            d = _digests(raw, s)
             start, end = s["start"], s["end"]
+            digests.append(_digests(raw, s))
             if text and len(raw) != len(text):
                 chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)])
                 start, end = chars[start], chars[end]
-            columns.append((d[:, 0], d[:, 1], start, end, s["words"], s["first_word"]))
-            sizes.append(len(start))
-        flat = [np.concatenate(c) if columns else np.zeros(0, np.int64) for c in zip(*columns, strict=True)] if columns else [np.zeros(0, np.int64)] * 6
-        names, kinds = ("d1", "d2", "start", "end", "words", "first_word"), (pa.int64(), pa.int64(), *[pa.int32()] * 4)
-        rows = pa.StructArray.from_arrays([pa.array(c).cast(k) for c, k in zip(flat, kinds, strict=True)], names)
-        yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), rows)
+            places.append(start.astype(np.int64) << 32 | end)
+            numbers.append(s["first_word"].astype(np.int64) << 32 | s["words"])
+        ends, flat = _lists(digests)
+        rows = pa.StructArray.from_arrays([pa.array(flat), pa.array(_lists(places)[1]), pa.array(_lists(numbers)[1])], ["digest", "place", "words"])
+        yield pa.ListArray.from_arrays(ends, rows)
+
+
+def _high(c: str):
+    return F.shiftright(c, 32).cast("int")
+
+
+def _low(c: str):
+    return F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span_words: int = SPAN_WORDS) -> DataFrame:
     """Spans that stand in more than one text, one row each: key, start, end, n_words, n_texts (most texts that share a part), first_id (smallest key that has a part), first (this text has it)."""
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    counted = own.select(F.explode(first_digests(F.col("text"))).alias("d1")).groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
-    places = own.select("key", F.xxhash64("text").alias("hash"), F.explode(placed_digests(F.col("text"))).alias("s")).select("key", "hash", "s.*")
-    found = stored(places.join(counted, "d1"), "stretches")
-    texts = found.groupBy("d1", "d2", "key", "hash").agg(F.count("*").alias("n")).groupBy("d1", "d2").agg(F.count("*").alias("n_texts"), F.min("key").alias("first_id")).where("n_texts > 1")
-    shared = found.join(texts, ["d1", "d2"])
+    counted = own.select("key", F.explode(distinct_digests(F.col("text"))).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_texts"), F.min("key").alias("first_id")).where("n_texts > 1")
+    # written, so that adaptive execution may split the join below where a passage stands in very many texts
+    counted = stored(counted, "repeated-digests")
+    places = own.select("key", F.hash("text").alias("hash"), F.explode(placed_digests(F.col("text"))).alias("s")).select("key", "hash", "s.*")
+    shared = places.join(counted, "digest").select("key", "hash", _high("place").alias("start"), _low("place").alias("end"), _high("words").alias("first_word"), (_high("words") + _low("words")).alias("past_word"), "n_texts", "first_id")
     # a window holds the stretches of one text
-    by_text = W.partitionBy("key", "hash").orderBy("first_word", "end")
-    reached = F.max(F.col("first_word") + F.col("words")).over(by_text.rowsBetween(W.unboundedPreceding, -1))
-    marked = shared.dropDuplicates(["key", "hash", "start", "end"]).withColumn("new", F.coalesce(F.col("first_word") > reached, F.lit(True)).cast("int"))
-    spans = marked.withColumn("span", F.sum("new").over(by_text)).groupBy("key", "hash", "span").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("first_word") + F.col("words")) - F.min("first_word")).cast("long").alias("n_words"), F.max("n_texts").alias("n_texts"), F.min("first_id").alias("first_id")
+    by_text = W.partitionBy("key", "hash").orderBy("first_word", "past_word")
+    reached = F.max("past_word").over(by_text.rowsBetween(W.unboundedPreceding, -1))
+    marked = shared.withColumn("new", F.coalesce(F.col("first_word") > reached, F.lit(True)).cast("int"))
+    spans = marked.withColumn("span", F.sum("new").over(by_text.rowsBetween(W.unboundedPreceding, 0))).groupBy("key", "hash", "span").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("past_word") - F.min("first_word")).cast("long").alias("n_words"), F.max("n_texts").alias("n_texts"), F.min("first_id").alias("first_id")
     )
     return spans.where(F.col("n_words") >= span_words).select(F.col("key").alias(key), "hash", "start", "end", "n_words", "n_texts", "first_id", F.col("first_id").eqNullSafe(F.col("key")).alias("first"))
 
@@ -146,7 +170,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
     """``docs`` with each repeated span left only in the text that has it first."""
     later = repeats(docs, key, text, span_words).where("not first")
     per_text = later.groupBy(F.col(key).alias("_key"), F.col("hash").alias("_hash")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    joined = docs.join(per_text, docs[key].eqNullSafe(per_text["_key"]) & (F.xxhash64(docs[text]) == per_text["_hash"]), "left")
+    joined = docs.join(per_text, docs[key].eqNullSafe(per_text["_key"]) & (F.hash(docs[text]) == per_text["_hash"]), "left")
     return joined.withColumn(text, cut_out(F.col(text), F.col("_spans"))).drop("_key", "_hash", "_spans")
 
 
