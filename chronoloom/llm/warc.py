@@ -183,8 +183,8 @@ def read(archives: DataFrame, folder: str, with_payload: bool = True) -> DataFra
                 yield pa.RecordBatch.from_pylist(held, schema)
 
     ddl = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * with_payload
-    # each archive is a task's work
-    return archives.repartition("archive").mapInArrow(read_all, ddl)
+    # a task for each archive: the list is small in bytes, so a number is given that adaptive execution keeps
+    return archives.repartition(max(1, archives.count())).mapInArrow(read_all, ddl)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
