@@ -1,6 +1,6 @@
 """Quality rules: counts and a hashed n-gram log-likelihood ratio, all in Spark expressions.
 
-Words and pairs of neighbouring words are hashed into ``buckets``. Two smoothed
+Words' hashes and hashes of neighbouring words' hashes go into ``buckets``. Two smoothed
 multinomials over the buckets are counted: one of a bounded sample of trusted
 texts (quality 1 and not toxic), one of every text. The weight of a bucket is
 the logarithm of their ratio in whole millionths, so that a text's sum is an
@@ -34,24 +34,40 @@ WINDOW = 5
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
-def _buckets(w: Column, buckets: int) -> Column:
-    """Bucket of each word, then of each pair of neighbours."""
-    pairs = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(F.get(w, i), x), F.lit(buckets)).cast("int"))
-    return F.concat(F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int")), pairs)
+def _hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def _repeated_words(w: Column) -> Column:
+def _pair(h: Column, x: Column, i: Column) -> Column:
+    """Hash of a word's hash and the next one's; null for the last word."""
+    return F.when(i + 1 < F.size(h), F.xxhash64(x, F.get(h, i + 1)))
+
+
+def _buckets(h: Column, buckets: int) -> Column:
+    """Bucket of each word, then of each pair of neighbours, from the words' hashes."""
+    pairs = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.pmod(_pair(h, x, i), F.lit(buckets)))
+    return F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(buckets))), pairs)
+
+
+def _weight(h: Column, held: Column, buckets: int) -> Column:
+    """Sum of the weights of all words and pairs."""
+    own = lambda x: F.get(held, F.pmod(x, F.lit(buckets)).cast("int"))
+    return F.aggregate(F.transform(h, lambda x, i: own(x) + F.coalesce(own(_pair(h, x, i)), F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _repeated_words(w: Column, h: Column) -> Column:
     """Words inside 5-word windows that the text holds twice or more. Equal windows have equal hashes, so a text with as many hashes as windows has none; the others compare the words themselves."""
     n = F.size(w) - (WINDOW - 1)
+    hashes = F.transform(F.slice(h, 1, F.greatest(n, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)]))
     starts = F.sequence(F.lit(0), n - 1)
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
     sorted_windows = F.array_sort(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.slice(w, i + 1, WINDOW)).alias("t"), i.alias("i"))))
     repeated = lambda s: F.array_sort(F.transform(F.filter(s, lambda x, k: (x["t"] == F.get(s, k - 1)["t"]) | (x["t"] == F.get(s, k + 1)["t"])), lambda x: x["i"]))
-    fold = lambda p: F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("at")), lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["at"])).alias("n"), i.alias("at")), lambda a: a["n"])
     # a window adds the words that the one before it did not cover
+    fold = lambda p: F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("at")), lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["at"])).alias("n"), i.alias("at")), lambda a: a["n"])
     counted = let(sorted_windows, lambda s: fold(repeated(s)))
     return F.when(n < 2, 0).otherwise(F.when(F.size(F.array_distinct(hashes)) == n, 0).otherwise(counted)).cast("long")
 
@@ -68,7 +84,7 @@ def weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     if n > trusted_rows:
         trusted = trusted.where(F.pmod(F.xxhash64(F.lit("trusted"), "_trusted"), F.lit(1_000_000)) < int(1_000_000 * trusted_rows / n))
     flagged = docs.select(key, text).join(F.broadcast(trusted), F.col(key) == F.col("_trusted"), "left")  # about trusted_rows ids
-    grams = flagged.select(F.col("_trusted").isNotNull().alias("_t"), let(words_of(F.col(text)), lambda w: _buckets(w, buckets)).alias("_g")).select("_t", F.explode("_g").alias("bucket"))
+    grams = flagged.select(F.col("_trusted").isNotNull().alias("_t"), let(_hashes(words_of(F.col(text))), lambda h: _buckets(h, buckets)).alias("_g")).select("_t", F.explode("_g").alias("bucket"))
     rows = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("_t").alias("target")).collect()  # one row a bucket at most
     raw, target = [0] * buckets, [0] * buckets
     for r in rows:
@@ -79,26 +95,24 @@ def weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return [round(1e6 * (math.log(t + SMOOTHING) - math.log(r + SMOOTHING) + base)) for t, r in zip(target, raw, strict=True)]
 
 
-def rules(text: Column, weight: list[int] | None, buckets: int = BUCKETS, least: int = LEAST) -> Column:
+def rules(text: Column, weight: list[int] | None, buckets: int = BUCKETS) -> Column:
     """Struct of the counts, the mean weight in millionths and the two verdicts."""
     held = None if weight is None else F.split(F.lit(" ".join(map(str, weight))), " ").cast("array<bigint>")
 
-    def of(w: Column) -> Column:
+    def of(w: Column, h: Column) -> Column:
         n = F.size(w).cast("long")
-        grams = F.greatest(2 * F.size(w) - 1, F.lit(0)).cast("long")
-        total = F.lit(None).cast("long") if held is None else F.aggregate(_buckets(w, buckets), F.lit(0).cast("long"), lambda a, b: a + F.get(held, b))
         return F.struct(
             n.alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[#*$%&|<>]"), F.lit(0))).cast("long").alias("n_symbols"),
             _dup_lines(text).alias("n_dup_lines"),
-            _repeated_words(w).alias("n_repeat_words"),
-            grams.alias("n_grams"),
-            total.alias("weight"),
+            _repeated_words(w, h).alias("n_repeat_words"),
+            F.greatest(2 * n - 1, F.lit(0)).alias("n_grams"),
+            (F.lit(None).cast("long") if held is None else _weight(h, held, buckets)).alias("weight"),
         )
 
     return let(
-        let(words_of(text), of),
+        let(words_of(text), lambda w: let(_hashes(w), lambda h: of(w, h))),
         lambda s: s.withField("base_failed", (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])),
     )
 
@@ -118,4 +132,5 @@ def report(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 def filtered(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that the rules reject."""
-    return docs.where(kept(rules(F.col(text), weights(docs, labels, key, text))))
+    judged = rules(F.col(text), weights(docs, labels, key, text))
+    return docs.where(let(judged, lambda r: kept(r)))

@@ -68,9 +68,10 @@ def same(rows, expected):
 def brute_quality(own, trusted, buckets=quality.BUCKETS):
     def grams(w):
         signed = lambda h: h - (1 << 64) if h >> 63 else h
-        one = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) % buckets for x in w]
-        two = [signed(xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))) % buckets for a, b in zip(w, w[1:], strict=False)]
-        return one + two
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+        # a number is hashed as its eight bytes, the second one seeded with the first one's hash
+        pair = lambda a, b: xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42))
+        return [signed(x) % buckets for x in h] + [signed(pair(a, b)) % buckets for a, b in zip(h, h[1:], strict=False)]
 
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in own]
     raw, target = Counter(), Counter()
