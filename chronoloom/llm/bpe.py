@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pieces remembered by one Python worker; the memory of a worker stays bounded.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 #: Longer pieces are rarely seen again and are not remembered.
 CACHE_PIECE_CHARS = 64
 

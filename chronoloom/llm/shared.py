@@ -53,7 +53,20 @@ def drop_stored(spark: SparkSession) -> None:
         target.getFileSystem(hadoop).delete(target, True)
 
 
+#: Rows of the batches that go to Python workers. Texts may be long, and Spark's own number of rows is meant for short ones.
+BATCH_ROWS = 400
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of this session, unless it has fewer rows set."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder, read by Spark."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

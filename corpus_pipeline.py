@@ -14,33 +14,38 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm import bpe, decontaminate, pii, quality, simhash
 from chronoloom.llm.queries import tokenizer
-from chronoloom.llm.shared import stored, table
+from chronoloom.llm.shared import small_batches, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
+    small_batches(spark)
     return quality.filtered(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id."""
+    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
+    small_batches(spark)
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), out="_found")
     return found.where(~decontaminate.is_contaminated(F.col("_found"))).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data taken out of their texts; n_chars follows the text."""
+    small_batches(spark)
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else clean
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and digests of the ids and of the bytes that they decode to."""
+    small_batches(spark)
     path, pattern = tokenizer()
     coded = bpe.with_tokens(docs, path, pattern).withColumn("_decoded", bpe.decoder(spark, path)(F.col("ids")))
     return coded.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": bpe.ids_digest(F.col("ids")), "decoded_sha256": F.sha2("_decoded", 256)}).drop("_decoded")
