@@ -26,7 +26,7 @@ def n_frames(spark, sf):
     return _durations(spark, sf).select("gid", S.n_frames(F.col("d"), 0.25).alias("frames"), F.floor(F.col("d") * 0.25).alias("floor_frames"))
 
 
-@query("q_fixed_windows", f"WITH {CURVE_SQL}, {_DURATION} SELECT gid, i * 50.0 AS start, round(least((i + 1) * 50.0, d), 3) AS \"end\" FROM dur, LATERAL (SELECT unnest(range(greatest(ceil(d / 50.0 - 1e-9), 1)::BIGINT)) AS i)")
+@query("q_fixed_windows", f"WITH {CURVE_SQL}, {_DURATION} SELECT gid, (i * 50.0)::DOUBLE AS start, round(least((i + 1) * 50.0, d), 3) AS \"end\" FROM dur, LATERAL (SELECT unnest(range(greatest(ceil(d / 50.0 - 1e-9), 1)::BIGINT)) AS i)")
 def fixed_windows(spark, sf):
     w = _durations(spark, sf).select("gid", F.explode(S.fixed_windows(F.col("d"), 50.0)).alias("w"))
     return w.select("gid", "w.start", F.round("w.end", 3).alias("end"))
@@ -38,7 +38,7 @@ def equal_segments(spark, sf):
     return w.select("gid", "i", F.round("w.start", 6).alias("start"), F.round("w.end", 6).alias("end"))
 
 
-@query("q_strided_clips", f"WITH {CURVE_SQL}, {_DURATION} SELECT gid, i * 30.0 AS start, round(least(i * 30.0 + 48.0, d), 3) AS \"end\" FROM dur, LATERAL (SELECT unnest(range(greatest(ceil(d / 30.0), 1)::BIGINT)) AS i)")
+@query("q_strided_clips", f"WITH {CURVE_SQL}, {_DURATION} SELECT gid, (i * 30.0)::DOUBLE AS start, round(least(i * 30.0 + 48.0, d), 3) AS \"end\" FROM dur, LATERAL (SELECT unnest(range(greatest(ceil(d / 30.0), 1)::BIGINT)) AS i)")
 def strided_clips(spark, sf):
     w = _durations(spark, sf).select("gid", F.explode(S.clips(F.col("d"), 48.0, 30.0)).alias("w"))
     return w.select("gid", "w.start", F.round("w.end", 3).alias("end"))
@@ -68,7 +68,7 @@ def neighbourhood(spark, sf):
     "q_fraction_points",
     f"""WITH {CURVE_SQL}, w AS (SELECT gid, i AS w, i * 120.0 AS a, (i + 1) * 120.0 AS b FROM (SELECT DISTINCT gid FROM curve), range(6) r(i)),
     targets AS (SELECT w.*, f, a + (b - a) * f AS target FROM w, (VALUES (0.25), (0.5), (0.75)) v(f))
-    SELECT gid, w, f, min(idx) FILTER (t >= target) AS idx, max(idx) AS last_idx FROM targets JOIN curve USING (gid) WHERE t >= a AND t < b GROUP BY gid, w, f""",
+    SELECT gid, w, f::DOUBLE AS f, min(idx) FILTER (t >= target) AS idx, max(idx) AS last_idx FROM targets JOIN curve USING (gid) WHERE t >= a AND t < b GROUP BY gid, w, f""",
 )
 def fraction_points(spark, sf):
     """First sample at or after each fractional point of a window (null if none), and the window's last sample."""

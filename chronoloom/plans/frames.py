@@ -43,4 +43,4 @@ CURVE_SQL = """curve AS (SELECT user_id AS gid, row_number() OVER (PARTITION BY
   (epoch_us(ts) - 1704067200000000) / 3.6e9 AS t, value AS s, (event_type = 'error')::INT AS y, event_type, event_id FROM events)"""
 SPANS_SQL = CURVE_SQL + """, spans AS (SELECT gid, row_number() OVER (PARTITION BY gid ORDER BY t, event_id) - 1 AS ord,
   t AS start, t + 1 + s / 4 AS "end", s AS v FROM curve WHERE event_type = 'purchase')"""
-GRID_SQL = f"""grid AS (SELECT gid, f AS frame, f * {FRAME_HOURS} AS t FROM (SELECT DISTINCT user_id AS gid FROM events), range({FRAMES}) r(f))"""
+GRID_SQL = f"""grid AS (SELECT gid, f AS frame, (f * {FRAME_HOURS})::DOUBLE AS t FROM (SELECT DISTINCT user_id AS gid FROM events), range({FRAMES}) r(f))"""

@@ -46,7 +46,7 @@ def full_batches(spark, sf):
     return b.where("n = 16").select("gid", "batch", F.round("mean", 6).alias("mean"))
 
 
-@query("q_gap_tracks", f"WITH {CURVE_SQL}, g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY gid, event_type ORDER BY t, event_id) > 48, true)::INT AS new FROM curve), k AS (SELECT *, sum(new) OVER (PARTITION BY gid, event_type ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT gid, event_type, k AS track, count(*) AS n, round(min(t), 6) AS start, round(max(t), 6) AS \"end\" FROM k GROUP BY ALL")
+@query("q_gap_tracks", f"WITH {CURVE_SQL}, g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY gid, event_type ORDER BY t, event_id) > 48, true)::INT AS new FROM curve), k AS (SELECT *, sum(new) OVER (PARTITION BY gid, event_type ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT gid, event_type, k::BIGINT AS track, count(*) AS n, round(min(t), 6) AS start, round(max(t), 6) AS \"end\" FROM k GROUP BY ALL")
 def gap_tracks(spark, sf):
     """Tracks that end after 48 hours without an observation."""
     o = W.partitionBy("gid", "event_type").orderBy("t", "event_id")

@@ -70,7 +70,7 @@ def gaussian_mixture(spark, sf):
     return spark.createDataFrame(rows, "shared boolean, name string, value double")
 
 
-@query("q_power_transform", f"WITH {CURVE_SQL}, l AS (SELECT k, -2 + k * 0.25 AS lam FROM range(17) r(k)), y AS (SELECT k, lam, CASE WHEN abs(lam) < 1e-9 THEN ln(s + 1) ELSE (pow(s + 1, lam) - 1) / lam END AS y, ln(s + 1) AS j FROM curve, l), f AS (SELECT k, lam, -count(*) / 2.0 * ln(var_pop(y)) + (lam - 1) * sum(j) AS f FROM y GROUP BY k, lam) SELECT round(arg_max(lam, (round(f, 3), -k)), 6) AS lambda FROM f")
+@query("q_power_transform", f"WITH {CURVE_SQL}, l AS (SELECT k, -2 + k * 0.25 AS lam FROM range(17) r(k)), y AS (SELECT k, lam, CASE WHEN abs(lam) < 1e-9 THEN ln(s + 1) ELSE (pow(s + 1, lam) - 1) / lam END AS y, ln(s + 1) AS j FROM curve, l), f AS (SELECT k, lam, -count(*) / 2.0 * ln(var_pop(y)) + (lam - 1) * sum(j) AS f FROM y GROUP BY k, lam) SELECT round(arg_max(lam, (round(f, 3), -k)), 6)::DOUBLE AS lambda FROM f")
 def power_transform(spark, sf):
     """Yeo-Johnson power with the greatest likelihood on a grid, for non-negative values; all powers in one pass over the data."""
     lams = [-2 + k * 0.25 for k in range(17)]
