@@ -212,7 +212,8 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that adaptive execution may split the join at a node of very many links
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least-neighbours")
         # large star: every larger neighbour goes to the smallest one
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star: every smaller neighbour goes to the smallest one
@@ -231,7 +232,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     rooted = least.join(found, least["fp"] == found["node"]).groupBy("root").agg(F.min("least").alias("component_id"))
     joined = found.join(rooted, "root").select(F.col("node").alias("fp"), "component_id")
     named = least.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    # one fingerprint may have a third of the rows: the skewed join is split by adaptive execution
+    # written, so that adaptive execution may split the join where one fingerprint has a third of the rows
+    named = stored(named, "fingerprint-components")
     return prints.join(named, "fp").select(F.col(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
