@@ -145,8 +145,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Model from at most ROWS labelled rows, ROWS_PER_LANGUAGE of each language, those of the least hashes."""
     hashed = F.xxhash64(F.col(key))
     labelled = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(key)))
+    counts = labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_rows")).orderBy(F.desc("_rows"), "_lang").limit(ROWS)
+    # a share of each language that leaves about four times the rows wanted, so that the window below never meets a whole language
+    keyed = labelled.select(F.col(lang).alias("_lang"), hashed.alias("_hash"), F.col(key).alias("_key")).join(F.broadcast(counts), "_lang")
+    keyed = keyed.where(F.pmod("_hash", F.lit(1 << 30)) < 4.0 * ROWS_PER_LANGUAGE / F.col("_rows") * (1 << 30))
     order = W.partitionBy("_lang").orderBy("_hash", "_key")
-    ids = labelled.select(F.col(lang).alias("_lang"), hashed.alias("_hash"), F.col(key).alias("_key")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= ROWS_PER_LANGUAGE)
+    ids = keyed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= ROWS_PER_LANGUAGE)
     ids = ids.orderBy("_n", "_lang").limit(ROWS).select("_key").distinct()
     sample = labelled.join(F.broadcast(ids), F.col(key) == F.col("_key"), "left_semi")  # at most ROWS ids
     per_key = sample.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(F.col(lang).alias("lang"), F.col(text).alias("text")), F.struct(lang, text)).alias("row"))

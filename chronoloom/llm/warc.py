@@ -152,7 +152,8 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     keyed = own.select("*", F.sha1(full).alias("digest"), F.octet_length(full).alias("bytes"))
     # pre-aggregated before the shuffle; only payloads that occur again are joined to the pages
     groups = keyed.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # a payload of very many pages skews this join, which adaptive execution then splits
+    # written, so that adaptive execution may split the join where a payload has very many pages
+    groups = stored(groups, "warc-payloads")
     joined = keyed.join(groups, ["digest", "bytes"], "left")
     other = ~F.col("first").eqNullSafe(F.col("page_id")) & F.col("first").isNotNull()
     rows = joined.select("page_id", "url", "html", F.when(other, F.col("first")).alias("refers_to"), F.when(other, F.col("first_url")).alias("refers_url"))
