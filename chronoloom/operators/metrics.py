@@ -73,9 +73,9 @@ def best_f1(df: DataFrame, score: str, label: str) -> DataFrame:
     return c.agg(F.max_by(F.struct(F.col("_s").alias("threshold"), f1.alias("f1")), F.struct(F.round(f1, 12), "_s")).alias("b")).select("b.*")
 
 
-def calibration(df: DataFrame, p: Column, label: Column, bins: int = 10) -> DataFrame:
-    """Brier score, log loss (clamped at 1e-12) and expected calibration error over equal bins."""
-    q = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+def calibration(df: DataFrame, p: Column, label: Column, bins: int = 10, edge: float = 1e-6) -> DataFrame:
+    """Brier score, log loss and expected calibration error over equal bins, of probabilities kept ``edge`` away from 0 and 1."""
+    q = F.least(F.greatest(p, F.lit(edge)), F.lit(1 - edge))
     y = label.cast("double")
-    per_bin = df.groupBy(F.least(F.floor(p * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.sum(p).alias("sp"), F.sum(y).alias("sy"), F.sum((p - y) * (p - y)).alias("b"), F.sum(-(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("l"))
+    per_bin = df.groupBy(F.floor(q * bins).alias("bin")).agg(F.count("*").alias("n"), F.sum(q).alias("sp"), F.sum(y).alias("sy"), F.sum((q - y) * (q - y)).alias("b"), F.sum(-(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("l"))
     return per_bin.agg((F.sum("b") / F.sum("n")).alias("brier"), (F.sum("l") / F.sum("n")).alias("nll"), (F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.sum("n")).alias("ece"))

@@ -130,11 +130,11 @@ def rule_pooling(spark, sf):
     return p.select("gid", F.round(S.noisy_or(F.col("p")), 9).alias("noisy_or"), F.round(S.top_mean(F.col("p"), 2), 9).alias("top2"), F.round(S.log_sum_exp(F.col("p")), 9).alias("log_sum_exp"))
 
 
-@query("q_box_tiles", "SELECT l_orderkey, l_linenumber, i::INT AS i, round(CASE WHEN l_quantity >= l_extendedprice / 1000 THEN i * l_quantity / 4 ELSE 0 END, 6) AS x0, round(CASE WHEN l_quantity >= l_extendedprice / 1000 THEN 0 ELSE i * l_extendedprice / 4000 END, 6) AS y0 FROM lineitem, range(4) r(i) WHERE l_linenumber = 1")
+@query("q_box_tiles", "SELECT l_orderkey, l_linenumber, i::INT AS i, round(CASE WHEN l_quantity >= l_extendedprice / 1000 THEN i * l_quantity / 4 ELSE 0 END, 9) AS x0, round(CASE WHEN l_quantity >= l_extendedprice / 1000 THEN 0 ELSE i * l_extendedprice / 4000 END, 9) AS y0 FROM lineitem, range(4) r(i) WHERE l_linenumber = 1")
 def box_tiles(spark, sf):
     box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("l_quantity").alias("x1"), (F.col("l_extendedprice") / 1000).alias("y1"))
     parts = read(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", F.posexplode(S.tiles(F.col("b"))).alias("i", "b"))
-    return parts.select("l_orderkey", "l_linenumber", "i", F.round("b.x0", 6).alias("x0"), F.round("b.y0", 6).alias("y0"))
+    return parts.select("l_orderkey", "l_linenumber", "i", F.round("b.x0", 9).alias("x0"), F.round("b.y0", 9).alias("y0"))
 
 
 @query("q_even_sample", "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders) SELECT o_orderkey FROM o WHERE r IN (SELECT round_even(i * (n - 1) / 99.0, 0)::BIGINT FROM range(100) t(i))")

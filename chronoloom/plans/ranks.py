@@ -99,10 +99,10 @@ def standardize(spark, sf):
     return c.join(g, "event_type").select("event_id", F.round((F.col("s") - F.col("m")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0), 6).alias("z"))
 
 
-@query("q_position_weight", f"WITH {CURVE_SQL} SELECT event_id, round(s * (0.5 + 0.5 * idx / (count(*) OVER (PARTITION BY gid))), 6) AS v FROM curve")
+@query("q_position_weight", f"WITH {CURVE_SQL} SELECT event_id, round(s * (0.5 + 0.5 * idx / (count(*) OVER (PARTITION BY gid))), 9) AS v FROM curve")
 def position_weight(spark, sf):
     n = F.count("*").over(W.partitionBy("gid"))
-    return curve(spark, sf).select("event_id", F.round(F.col("s") * (0.5 + 0.5 * F.col("idx") / n), 6).alias("v"))
+    return curve(spark, sf).select("event_id", F.round(F.col("s") * (0.5 + 0.5 * F.col("idx") / n), 9).alias("v"))
 
 
 @query("q_vector_divergence", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) SELECT vec_id, round(1 - list_dot_product(e, p) / sqrt(list_dot_product(e, e) * list_dot_product(p, p)), 6) AS d FROM v WHERE p IS NOT NULL")
@@ -177,12 +177,12 @@ def weighted_quantiles(spark, sf):
     return c.select("gid", "idx", "c", at).groupBy("gid", "k").agg(F.min(F.when(F.col("c") >= (F.col("k") + 0.5) / 5 - 1e-12, F.col("idx"))).alias("idx"))
 
 
-@query("q_concordance", f"WITH {CURVE_SQL}, z AS (SELECT event_id, s - avg(s) OVER (PARTITION BY gid) AS a, s - avg(s) OVER (PARTITION BY event_type) AS b FROM curve) SELECT event_id, round(CASE WHEN sign(a) = sign(b) THEN sign(a) * least(abs(a), abs(b)) ELSE 0 END, 6) AS v FROM z")
+@query("q_concordance", f"WITH {CURVE_SQL}, z AS (SELECT event_id, s - avg(s) OVER (PARTITION BY gid) AS a, s - avg(s) OVER (PARTITION BY event_type) AS b FROM curve) SELECT event_id, round(CASE WHEN sign(a) = sign(b) THEN sign(a) * least(abs(a), abs(b)) ELSE 0 END, 9) AS v FROM z")
 def concordance(spark, sf):
     """The smaller of two deviations where their signs agree, else 0."""
     a, b = (F.col("s") - F.avg("s").over(W.partitionBy(x)) for x in ("gid", "event_type"))
     z = curve(spark, sf).select("event_id", a.alias("a"), b.alias("b"))
-    return z.select("event_id", F.round(F.when(F.signum("a") == F.signum("b"), F.signum("a") * F.least(F.abs("a"), F.abs("b"))).otherwise(0.0), 6).alias("v"))
+    return z.select("event_id", F.round(F.when(F.signum("a") == F.signum("b"), F.signum("a") * F.least(F.abs("a"), F.abs("b"))).otherwise(0.0), 9).alias("v"))
 
 
 @query("q_haar_details", f"WITH {CURVE_SQL}, p AS (SELECT gid, idx // 2 AS k, max(s) FILTER (idx % 2 = 0) AS a, max(s) FILTER (idx % 2 = 1) AS b FROM curve GROUP BY ALL), d AS (SELECT gid, k, (a - b) / sqrt(2) AS d FROM p WHERE b IS NOT NULL), m AS (SELECT gid, median(abs(d)) / 0.6745 AS sigma, count(*) AS n FROM d GROUP BY gid) SELECT gid, k, round(sign(d) * greatest(abs(d) - sigma * sqrt(2 * ln(n)), 0), 6) AS d FROM d JOIN m USING (gid)")

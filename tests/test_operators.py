@@ -181,3 +181,12 @@ def test_text_functions(spark):
     assert one(spark, text.clean_json(t("x ```json\n{\"a\": 1}\n``` y")), text.clean_json(t("{oops")))[0] == '{"a": 1}'
     assert one(spark, text.label_prefix(t('{"why": "x", "label": 3}')))[0] == '{"why": "x", "label": '
     assert [tuple(one(spark, text.parse_score(t(x)))[0]) for x in ("Score: 7", "8/10", "45%", "none")] == [(0.7, "labelled"), (0.8, "fraction"), (0.45, "number"), (None, "unparsed")]
+
+
+def test_calibration_keeps_probabilities_off_the_ends(spark):
+    rows = [(0.0, 1), (1.0, 1), (0.25, 0), (0.35, 1)]  # each has a bin of its own
+    got = M.calibration(frame(spark, rows, "p double, y int"), F.col("p"), F.col("y")).first()
+    kept = [(min(max(p, 1e-6), 1 - 1e-6), y) for p, y in rows]
+    assert got["brier"] == pytest.approx(sum((p - y) ** 2 for p, y in kept) / 4)
+    assert got["nll"] == pytest.approx(-sum(math.log(p if y else 1 - p) for p, y in kept) / 4)
+    assert got["ece"] == pytest.approx(sum(abs(p - y) for p, y in kept) / 4)
