@@ -24,9 +24,9 @@ def equal_segments(duration: Column, n: int) -> Column:
 
 
 def clips(duration: Column, length: float, stride: float) -> Column:
-    """Overlapping clips that begin every ``stride``, each cut at the duration."""
-    n = F.greatest(F.ceil(duration / stride).cast("int"), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i * stride).alias("start"), F.least(i * stride + length, duration).alias("end")))
+    """Clips around centres every ``stride`` before the duration, each cut at both ends of it: (centre, start, end)."""
+    n = F.greatest(F.ceil((duration - 1e-9) / stride).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i * stride).alias("centre"), F.greatest(i * stride - length / 2, F.lit(0.0)).alias("start"), F.least(i * stride + length / 2, duration).alias("end")))
 
 
 def sparse_indices(n: Column, k: int) -> Column:
@@ -41,7 +41,8 @@ def neighbourhood(centre: Column, n: Column, half: int) -> Column:
 
 
 def slot_of(t: Column, duration: Column, n: int) -> Column:
-    return F.least(F.greatest(F.floor(t / duration * n), F.lit(0)), F.lit(n - 1)).cast("int")
+    """Which of n equal parts of the duration a time is in; 0 without a duration."""
+    return F.when(duration > 0, F.least(F.greatest(F.floor(t / duration * n), F.lit(0)), F.lit(n - 1))).otherwise(0).cast("int")
 
 
 def sigmoid(x: Column) -> Column:
@@ -60,9 +61,13 @@ def entropy(p: Column, least: float = 1e-12) -> Column:
 
 
 def inverse_entropy(h: Column, steps: int = 60) -> Column:
-    """The p in [0, 1/2] with the given binary entropy, by bisection."""
-    halved = lambda a, _: F.when(entropy((a["lo"] + a["hi"]) / 2) < h, F.struct(((a["lo"] + a["hi"]) / 2).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), ((a["lo"] + a["hi"]) / 2).alias("hi")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), F.lit(0.5).alias("hi")), halved, lambda a: (a["lo"] + a["hi"]) / 2)
+    """The p in [1/2, 1) with the given binary entropy, by bisection."""
+    def halved(a, _):
+        mid = (a["lo"] + a["hi"]) / 2
+        high = entropy(mid) > h
+        return F.struct(F.when(high, mid).otherwise(a["lo"]).alias("lo"), F.when(high, a["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.5).alias("lo"), F.lit(1 - 1e-12).alias("hi")), halved, lambda a: (a["lo"] + a["hi"]) / 2)
 
 
 def wilson(k: Column, n: Column, z: float = 1.959964) -> Column:
@@ -78,9 +83,9 @@ def noisy_or(ps: Column) -> Column:
 
 
 def top_mean(xs: Column, k: int) -> Column:
-    """Mean of the k largest."""
+    """Mean of the k largest; 0 without any."""
     top = F.slice(F.sort_array(F.filter(xs, lambda x: x.isNotNull()), asc=False), 1, k)
-    return F.when(F.size(top) > 0, F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top))
+    return F.when(F.size(top) > 0, F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top)).otherwise(0.0)
 
 
 def log_sum_exp(xs: Column) -> Column:
@@ -106,10 +111,11 @@ def fixed_length(xs: Column, length: int) -> Column:
     return F.when(n <= length, F.concat(xs, F.array_repeat(F.lit(0.0), F.greatest(length - n, F.lit(0))))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), mean))
 
 
-def bayes_update(prior: Column, judged: Column, reliability: float) -> Column:
-    """Posterior after a binary judgement; a null judgement changes nothing."""
+def bayes_update(prior: Column, judged: Column, reliability: float, edge: float = 1e-9) -> Column:
+    """Posterior after a binary judgement, of a prior kept ``edge`` away from 0 and 1; a null judgement changes nothing."""
+    p = F.least(F.greatest(prior, F.lit(edge)), F.lit(1 - edge))
     like1, like0 = F.when(judged == 1, reliability).otherwise(1 - reliability), F.when(judged == 1, 1 - reliability).otherwise(reliability)
-    return F.when(judged.isNull(), prior).otherwise(prior * like1 / (prior * like1 + (1 - prior) * like0))
+    return F.when(judged.isNull(), prior).otherwise(p * like1 / (p * like1 + (1 - p) * like0))
 
 
 def box_iou(a: Column, b: Column) -> Column:
@@ -121,11 +127,24 @@ def box_iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, w * h / union).otherwise(0.0)
 
 
-def tiles(box: Column) -> Column:
-    """Four parts of a box along its longer side."""
+def tiles(box: Column, least: int = 4) -> Column:
+    """Four parts of a box of whole pixels: side by side along a side twice as long as the other, else two by two. The last part of a side takes its remainder; none if a side has under ``least`` pixels."""
     w, h = box["x1"] - box["x0"], box["y1"] - box["y0"]
-    part = lambda i: F.when(w >= h, F.struct((box["x0"] + i * w / 4).alias("x0"), box["y0"].alias("y0"), (box["x0"] + (i + 1) * w / 4).alias("x1"), box["y1"].alias("y1"))).otherwise(F.struct(box["x0"].alias("x0"), (box["y0"] + i * h / 4).alias("y0"), box["x1"].alias("x1"), (box["y0"] + (i + 1) * h / 4).alias("y1")))
-    return F.transform(F.sequence(F.lit(0), F.lit(3)), part)
+    nx, ny = (F.when(w >= 2 * h, long).when(h >= 2 * w, short).otherwise(2) for long, short in ((4, 1), (1, 4)))
+    edge = lambda low, high, size, n, k: F.when(k == n, high).otherwise(low + k * F.floor(size / n))
+
+    def part(k):
+        i, j = k % nx, F.floor(k / nx)
+        return F.struct(*[edge(*side, at).cast("long").alias(c) for c, side, at in (("x0", (box["x0"], box["x1"], w, nx), i), ("y0", (box["y0"], box["y1"], h, ny), j), ("x1", (box["x0"], box["x1"], w, nx), i + 1), ("y1", (box["y0"], box["y1"], h, ny), j + 1))])
+
+    return F.when(F.least(w, h) >= least, F.transform(F.sequence(F.lit(0), F.lit(3)), part)).otherwise(F.array())
+
+
+def to_pixels(parent: Column, part: Column, scale: int = 1000) -> Column:
+    """A box in whole parts of ``scale`` of its parent, in whole pixels: low ends rounded down, high ends up."""
+    w, h = parent["x1"] - parent["x0"], parent["y1"] - parent["y0"]
+    ends = (("x0", parent["x0"] + F.floor(part["x0"] * w / scale)), ("y0", parent["y0"] + F.floor(part["y0"] * h / scale)), ("x1", parent["x0"] + F.ceil(part["x1"] * w / scale)), ("y1", parent["y0"] + F.ceil(part["y1"] * h / scale)))
+    return F.struct(*[e.cast("long").alias(c) for c, e in ends])
 
 
 def any_of(*columns: Column) -> Column:

@@ -36,15 +36,29 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
 
 
-def distinct_ratio(ws: Column) -> Column:
-    return F.when(F.size(ws) > 0, F.size(F.array_distinct(ws)) / F.size(ws)).otherwise(1.0)
+def clauses(text: Column) -> Column:
+    """Stretches that end after a full stop, a comma or a bar, without blanks around; none empty."""
+    marked = F.regexp_replace(F.regexp_replace(text, "\n", " "), "([。，.,])", "$1|")
+    return F.filter(F.transform(F.split(marked, r"\|"), lambda c: F.btrim(c, F.lit(" \t\r\x0b\x0c"))), lambda c: c != "")
 
 
-def longest_run(ws: Column) -> Column:
-    """Most equal words in a row."""
-    run = lambda a, w: F.when(w.eqNullSafe(a["w"]), a["n"] + 1).otherwise(1)
-    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("best"))
-    return F.aggregate(ws, start, lambda a, w: F.struct(w.alias("w"), run(a, w).alias("n"), F.greatest(a["best"], run(a, w)).alias("best")), lambda a: a["best"])
+#: Marks and words of captions without speech.
+TAGS = ("[", "(", "♪", "《音", "音乐", "掌声", "Music", "music", "Applause", "字幕", "订阅", "点赞")
+
+
+def degeneracy(text: Column) -> Column:
+    """Struct: n_clauses, loop_frac (share of the clauses' characters in clauses that occur again; null under two clauses), max_char_run, distinct_char_ratio (null for an empty text), bracket_tag."""
+    t = F.coalesce(text, F.lit(""))
+    length = lambda cs: F.aggregate(cs, F.lit(0), lambda a, c: a + F.length(c))
+    again = lambda cs: F.filter(cs, lambda c, k: F.coalesce(c == F.get(cs, k - 1), F.lit(False)) | F.coalesce(c == F.get(cs, k + 1), F.lit(False)))
+    runs = F.transform(F.regexp_extract_all(t, F.lit(r"(?s)(.)\1*"), F.lit(0)), lambda r: F.length(r))
+    return F.transform(F.array(F.array_sort(clauses(t))), lambda cs: F.struct(
+        F.size(cs).alias("n_clauses"),
+        F.when(F.size(cs) >= 2, length(again(cs)) / F.greatest(length(cs), F.lit(1))).alias("loop_frac"),
+        F.coalesce(F.array_max(runs), F.lit(0)).alias("max_char_run"),
+        F.when(t != "", F.size(F.array_distinct(F.split(t, ""))) / F.length(t)).alias("distinct_char_ratio"),
+        F.exists(F.array(*map(F.lit, TAGS)), lambda x: F.contains(t, x)).alias("bracket_tag"),
+    ))[0]
 
 
 def slice_by_share(ws: Column, a: Column, b: Column, start: Column, end: Column) -> Column:
@@ -66,51 +80,74 @@ def clean_json(text: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull(), body)
 
 
+#: A number, and the phrases that name a score, tried in this order.
+NUMBER = r"[-+]?\d*\.?\d+"
+PHRASES = (
+    rf"(?i)final\s+(?:anomaly\s+)?score\s+is\s*[:=]?\s*({NUMBER})",
+    rf"(?i)(?:anomaly\s+)?score\s+is\s*[:=]?\s*({NUMBER})",
+    rf"(?i)(?:final\s+)?(?:anomaly\s+)?score\s*[:=]\s*({NUMBER})",
+)
+_BARE = r"(?i)^[-+]?(?:(?:\d+\.?\d*|\.\d+)(?:e[-+]?\d+)?|nan|inf|infinity)$"
+
+
 def parse_score(text: Column) -> Column:
-    """Struct (score, status): a labelled number, then a fraction, then a lone number; scaled from percent or tenths into [0, 1]."""
-    number = r"([0-9]+(?:\.[0-9]+)?)"
-    labelled = F.regexp_extract(text, rf"(?i)score\W{{0,4}}{number}", 1)
-    top, bottom = F.regexp_extract(text, rf"{number}\s*/\s*(10|100)\b", 1), F.regexp_extract(text, rf"{number}\s*/\s*(10|100)\b", 2)
-    lone = F.regexp_extract(text, rf"^\s*{number}\s*%?\s*$", 1)
-    scaled = lambda x: F.when(x <= 1, x).when(x <= 10, x / 10).when(x <= 100, x / 100)
-    some = lambda x: F.coalesce(x, F.lit("")) != ""
-    cases = [(some(top), top.try_cast("double") / bottom.try_cast("double"), "fraction"), (some(labelled), scaled(labelled.try_cast("double")), "labelled"), (some(lone), scaled(lone.try_cast("double")), "number")]
-    score, status = F.lit(None).cast("double"), F.lit("unparsed")
-    for on, value, name in reversed(cases):
-        score, status = F.when(on, value).otherwise(score), F.when(on, F.lit(name)).otherwise(status)
-    return F.struct(score.alias("score"), status.alias("status"))
-
-
-def yes_no_logodds(logprobs: Column, floor: float = -20.0) -> Column:
-    """log-sum-exp of the yes spellings less that of the no spellings in a map of log probabilities; a missing side counts as the floor."""
+    """Struct (score, status) of an answer: a bare number, else the last number of the first phrase that occurs, else a number at the end. The score is as written."""
+    own = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
+    last = [F.try_element_at(F.regexp_extract_all(own, F.lit(p), F.lit(1)), F.lit(-1)) for p in PHRASES]
+    phrase, trailing = F.coalesce(*last), F.nullif(F.regexp_extract(own, rf"({NUMBER})\s*[.\s]*$", 1), F.lit(""))
+    bare = own.rlike(_BARE)
+    status = F.when(own == "", "empty").when(bare, "bare_float").when(phrase.isNotNull(), "sentence").when(trailing.isNotNull(), "trailing_number").otherwise("unparsed")
+    return F.struct(F.when(bare, own).otherwise(F.coalesce(phrase, trailing)).try_cast("double").alias("score"), status.alias("status"))
+
+
+def normalise_score(score: Column) -> Column:
+    """Struct (value, rule): a score on a scale to 1, 10 or 100, whichever is the first that holds it, brought to [0, 1]."""
+    finite = ~F.isnan(score) & (F.abs(score) != float("inf"))
+    cases = [(score.isNull(), F.lit(None), "none"), (~finite, F.lit(None), "nonfinite"), (score < 0, F.lit(0.0), "clamped_low"), (score <= 1, score, "in_range"), (score <= 10, score / 10, "div10"), (score <= 100, score / 100, "div100")]
+    value, rule = F.lit(1.0), F.lit("clamped_high")
+    for on, then, name in reversed(cases):
+        value, rule = F.when(on, then).otherwise(value), F.when(on, F.lit(name)).otherwise(rule)
+    return F.struct(value.alias("value"), rule.alias("rule"))
+
+
+def yes_no_logodds(logprobs: Column, empty: float = -1e4) -> Column:
+    """Struct (z, status): log-sum-exp of the yes spellings less that of the no spellings in a map of log probabilities. A missing side is bounded by the least of the map, and the status says so."""
     def side(name: str) -> Column:
         own = F.map_values(F.map_filter(logprobs, lambda k, _: F.lower(F.trim(k)) == name))
-        return F.when(F.size(own) > 0, F.array_max(own) + F.log(F.aggregate(own, F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(own))))).otherwise(floor)
+        return F.when(F.size(own) > 0, F.array_max(own) + F.log(F.aggregate(own, F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(own)))))
 
-    return side("yes") - side("no")
+    bound = F.coalesce(F.array_min(F.map_values(logprobs)), F.lit(empty))
+    yes, no = side("yes"), side("no")
+    return F.struct((F.coalesce(yes, bound) - F.coalesce(no, bound)).alias("z"), F.when(yes.isNotNull() & no.isNotNull(), "ok").otherwise("bounded").alias("status"))
 
 
-def expected_digit(logprobs: Column) -> Column:
-    """Mean digit under renormalised probabilities of digit tokens; null without any."""
+def _mean_digit(logprobs: Column, worth) -> Column:
     own = F.map_filter(logprobs, lambda k, _: k.rlike("^[0-9]$"))
     mass = F.aggregate(F.map_values(own), F.lit(0.0), lambda a, x: a + F.exp(x))
-    total = F.aggregate(F.map_entries(own), F.lit(0.0), lambda a, e: a + e["key"].cast("double") * F.exp(e["value"]))
+    total = F.aggregate(F.map_entries(own), F.lit(0.0), lambda a, e: a + worth(e["key"].cast("int")) * F.exp(e["value"]))
     return F.when(mass > 0, total / mass)
 
 
+def expected_score(first: Column, decimal: Column) -> Column:
+    """Mean score in [0, 1] under the log probabilities of its first digit and of the digit after "0."; a first digit of 2 or more counts tenths."""
+    tenths = _mean_digit(decimal, lambda d: d / 10)
+    return _mean_digit(first, lambda d: F.when(d == 0, tenths).when(d == 1, 1.0).otherwise(d / 10))
+
+
 def rendered(segments: Column) -> Column:
     """A line for each (start, end, text)."""
     return F.array_join(F.transform(segments, lambda s: F.format_string("[%.1f-%.1f] %s", s["start"], s["end"], s["text"])), "\n")
 
 
 def gzip_ratio(text: Column) -> Column:
+    """Bytes of a text over those of its gzip form; null for an empty text."""
     @F.pandas_udf("double")
     def ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import zlib
+        import gzip
 
         for texts in batches:
             raw = [(t or "").encode() for t in texts]
-            yield pd.Series([len(zlib.compress(r, 6)) / len(r) if r else 1.0 for r in raw])
+            yield pd.Series([len(r) / len(gzip.compress(r)) if r else None for r in raw], dtype="float64")
 
     return ratio(text)
 

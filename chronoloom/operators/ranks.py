@@ -38,6 +38,23 @@ def tied_ecdf(value: str, by: list[str]) -> Column:
     return F.when(least == most, 0.5).otherwise((midrank(value, by) - 1) / (n - 1))
 
 
+def local_z(df: DataFrame, value: str, by: list[str], k: int) -> DataFrame:
+    """``df`` with z: distance of the value from the mean of the k values around its place in its sorted group, in their deviations. Running sums at both ends of the window give the moments."""
+    whole = W.partitionBy(*by)
+    up = whole.orderBy(value)
+    own = df.withColumns({"_x": F.col(value) - F.avg(value).over(whole), "_n": F.count("*").over(whole), "_below": F.rank().over(up) - 1})
+    first = F.greatest(F.col("_below") - k // 2, F.lit(0))
+    own = own.withColumn("_hi", F.least(F.col("_n"), first + k)).withColumn("_lo", F.greatest(F.col("_hi") - k, F.lit(0)))
+    through = up.rowsBetween(W.unboundedPreceding, 0)
+    sums = own.select(*by, F.row_number().over(up).alias("_at"), F.sum("_x").over(through).alias("_s1"), F.sum(F.col("_x") * F.col("_x")).over(through).alias("_s2"))
+    for end in ("_hi", "_lo"):
+        there = sums.select(*by, F.col("_at").alias(end), F.col("_s1").alias(f"{end}1"), F.col("_s2").alias(f"{end}2"))
+        own = own.join(there, [*by, end], "left")
+    moment = lambda p: (F.col(f"_hi{p}") - F.coalesce(f"_lo{p}", F.lit(0.0))) / (F.col("_hi") - F.col("_lo"))
+    sd = F.sqrt(F.greatest(moment(2) - moment(1) ** 2, F.lit(0.0))) + 1e-12
+    return own.select(*df.columns, ((F.col("_x") - moment(1)) / sd).alias("z"))
+
+
 def value_counts(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Positives and negatives of each distinct score: what rank metrics need, aggregated before it is shuffled."""
     return df.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.col(label).cast("long")).alias("_pos"), F.sum(1 - F.col(label).cast("long")).alias("_neg"))

@@ -12,6 +12,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def bounded_rows(df: DataFrame, most: int) -> list:
@@ -200,3 +201,19 @@ def crossing(g: dict[str, float], points: int = 8192) -> tuple[float, float]:
     at = np.where(inside, np.abs(a - b), np.inf)
     low = np.minimum(a, b)
     return float(x[int(at.argmin())]), float(((low[1:] + low[:-1]) / 2 * np.diff(x)).sum())
+
+
+#: How the quantile follows the spread.
+MAD_BASE, MAD_SLOPE = 0.60, 7.83
+
+
+def mad_quantile(df: DataFrame, score: str, by: str) -> DataFrame:
+    """By group: median absolute deviation, the quantile that follows from it (kept in [0.01, 0.99]) and the interpolated score there. Scores are counted before they are ordered."""
+    counts = df.groupBy(by, F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
+    middle = counts.groupBy(by).agg(F.percentile("_s", 0.5, F.col("_n")).alias("_m"))
+    spread = counts.join(middle, by).groupBy(by).agg(F.percentile(F.abs(F.col("_s") - F.col("_m")), 0.5, F.col("_n")).alias("mad"), F.sum("_n").alias("_rows"))
+    wanted = spread.withColumn("q", F.least(F.greatest(MAD_BASE + MAD_SLOPE * F.col("mad"), F.lit(0.01)), F.lit(0.99))).withColumn("_at", F.col("q") * (F.col("_rows") - 1))
+    past = counts.withColumn("_past", F.sum("_n").over(W.partitionBy(by).orderBy("_s").rowsBetween(W.unboundedPreceding, 0)))
+    # the least score that has so many rows at or below it
+    at = past.join(wanted, by).groupBy(by, "mad", "q", "_at").agg(*[F.min(F.when(F.col("_past") > f("_at"), F.col("_s"))).alias(n) for n, f in (("_lo", F.floor), ("_hi", F.ceil))])
+    return at.select(by, "mad", "q", (F.col("_lo") + (F.col("_at") - F.floor("_at")) * (F.col("_hi") - F.col("_lo"))).alias("threshold"))

@@ -38,10 +38,10 @@ def equal_segments(spark, sf):
     return w.select("gid", "i", F.round("w.start", 6).alias("start"), F.round("w.end", 6).alias("end"))
 
 
-@query("q_strided_clips", f"WITH {CURVE_SQL}, {_DURATION} SELECT gid, (i * 30.0)::DOUBLE AS start, round(least(i * 30.0 + 48.0, d), 3) AS \"end\" FROM dur, LATERAL (SELECT unnest(range(greatest(ceil(d / 30.0), 1)::BIGINT)) AS i)")
+@query("q_strided_clips", f"WITH {CURVE_SQL}, {_DURATION} SELECT gid, (i * 30.0)::DOUBLE AS centre, greatest(i * 30.0 - 24.0, 0)::DOUBLE AS start, round(least(i * 30.0 + 24.0, d), 3) AS \"end\" FROM dur, LATERAL (SELECT unnest(range(greatest(ceil((d - 1e-9) / 30.0), 1)::BIGINT)) AS i)")
 def strided_clips(spark, sf):
     w = _durations(spark, sf).select("gid", F.explode(S.clips(F.col("d"), 48.0, 30.0)).alias("w"))
-    return w.select("gid", "w.start", F.round("w.end", 3).alias("end"))
+    return w.select("gid", "w.centre", "w.start", F.round("w.end", 3).alias("end"))
 
 
 @query(
@@ -130,11 +130,17 @@ def rule_pooling(spark, sf):
     return p.select("gid", F.round(S.noisy_or(F.col("p")), 9).alias("noisy_or"), F.round(S.top_mean(F.col("p"), 2), 9).alias("top2"), F.round(S.log_sum_exp(F.col("p")), 9).alias("log_sum_exp"))
 
 
-@query("q_box_tiles", "SELECT l_orderkey, l_linenumber, i::INT AS i, round(CASE WHEN l_quantity >= l_extendedprice / 1000 THEN i * l_quantity / 4 ELSE 0 END, 9) AS x0, round(CASE WHEN l_quantity >= l_extendedprice / 1000 THEN 0 ELSE i * l_extendedprice / 4000 END, 9) AS y0 FROM lineitem, range(4) r(i) WHERE l_linenumber = 1")
+@query(
+    "q_box_tiles",
+    """WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS w, floor(l_extendedprice / 1000)::BIGINT AS h FROM lineitem WHERE l_linenumber = 1),
+    n AS (SELECT *, CASE WHEN w >= 2 * h THEN 4 WHEN h >= 2 * w THEN 1 ELSE 2 END AS nx FROM b WHERE least(w, h) >= 4),
+    k AS (SELECT *, 4 // nx AS ny, k::INT AS i, k % nx AS c, k // nx AS r FROM n, range(4) t(k))
+    SELECT l_orderkey, l_linenumber, i, c * (w // nx) AS x0, r * (h // ny) AS y0, CASE WHEN c + 1 = nx THEN w ELSE (c + 1) * (w // nx) END AS x1, CASE WHEN r + 1 = ny THEN h ELSE (r + 1) * (h // ny) END AS y1 FROM k""",
+)
 def box_tiles(spark, sf):
-    box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("l_quantity").alias("x1"), (F.col("l_extendedprice") / 1000).alias("y1"))
+    box = F.struct(F.lit(0).cast("long").alias("x0"), F.lit(0).cast("long").alias("y0"), F.col("l_quantity").cast("long").alias("x1"), F.floor(F.col("l_extendedprice") / 1000).alias("y1"))
     parts = read(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", F.posexplode(S.tiles(F.col("b"))).alias("i", "b"))
-    return parts.select("l_orderkey", "l_linenumber", "i", F.round("b.x0", 9).alias("x0"), F.round("b.y0", 9).alias("y0"))
+    return parts.select("l_orderkey", "l_linenumber", "i", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
 @query("q_even_sample", "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders) SELECT o_orderkey FROM o WHERE r IN (SELECT round_even(i * (n - 1) / 99.0, 0)::BIGINT FROM range(100) t(i))")

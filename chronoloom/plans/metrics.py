@@ -80,11 +80,20 @@ def summary(spark, sf):
     return g.select("event_type", "least", *[F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("p10", "p25", "median", "p75", "p90"))], "most", "mean", "sd")
 
 
-@query("q_trimmed_stats", f"WITH {CURVE_SQL}, q AS (SELECT event_type, quantile_cont(s, 0.05) AS lo, quantile_cont(s, 0.95) AS hi FROM curve GROUP BY event_type) SELECT event_type, count(*) AS n, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS sd FROM curve JOIN q USING (event_type) WHERE s BETWEEN lo AND hi GROUP BY event_type")
+@query(
+    "q_trimmed_stats",
+    f"""WITH {CURVE_SQL}, q AS (SELECT event_type, quantile_cont(s, 0.05) AS lo, quantile_cont(s, 0.95) AS hi FROM curve GROUP BY event_type)
+    SELECT event_type, count(*) AS n, round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS sd, round(quantile_cont(s, 0.1), 9) AS p10, round(quantile_cont(s, 0.25), 9) AS p25, round(median(s), 9) AS median, round(quantile_cont(s, 0.75), 9) AS p75, round(quantile_cont(s, 0.9), 9) AS p90, min(s) AS least, max(s) AS most
+    FROM curve JOIN q USING (event_type) WHERE s BETWEEN lo AND hi GROUP BY event_type""",
+)
 def trimmed_stats(spark, sf):
+    """Statistics of the values between the 5th and the 95th percentile."""
     c = curve(spark, sf)
-    q = c.groupBy("event_type").agg(F.percentile("s", 0.05).alias("lo"), F.percentile("s", 0.95).alias("hi"))
-    return c.join(q, "event_type").where("s between lo and hi").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.stddev_samp("s"), 6).alias("sd"))
+    q = c.groupBy("event_type").agg(F.percentile("s", [0.05, 0.95]).alias("ends"))
+    kept = c.join(q, "event_type").where(F.col("s").between(F.col("ends")[0], F.col("ends")[1]))
+    names = ("p10", "p25", "median", "p75", "p90")
+    g = kept.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.stddev_pop("s"), 6).alias("sd"), F.percentile("s", [0.1, 0.25, 0.5, 0.75, 0.9]).alias("q"), F.min("s").alias("least"), F.max("s").alias("most"))
+    return g.select("event_type", "n", "mean", "sd", *[F.round(F.col("q")[k], 9).alias(x) for k, x in enumerate(names)], "least", "most")
 
 
 @query("q_macro_rows", f"WITH {CURVE_SQL}, m AS (SELECT event_type, gid % 3 AS method, avg(s) AS v FROM curve GROUP BY ALL) SELECT method, event_type, round(v, 6) AS v FROM m UNION ALL SELECT method, 'MACRO', round(avg(v), 6) FROM m GROUP BY method")

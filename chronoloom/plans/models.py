@@ -14,6 +14,7 @@ from chronoloom.functions import scalars as S
 from chronoloom.operators import graphs as G
 from chronoloom.operators import mixtures as X
 from chronoloom.operators import probes as P
+from chronoloom.operators import ranks as R
 from chronoloom.operators import thresholds as T
 from chronoloom.plans.catalog import query
 from chronoloom.plans.frames import CURVE_SQL, curve, read
@@ -158,11 +159,15 @@ def boundary_density(spark, sf):
     return k.select("gid", "i", F.round(F.col("k") / F.sum("k").over(W.partitionBy("gid")), 9).alias("density"))
 
 
-@query("q_local_secondary_rank", f"WITH {CURVE_SQL}, o AS (SELECT gid, event_id, s, y, row_number() OVER (PARTITION BY gid ORDER BY s, event_id) AS r FROM curve) SELECT event_id, round(avg(y) OVER (PARTITION BY gid ORDER BY r ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 9) AS rate FROM o")
+@query(
+    "q_local_secondary_rank",
+    f"""WITH {CURVE_SQL}, o AS (SELECT gid, event_id, s, row_number() OVER (PARTITION BY gid ORDER BY s) AS r, rank() OVER (PARTITION BY gid ORDER BY s) - 1 AS below, count(*) OVER (PARTITION BY gid) AS n FROM curve), h AS (SELECT *, least(n, greatest(below - 4, 0) + 9) AS hi FROM o)
+    SELECT a.event_id, round((any_value(a.s) - avg(b.s)) / (stddev_pop(b.s) + 1e-12), 6) AS z, (any_value(a.s) - avg(b.s)) / (stddev_pop(b.s) + 1e-12) > 1 AS hit FROM h a JOIN o b ON a.gid = b.gid AND b.r > greatest(a.hi - 9, 0) AND b.r <= a.hi GROUP BY a.event_id""",
+)
 def local_secondary_rank(spark, sf):
-    """Rate of positives among the nearest ranks of the score."""
-    w = W.partitionBy("gid").orderBy("s", "event_id").rowsBetween(-4, 4)
-    return curve(spark, sf).select("event_id", F.round(F.avg("y").over(w), 9).alias("rate"))
+    """How far a score is from the nine scores around it in rank."""
+    z = R.local_z(curve(spark, sf).select("gid", "event_id", "s"), "s", ["gid"], 9)
+    return z.select("event_id", F.round("z", 6).alias("z"), (F.col("z") > 1).alias("hit"))
 
 
 @query(

@@ -99,10 +99,12 @@ def standardize(spark, sf):
     return c.join(g, "event_type").select("event_id", F.round((F.col("s") - F.col("m")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0), 6).alias("z"))
 
 
-@query("q_position_weight", f"WITH {CURVE_SQL} SELECT event_id, round(s * (0.5 + 0.5 * idx / (count(*) OVER (PARTITION BY gid))), 9) AS v FROM curve")
+@query("q_position_weight", f"WITH {CURVE_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY gid) // 2 AS half FROM curve) SELECT event_id, round(CASE WHEN half >= 1 THEN s * exp(-0.5 * pow((idx - half) / half, 2)) ELSE s END, 9) AS v FROM n")
 def position_weight(spark, sf):
-    n = F.count("*").over(W.partitionBy("gid"))
-    return curve(spark, sf).select("event_id", F.round(F.col("s") * (0.5 + 0.5 * F.col("idx") / n), 9).alias("v"))
+    """A normal curve around the middle position, half the length wide; one value alone stays."""
+    half = F.floor(F.count("*").over(W.partitionBy("gid")) / 2)
+    c = curve(spark, sf).select("event_id", "idx", "s", half.alias("half"))
+    return c.select("event_id", F.round(F.when(F.col("half") >= 1, F.col("s") * F.exp(-0.5 * ((F.col("idx") - F.col("half")) / F.col("half")) ** 2)).otherwise(F.col("s")), 9).alias("v"))
 
 
 @query("q_vector_divergence", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) SELECT vec_id, round(1 - list_dot_product(e, p) / sqrt(list_dot_product(e, e) * list_dot_product(p, p)), 6) AS d FROM v WHERE p IS NOT NULL")

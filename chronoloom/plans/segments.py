@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chronoloom.functions import scalars as S
 from chronoloom.operators import graphs as G
 from chronoloom.operators import intervals as I
 from chronoloom.operators.sequence import per_series
@@ -62,11 +63,17 @@ def numbered_intervals(spark, sf):
     return parsed.select("gid", "idx", F.round("t", 6).alias("start"), F.round(F.col("t") + (F.col("x.last") - F.col("x.first") + 1) * FRAME_HOURS, 6).alias("end"))
 
 
-@query("q_box_mapping", "SELECT l_orderkey, l_linenumber, l_partkey, floor(10 + l_discount * l_quantity * 20 + 1e-6)::BIGINT AS x0, ceil(10 + (l_discount + 0.1) * l_quantity * 20 - 1e-6)::BIGINT AS x1 FROM lineitem WHERE l_linenumber = 2")
+@query(
+    "q_box_mapping",
+    """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_quantity * 20)::BIGINT AS w, floor(l_extendedprice / 100)::BIGINT AS h, round(l_discount * 1000)::BIGINT AS x, round(l_tax * 1000)::BIGINT AS y FROM lineitem WHERE l_linenumber = 2)
+    SELECT l_orderkey, l_linenumber, l_partkey, 10 + x * w // 1000 AS x0, 5 + y * h // 1000 AS y0, 10 + ((x + 100) * w + 999) // 1000 AS x1, 5 + ((y + 250) * h + 999) // 1000 AS y1 FROM b""",
+)
 def box_mapping(spark, sf):
-    """A normalised box inside a parent to whole pixels, the low side down and the high side up."""
-    width = F.col("l_quantity") * 20
-    return read(spark, sf, "lineitem").where("l_linenumber = 2").select("l_orderkey", "l_linenumber", "l_partkey", F.floor(10 + F.col("l_discount") * width + 1e-6).alias("x0"), F.ceil(10 + (F.col("l_discount") + 0.1) * width - 1e-6).alias("x1"))
+    """A box in thousandths of its parent to whole pixels, low ends down and high ends up."""
+    box = lambda *ends: F.struct(*[e.cast("long").alias(c) for c, e in zip(("x0", "y0", "x1", "y1"), ends, strict=True)])
+    parent = box(F.lit(10), F.lit(5), 10 + F.col("l_quantity") * 20, 5 + F.floor(F.col("l_extendedprice") / 100))
+    x, y = F.round(F.col("l_discount") * 1000), F.round(F.col("l_tax") * 1000)
+    return read(spark, sf, "lineitem").where("l_linenumber = 2").select("l_orderkey", "l_linenumber", "l_partkey", S.to_pixels(parent, box(x, y, x + 100, y + 250)).alias("b")).select("l_orderkey", "l_linenumber", "l_partkey", "b.*")
 
 
 @query("q_validated_labels", "SELECT doc_id, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END || CASE toxic WHEN 1 THEN '+toxic' ELSE '' END AS label FROM labels")

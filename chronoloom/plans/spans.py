@@ -91,13 +91,15 @@ def persistent_mask(spark, sf):
     return I.runs(c.join(q, "gid"), level >= 2)
 
 
-@query("q_excursion_hull", f"WITH {CURVE_SQL}, a AS (SELECT *, avg(s) OVER (PARTITION BY gid) AS m FROM curve) SELECT gid, min(idx) FILTER (s > m + 1e-9) AS first, max(idx) FILTER (s > m + 1e-9) AS last FROM a GROUP BY gid")
+@query("q_excursion_hull", f"WITH {CURVE_SQL}, a AS (SELECT *, avg(s) OVER (PARTITION BY gid) AS m FROM curve), h AS (SELECT gid, any_value(m) AS m, min(idx) FILTER (s > m + 1e-9) AS first, max(idx) FILTER (s > m + 1e-9) AS last FROM a GROUP BY gid HAVING count(*) FILTER (s > m + 1e-9) > 0) SELECT h.gid, first, last, round(avg(s) - any_value(m), 6) AS confidence FROM h JOIN curve c ON c.gid = h.gid AND c.idx BETWEEN first AND last GROUP BY ALL")
 def excursion_hull(spark, sf):
-    """First and last position above the mean."""
+    """First and last position above the mean, and by how much the mean between them is above it; no row without any."""
     c = curve(spark, sf)
     above = c.join(c.groupBy("gid").agg(F.avg("s").alias("m")), "gid")
     hit = F.when(F.col("s") > F.col("m") + 1e-9, F.col("idx"))
-    return above.groupBy("gid").agg(F.min(hit).alias("first"), F.max(hit).alias("last"))
+    hull = above.groupBy("gid").agg(F.min(hit).alias("first"), F.max(hit).alias("last"), F.first("m").alias("m")).where("first is not null")
+    inside = c.join(hull, "gid").where("idx between first and last")
+    return inside.groupBy("gid", "first", "last").agg(F.round(F.avg("s") - F.first("m"), 6).alias("confidence"))
 
 
 @query(

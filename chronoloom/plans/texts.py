@@ -41,10 +41,20 @@ def fill_times(spark, sf):
     return c.select("gid", "idx", F.round(F.coalesce("start", F.max("start").over(o.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0)), 6).alias("prev_end"), F.round(F.coalesce("start", F.first("start", ignorenulls=True).over(o.rowsBetween(0, W.unboundedFollowing)), F.lit(720.0)), 6).alias("next_start"))
 
 
-@query("q_text_degeneracy", "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS ws FROM documents), p AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w), r AS (SELECT doc_id, w, i - row_number() OVER (PARTITION BY doc_id, w ORDER BY i) AS k FROM p), m AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, w, k, count(*) AS n FROM r GROUP BY ALL) GROUP BY doc_id) SELECT doc_id, len(ws) AS n_words, round(CASE WHEN len(ws) > 0 THEN len(list_distinct(ws)) / len(ws) ELSE 1 END, 9) AS distinct_ratio, coalesce(longest, 0) AS longest_run FROM w LEFT JOIN m USING (doc_id)")
+@query(
+    "q_text_degeneracy",
+    r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(replace(text, chr(10), ' '), '([。，.,])', '\1|', 'g'), '|'), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: x <> '')) AS c FROM d),
+    k AS (SELECT doc_id, c, count(*) AS n FROM p GROUP BY ALL), l AS (SELECT doc_id, sum(n) AS n, sum(n * length(c)) AS total, coalesce(sum(n * length(c)) FILTER (n > 1), 0) AS again FROM k GROUP BY doc_id),
+    h AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM d WHERE text <> ''),
+    g AS (SELECT doc_id, ch, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS island FROM h),
+    m AS (SELECT doc_id, max(n) AS run, count(DISTINCT ch) AS chars FROM (SELECT doc_id, ch, island, count(*) AS n FROM g GROUP BY ALL) GROUP BY doc_id)
+    SELECT doc_id, coalesce(l.n, 0)::BIGINT AS n_clauses, CASE WHEN l.n >= 2 THEN round(again / greatest(total, 1), 9) END AS loop_frac, coalesce(run, 0) AS max_char_run, round(chars / length(text), 9) AS distinct_char_ratio,
+      regexp_matches(text, '[\[(♪]|《音|音乐|掌声|[Mm]usic|Applause|字幕|订阅|点赞') AS bracket_tag FROM d LEFT JOIN l USING (doc_id) LEFT JOIN m USING (doc_id)""",
+)
 def text_degeneracy(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", X.words(F.col("text")).alias("ws"))
-    return d.select("doc_id", F.size("ws").alias("n_words"), F.round(X.distinct_ratio(F.col("ws")), 9).alias("distinct_ratio"), X.longest_run(F.col("ws")).alias("longest_run"))
+    d = read(spark, sf, "documents").select("doc_id", X.degeneracy(F.col("text")).alias("d"))
+    return d.select("doc_id", "d.n_clauses", F.round("d.loop_frac", 9).alias("loop_frac"), "d.max_char_run", F.round("d.distinct_char_ratio", 9).alias("distinct_char_ratio"), "d.bracket_tag")
 
 
 @query("q_hedge_count", "SELECT doc_id, len(regexp_extract_all(lower(text), '\\b(that|this|with)\\b')) AS n, regexp_matches(lower(text), 'licen[sc]e|copyright') AS cue FROM documents")
@@ -85,20 +95,33 @@ def json_extract(spark, sf):
     return read(spark, sf, "events").select("event_id", F.get_json_object(X.clean_json(fenced), "$.k").cast("long").alias("k"))
 
 
-@query("q_parse_score", "SELECT event_id, round(CASE event_id % 4 WHEN 0 THEN (event_id % 10) / 10.0 WHEN 1 THEN (event_id % 100) / 100.0 WHEN 2 THEN CASE WHEN event_id % 7 <= 1 THEN event_id % 7 ELSE (event_id % 7) / 10.0 END END, 6) AS score, CASE event_id % 4 WHEN 0 THEN 'fraction' WHEN 1 THEN 'fraction' WHEN 2 THEN 'labelled' ELSE 'unparsed' END AS status FROM events")
+@query(
+    "q_parse_score",
+    """WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN (event_id % 10) / 10 WHEN 1 THEN (event_id % 100) / 100 WHEN 2 THEN event_id % 13 WHEN 3 THEN (event_id % 170) - 20 END AS score, CASE event_id % 6 WHEN 0 THEN 'bare_float' WHEN 1 THEN 'sentence' WHEN 2 THEN 'sentence' WHEN 3 THEN 'trailing_number' WHEN 4 THEN 'unparsed' ELSE 'empty' END AS status FROM events)
+    SELECT event_id, score::DOUBLE AS score, status, CASE WHEN score < 0 THEN 0 WHEN score <= 1 THEN score WHEN score <= 10 THEN score / 10 WHEN score <= 100 THEN score / 100 WHEN score > 100 THEN 1 END AS value,
+      CASE WHEN score IS NULL THEN 'none' WHEN score < 0 THEN 'clamped_low' WHEN score <= 1 THEN 'in_range' WHEN score <= 10 THEN 'div10' WHEN score <= 100 THEN 'div100' ELSE 'clamped_high' END AS rule FROM e""",
+)
 def parse_score(spark, sf):
     i = F.col("event_id")
-    said = F.when(i % 4 == 0, F.concat(F.lit("I say "), (i % 10).cast("string"), F.lit("/10"))).when(i % 4 == 1, F.concat((i % 100).cast("string"), F.lit(" / 100"))).when(i % 4 == 2, F.concat(F.lit("Score: "), (i % 7).cast("string"))).otherwise("no idea")
-    p = read(spark, sf, "events").select("event_id", X.parse_score(said).alias("p"))
-    return p.select("event_id", F.round("p.score", 6).alias("score"), "p.status")
-
-
-@query("q_token_logodds", "WITH l AS (SELECT event_id, -value / 10 AS a, -value / 20 - 1 AS b FROM events) SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN ln(exp(a) + exp(a - 1)) - b ELSE ln(exp(a) + exp(a - 1)) + 20 END, 6) AS z, round((3 * exp(a) + 7 * exp(b)) / (exp(a) + exp(b)), 6) AS digit FROM l")
+    forms = [
+        F.concat(F.lit(" "), (i % 10 / 10).cast("string"), F.lit("\n")),
+        F.concat(F.lit("The score is 3, no: therefore, the final score is "), (i % 100 / 100).cast("string"), F.lit(".")),
+        F.concat(F.lit("Score: 99? Final score = "), (i % 13).cast("string"), F.lit(" points")),
+        F.concat(F.lit("I would say "), (i % 170 - 20).cast("string"), F.lit(". ")),
+        F.lit("no idea"),
+        F.lit(" "),
+    ]
+    p = read(spark, sf, "events").select("event_id", X.parse_score(F.element_at(F.array(*forms), (i % 6 + 1).cast("int"))).alias("p"))
+    return p.select("event_id", "p.score", "p.status", X.normalise_score(F.col("p.score")).alias("n")).select("event_id", "score", "status", "n.value", "n.rule")
+
+
+@query("q_token_logodds", "WITH l AS (SELECT event_id, -value / 10 AS a, -value / 20 - 1 AS b FROM events), p AS (SELECT *, exp(a) AS p, exp(b) AS q FROM l) SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN ln(exp(a) + exp(a - 1)) - b ELSE ln(exp(a) + exp(a - 1)) - (a - 1) END, 6) AS z, CASE WHEN event_id % 3 = 0 THEN 'ok' ELSE 'bounded' END AS status, round((p * (3 * p + 9 * q) / (10 * (p + q)) + q * 1 + p * q * 0.7) / (p + q + p * q), 6) AS score FROM p")
 def token_logodds(spark, sf):
     a, b = -F.col("value") / 10, -F.col("value") / 20 - 1
     yes = F.create_map(F.lit("Yes"), a, F.lit(" yes"), a - 1)
     votes = F.when(F.col("event_id") % 3 == 0, F.map_concat(yes, F.create_map(F.lit("No"), b))).otherwise(yes)
-    return read(spark, sf, "events").select("event_id", F.round(X.yes_no_logodds(votes), 6).alias("z"), F.round(X.expected_digit(F.create_map(F.lit("3"), a, F.lit("7"), b, F.lit("x"), a)), 6).alias("digit"))
+    first, decimal = F.create_map(F.lit("0"), a, F.lit("1"), b, F.lit("7"), a + b, F.lit("x"), a), F.create_map(F.lit("3"), a, F.lit("9"), b)
+    return read(spark, sf, "events").select("event_id", X.yes_no_logodds(votes).alias("v"), F.round(X.expected_score(first, decimal), 6).alias("score")).select("event_id", F.round("v.z", 6).alias("z"), "v.status", "score")
 
 
 @query("q_transcript_rendering", "SELECT conv_id, string_agg(printf('[%.1f-%.1f] %s', turn * 10.0, turn * 10.0 + 10.0, role), chr(10) ORDER BY turn) AS block FROM conversations GROUP BY conv_id")

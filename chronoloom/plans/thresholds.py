@@ -35,14 +35,15 @@ def otsu_threshold(spark, sf):
     return best.select(F.round(lo + (hi - lo) * F.col("k") / 199, 6).alias("threshold"))
 
 
-@query("q_mad_quantile", f"WITH {CURVE_SQL}, m AS (SELECT event_type, median(s) AS m FROM curve GROUP BY event_type), d AS (SELECT event_type, any_value(m) AS m, median(abs(s - m)) AS mad FROM curve JOIN m USING (event_type) GROUP BY event_type), z AS (SELECT event_type, avg((s > d.m + 1.4826 * mad)::INT) AS share FROM curve JOIN d USING (event_type) GROUP BY event_type) SELECT event_type, round(m, 6) AS median, round(mad, 6) AS mad, round(share, 9) AS share FROM d JOIN z USING (event_type)")
+@query(
+    "q_mad_quantile",
+    f"""WITH {CURVE_SQL}, p AS (SELECT event_type, s / 2000 AS s FROM curve), m AS (SELECT event_type, median(s) AS m FROM p GROUP BY event_type), d AS (SELECT event_type, any_value(m) AS m, median(abs(s - m)) AS mad, count(*) AS n FROM p JOIN m USING (event_type) GROUP BY event_type),
+    q AS (SELECT event_type, mad, least(greatest(0.6 + 7.83 * mad, 0.01), 0.99)::DOUBLE AS q, n FROM d), r AS (SELECT event_type, s, row_number() OVER (PARTITION BY event_type ORDER BY s) - 1 AS r FROM p),
+    e AS (SELECT event_type, mad, q, max(s) FILTER (r = floor(q * (n - 1))) AS lo, max(s) FILTER (r = ceil(q * (n - 1))) AS hi, q * (n - 1) - floor(q * (n - 1)) AS f FROM r JOIN q USING (event_type) GROUP BY event_type, mad, q, n)
+    SELECT event_type, round(mad, 9) AS mad, round(q, 9) AS q, round(lo + f * (hi - lo), 9) AS threshold FROM e""",
+)
 def mad_quantile(spark, sf):
-    """Median, MAD and the share of values beyond one robust deviation."""
-    c = curve(spark, sf)
-    cm = c.join(c.groupBy("event_type").agg(F.median("s").alias("m")), "event_type")
-    d = cm.groupBy("event_type").agg(F.max("m").alias("median"), F.median(F.abs(F.col("s") - F.col("m"))).alias("mad"))
-    z = c.join(d, "event_type").groupBy("event_type").agg(F.max("median").alias("median"), F.max("mad").alias("mad"), F.avg((F.col("s") > F.col("median") + 1.4826 * F.col("mad")).cast("int")).alias("share"))
-    return z.select("event_type", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), F.round("share", 9).alias("share"))
+    return T.mad_quantile(curve(spark, sf).withColumn("s", F.col("s") / 2000), "s", "event_type").select("event_type", *[F.round(c, 9).alias(c) for c in ("mad", "q", "threshold")])
 
 
 @query("q_histogram_thresholds")
@@ -81,13 +82,22 @@ def power_transform(spark, sf):
     return spark.createDataFrame([(lams[max(range(17), key=lambda k: (fit[k], -k))],)], "lambda double")
 
 
-@query("q_beta_moments", f"WITH {CURVE_SQL}, m AS (SELECT event_type, sum(t * least(greatest(s / 500, 1e-4), 1 - 1e-4)) / sum(t) AS m, sum(t * pow(least(greatest(s / 500, 1e-4), 1 - 1e-4), 2)) / sum(t) AS q FROM curve GROUP BY event_type), k AS (SELECT event_type, m, greatest(m * (1 - m) / greatest(q - m * m, 1e-9) - 1, 1e-3) AS k FROM m) SELECT event_type, round(m * k, 6) AS a, round((1 - m) * k, 6) AS b FROM k")
+@query(
+    "q_beta_moments",
+    f"""WITH {CURVE_SQL}, m AS (SELECT event_type, sum(t * (s / 500)) / (sum(t) + 1e-12) AS m FROM curve GROUP BY event_type), v AS (SELECT event_type, any_value(m) AS m, sum(t * pow(s / 500 - m, 2)) / (sum(t) + 1e-12) AS v FROM curve JOIN m USING (event_type) GROUP BY event_type),
+    c AS (SELECT event_type, least(greatest(m, 1e-4), 1 - 1e-4) AS m, v FROM v), k AS (SELECT event_type, m, m * (1 - m) / least(greatest(v, 1e-5), m * (1 - m) * 0.95) - 1 AS k FROM c)
+    SELECT event_type, round(greatest(0.2, m * k), 6) AS a, round(greatest(0.2, (1 - m) * k), 6) AS b FROM k""",
+)
 def beta_moments(spark, sf):
-    """Beta parameters from weighted moments."""
-    x = F.least(F.greatest(F.col("s") / 500, F.lit(1e-4)), F.lit(1 - 1e-4))
-    m = curve(spark, sf).groupBy("event_type").agg((F.sum(F.col("t") * x) / F.sum("t")).alias("m"), (F.sum(F.col("t") * x * x) / F.sum("t")).alias("q"))
-    k = F.greatest(F.col("m") * (1 - F.col("m")) / F.greatest(F.col("q") - F.col("m") ** 2, F.lit(1e-9)) - 1, F.lit(1e-3))
-    return m.select("event_type", F.round(F.col("m") * k, 6).alias("a"), F.round((1 - F.col("m")) * k, 6).alias("b"))
+    """Beta parameters from weighted moments, both kept inside what a beta can have."""
+    c = curve(spark, sf).select("event_type", F.col("t").alias("w"), (F.col("s") / 500).alias("x"))
+    total = F.sum("w") + 1e-12
+    m = c.groupBy("event_type").agg((F.sum(F.col("w") * F.col("x")) / total).alias("m"))
+    v = c.join(m, "event_type").groupBy("event_type").agg(F.first("m").alias("m"), (F.sum(F.col("w") * (F.col("x") - F.col("m")) ** 2) / total).alias("v"))
+    v = v.withColumn("m", F.least(F.greatest("m", F.lit(1e-4)), F.lit(1 - 1e-4)))
+    own = F.col("m") * (1 - F.col("m"))
+    k = own / F.least(F.greatest("v", F.lit(1e-5)), own * 0.95) - 1
+    return v.select("event_type", F.round(F.greatest(F.lit(0.2), F.col("m") * k), 6).alias("a"), F.round(F.greatest(F.lit(0.2), (1 - F.col("m")) * k), 6).alias("b"))
 
 
 @query("q_dawid_skene")
