@@ -75,8 +75,9 @@ def label_prefix(text: Column, key: str = "label") -> Column:
 
 
 def clean_json(text: Column) -> Column:
-    """Contents of a code fence, or the text itself, if it parses as JSON; else null."""
-    body = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?s)^.*?```(?:json)?\s*", ""), r"(?s)\s*```.*$", ""))
+    """A text, without the json code fence around it if it has one, if it parses as JSON; else null."""
+    own = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)^\s+|\s+$", ""))
+    body = F.trim(F.when(own.startswith("```json") & own.endswith("```"), F.regexp_replace(own, r"(?s)^```json\s*|\s*```$", "")).otherwise(own))
     return F.when(F.try_parse_json(body).isNotNull(), body)
 
 
@@ -153,12 +154,13 @@ def gzip_ratio(text: Column) -> Column:
 
 
 def clause_key(text: Column) -> Column:
-    """NFKC, case folded, letters and digits only."""
+    """NFKC, case folded, punctuation and runs of blanks as one blank."""
     @F.pandas_udf("string")
     def key(texts: pd.Series) -> pd.Series:
+        import re
         import unicodedata
 
-        return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if c.isalnum()))
+        return texts.map(lambda t: None if t is None else " ".join(re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKC", t).casefold()).split()))
 
     return key(text)
 

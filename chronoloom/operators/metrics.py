@@ -67,10 +67,10 @@ def confusion(df: DataFrame, predicted: Column, actual: Column, by: list[str] |
 
 
 def best_f1(df: DataFrame, score: str, label: str) -> DataFrame:
-    """The threshold with the greatest F1 among the distinct scores; the highest of equals."""
+    """The threshold with the greatest F1 among the distinct scores; the lowest of equals."""
     c = _cumulated(value_counts(df, score, label, []), [])
     f1 = 2 * F.col("pos_from") / (F.col("P") + F.col("pos_from") + F.col("neg_from"))
-    return c.agg(F.max_by(F.struct(F.col("_s").alias("threshold"), f1.alias("f1")), F.struct(F.round(f1, 12), "_s")).alias("b")).select("b.*")
+    return c.agg(F.max_by(F.struct(F.col("_s").alias("threshold"), f1.alias("f1")), F.struct(F.round(f1, 12), -F.col("_s"))).alias("b")).select("b.*")
 
 
 def calibration(df: DataFrame, p: Column, label: Column, bins: int = 10, edge: float = 1e-6) -> DataFrame:

@@ -38,6 +38,14 @@ def tied_ecdf(value: str, by: list[str]) -> Column:
     return F.when(least == most, 0.5).otherwise((midrank(value, by) - 1) / (n - 1))
 
 
+def robust_unit(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """``df`` with the distance from the group's median in units of its MAD, or of its rms where that is zero; 0 for a constant group."""
+    whole = W.partitionBy(*by)
+    centred = df.withColumn("_c", F.col(value) - F.median(value).over(whole))
+    scaled = centred.withColumns({"_mad": 1.4826 * F.median(F.abs("_c")).over(whole), "_rms": F.sqrt(F.avg(F.col("_c") * F.col("_c")).over(whole))})
+    return scaled.withColumn(out, F.when(F.col("_mad") > 1e-12, F.col("_c") / F.col("_mad")).when(F.col("_rms") > 1e-12, F.col("_c") / F.col("_rms")).otherwise(0.0)).drop("_c", "_mad", "_rms")
+
+
 def local_z(df: DataFrame, value: str, by: list[str], k: int) -> DataFrame:
     """``df`` with z: distance of the value from the mean of the k values around its place in its sorted group, in their deviations. Running sums at both ends of the window give the moments."""
     whole = W.partitionBy(*by)

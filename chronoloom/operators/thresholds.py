@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chronoloom.operators.metrics import _cumulated
+from chronoloom.operators.ranks import global_rank
+
 
 def bounded_rows(df: DataFrame, most: int) -> list:
     """Rows of a result that cannot have more than ``most``; it is an error if it has."""
@@ -23,12 +26,15 @@ def bounded_rows(df: DataFrame, most: int) -> list:
     return rows
 
 
-def histogram(df: DataFrame, value: str, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and bin centres over the range of the values."""
+def histogram(df: DataFrame, value: str, bins: int, span: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and bin centres over the range of the values, or over a given span, which leaves out values beyond it."""
+    if span:
+        df = df.where(F.col(value).between(*span))
     r = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
     if r["lo"] is None:
         return np.zeros(bins), np.zeros(bins)
-    lo, width = float(r["lo"]), (float(r["hi"]) - float(r["lo"])) / bins or 1.0
+    low, high = span or (float(r["lo"]), float(r["hi"]))
+    lo, width = low, (high - low) / bins or 1.0
     bin_ = F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1)).cast("int")
     counts = np.zeros(bins)
     for x in bounded_rows(df.groupBy(bin_.alias("b")).agg(F.count("*").alias("n")), bins):
@@ -48,8 +54,9 @@ def _halves(h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _best(score: np.ndarray, x: np.ndarray) -> float:
+    """Centre of the first bin above the best cut. score: of the cut behind each bin."""
     score = np.where(np.isfinite(score), score, -np.inf)
-    return float(x[int(score.argmax())])
+    return float(x[int(score.argmax()) + 1])
 
 
 def otsu(h, x):
@@ -70,7 +77,7 @@ def kapur(h, x):
     w = np.cumsum(p)
     with np.errstate(divide="ignore", invalid="ignore"):
         both = np.log(w) + e / w + np.log(1 - w) + (e[-1] - e) / (1 - w)
-    return _best(both[:-1], x)
+    return _best(both[:-2], x)
 
 
 def yen(h, x):
@@ -78,7 +85,7 @@ def yen(h, x):
     w, q = np.cumsum(p), np.cumsum(p * p)
     with np.errstate(divide="ignore", invalid="ignore"):
         c = -np.log(q * (q[-1] - q)) + 2 * np.log(w * (1 - w))
-    return _best(c[:-1], x)
+    return _best(c[:-2], x)
 
 
 def renyi(h, x, alpha: float = 2.0):
@@ -86,62 +93,84 @@ def renyi(h, x, alpha: float = 2.0):
     w, q = np.cumsum(p), np.cumsum(p**alpha)
     with np.errstate(divide="ignore", invalid="ignore"):
         both = (np.log(q / w**alpha) + np.log((q[-1] - q) / (1 - w) ** alpha)) / (1 - alpha)
-    return _best(both[:-1], x)
+    return _best(both[:-2], x)
 
 
 def li_lee(h, x):
-    """Least cross entropy, over values moved to be positive."""
-    y = x - x.min() + 1e-6
-    w0, w1, m0, m1, _, _ = _halves(h, y)
+    """Least cross entropy; sides without a positive mean are left out."""
+    w0, w1, m0, m1, _, _ = _halves(h, x)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = w0 * m0 * np.log(m0) + w1 * m1 * np.log(m1)
-    return _best(gain[:-1], x)
+    return _best(gain[:-2], x)
 
 
 def triangle(h, x):
-    """Greatest distance from the line between the peak and the end of the longer tail."""
-    peak, used = int(h.argmax()), np.flatnonzero(h)
-    end = int(used[-1]) if used[-1] - peak >= peak - used[0] else int(used[0])
-    if end == peak:
-        return float(x[peak])
-    at = np.arange(min(peak, end), max(peak, end) + 1)
-    line = h[peak] + (h[end] - h[peak]) * (at - peak) / (end - peak)
-    return float(x[at[int((line - h[at]).argmax())]])
+    """As ``rosin``."""
+    return rosin(h, x)
 
 
 def rosin(h, x):
-    """As the triangle, always towards the upper tail, by perpendicular distance."""
+    """Greatest distance from the line between the peak and the last bin in use."""
     peak, last = int(h.argmax()), int(np.flatnonzero(h)[-1])
-    if last == peak:
-        return float(x[peak])
     at = np.arange(peak, last + 1)
     dy, dx = h[last] - h[peak], last - peak
     return float(x[at[int(np.abs(dy * (at - peak) - dx * (h[at] - h[peak])).argmax())]])
 
 
-def js_split(h, x):
-    """Greatest Jensen-Shannon divergence of the two sides' distributions, weighted by mass."""
-    p = h / h.sum()
-    e = np.cumsum(np.where(p > 0, -p * np.log(np.where(p > 0, p, 1)), 0))
-    w = np.cumsum(p)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        js = e[-1] - (w * (e / w + np.log(w)) + (1 - w) * ((e[-1] - e) / (1 - w) + np.log(1 - w)))
-    return _best(js[:-1], x)
-
-
-def wasserstein_split(h, x):
-    """Greatest distance of the sides' means, weighted by the smaller mass."""
-    w0, w1, m0, m1, _, _ = _halves(h, x)
-    return _best((np.minimum(w0, w1) * np.abs(m1 - m0))[:-1], x)
-
-
-def knee(h, x):
-    """Greatest distance between the cumulated mass and the straight line."""
-    c = np.cumsum(h) / h.sum()
-    return float(x[int((c - np.linspace(c[0], 1, len(c))).argmax())])
-
-
-METHODS = {f.__name__: f for f in (otsu, kittler, kapur, yen, renyi, li_lee, triangle, rosin, js_split, wasserstein_split, knee)}
+def js_split(h, x, margin: int = 5):
+    """Greatest Jensen-Shannon divergence of the two sides' counts, the shorter side set against the near end of the longer one; each side has ``margin`` bins and values at least."""
+    def divergence(k: int) -> float:
+        low, high = h[:k], h[k:]
+        if min(low.sum(), high.sum()) < margin:
+            return -np.inf
+        n = max(len(low), len(high))
+        p, q = np.zeros(n), np.zeros(n)
+        p[: len(low)], q[n - len(high) :] = low / low.sum(), high / high.sum()
+        m = (p + q) / 2
+        part = lambda a: (a[a > 0] * np.log(a[a > 0] / m[a > 0])).sum()
+        return (part(p) + part(q)) / 2
+
+    score = np.array([divergence(k) for k in range(margin, len(h) - margin)])
+    return float(x[margin + int(score.argmax())])
+
+
+UNIT = (0.0, 1.0)
+#: Method, bins, span (none: the range of the values).
+METHODS = {
+    "otsu": (otsu, 256, None),
+    "kittler": (kittler, 256, None),
+    "kapur": (kapur, 256, UNIT),
+    "yen": (yen, 256, UNIT),
+    "renyi": (renyi, 256, UNIT),
+    "li_lee": (li_lee, 256, UNIT),
+    "triangle": (triangle, 50, UNIT),
+    "rosin": (rosin, 256, None),
+    "js_split": (js_split, 100, None),
+}
+
+
+def histogram_thresholds(df: DataFrame, value: str) -> dict[str, float]:
+    """Threshold of each method. Spark counts the bins; the methods work on these counts alone."""
+    held = {key: histogram(df, value, *key) for key in {(bins, span) for _, bins, span in METHODS.values()}}
+    return {name: f(*held[bins, span]) for name, (f, bins, span) in METHODS.items()}
+
+
+def knee(df: DataFrame, value: str) -> DataFrame:
+    """The value furthest from the straight line between the ends of the sorted values, the least of equals. Ranks are taken in ranges."""
+    ranked = global_rank(df.select(value), [value])
+    ends = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
+    off = F.abs(F.col(value) - F.col("_lo") - (F.col("_hi") - F.col("_lo")) * F.col("rank") / F.greatest(F.col("_n") - 1, F.lit(1)))
+    return ranked.join(F.broadcast(ends)).agg(F.max_by(value, F.struct(F.round(off, 9), -F.col("rank"))).alias("threshold"))  # ends is one row
+
+
+def gap_split(df: DataFrame, value: str) -> DataFrame:
+    """The middle of the gap whose sides' means are furthest apart, the lowest of equals; two values on a side at least. Of two sides that don't overlap, the transport distance is that of the means."""
+    counts = df.groupBy(F.col(value).alias("_s")).agg(F.count("*").alias("_pos"), F.sum(F.col(value).cast("double")).alias("_neg"))
+    c = _cumulated(counts, []).where("pos_below >= 2 and pos_from >= 2")
+    apart = F.col("neg_from") / F.col("pos_from") - F.col("neg_below") / F.col("pos_below")
+    best = c.agg(F.max_by("_s", F.struct(F.round(apart, 9), -F.col("_s"))).alias("_at"))
+    below = counts.join(F.broadcast(best), F.col("_s") < F.col("_at")).groupBy("_at").agg(F.max("_s").alias("_before"))  # best is one row
+    return below.select(((F.col("_at") + F.col("_before")) / 2).alias("threshold"))
 
 
 def kde_valley(h: np.ndarray, x: np.ndarray, grid: int = 4001) -> dict[str, float | None]:

@@ -63,7 +63,7 @@ def confusion_f1(spark, sf):
     return c.select("lang", "tp", "fp", "fn", "tn", *_r("precision", "recall", "f1", "f1_neg", "macro_f1", "accuracy"))
 
 
-@query("q_best_f1_threshold", f"WITH {_LABELLED}, c AS (SELECT s, sum(y) AS pos, count(*) AS n FROM d GROUP BY s), k AS (SELECT s, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS c, sum(pos) OVER () AS p FROM c), f AS (SELECT s, 2 * tp / (p + c) AS f1 FROM k) SELECT s AS threshold, round(f1, 9) AS f1 FROM f ORDER BY round(f1, 12) DESC, s DESC LIMIT 1")
+@query("q_best_f1_threshold", f"WITH {_LABELLED}, c AS (SELECT s, sum(y) AS pos, count(*) AS n FROM d GROUP BY s), k AS (SELECT s, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS c, sum(pos) OVER () AS p FROM c), f AS (SELECT s, 2 * tp / (p + c) AS f1 FROM k) SELECT s AS threshold, round(f1, 9) AS f1 FROM f ORDER BY round(f1, 12) DESC, s LIMIT 1")
 def best_f1_threshold(spark, sf):
     return M.best_f1(_labelled(spark, sf), "s", "y").select("threshold", *_r("f1"))
 

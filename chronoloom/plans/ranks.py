@@ -82,14 +82,9 @@ def minmax(spark, sf):
     return curve(spark, sf).select("event_id", F.round(F.when(hi > lo, (F.col("s") - lo) / (hi - lo)).otherwise(0.0), 9).alias("v"))
 
 
-@query("q_robust_unit", f"WITH {CURVE_SQL}, m AS (SELECT gid, median(s) AS m FROM curve GROUP BY gid), d AS (SELECT gid, any_value(m) AS m, 1.4826 * median(abs(s - m)) AS mad, sqrt(avg(pow(s - m, 2))) AS rms FROM curve JOIN m USING (gid) GROUP BY gid) SELECT event_id, round((s - m) / CASE WHEN mad > 0 THEN mad WHEN rms > 0 THEN rms ELSE 1 END, 6) AS z FROM curve JOIN d USING (gid)")
+@query("q_robust_unit", f"WITH {CURVE_SQL}, m AS (SELECT gid, median(s) AS m FROM curve GROUP BY gid), d AS (SELECT gid, any_value(m) AS m, 1.4826 * median(abs(s - m)) AS mad, sqrt(avg(pow(s - m, 2))) AS rms FROM curve JOIN m USING (gid) GROUP BY gid) SELECT event_id, round((s - m) / CASE WHEN mad > 1e-12 THEN mad WHEN rms > 1e-12 THEN rms ELSE 1 END, 6) AS z FROM curve JOIN d USING (gid)")
 def robust_unit(spark, sf):
-    """Distance from the median in units of the MAD, or of the rms where that is zero."""
-    c = curve(spark, sf)
-    with_m = c.join(c.groupBy("gid").agg(F.median("s").alias("m")), "gid")
-    d = with_m.groupBy("gid").agg((1.4826 * F.median(F.abs(F.col("s") - F.col("m")))).alias("mad"), F.sqrt(F.avg((F.col("s") - F.col("m")) ** 2)).alias("rms"))
-    scale = F.when(F.col("mad") > 0, F.col("mad")).when(F.col("rms") > 0, F.col("rms")).otherwise(1.0)
-    return with_m.join(d, "gid").select("event_id", F.round((F.col("s") - F.col("m")) / scale, 6).alias("z"))
+    return R.robust_unit(curve(spark, sf).select("gid", "event_id", "s"), "s", ["gid"], "z").select("event_id", F.round("z", 6).alias("z"))
 
 
 @query("q_standardize", f"WITH {CURVE_SQL} SELECT event_id, round((s - avg(s) OVER g) / CASE WHEN stddev_pop(s) OVER g > 0 THEN stddev_pop(s) OVER g ELSE 1 END, 6) AS z FROM curve WINDOW g AS (PARTITION BY event_type)")
@@ -179,12 +174,18 @@ def weighted_quantiles(spark, sf):
     return c.select("gid", "idx", "c", at).groupBy("gid", "k").agg(F.min(F.when(F.col("c") >= (F.col("k") + 0.5) / 5 - 1e-12, F.col("idx"))).alias("idx"))
 
 
-@query("q_concordance", f"WITH {CURVE_SQL}, z AS (SELECT event_id, s - avg(s) OVER (PARTITION BY gid) AS a, s - avg(s) OVER (PARTITION BY event_type) AS b FROM curve) SELECT event_id, round(CASE WHEN sign(a) = sign(b) THEN sign(a) * least(abs(a), abs(b)) ELSE 0 END, 9) AS v FROM z")
+@query(
+    "q_concordance",
+    f"""WITH {CURVE_SQL}, a0 AS (SELECT *, s - median(s) OVER (PARTITION BY gid) AS c_a FROM curve), a AS (SELECT *, c_a / greatest(1.4826 * median(abs(c_a)) OVER (PARTITION BY gid), 1e-300) AS u_a FROM a0), b0 AS (SELECT *, t - median(t) OVER (PARTITION BY gid) AS c_b FROM a), b AS (SELECT *, c_b / greatest(1.4826 * median(abs(c_b)) OVER (PARTITION BY gid), 1e-300) AS u_b FROM b0),
+    z AS (SELECT gid, event_id, CASE WHEN sign(u_a) = sign(u_b) THEN sign(u_a) * least(abs(u_a), abs(u_b)) ELSE 0 END AS v FROM b), c0 AS (SELECT *, v - median(v) OVER (PARTITION BY gid) AS c_c FROM z), c AS (SELECT *, c_c / greatest(1.4826 * median(abs(c_c)) OVER (PARTITION BY gid), 1e-300) AS u_c FROM c0), w AS (SELECT *, 1.4826 * median(abs(c_c)) OVER (PARTITION BY gid) AS mad, sqrt(avg(c_c * c_c) OVER (PARTITION BY gid)) AS rms FROM c)
+    SELECT event_id, round(CASE WHEN mad > 1e-12 THEN c_c / mad WHEN rms > 1e-12 THEN c_c / rms ELSE 0 END, 6) AS v FROM w""",
+)
 def concordance(spark, sf):
-    """The smaller of two deviations where their signs agree, else 0."""
-    a, b = (F.col("s") - F.avg("s").over(W.partitionBy(x)) for x in ("gid", "event_type"))
-    z = curve(spark, sf).select("event_id", a.alias("a"), b.alias("b"))
-    return z.select("event_id", F.round(F.when(F.signum("a") == F.signum("b"), F.signum("a") * F.least(F.abs("a"), F.abs("b"))).otherwise(0.0), 9).alias("v"))
+    """The smaller of two robust deviations where their signs agree, else 0, in robust units again."""
+    c = curve(spark, sf).select("gid", "event_id", "s", "t")
+    z = R.robust_unit(R.robust_unit(c, "s", ["gid"], "a"), "t", ["gid"], "b")
+    agreed = F.when(F.signum("a") == F.signum("b"), F.signum("a") * F.least(F.abs("a"), F.abs("b"))).otherwise(0.0)
+    return R.robust_unit(z.select("gid", "event_id", agreed.alias("v")), "v", ["gid"], "v").select("event_id", F.round("v", 6).alias("v"))
 
 
 @query("q_haar_details", f"WITH {CURVE_SQL}, p AS (SELECT gid, idx // 2 AS k, max(s) FILTER (idx % 2 = 0) AS a, max(s) FILTER (idx % 2 = 1) AS b FROM curve GROUP BY ALL), d AS (SELECT gid, k, (a - b) / sqrt(2) AS d FROM p WHERE b IS NOT NULL), m AS (SELECT gid, median(abs(d)) / 0.6745 AS sigma, count(*) AS n FROM d GROUP BY gid) SELECT gid, k, round(sign(d) * greatest(abs(d) - sigma * sqrt(2 * ln(n)), 0), 6) AS d FROM d JOIN m USING (gid)")

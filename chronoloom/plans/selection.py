@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -65,13 +67,18 @@ def matched_budget(spark, sf):
     return c.select("event_id", "event_type", "len", r.alias("r")).join(k, ["event_type", "len"]).where("r <= k").select("event_id")
 
 
-@query("q_bucket_rotation", f"WITH {CURVE_SQL}, r AS (SELECT gid, event_id, event_type, row_number() OVER (PARTITION BY gid, event_type ORDER BY t, event_id) - 1 AS r, count(*) OVER (PARTITION BY gid, event_type) AS n FROM curve) SELECT a.event_id, b.event_id AS source FROM r a JOIN r b ON a.gid = b.gid AND a.event_type = b.event_type AND b.r = (a.r + a.n // 2) % a.n")
+@query(
+    "q_bucket_rotation",
+    f"""WITH {CURVE_SQL}, r AS (SELECT gid, event_id, event_type, floor(t / 72) AS w, row_number() OVER (PARTITION BY gid, event_type ORDER BY floor(t / 72), event_id) - 1 AS r, count(*) OVER (PARTITION BY gid, event_type) AS n, count(*) OVER (PARTITION BY gid, event_type, floor(t / 72)) AS own FROM curve),
+    l AS (SELECT *, max(own) OVER (PARTITION BY gid, event_type) AS largest FROM r) SELECT a.event_id, b.event_id AS source FROM l a JOIN l b ON a.gid = b.gid AND a.event_type = b.event_type AND b.r = (a.r + a.largest) % a.n""",
+)
 def bucket_rotation(spark, sf):
-    """Each row takes its source from half a turn ahead in its bucket; no row keeps itself in buckets of two or more."""
+    """Each row takes its source as far ahead in its bucket, ordered by window, as the bucket's largest window has rows: as many sources as can be are from other windows."""
     g = W.partitionBy("gid", "event_type")
-    r = curve(spark, sf).select("gid", "event_id", "event_type", (F.row_number().over(g.orderBy("t", "event_id")) - 1).alias("r"), F.count("*").over(g).alias("n"))
+    c = curve(spark, sf).select("gid", "event_id", "event_type", F.floor(F.col("t") / 72).alias("w"))
+    r = c.select("*", (F.row_number().over(g.orderBy("w", "event_id")) - 1).alias("r"), F.count("*").over(g).alias("n"), F.count("*").over(W.partitionBy("gid", "event_type", "w")).alias("own"))
+    a = r.withColumn("to", (F.col("r") + F.max("own").over(g)) % F.col("n"))
     b = r.select("gid", "event_type", F.col("event_id").alias("source"), F.col("r").alias("to"))
-    a = r.withColumn("to", (F.col("r") + F.floor(F.col("n") / 2)) % F.col("n"))
     return a.join(b, ["gid", "event_type", "to"]).select("event_id", "source")
 
 
@@ -104,14 +111,24 @@ def validation_carve(spark, sf):
     return r.where(F.col("r") <= F.least(F.greatest(F.rint(0.1 * F.col("n")), F.lit(1.0)), F.col("n") - 1)).select("doc_id")
 
 
-@query("q_uncertain_band", f"WITH {CURVE_SQL}, e AS (SELECT event_id, y, 1 / (1 + exp(-(s - 50) / 20)) AS p FROM curve), h AS (SELECT *, round(-(p * ln(p) + (1 - p) * ln(1 - p)), 9) AS h FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h DESC, event_id) AS r FROM h) SELECT event_id, y FROM r WHERE r <= 50")
+@query(
+    "q_uncertain_band",
+    f"""WITH {CURVE_SQL}, e AS (SELECT event_id, y, 1 / (1 + exp(-(s - 50) / 20)) AS p FROM curve WHERE s BETWEEN 10 AND 90), h AS (SELECT *, round(-(p * ln(p) + (1 - p) * ln(1 - p)), 9) AS h FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h DESC, event_id) AS r FROM h),
+    k AS (SELECT greatest(1, ceil(count(*) * 0.05))::BIGINT AS n, count(*) FILTER (y = 0) AS a, count(*) FILTER (y = 1) AS b FROM e), n AS (SELECT n, a, b, least(b, n - least(a, n // 2)) AS n1 FROM k)
+    SELECT event_id, y FROM r, n WHERE r <= CASE WHEN y = 1 THEN n1 ELSE least(a, n - n1) END""",
+)
 def uncertain_band(spark, sf):
-    """The fifty most uncertain rows of each label."""
+    """A twentieth of a band, half from each label if they have so many, the most uncertain first."""
     from chronoloom.functions import scalars as S
 
     h = F.round(S.entropy(S.sigmoid((F.col("s") - 50) / 20)), 9)
-    r = curve(spark, sf).select("event_id", "y", h.alias("h")).withColumn("r", F.row_number().over(W.partitionBy("y").orderBy(F.desc("h"), "event_id")))
-    return r.where("r <= 50").select("event_id", "y")
+    band = curve(spark, sf).where("s between 10 and 90").select("event_id", "y", h.alias("h"))
+    k = band.agg(F.count("*").alias("n"), F.count_if(F.col("y") == 0).alias("a"), F.count_if(F.col("y") == 1).alias("b")).first()
+    n = max(1, math.ceil(k["n"] * 0.05))
+    n1 = min(k["b"], n - min(k["a"], n // 2))
+    n0 = min(k["a"], n - n1)
+    r = band.withColumn("r", F.row_number().over(W.partitionBy("y").orderBy(F.desc("h"), "event_id")))
+    return r.where(F.col("r") <= F.when(F.col("y") == 1, n1).otherwise(n0)).select("event_id", "y")
 
 
 @query("q_ordered_union", f"WITH {CURVE_SQL}, a AS (SELECT gid, list_slice(list(event_id ORDER BY idx), 1, 6) AS a, list_slice(list(event_id ORDER BY s DESC, idx), 1, 6) AS b FROM curve GROUP BY gid) SELECT gid, array_to_string(list_slice(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))), 1, 8), ',') AS ids FROM a")

@@ -110,15 +110,28 @@ def mean_transport(spark, sf):
 
 @query("q_time_residual")
 def time_residual(spark, sf):
-    """What a quadratic in time and the label leave of the score."""
-    f = lambda p: _out(p, v=Q.residual(p["s"].to_numpy(), [p["y"].to_numpy(float), p["t"].to_numpy() / 700, (p["t"].to_numpy() / 700) ** 2]).round(5))
-    return Q.per_series(curve(spark, sf).select("gid", "idx", "t", "s", "y"), f, "idx int, v double")
+    """What a label, time and its square leave of the score."""
+    f = lambda p: _out(p, v=Q.residual(p["s"].to_numpy(), [p["y"].to_numpy(float)]).round(5))
+    return Q.per_series(curve(spark, sf).select("gid", "idx", "s", "y"), f, "idx int, v double")
 
 
 @query("q_barycentre")
 def barycentre(spark, sf):
-    f = lambda p: pd.DataFrame({"k": range(21), "v": Q.barycentre(p["s"].to_numpy() + 1e-9, p["s"].to_numpy()[::-1] + p["y"].to_numpy()).round(6)})
-    return Q.per_series(curve(spark, sf).select("gid", "idx", "s", "y"), f, "k int, v double")
+    f = lambda p: _out(p, v=Q.barycentre(p["s"].to_numpy() + 1e-9, p["s"].to_numpy()[::-1] + p["y"].to_numpy()).round(9))
+    return Q.per_series(curve(spark, sf).select("gid", "idx", "s", "y"), f, "idx int, v double")
+
+
+@query("q_haar_denoise")
+def haar_denoise(spark, sf):
+    f = lambda p: _out(p, v=Q.haar_denoised(p["s"].to_numpy()).round(6))
+    return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "idx int, v double")
+
+
+@query("q_block_length")
+def block_length(spark, sf):
+    """Lag at which score and label have both lost their correlation."""
+    f = lambda p: pd.DataFrame({"block": [Q.block_length(p[["s", "y"]].to_numpy(float))]}, dtype="int32")
+    return Q.per_series(curve(spark, sf).select("gid", "idx", "s", "y"), f, "block int")
 
 
 @query("q_sure_threshold")

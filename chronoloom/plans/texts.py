@@ -91,7 +91,7 @@ def parse_spans(spark, sf):
 
 @query("q_json_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_extract(spark, sf):
-    fenced = F.concat(F.lit("Answer:\n```json\n"), F.col("props"), F.lit("\n```"))
+    fenced = F.concat(F.lit(" ```json\n"), F.col("props"), F.lit("\n```"))
     return read(spark, sf, "events").select("event_id", F.get_json_object(X.clean_json(fenced), "$.k").cast("long").alias("k"))
 
 

@@ -48,9 +48,20 @@ def mad_quantile(spark, sf):
 
 @query("q_histogram_thresholds")
 def histogram_thresholds(spark, sf):
-    """All histogram methods on 256 bins."""
-    h, x = T.histogram(curve(spark, sf), "s", 256)
-    return spark.createDataFrame([(name, round(f(h, x), 6)) for name, f in T.METHODS.items()], "method string, threshold double")
+    t = T.histogram_thresholds(curve(spark, sf).select((F.col("s") / 200).alias("p")), "p")
+    return spark.createDataFrame([(name, round(x, 6)) for name, x in t.items()], "method string, threshold double")
+
+
+@query(
+    "q_exact_splits",
+    f"""WITH {CURVE_SQL}, r AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS r, min(s) OVER () AS lo, max(s) OVER () AS hi, count(*) OVER () AS n FROM curve), k AS (SELECT s FROM r ORDER BY round(abs(s - lo - (hi - lo) * r / (n - 1)), 9) DESC, r LIMIT 1),
+    c AS (SELECT s, count(*) AS n, sum(s) AS m FROM curve GROUP BY s), w AS (SELECT s, lag(s) OVER o AS prev, sum(n) OVER o - n AS nb, sum(m) OVER o - m AS mb, sum(n) OVER () AS na, sum(m) OVER () AS ma FROM c WINDOW o AS (ORDER BY s)),
+    g AS (SELECT (s + prev) / 2 AS t FROM w WHERE nb >= 2 AND na - nb >= 2 ORDER BY round((ma - mb) / (na - nb) - mb / nb, 9) DESC, s LIMIT 1)
+    SELECT 'knee' AS method, s AS threshold FROM k UNION ALL SELECT 'gap_split', t FROM g""",
+)
+def exact_splits(spark, sf):
+    s = curve(spark, sf).select("s")
+    return T.knee(s, "s").select(F.lit("knee").alias("method"), "threshold").unionByName(T.gap_split(s, "s").select(F.lit("gap_split").alias("method"), "threshold"))
 
 
 @query("q_kde_valley")
