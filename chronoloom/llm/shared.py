@@ -20,7 +20,7 @@ _written: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only a local session without one gets its own."""
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not context.master.startswith("local[") and context.master != "local":
