@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +66,76 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, block_rows: int =
     return found.groupBy("qid").agg(top.alias("t")).select("qid", F.explode("t").alias("x")).select("qid", F.col(f"x.{key}"), (-F.col("x.d")).alias("cosine"))
 
 
+def _unit(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and unit vectors of one packed block, by key."""
+    own = rows.flatten()
+    ids, x = own.field("key").to_numpy(zero_copy_only=False), own.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(np.float64)
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], x[order]
+
+
+def nearest_of_all(items: DataFrame, k: int, block_rows: int = 2000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The k most similar items of every item: qid, key, cosine, with the ties and zero vectors of ``cosine_topk``.
+
+    Items are packed into blocks of about ``block_rows`` by a hash of the key. A task
+    holds one block as queries and passes all blocks by it, one at a time. Nothing is
+    collected; the work grows with the square of the number of items.
+    """
+    blocks = max(1, -(-items.count() // block_rows))
+    row = F.struct(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
+    packed = cut(items.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), row.alias("row")).groupBy("block").agg(F.collect_list("row").alias("rows")))
+    dealt = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("asked"), "block", "rows")
+    # a task's own block comes first
+    dealt = dealt.repartition("asked").sortWithinPartitions("asked", F.col("block") != F.col("asked"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = q = None
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        least = np.empty(0)
+
+        def add(own: np.ndarray, x: np.ndarray, same: bool) -> None:
+            nonlocal held, least
+            cos = q @ x.T
+            if same:
+                cos[ids[:, None] == own[None, :]] = -np.inf
+            floor = least
+            if cos.shape[1] > k and not np.isfinite(least).all():
+                floor = np.maximum(least, np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k])
+            r, c = np.nonzero((cos >= floor[:, None] - 2e-9) & (cos > -2))
+            held = [np.r_[held[0], r], np.r_[held[1], own[c]], np.r_[held[2], np.round(cos[r, c], 9)]]
+            order = np.lexsort((held[1], -held[2], held[0]))
+            held = [h[order] for h in held]
+            first = np.searchsorted(held[0], held[0])
+            kept = np.arange(len(first)) - first < k
+            held = [h[kept] for h in held]
+            n = np.bincount(held[0], minlength=len(ids))
+            least = np.where(n == k, 0.0, -np.inf)
+            full = np.cumsum(n)[n == k] - 1
+            least[n == k] = held[2][full]
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, rows = batch.column("block")[i].as_py(), batch.column("rows").slice(i, 1)
+                own = _unit(rows)
+                if block == batch.column("asked")[i].as_py():
+                    ids, q = own
+                    least = np.full(len(ids), -np.inf)
+                    add(*own, True)
+                    for x in waiting:
+                        add(*x, False)
+                    waiting = []
+                elif q is None:
+                    waiting.append(own)
+                else:
+                    add(*own, False)
+        if q is not None:
+            yield pa.RecordBatch.from_pydict({"qid": ids[held[0]], key: held[1], "cosine": held[2]}, pa.schema([("qid", pa.int64()), (key, pa.int64()), ("cosine", pa.float64())]))
+
+    return dealt.groupBy("asked").applyInArrow(best, f"qid bigint, {key} bigint, cosine double")
+
+
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
     """(node, root): the smallest node of each component of undirected edges (a, b). Labels spread along edges and jump to their own label's label; each round is checkpointed."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct())

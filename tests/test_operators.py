@@ -172,6 +172,27 @@ def test_topk_in_blocks(spark, sf):
     assert rows(G.cosine_topk(q, e, 3)) == rows(G.cosine_topk(q, e, 3, block_rows=2))
 
 
+def test_nearest_of_all_equals_topk(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    e = e.unionByName(e.where("vec_id % 3 = 0").withColumn("vec_id", F.col("vec_id") + 10_000))  # equal vectors, so ties
+    e = e.unionByName(e.where("vec_id = 0").select(F.lit(20_000).cast("long").alias("vec_id"), F.transform("embedding", lambda x: x * 0).alias("embedding"), "label"))
+    e = e.unionByName(e.where("vec_id = 1").select(F.explode(F.sequence(F.lit(30_000).cast("long"), F.lit(30_060).cast("long"))).alias("vec_id"), "embedding", "label"))
+    rows = lambda df: sorted((*map(int, r[:2]), round(r[2], 8)) for r in df.collect())
+    expected = rows(G.cosine_topk(e, e, 4))
+    assert len(expected) == 4 * e.count()
+    for block_rows in (5000, 150, 9):
+        assert rows(G.nearest_of_all(e, 4, block_rows)) == expected
+
+
+@pytest.mark.parametrize("name", ["q_label_spread", "q_harmonic_labels", "q_majority_propagation", "q_density_peaks"])
+def test_neighbour_graphs_have_all_items(spark, sf, tmp_path, name):
+    from chronoloom.plans import catalog
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 60")
+    e.withColumn("vec_id", F.col("vec_id") + 1970).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(r["node"] for r in catalog.queries()[name](spark, str(tmp_path)).select("node").collect()) == list(range(1970, 2030))
+
+
 def test_text_functions(spark):
     t = lambda s: F.lit(s)
     assert one(spark, *[text.parse_clock(t(x)) for x in ("1:02:03.9", "02:03", "7", "x", "1:2:3:4")]) == (3723, 123, 7, None, None)
