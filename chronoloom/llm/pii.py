@@ -8,10 +8,11 @@ discloses an entity e by
     PMI(e; t) / IC(e)  with  PMI = ln(n_et * N / (n_e * n_t)),  IC = ln(N / n_e)
 
 where counts are of documents; 1 means that the term gives the entity away, 0
-that it tells nothing. Terms at or above ``threshold`` that were seen near the
-entity in at least ``support`` different texts become spans of kind ``term``
-wherever they stand near that entity. Redaction removes base spans and
-generalises terms, each to a placeholder.
+that it tells nothing. Terms at or above ``threshold`` become spans of kind
+``term`` wherever they stand near that entity. An entity may be in one text
+only; then the term's frequency in the corpus decides, as the share is
+1 - ln(n_t) / ln(N). Terms are runs of letters of any length. Redaction removes
+base spans and generalises terms, each to a placeholder.
 
 The disclosing pairs are counted. Up to ``broadcast_rows`` of them go to every
 task; more of them are joined to the documents by document and text.
@@ -36,9 +37,9 @@ from pyspark.sql import functions as F
 from chronoloom.llm.shared import arrow_function, stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of a base span that may disclose it, and the code points searched for them.
+#: Words of three letters or more on either side of a base span that may disclose it, with the shorter ones among them, and the code points searched for them.
 CONTEXT_WORDS, CONTEXT_CHARS = 8, 400
-THRESHOLD, SUPPORT, BROADCAST_ROWS = 0.9, 3, 200_000
+THRESHOLD, BROADCAST_ROWS = 0.9, 200_000
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -46,7 +47,7 @@ _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _not_digit = re.compile(r"[^0-9]")
-_term = re.compile(r"[^\W\d_]{3,}")
+_term = re.compile(r"[^\W\d_]+")
 
 SPAN = "struct<kind:string,start:int,end:int,entity:bigint>"
 SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("entity", pa.int64())]))
@@ -119,8 +120,13 @@ def near(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
     low, high = max(0, start - CONTEXT_CHARS), min(len(text), end + CONTEXT_CHARS)
     left = [m for m in _term.finditer(text, low, start) if m.start() > low or low == 0]
     right = [m for m in _term.finditer(text, end, high) if m.end() < high or high == len(text)]
-    for m in left[-CONTEXT_WORDS:] + right[:CONTEXT_WORDS]:
-        yield m[0].lower(), m.start(), m.end()
+    for words in (reversed(left), right):
+        long = 0
+        for m in words:
+            yield m[0].lower(), m.start(), m.end()
+            long += m.end() - m.start() >= 3
+            if long == CONTEXT_WORDS:
+                break
 
 
 def context_pairs(text: str | None) -> set[tuple[int, str | None]]:
@@ -160,19 +166,20 @@ def _term_counts(wanted: frozenset[str] | None):
     return count
 
 
-def disclosures(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def disclosures(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pairs (entity, term, disclosure) at or above the threshold, from counts over all documents."""
     spark = docs.sparkSession
-    near_by = docs.select(F.xxhash64(text).alias("text_hash"), F.explode(pairs_of(F.col(text))).alias("p")).select("text_hash", "p.entity", "p.term")
-    counts = stored(near_by.groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("texts")), "pii-counts")
-    joint = counts.where(F.col("term").isNotNull() & (F.col("texts") >= support))
+    near_by = docs.select(F.explode(pairs_of(F.col(text))).alias("p")).select("p.entity", "p.term")
+    counts = stored(near_by.groupBy("entity", "term").agg(F.count("*").alias("n")), "pii-counts")
+    joint = counts.where(F.col("term").isNotNull())
     terms = joint.select("term").distinct()
     first = [r["term"] for r in terms.limit(broadcast_rows + 1).toLocalIterator()]
     wanted = frozenset(first) if len(first) <= broadcast_rows else None
     if not first:
         return spark.createDataFrame([], "entity bigint, term string, disclosure double")
     n_docs = docs.count()
-    n_term = docs.select(text).mapInArrow(_term_counts(wanted), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
+    # written, so that adaptive execution may split the join at a common term
+    n_term = stored(docs.select(text).mapInArrow(_term_counts(wanted), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term")), "pii-terms")
     n_entity = counts.where("term is null").select("entity", F.col("n").alias("n_entity"))
     share = F.log(F.col("n") * n_docs / (F.col("n_entity") * F.col("n_term"))) / F.log(n_docs / F.col("n_entity"))
     found = joint.join(n_term, "term").join(n_entity, "entity").where(F.col("n_entity") < n_docs)
@@ -198,9 +205,9 @@ def _grouped(rules: list[dict] | None) -> dict[int, frozenset[str]]:
     return {e: frozenset(t) for e, t in out.items()}
 
 
-def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "pii", threshold: float = THRESHOLD, support: int = SUPPORT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "pii", threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with all spans, base and term, as array<SPAN> in the column ``out``."""
-    telling = disclosures(docs, text, threshold, support, broadcast_rows)
+    telling = disclosures(docs, text, threshold, broadcast_rows)
     first = telling.select("entity", "term").limit(broadcast_rows + 1).collect()
     if len(first) <= broadcast_rows:
         everywhere = docs.sparkSession.sparkContext.broadcast(_grouped([r.asDict() for r in first]))

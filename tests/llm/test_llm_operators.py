@@ -570,6 +570,23 @@ def test_disclosure_figures(spark):
     assert found["surgeon"] == pytest.approx(np.log(5 * len(rows) / (5 * n_t)) / np.log(len(rows) / 5))
 
 
+@pytest.mark.parametrize("broadcast_rows", [pii.BROADCAST_ROWS, 0])
+def test_terms_of_entities_in_one_or_two_texts(spark, broadcast_rows):
+    _, rows = telling_docs(spark)
+    new = [(201, "surgeon zelenka or Li wrote from anna@clinic.org"), (202, "call surgeon Wu Novotna at +420 777 123 456 aba"), (203, "surgeon 王伟, +420 777 123 456")]
+    frame = spark.createDataFrame(rows[5:] + new, "doc_id bigint, text string")
+    found = {r["doc_id"]: {r["text"][s["start"] : s["end"]] for s in r["pii"] if s["kind"] == "term"} for r in pii.with_spans(frame, broadcast_rows=broadcast_rows).collect()}
+    assert {"zelenka", "Li"} <= found[201] and {"Wu", "Novotna"} <= found[202] and "王伟" in found[203]
+    assert not any({"surgeon", "aba"} & found[k] for k, _ in new) and not any(found[k] for k, _ in rows[5:])
+
+
+def test_context_keeps_its_long_words():
+    words = [f"w{'x' * k}ord" for k in range(1, 12)]
+    text = "a@b.org " + " of ".join(words)
+    terms = [t for t, _, _ in pii.near(text, 0, 7)]
+    assert [t for t in terms if t != "of"] == words[:8] and terms.count("of") == 7
+
+
 def test_redaction_of_nulls_and_overlaps(edge):
     rows = {r["doc_id"]: r["text"] for r in pii.redact(edge).collect()}
     assert rows[3] is None and rows[4] == "" and rows[6] == LONG
