@@ -165,21 +165,34 @@ def clause_key(text: Column) -> Column:
     return key(text)
 
 
+def edits_and_common(x, y) -> tuple[int, int]:
+    """Edit distance and longest common subsequence of two word lists, exact; a column of either table is held in the bits of whole numbers (Myers 1999, Hyyrö 2004)."""
+    n = len(x)
+    if not n:
+        return len(y), 0
+    places: dict[str, int] = {}
+    for i, w in enumerate(x):
+        places[w] = places.get(w, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << n - 1
+    up, down, edits, rest = full, 0, n, full
+    for w in y:
+        at = places.get(w, 0)
+        here = at | down
+        across = (((at & up) + up) ^ up) | at
+        more, less = down | full & ~(across | up), up & across
+        edits += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = less | full & ~(here | more), more & here
+        hit = rest & at
+        rest = (rest + hit | rest - hit) & full
+    return edits, n - rest.bit_count()
+
+
 def word_distance(a: Column, b: Column) -> Column:
     """Struct (edits, common): edit distance and longest common subsequence of two word lists."""
     @F.pandas_udf("struct<edits:int,common:int>")
     def distance(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(left, right, strict=True):
-            edits, common = list(range(len(y) + 1)), [0] * (len(y) + 1)
-            for i, w in enumerate(x, 1):
-                e, c = [i], [0]
-                for j, v in enumerate(y, 1):
-                    e.append(min(edits[j] + 1, e[j - 1] + 1, edits[j - 1] + (w != v)))
-                    c.append(common[j - 1] + 1 if w == v else max(common[j], c[j - 1]))
-                edits, common = e, c
-            rows.append((edits[-1], common[-1]))
-        return pd.DataFrame(rows, columns=["edits", "common"])
+        return pd.DataFrame([edits_and_common(x, y) for x, y in zip(left, right, strict=True)], columns=["edits", "common"])
 
     return distance(a, b)
 

@@ -153,10 +153,10 @@ def clause_keys(spark, sf):
 
 @query("q_word_distance")
 def word_distance(spark, sf):
-    """Edit distance and common words of consecutive turns."""
+    """Edit distance and common words of consecutive turns, all their words."""
     c = read(spark, sf, "conversations").select("conv_id", "turn", X.norm_words(F.col("text")).alias("ws"))
     nxt = F.lead("ws").over(W.partitionBy("conv_id").orderBy("turn"))
-    d = c.withColumn("n", nxt).where("n is not null").select("conv_id", "turn", X.word_distance(F.slice("ws", 1, 60), F.slice("n", 1, 60)).alias("d"))
+    d = c.withColumn("n", nxt).where("n is not null").select("conv_id", "turn", X.word_distance(F.col("ws"), F.col("n")).alias("d"))
     return d.select("conv_id", "turn", "d.edits", "d.common")
 
 

@@ -204,6 +204,29 @@ def test_text_functions(spark):
     assert one(spark, text.label_prefix(t('{"why": "x", "label": 3}')))[0] == '{"why": "x", "label": '
 
 
+def test_word_distance_by_tables():
+    rng = random.Random(5)
+    for _ in range(300):
+        x, y = ([rng.choice("abcdef") for _ in range(rng.choice((0, 1, 5, 63, 64, 65, 130)))] for _ in range(2))
+        e, c = list(range(len(y) + 1)), [0] * (len(y) + 1)
+        for i, w in enumerate(x, 1):
+            f, d = [i], [0]
+            for j, v in enumerate(y, 1):
+                f.append(min(e[j] + 1, f[j - 1] + 1, e[j - 1] + (w != v)))
+                d.append(c[j - 1] + 1 if w == v else max(c[j], d[j - 1]))
+            e, c = f, d
+        assert text.edits_and_common(x, y) == (e[-1], c[-1])
+
+
+def test_word_distance_of_long_turns(spark, tmp_path):
+    from chronoloom.plans import catalog
+
+    words = [f"w{k}" for k in range(150)]
+    rows = [(1, 0, "user", " ".join(words)), (1, 1, "bot", " ".join([*words[:100], "other", *words[101:], "more"]))]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in catalog.queries()["q_word_distance"](spark, str(tmp_path)).collect()] == [(1, 0, 2, 149)]
+
+
 def test_calibration_keeps_probabilities_off_the_ends(spark):
     rows = [(0.0, 1), (1.0, 1), (0.25, 0), (0.35, 1)]  # each has a bin of its own
     got = M.calibration(frame(spark, rows, "p double, y int"), F.col("p"), F.col("y")).first()
