@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -197,6 +198,47 @@ def word_distance(a: Column, b: Column) -> Column:
     return distance(a, b)
 
 
+def align_words(anchor: list[str], own: list[str]) -> tuple[list[str], list[str]]:
+    """``own`` aligned to ``anchor`` by edit distance without regard to case: the word at each anchor word ("" if none), and the phrase at each of the boundaries. Of equal ways the diagonal goes first, then deletion."""
+    n, m = len(anchor), len(own)
+    code: dict[str, int] = {}
+    left, right = (np.array([code.setdefault(w.casefold(), len(code)) for w in ws], dtype=np.int64) for ws in (anchor, own))
+    steps = np.arange(m + 1)
+    d = np.empty((n + 1, m + 1), dtype=np.int64)
+    d[0] = steps
+    for i in range(1, n + 1):
+        row = d[i - 1] + 1
+        row[1:] = np.minimum(row[1:], d[i - 1, :-1] + (right != left[i - 1]))
+        d[i] = np.minimum.accumulate(row - steps) + steps
+    values, phrases = [""] * n, [[] for _ in range(n + 1)]
+    i, j = n, m
+    while i or j:
+        if i and j and d[i, j] == d[i - 1, j - 1] + (left[i - 1] != right[j - 1]):
+            i, j = i - 1, j - 1
+            values[i] = own[j]
+        elif i and d[i, j] == d[i - 1, j] + 1:
+            i -= 1
+        else:
+            j -= 1
+            phrases[i].append(own[j])
+    return values, [" ".join(reversed(p)) for p in phrases]
+
+
+def aligned_slots(anchor: Column, own: Column) -> Column:
+    """Array of (kind, slot, word): what a word list has at the words ("word") and boundaries ("insert") of an anchor; slots where it has nothing are left out."""
+    kind = "array<struct<kind:string,slot:int,word:string>>"
+
+    @F.pandas_udf(kind)
+    def slots(anchors: pd.Series, owns: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(anchors, owns, strict=True):
+            both = align_words(list(a), list(b))
+            out.append([{"kind": k, "slot": i, "word": w} for k, ws in zip(("word", "insert"), both, strict=True) for i, w in enumerate(ws) if w])
+        return pd.Series(out, dtype=object)
+
+    return slots(anchor, own)
+
+
 def collapse_repeats(text: Column, longest: int = 4) -> Column:
     """Immediate repetitions of 1 to ``longest`` words reduced to one, again and again until none is left."""
     @F.pandas_udf("string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from chronoloom.functions import scalars as S
+from chronoloom.functions import text as X
 from chronoloom.operators import graphs as G
 from chronoloom.operators import intervals as I
 from chronoloom.operators.sequence import per_series
@@ -163,12 +164,17 @@ def closure(spark, sf):
 
 @query("q_confusion_slots")
 def confusion_slots(spark, sf):
-    """Alternatives of each word slot of a conversation's turns with their share of the beams' softmax mass."""
-    c = read(spark, sf, "conversations").select("conv_id", "turn", F.slice(F.split("text", r"\s+"), 1, 12).alias("ws"))
-    mass = F.exp(-F.col("turn") / 2)
-    w = c.select("conv_id", mass.alias("m"), F.posexplode("ws").alias("slot", "word"))
-    share = w.groupBy("conv_id", "slot", "word").agg(F.sum("m").alias("m"))
-    return share.select("conv_id", "slot", "word", F.round(F.col("m") / F.sum("m").over(W.partitionBy("conv_id", "slot")), 6).alias("p"))
+    """Alternatives of each slot of a conversation's turns with their share of the beams' softmax mass. All words of each turn are aligned to the first turn with words; slots are its words and the boundaries where a turn inserts some, and "" is the turns that have none there."""
+    c = read(spark, sf, "conversations").select("conv_id", "turn", X.words(F.col("text")).alias("ws"))
+    own = c.groupBy("conv_id").agg(F.min("turn").alias("first"), F.min(F.when(F.size("ws") > 0, F.struct("turn", "ws")))["ws"].alias("anchor"))
+    beams = c.join(own, "conv_id").withColumn("m", F.exp((F.col("first") - F.col("turn")) / 2))
+    total = beams.groupBy("conv_id").agg(F.sum("m").alias("mass"), F.count("*").alias("beams"))
+    w = beams.where("anchor is not null").select("conv_id", "m", F.explode(X.aligned_slots(F.col("anchor"), F.col("ws"))).alias("x")).select("conv_id", "m", "x.*")
+    said = w.groupBy("conv_id", "kind", "slot", "word").agg(F.sum("m").alias("m"), F.count("*").alias("n"))
+    rest = said.groupBy("conv_id", "kind", "slot").agg(F.sum("m").alias("m"), F.sum("n").alias("n")).join(total, "conv_id").where("n < beams")
+    share = said.join(total, "conv_id").select("conv_id", "kind", "slot", "word", (F.col("m") / F.col("mass")).alias("p"))
+    none = rest.select("conv_id", "kind", "slot", F.lit("").alias("word"), F.greatest(1 - F.col("m") / F.col("mass"), F.lit(0.0)).alias("p"))
+    return share.unionByName(none).withColumn("p", F.round("p", 6))
 
 
 @query("q_block_coverage", f"WITH {SPANS_SQL}, g AS (SELECT gid, f AS frame, f * 4.0 AS t FROM (SELECT DISTINCT gid FROM spans), range(200) r(f)), h AS (SELECT g.gid, frame // 25 AS block, max(CASE WHEN s.ord IS NULL THEN 0 ELSE 1 END) AS y FROM g LEFT JOIN spans s ON s.gid = g.gid AND t >= s.start AND t < s.\"end\" GROUP BY g.gid, frame) SELECT gid, block, sum(y)::BIGINT AS covered FROM h GROUP BY ALL")

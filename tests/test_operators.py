@@ -227,6 +227,31 @@ def test_word_distance_of_long_turns(spark, tmp_path):
     assert [tuple(r) for r in catalog.queries()["q_word_distance"](spark, str(tmp_path)).collect()] == [(1, 0, 2, 149)]
 
 
+def test_aligned_words():
+    assert text.align_words(["a", "B", "c"], ["x", "b", "y", "z", "c", "d"]) == (["x", "b", "c"], ["", "", "y z", "d"])
+    assert text.align_words([], ["a", "b"]) == ([], ["a b"]) and text.align_words(["a"], []) == ([""], ["", ""])
+    rng = random.Random(6)
+    for _ in range(200):
+        x, y = ([rng.choice("abcA") for _ in range(rng.randrange(9))] for _ in range(2))
+        values, phrases = text.align_words(x, y)
+        both = [w for k in range(len(x) + 1) for w in (*phrases[k].split(), *values[k : k + 1]) if w]
+        cost = sum(v.casefold() != w.casefold() for v, w in zip(values, x, strict=True)) + sum(len(p.split()) for p in phrases)
+        assert both == y and cost == text.edits_and_common([w.casefold() for w in x], [w.casefold() for w in y])[0]
+
+
+def test_confusion_slots_of_whole_turns(spark, tmp_path):
+    from chronoloom.plans import catalog
+
+    words = [f"w{k}" for k in range(30)]
+    rows = [(1, 0, "user", " "), (1, 1, "user", " ".join(words)), (1, 2, "bot", " ".join(["oh", *words[:20], "X", *words[21:]])), (2, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {(r["conv_id"], r["kind"], r["slot"], r["word"]): r["p"] for r in catalog.queries()["q_confusion_slots"](spark, str(tmp_path)).collect()}
+    m = [math.exp(-k / 2) / sum(math.exp(-j / 2) for j in range(3)) for k in range(3)]
+    expected = {(1, "word", k, w): m[1] + m[2] for k, w in enumerate(words)} | {(1, "word", k, ""): m[0] for k in range(30)}
+    expected |= {(1, "word", 20, "w20"): m[1], (1, "word", 20, "X"): m[2], (1, "insert", 0, "oh"): m[2], (1, "insert", 0, ""): m[0] + m[1]}
+    assert found == {k: pytest.approx(v, abs=2e-6) for k, v in expected.items()}
+
+
 def test_calibration_keeps_probabilities_off_the_ends(spark):
     rows = [(0.0, 1), (1.0, 1), (0.25, 0), (0.35, 1)]  # each has a bin of its own
     got = M.calibration(frame(spark, rows, "p double, y int"), F.col("p"), F.col("y")).first()
