@@ -222,13 +222,18 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
 
 
+def _linked(fingerprints: DataFrame, limit: int | None) -> DataFrame:
+    """(node, root) for the distinct fingerprints that are near another one."""
+    if limit is None:
+        limit = max(LIMIT, 8 * fingerprints.count() >> BLOCKS[1][1])
+    return components(links(fingerprints, limit))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int | None = None) -> DataFrame:
     """One row per text: key, fingerprint (16 hexadecimal digits), component_id (smallest key of the component)."""
     prints = stored(docs.select(F.col(key), simhash(F.col(text)).alias("fp")), "fingerprints")
     least = stored(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct-fingerprints")
-    if limit is None:
-        limit = max(LIMIT, 8 * least.count() >> BLOCKS[1][1])
-    found = components(links(least.select("fp"), limit))
+    found = _linked(least.select("fp"), limit)
     rooted = least.join(found, least["fp"] == found["node"]).groupBy("root").agg(F.min("least").alias("component_id"))
     joined = found.join(rooted, "root").select(F.col("node").alias("fp"), "component_id")
     named = least.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
@@ -238,7 +243,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest key of each component; of rows that share it, one. Rows without a key stay."""
-    first = near_duplicates(docs, key, text).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first")).distinct()
-    kept = docs.join(first, F.col(key) == F.col("_first"), "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    """``docs`` with one row of each component: that of the smallest key, then of the smallest hash. Rows without a key come last in their component. Keys may repeat."""
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(*docs.columns).alias("hash"))
+    prints = stored(docs.select(row.alias("row"), simhash(F.col(text)).alias("fp")), "fingerprints")
+    least = stored(prints.groupBy("fp").agg(F.min("row").alias("row")), "distinct-fingerprints")
+    found = _linked(least.select("fp"), None)
+    first = least.join(found, least["fp"] == found["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("_row")).select("_row")
+    return docs.withColumn("_row", row).join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

@@ -311,6 +311,13 @@ def random_prints(n=3000, seed=5):
     return np.array(sorted(out), dtype=np.uint64)
 
 
+def test_one_of_each_with_equal_and_missing_keys(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in ("alpha", "beta", "gamma", "delta"))
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, c), (None, c), (3, d), (3, d), (0, None)]
+    kept = [tuple(r) for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, c), (3, d), (0, None)], key=str)
+
+
 def test_trie_walk_finds_every_pair():
     values = random_prints(900)
     i, j = simhash.linked_pairs(values, np.array([0, len(values)]), np.array([0]))
