@@ -1,29 +1,39 @@
 """Substring duplicates by content-defined chunking with a gear rolling hash.
 
-The gear hash of a byte is the shifted sum of random numbers of the last 8 bytes.
-A word may begin a chunk if the hash just before it is the least of ``REACH``
-neighbouring words'; every run of so many words has such a cut, so chunks are
-variable but bounded, and a cut depends on the text near it alone: an insertion
-moves cuts around it and no others. The hash of all bytes is found by doubling:
-sums over 2, 4, then 8 bytes.
-
-Chunks are small, and one alone says little. Each is taken with the chunks after
-it, ``CHUNKS`` together, and these variable stretches are deduplicated by digest.
-Stretches found in more than one text are united into spans, and spans of at
-least ``SPAN_WORDS`` words are reported. A shared passage has its first common
-cut at most about ten words from its begin and its last at most eight from its
-end, so one of over 50 words shows at least ``SPAN_WORDS``; one of under
-``SPAN_WORDS`` never does.
+A text is a sequence of words. The gear hash of a boundary between words is the
+shifted sum of random numbers, one for each of the last ``HASHED_WORDS`` words. A
+boundary is a cut if its hash is the least of ``REACH`` neighbouring ones, so
+chunks between cuts have 1 to ``REACH`` words. A cut depends on the words near it
+alone: an insertion moves the cuts around it and no others.
+
+A chunk of a few words says little, so its digest covers the ``LEAD`` words
+before it as well. Chunks are deduplicated by digest. An equal digest by itself
+is a run of ``LEAD + 1`` to ``LEAD + REACH`` equal words (43 to 47), so no run
+under 43 words is ever reported, whatever stands next to it. A run of ``LEAD + 2
+* REACH - 1`` words (51) or more is always found: its boundaries from ``LEAD`` to
+``LEAD + REACH - 1`` hold a common cut, and the next cut, at most ``REACH``
+further, lies inside the run and is the same in both texts. Both hold for words
+of any length; digests have 64 bits.
 
 A first pass counts in how many texts a digest stands, and the smallest key that
 has it; it aggregates before it shuffles. A second pass sends the places of all
-stretches to these counts and keeps those that occur again. Digests have 64 bits:
-a chance pair of equal digests marks one stretch, and a reported span needs
-several that adjoin.
-
-Null and empty texts have no spans. Texts are told apart by key and a hash of the
-text. Rows repeated with their key count as texts that share everything; all of
-them carry the smallest key and so are first. Offsets are code points.
+chunks to these counts and keeps those that occur again. A span is a stretch of
+overlapping chunks of one text that all have the same first holder, so every
+chunk of it stands in that one text; spans with different first holders may
+overlap. Only spans whose first holder is another text are cut out by
+``without_repeats``: each word cut stands, inside the same chunk, in a text with
+a smaller key, so following the keys down, one copy of every word stays.
+
+Null and empty texts have no spans, nor have texts of ``LEAD`` words or fewer.
+Words compare with their case, whitespace between them doesn't count. A passage
+that a single text repeats is no repeat. Texts are told apart by key and a hash
+of the text. Rows repeated with their key count as texts that share everything;
+all of them carry the smallest key and so are first. Rows without a key are
+never the first holder of what a row with a key has; what only they hold stays
+in all of them. Very long texts are read whole, in memory of a few dozen bytes a
+word. Columns other than key and text are carried along untouched, whatever
+their names; ``hash`` in the result of ``repeats`` is that of the text. Offsets
+are code points.
 """
 
 from __future__ import annotations
@@ -35,28 +45,33 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from chronoloom.llm.shared import arrow_function, stored
+from chronoloom.llm.shared import arrow_function, stored, unused
 
-#: Bytes under the hash, words of which one begins a chunk, chunks of a stretch, words of a reported span.
-HASHED_BYTES, REACH, CHUNKS, SPAN_WORDS = 8, 8, 4, 34
+#: Words under the gear hash, boundaries of which one is a cut, words before a chunk that its digest covers too.
+HASHED_WORDS, REACH, LEAD = 4, 5, 42
 
-GEAR = np.random.default_rng(2026).integers(0, 1 << 16, 256, dtype=np.uint16)
+GEAR = np.random.default_rng(2026).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, *range(9, 14)]] = True
 
+#: An odd number and its inverse modulo 2 ** 64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
 #: Offsets and word numbers travel as the halves of one number each.
-STRETCH = "struct<digest:bigint,place:bigint,words:bigint>"
+CHUNK = "struct<digest:bigint,place:bigint,words:bigint>"
+SPAN = "struct<start:int,end:int,n_words:bigint,n_texts:bigint>"
+SPAN_ARROW = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int64()), ("n_texts", pa.int64())])
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """Gear hash at each byte: the sum over k < 8 of GEAR[byte k places back] << k, in 16 bits."""
-    h = GEAR[data]
+def gear(tokens: np.ndarray) -> np.ndarray:
+    """Gear hash after each word: the sum over k < HASHED_WORDS of GEAR[word k places back] << k, found by doubling."""
+    h = GEAR[tokens & np.uint64(0xFFFF)]
     step = 1
-    while step < HASHED_BYTES:
+    while step < HASHED_WORDS:
         moved = np.zeros_like(h)
-        moved[step:] = h[:-step] << np.uint16(step)
+        moved[step:] = h[:-step] << np.uint32(step)
         h = h + moved
         step *= 2
     return h
@@ -67,29 +82,44 @@ def cuts(hashes: np.ndarray) -> np.ndarray:
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64)
-    ranked = hashes.astype(np.int64) << 32 | np.arange(n)
+    ranked = hashes.astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64)
     least = np.lib.stride_tricks.sliding_window_view(ranked, min(REACH, n)).min(axis=1)
-    return np.unique(least & 0xFFFFFFFF)
+    # the least of a window never moves back
+    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** n modulo 2 ** 64."""
+    out = np.full(n + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_short = 1 << 12
+_up, _down = powers(BASE, _short), powers(INVERSE, _short)
 
 
-def stretches(text: str | None) -> dict[str, np.ndarray]:
-    """Stretches of a text: byte offsets, words, number of the first word."""
-    raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-    space = SPACES[raw]
-    begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(raw) else np.zeros(0, np.int64)
-    if not len(begins):
-        return {k: np.zeros(0, np.int64) for k in ("start", "end", "words", "first_word")}
-    ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
-    before = np.concatenate([[0], gear(raw)])[begins]
-    bound = np.unique(np.concatenate([[0], cuts(before), [len(begins)]]))
-    k = min(CHUNKS, len(bound) - 1)
-    first, last = bound[:-k], bound[k:]
-    return {"start": begins[first], "end": ends[last - 1], "words": last - first, "first_word": first}
+def digests(tokens: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """64-bit digests of the word ranges [first, past): differences of a polynomial's running sums, brought to a common power."""
+    n = len(tokens)
+    up, down = (_up[: n + 1], _down[: n + 1]) if n <= _short else (powers(BASE, n), powers(INVERSE, n))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * up[:n], dtype=np.uint64)])
+    return ((total[past] - total[first]) * down[first]).view(np.int64)
 
 
-def _digests(raw: bytes, s: dict[str, np.ndarray]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(raw[a:b]) for a, b in zip(s["start"].tolist(), s["end"].tolist(), strict=True)], dtype=np.uint64).view(np.int64)
+def chunks(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of a text, each with its lead: digest, number of the first word, number past the last word."""
+    own = (text or "").encode().split()
+    n = len(own)
+    if n <= LEAD:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    tokens = np.fromiter(map(xxhash.xxh3_64_intdigest, own), dtype=np.uint64, count=n)
+    at = cuts(gear(tokens)) + 1  # the hash after word k is that of the boundary before word k + 1
+    bound = np.concatenate([[LEAD], at[(at > LEAD) & (at < n)], [n]])  # a text's first lead ends a chunk, its end does too
+    first, past = bound[:-1] - LEAD, bound[1:]
+    return digests(tokens, first, past), first, past
 
 
 def _lists(parts: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
@@ -98,36 +128,56 @@ def _lists(parts: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
 
 @arrow_function("array<bigint>")
 def distinct_digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Distinct digests of a text's stretches."""
+    """Distinct digests of a text's chunks."""
     for texts in batches:
-        out = []
-        for t in texts:
-            text = t.as_py()
-            out.append(np.unique(_digests((text or "").encode(), stretches(text))))
-        ends, flat = _lists(out)
+        ends, flat = _lists([np.unique(chunks(t.as_py())[0]) for t in texts])
         yield pa.ListArray.from_arrays(ends, pa.array(flat))
 
 
-@arrow_function(f"array<{STRETCH}>")
+@arrow_function(f"array<{CHUNK}>")
 def placed_digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Stretches with digest, code point offsets (start, end) and words (first, number)."""
+    """Chunks with digest, code point offsets (start, end) and words (first, number)."""
     for texts in batches:
-        digests, places, numbers = [], [], []
+        held, places, numbers = [], [], []
         for t in texts:
             text = t.as_py()
-            raw, s = (text or "").encode(), stretches(text)
-            start, end = s["start"], s["end"]
-            digests.append(_digests(raw, s))
-            if text and len(raw) != len(text):
-                chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)])
-                start, end = chars[start], chars[end]
-            places.append(start.astype(np.int64) << 32 | end)
-            numbers.append(s["first_word"].astype(np.int64) << 32 | s["words"])
-        ends, flat = _lists(digests)
+            digest, first, past = chunks(text)
+            held.append(digest)
+            if not len(digest):
+                continue
+            raw = np.frombuffer(text.encode(), dtype=np.uint8)
+            space = SPACES[raw]
+            begin = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))[first]
+            end = np.flatnonzero(~space & np.concatenate([space[1:], [True]]))[past - 1] + 1
+            if len(raw) != len(text):
+                chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                begin, end = chars[begin], chars[end]
+            places.append(begin.astype(np.int64) << 32 | end)
+            numbers.append(first.astype(np.int64) << 32 | (past - first))
+        ends, flat = _lists(held)
         rows = pa.StructArray.from_arrays([pa.array(flat), pa.array(_lists(places)[1]), pa.array(_lists(numbers)[1])], ["digest", "place", "words"])
         yield pa.ListArray.from_arrays(ends, rows)
 
 
+@arrow_function(f"array<{SPAN}>")
+def united(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Spans of sorted chunks; one ends where the next chunk begins past it."""
+    for rows in batches:
+        flat, sizes = rows.flatten(), np.diff(rows.offsets.to_numpy())
+        first, past, start, end, n_texts = (flat.field(k).to_numpy() for k in range(5))
+        if not len(first):
+            yield pa.array([[]] * len(rows), pa.list_(SPAN_ARROW))
+            continue
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        # chunks are sorted by their first words and so, in a text, by their last ones
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (first[1:] > past[:-1])])
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(first)) - 1
+        ends = np.concatenate([[0], np.cumsum(np.bincount(group[at], minlength=len(sizes)))])
+        columns = [start[at], end[last], (past[last] - first[at]).astype(np.int64), np.maximum.reduceat(n_texts, at)]
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SPAN_ARROW, strict=True)], fields=list(SPAN_ARROW)))
+
+
 def _high(c: str):
     return F.shiftright(c, 32).cast("int")
 
@@ -136,43 +186,46 @@ def _low(c: str):
     return F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span_words: int = SPAN_WORDS) -> DataFrame:
-    """Spans that stand in more than one text, one row each: key, start, end, n_words, n_texts (most texts that share a part), first_id (smallest key that has a part), first (this text has it)."""
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Spans that stand in more than one text, one row each: key, hash, start, end, n_words, n_texts (most texts that share a chunk of it), first_id (smallest key among those that have it), first (this text has it)."""
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     counted = own.select("key", F.explode(distinct_digests(F.col("text"))).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_texts"), F.min("key").alias("first_id")).where("n_texts > 1")
     # written, so that adaptive execution may split the join below where a passage stands in very many texts
     counted = stored(counted, "repeated-digests")
     places = own.select("key", F.hash("text").alias("hash"), F.explode(placed_digests(F.col("text"))).alias("s")).select("key", "hash", "s.*")
     shared = places.join(counted, "digest").select("key", "hash", _high("place").alias("start"), _low("place").alias("end"), _high("words").alias("first_word"), (_high("words") + _low("words")).alias("past_word"), "n_texts", "first_id")
-    # a window holds the stretches of one text
-    by_text = W.partitionBy("key", "hash").orderBy("first_word", "past_word")
-    reached = F.max("past_word").over(by_text.rowsBetween(W.unboundedPreceding, -1))
-    marked = shared.withColumn("new", F.coalesce(F.col("first_word") > reached, F.lit(True)).cast("int"))
-    spans = marked.withColumn("span", F.sum("new").over(by_text.rowsBetween(W.unboundedPreceding, 0))).groupBy("key", "hash", "span").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("past_word") - F.min("first_word")).cast("long").alias("n_words"), F.max("n_texts").alias("n_texts"), F.min("first_id").alias("first_id")
-    )
-    return spans.where(F.col("n_words") >= span_words).select(F.col("key").alias(key), "hash", "start", "end", "n_words", "n_texts", "first_id", F.col("first_id").eqNullSafe(F.col("key")).alias("first"))
+    # one group is the chunks of one text with one first holder; the set takes repeated rows once, before the shuffle too
+    place = F.struct("first_word", "past_word", "start", "end", "n_texts")
+    held = shared.groupBy("key", "hash", "first_id").agg(F.collect_set(place).alias("chunks"))
+    spans = held.select("key", "hash", "first_id", F.explode(united(F.array_sort("chunks"))).alias("s"))
+    return spans.select(F.col("key").alias(key), "hash", "s.*", "first_id", F.col("first_id").eqNullSafe(F.col("key")).alias("first"))
 
 
 @arrow_function("string")
 def cut_out(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """Text without the given spans."""
+    """Text without the given spans, which may overlap."""
     for texts, spans in batches:
         out = []
         for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-            for s in sorted(own or (), key=lambda s: -s["start"]):
-                text = text[: s["start"]] + text[s["end"] :]
+            if own:
+                parts, past = [], 0
+                for s in sorted(own, key=lambda s: s["start"]):
+                    parts.append(text[past : max(past, s["start"])])
+                    past = max(past, s["end"])
+                text = "".join([*parts, text[past:]])
             out.append(text)
         yield pa.array(out, pa.string())
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span_words: int = SPAN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with each repeated span left only in the text that has it first."""
-    later = repeats(docs, key, text, span_words).where("not first")
-    per_text = later.groupBy(F.col(key).alias("_key"), F.col("hash").alias("_hash")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    joined = docs.join(per_text, docs[key].eqNullSafe(per_text["_key"]) & (F.hash(docs[text]) == per_text["_hash"]), "left")
-    return joined.withColumn(text, cut_out(F.col(text), F.col("_spans"))).drop("_key", "_hash", "_spans")
+    later = repeats(docs, key, text).where("not first")
+    k, h, s = unused(docs, "key", "hash", "spans")
+    per_text = later.groupBy(F.col(key).alias(k), F.col("hash").alias(h)).agg(F.collect_list(F.struct("start", "end")).alias(s))
+    joined = docs.join(per_text, docs[key].eqNullSafe(per_text[k]) & (F.hash(docs[text]) == per_text[h]), "left")
+    return joined.withColumn(text, cut_out(F.col(text), F.col(s))).select(*docs.columns)
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per span, as ``repeats`` gives them: key, start, end, n_words, n_texts, first_id, first."""
     return repeats(docs, key, text).drop("hash")
