@@ -1,16 +1,16 @@
 """Byte-level BPE encoding and decoding.
 
 A text is cut by the tokenizer's pattern. Each piece is merged on its own: a
-segment tree over the byte positions holds the rank of the pair that starts at
-each live position, its root gives the smallest rank and a walk down finds the
-leftmost position with it. A merge changes the pairs at the merged position and
-its left neighbour and clears the swallowed position, which are three point
-updates of logarithmic cost, so a piece of n bytes takes O(n log n). A leaf of
-the tree covers a few neighbouring positions; a short piece has just one.
-
-Null text encodes as the empty text: no ids, empty bytes. Repeated rows are
-encoded like any other. Only the text column is read, so other columns with any
-name are harmless.
+segment tree over the byte positions holds, for each live position, the rank of
+the pair that starts there together with the position, so its root is the
+leftmost pair of the least rank. A merge changes the pairs at the merged
+position and its left neighbour and clears the swallowed position, which are
+three point updates of logarithmic cost, so a piece of n bytes takes O(n log n).
+Every piece that isn't a token itself goes through the tree, whatever its length.
+
+Null text encodes as the empty text: no ids, empty bytes. Very long texts are
+encoded whole. Repeated rows are encoded like any other. Only the text column is
+read; of columns with the names of results, ``with_tokens`` replaces ``ids``.
 """
 
 from __future__ import annotations
@@ -30,10 +30,9 @@ CACHE_PIECES = 300_000
 #: Longer pieces are rarely seen again and are not remembered.
 CACHE_PIECE_CHARS = 64
 
-NONE = 1 << 40
-#: Byte positions under a leaf of the segment tree, which keeps their least rank.
-LEAF_BITS = 4
-LEAF = 1 << LEAF_BITS
+#: A node of the tree is rank * 2 ** 32 + position; this one stands for no pair.
+NONE = 1 << 62
+POSITION = (1 << 32) - 1
 #: Code points below this are Latin letters, digits and signs.
 LATIN = 0x250
 
@@ -49,40 +48,43 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n, get = len(piece), ranks.get
-    lows = [get(piece[i : i + 2], NONE) for i in range(n - 1)]
-    lows.append(NONE)
+    width = 1 << (n - 1).bit_length()
+    tree = [NONE] * (2 * width)
+    for i in range(n - 1):
+        if (rank := get(piece[i : i + 2])) is not None:
+            tree[width + i] = rank << 32 | i
+    for node in range(width - 1, 0, -1):
+        left, right = tree[2 * node], tree[2 * node + 1]
+        tree[node] = left if left < right else right
     after = list(range(1, n + 1))  # where the token at a live position ends
     before = list(range(-1, n - 1))  # the live position on its left
-    width = 1 << (max(0, n - 1) >> LEAF_BITS).bit_length()  # leaves of the tree, each over 2 ** LEAF_BITS positions
-    tree: list[int] = []
-    if width > 1:
-        tree = [NONE] * width + [min(lows[k : k + LEAF], default=NONE) for k in range(0, width * LEAF, LEAF)]
-        for node in range(width - 1, 0, -1):
-            tree[node] = min(tree[2 * node], tree[2 * node + 1])
-
-    while (low := tree[1] if tree else min(lows)) != NONE:
-        node = 1
-        while node < width:
-            node *= 2
-            if tree[node] != low:
-                node += 1
-        i = lows.index(low, (node - width) << LEAF_BITS)
+
+    def put(at: int, value: int) -> None:
+        node = width + at
+        tree[node] = value
+        while node > 1:
+            other = tree[node ^ 1]
+            if other < value:
+                value = other
+            node >>= 1
+            if tree[node] == value:
+                return
+            tree[node] = value
+
+    while (least := tree[1]) != NONE:
+        i = least & POSITION
         gone = after[i]
         end = after[i] = after[gone]
-        lows[gone] = NONE
+        put(gone, NONE)
         if end < n:
             before[end] = i
-            lows[i] = get(piece[i : after[end]], NONE)
+            rank = get(piece[i : after[end]])
+            put(i, NONE if rank is None else rank << 32 | i)
         else:
-            lows[i] = NONE
+            put(i, NONE)
         if (left := before[i]) >= 0:
-            lows[left] = get(piece[left:end], NONE)
-        if tree:
-            for at in {i >> LEAF_BITS, gone >> LEAF_BITS, max(left, 0) >> LEAF_BITS}:
-                node = width + at
-                tree[node] = min(lows[at << LEAF_BITS : (at + 1) << LEAF_BITS])
-                while node := node >> 1:
-                    tree[node] = min(tree[2 * node], tree[2 * node + 1])
+            rank = get(piece[left:end])
+            put(left, NONE if rank is None else rank << 32 | left)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
