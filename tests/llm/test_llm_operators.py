@@ -178,10 +178,10 @@ def brute_contamination(own, items):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 2000])
-def test_contamination_brute(spark, sf, docs, block_bytes):
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 2000])
+def test_contamination_brute(spark, sf, docs, block_words):
     items = table(spark, sf, "benchmark")
-    same(decontaminate.report(docs, items, block_bytes=block_bytes).collect(), brute_contamination(texts(docs), [tuple(r) for r in items.select("item_id", "text").collect()]))
+    same(decontaminate.report(docs, items, block_words=block_words).collect(), brute_contamination(texts(docs), [tuple(r) for r in items.select("item_id", "text").collect()]))
 
 
 def test_contamination_edges(spark, edge, empty):
@@ -192,6 +192,23 @@ def test_contamination_edges(spark, edge, empty):
     assert decontaminate.report(empty, bench).collect() == []
 
 
+def test_windows_equal_all_windows():
+    rng = np.random.default_rng(11)
+    few = lambda n: " ".join("abcd"[k] for k in rng.integers(0, 4, n))
+    runs = [few(n) for n in (40, 60, 25)]
+    cut = lambda: " ".join(runs[rng.integers(3)].split()[rng.integers(0, 20) :][: rng.integers(1, 40)])
+    items = [(k, cut()) for k in range(60)] + [(100 + k, few(rng.integers(5, 30))) for k in range(30)]
+    own = [(k, f"{few(rng.integers(0, 9))} x {cut()} y {cut()}") for k in range(300)]
+    machine = decontaminate.Machine([(str(i), t) for i, t in items])
+    found = []
+    for k, t in own:
+        n, hits, those = decontaminate.scan(machine, t)
+        names = sorted({str(items[x][0]) for x in those})
+        found.append((k, n, len(hits), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hits) and 20 * len(hits) >= n))
+    assert found == brute_contamination(own, items)
+    assert len(machine.lengths) < sum(len(t.split()) for _, t in items) / 3
+
+
 def test_contamination_offsets(edge, spark):
     bench = spark.createDataFrame([(7, "Dupont exemple"), (8, "serveur 10 0 0 1")], "item_id bigint, text string")
     rows = decontaminate.contamination(edge, bench).where("size(contamination.hits) > 0").collect()
