@@ -8,22 +8,25 @@ budget, or when one side is empty.
 
 The tries are dealt over the cluster by pigeonhole: fingerprints that differ in
 at most 2 of 64 bits agree on at least one of three blocks of bits. For each
-block the fingerprint is rotated so that this block leads; the block's value is
-the trie's root path, on which no bit may differ, and keys the shuffle. One task
-walks many tries at once, level by level, in numpy.
+block the fingerprint's bits are ordered so that this block leads; the block's
+value is the trie's root path, on which no bit may differ, and keys the shuffle.
+One task walks many tries at once, level by level, in numpy.
 
-A trie with more than ``limit`` fingerprints is not walked: its members are
-passed on and joined exactly in another way. Two fingerprints differ in at most
-2 bits just if both lie within 1 bit of some common value, so each one is sent
-to itself and its 64 neighbours; a value meets at most 65 fingerprints, however
-many documents there are, and all it meets are linked.
+A trie with more than ``limit`` fingerprints is dealt again in the same way: the
+budget goes down to the bits that its members need not share, which are cut into
+three blocks, so every pair still meets in a trie of one of them. Members of
+large tries are counted before they are shuffled and never pass through one task.
+With ``LAST_BITS`` free bits a trie has few members and is walked in any case.
 
 Links become components by alternating large-star and small-star steps, each
 written to the shared folder. Neither links nor fingerprints reach the driver.
 
-Null and empty texts have fingerprint zero and are linked like any other. A null
-key takes part and gets its component's smallest key. Rows that share a key
-belong together only if their fingerprints link.
+Null and empty texts have fingerprint zero and are linked like any other. Very
+long texts are read whole. A null key takes part and gets its component's
+smallest key. Repeated rows have equal results, and ties don't arise, as a
+fingerprint has one component. Rows that share a key belong together only if
+their fingerprints link. Other columns are not read; ``one_of_each`` carries
+them along whatever their names.
 """
 
 from __future__ import annotations
@@ -36,13 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.shared import arrow_function, stored
+from chronoloom.llm.shared import arrow_function, stored, unused
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
-#: (bits before the block, bits of the block)
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-#: A trie of more fingerprints goes the other way; grows with the number of fingerprints.
+#: Blocks into which free bits are cut, one more than the budget.
+BLOCKS = BUDGET + 1
+#: A trie of more fingerprints is dealt again; more for very large corpora, whose tries of a first block all have more.
 LIMIT = 4096
+#: A trie with so few free bits is walked whatever its size, which they bound.
+LAST_BITS = 12
 #: Tries walked together hold about so many fingerprints.
 TOGETHER = 16_384
 _SLICE = 1 << 16
@@ -133,73 +138,94 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _walk(limit: int):
-    """Rows (block, key, value, fp) sorted by block, key and value to links (kind 0: u with its root v) and members of too large tries (kind 1: u)."""
-    schema = pa.schema([("kind", pa.int8()), ("u", pa.int64()), ("v", pa.int64())])
-
-    def out(kind: int, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int8)), pa.array(u), pa.array(v)], schema=schema)
-
-    def links(block: np.ndarray, key: np.ndarray, value: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        new = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (key[1:] != key[:-1])]))
-        depth = np.array([w for _, w in BLOCKS])[block[new]]
-        i, j = linked_pairs(value.view(np.uint64), np.append(new, len(fp)), depth)
+def bits_of(path: int) -> tuple[list[int], list[int]]:
+    """Bits, from 0 on the left, that the tries of a path share, and the free ones. A path is 1, then a digit below BLOCKS for the block chosen at each dealing."""
+    shared, free, digits = [], list(range(64)), []
+    while path > 1:
+        path, digit = divmod(path, BLOCKS)
+        digits.append(digit)
+    for digit in reversed(digits):
+        at = [len(free) * k // BLOCKS for k in range(BLOCKS + 1)]
+        shared += free[at[digit] : at[digit + 1]]
+        free = free[: at[digit]] + free[at[digit + 1] :]
+    return shared, free
+
+
+def arranged(fp: np.ndarray, bits: list[int]) -> np.ndarray:
+    """Fingerprints with their bits in another order."""
+    out = np.zeros(len(fp), np.uint64)
+    k = 0
+    while k < len(bits):
+        n = 1
+        while k + n < len(bits) and bits[k + n] == bits[k] + n:
+            n += 1
+        run = (fp >> np.uint64(64 - bits[k] - n)) & np.uint64((1 << n) - 1)
+        out |= run << np.uint64(64 - k - n)
+        k += n
+    return out
+
+
+TRIES = "path int, key bigint, value bigint, fp bigint"
+TRIES_ARROW = pa.schema([("path", pa.int32()), ("key", pa.int64()), ("value", pa.int64()), ("fp", pa.int64())])
+
+
+def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, fp) to one row for each block of the path's free bits: its path, the shared bits as key, all bits in the trie's order."""
+    for batch in batches:
+        path, fp = (batch.column(k).to_numpy() for k in range(2))
+        for parent in np.unique(path).tolist():
+            own = fp[path == parent]
+            for block in range(BLOCKS):
+                child = parent * BLOCKS + block
+                shared, free = bits_of(child)
+                value = arranged(own.view(np.uint64), shared + free)
+                key = value >> np.uint64(64 - len(shared))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), child, np.int32)), pa.array(key.view(np.int64)), pa.array(value.view(np.int64)), pa.array(own)], schema=TRIES_ARROW)
+
+
+def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, key, value, fp) in order to links: u with its root v."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    depth_of: dict[int, int] = {}
+
+    def links(path: np.ndarray, key: np.ndarray, value: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        new = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (key[1:] != key[:-1])]))
+        for p in np.unique(path).tolist():
+            depth_of.setdefault(p, len(bits_of(p)[0]))
+        i, j = linked_pairs(value.view(np.uint64), np.append(new, len(fp)), np.array([depth_of[p] for p in path[new].tolist()]))
         root = roots(len(fp), i, j)
         at = np.flatnonzero(root != np.arange(len(fp)))
-        return out(0, fp[at], fp[root[at]])
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, t) for t in (np.int8, np.int64, np.int64, np.int64)]
-        large: tuple | None = None  # the trie that is being passed on
-        for batch in batches:
-            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            if large is not None:
-                stop = int(np.argmin((rows[0] == large[0]) & (rows[1] == large[1]))) if not ((rows[0] == large[0]) & (rows[1] == large[1])).all() else len(rows[0])
-                if stop:
-                    yield out(1, rows[3][:stop], rows[3][:stop])
-                rows = [x[stop:] for x in rows]
-                if not len(rows[0]):
-                    continue
-                large = None
-            held = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            while len(held[0]):
-                new = np.flatnonzero(np.concatenate([[True], (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])]))
-                last = int(new[-1])  # the trie of the last rows may go on
-                size = np.diff(np.append(new, len(held[0])))
-                if (size > limit).any():
-                    k = int(np.argmax(size > limit))
-                    a, b = int(new[k]), int(new[k] + size[k])
-                    if a:
-                        yield links(*(x[:a] for x in held))
-                    yield out(1, held[3][a:b], held[3][a:b])
-                    large = (held[0][a], held[1][a]) if b == len(held[0]) else None
-                    held = [x[b:] for x in held]
-                elif last >= TOGETHER:
-                    cut = int(new[np.searchsorted(new, TOGETHER, side="right") - 1]) or int(new[1])
-                    yield links(*(x[:cut] for x in held))
-                    held = [x[cut:] for x in held]
-                else:
-                    break
-        if len(held[0]):
-            yield links(*held)
-
-    return walk
+        return pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[root[at]])], schema=schema)
+
+    held = [np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int64)]
+    for batch in batches:
+        held = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(held)]
+        if len(held[0]) < TOGETHER:
+            continue
+        new = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
+        if len(new):  # the trie of the last rows may go on
+            yield links(*(x[: new[-1]] for x in held))
+            held = [x[new[-1] :] for x in held]
+    if len(held[0]):
+        yield links(*held)
 
 
 def links(fingerprints: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Links (u, v) between distinct fingerprints, enough to connect every component. fingerprints: one column ``fp``, distinct."""
-    rotated = lambda off: F.col("fp") if not off else F.shiftleft("fp", off).bitwiseOR(F.shiftrightunsigned("fp", 64 - off))
-    copies = F.array(*[F.struct(F.lit(k).cast("byte").alias("block"), F.shiftrightunsigned(rotated(off), 64 - width).alias("key"), rotated(off).alias("value")) for k, (off, width) in enumerate(BLOCKS)])
-    dealt = fingerprints.select("fp", F.explode(copies).alias("c")).select("c.block", "c.key", "c.value", "fp")
-    walked = stored(dealt.repartition("block", "key").sortWithinPartitions("block", "key", "value").mapInArrow(_walk(limit), "kind byte, u bigint, v bigint"), "simhash-links")
-    near = walked.where("kind = 0").select("u", "v")
-    large = walked.where("kind = 1").select("u").distinct()
-    if walked.where("kind = 1").isEmpty():
-        return near
-    around = F.expr("concat(array(u), transform(sequence(0, 63), k -> u ^ shiftleft(1L, k)))")
-    balls = large.select("u", F.explode(around).alias("centre"))
-    least = balls.groupBy("centre").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return near.unionByName(balls.join(least, "centre").where("u != v").select("u", "v").distinct())
+    left, found, free = fingerprints.select(F.lit(1).alias("path"), "fp"), None, 64
+    while True:
+        tries = left.mapInArrow(dealt, TRIES)
+        free -= free // BLOCKS
+        large = None
+        if free > LAST_BITS:
+            large = stored(tries.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > limit).drop("n"), "large-tries")
+            large = None if large.isEmpty() else large
+        small = tries if large is None else tries.join(large, ["path", "key"], "left_anti")
+        near = stored(small.repartition("path", "key").sortWithinPartitions("path", "key", "value").mapInArrow(walked, "u bigint, v bigint"), "simhash-links")
+        found = near if found is None else found.unionByName(near)
+        if large is None:
+            return found
+        left = stored(tries.join(large, ["path", "key"], "left_semi").select("path", "fp"), "large-tries")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,7 +251,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _linked(fingerprints: DataFrame, limit: int | None) -> DataFrame:
     """(node, root) for the distinct fingerprints that are near another one."""
     if limit is None:
-        limit = max(LIMIT, 8 * fingerprints.count() >> BLOCKS[1][1])
+        limit = max(LIMIT, 8 * fingerprints.count() >> 64 // BLOCKS)
     return components(links(fingerprints, limit))
 
 
@@ -248,5 +274,6 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     prints = stored(docs.select(row.alias("row"), simhash(F.col(text)).alias("fp")), "fingerprints")
     least = stored(prints.groupBy("fp").agg(F.min("row").alias("row")), "distinct-fingerprints")
     found = _linked(least.select("fp"), None)
-    first = least.join(found, least["fp"] == found["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("_row")).select("_row")
-    return docs.withColumn("_row", row).join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    name = unused(docs, "row")[0]
+    first = least.join(found, least["fp"] == found["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias(name)).select(name)
+    return docs.withColumn(name, row).join(first, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

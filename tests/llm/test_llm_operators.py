@@ -344,8 +344,17 @@ def test_trie_walk_finds_every_pair():
     assert len(i) == len(found)
 
 
+def test_paths_order_all_bits():
+    values = random_prints(50)
+    for path in (3, 5, 9, 17, 33, 100):
+        shared, free = simhash.bits_of(path)
+        assert sorted(shared + free) == list(range(64))
+        for x, y in zip(values.tolist(), simhash.arranged(values, shared + free).tolist(), strict=True):
+            assert f"{y:064b}" == "".join(f"{x:064b}"[k] for k in shared + free)
+
+
 @pytest.mark.parametrize("limit", [1, 40, 100_000])
-def test_components_by_both_ways(spark, limit):
+def test_components_of_tries_dealt_again(spark, limit):
     values = random_prints()
     frame = spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "fp bigint")
     found = {r["node"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in simhash.components(simhash.links(frame, limit)).collect()}
@@ -688,6 +697,20 @@ def test_terms_of_entities_in_one_or_two_texts(spark, broadcast_rows):
     assert not any({"surgeon", "aba"} & found[k] for k, _ in new) and not any(found[k] for k, _ in rows[5:])
 
 
+def test_context_equals_a_plain_search():
+    rng = np.random.default_rng(21)
+    for _ in range(300):
+        text = "".join(rng.choice(list("abc é.,7") + ["x" * 300, " " * 700], rng.integers(1, 60)))
+        a = int(rng.integers(0, len(text) + 1))
+        b = int(rng.integers(a, len(text) + 1))
+        words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text[:a])][::-1], [(m[0].lower(), m.start() + b, m.end() + b) for m in re.finditer(r"[^\W\d_]+", text[b:])]
+        expected = []
+        for side in words:
+            at = [k for k, (w, _, _) in enumerate(side) if len(w) >= 3][pii.CONTEXT_WORDS - 1 :][:1]
+            expected += side[: at[0] + 1] if at else side
+        assert list(pii.near(text, a, b)) == expected
+
+
 def test_context_keeps_its_long_words():
     words = [f"w{'x' * k}ord" for k in range(1, 12)]
     text = "a@b.org " + " of ".join(words)
