@@ -18,8 +18,11 @@ The disclosing pairs are counted. Up to ``broadcast_rows`` of them go to every
 task; more of them are joined to the documents by document and text.
 
 Null text counts as empty: no spans, redacted to null. Repeated rows get equal
-spans. Offsets are code points, ends exclusive. Spans of a kind don't overlap;
-spans of different kinds may, and redaction merges those.
+spans, and count as often as they occur. Very long texts are read whole. Of two
+entities that disclose one term's place the smaller number is named. Offsets are
+code points, ends exclusive. Spans of a kind don't overlap; spans of different
+kinds may, and redaction merges those. Other columns are carried along whatever
+their names, but for one with the name of ``out``, which is replaced.
 """
 
 from __future__ import annotations
@@ -34,11 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.shared import arrow_function, stored
+from chronoloom.llm.shared import arrow_function, stored, unused
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words of three letters or more on either side of a base span that may disclose it, with the shorter ones among them, and the code points searched for them.
-CONTEXT_WORDS, CONTEXT_CHARS = 8, 400
+#: Words of three letters or more on either side of a base span that may disclose it, with the shorter ones among them.
+CONTEXT_WORDS = 8
 THRESHOLD, BROADCAST_ROWS = 0.9, 200_000
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -116,15 +119,28 @@ def _touches(union: tuple[list[int], list[int]], start: int, end: int) -> bool:
 
 
 def near(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
-    """Terms (lower case, start, end) among the words around a span."""
-    low, high = max(0, start - CONTEXT_CHARS), min(len(text), end + CONTEXT_CHARS)
-    left = [m for m in _term.finditer(text, low, start) if m.start() > low or low == 0]
-    right = [m for m in _term.finditer(text, end, high) if m.end() < high or high == len(text)]
-    for words in (reversed(left), right):
+    """Terms (lower case, start, end) among the words around a span: up to the eighth long word on either side, however far it is."""
+
+    def before() -> Iterator[tuple[int, int]]:
+        stop, width = start, 512
+        while stop > 0:
+            low = max(0, stop - width)
+            words = [m.span() for m in _term.finditer(text, low, stop)]
+            if words and words[0][0] == low > 0:  # it may begin further left
+                del words[0]
+            yield from reversed(words)
+            if words:
+                stop, width = words[0][0], 512
+            elif low == 0:
+                return
+            else:  # no whole word so far
+                width *= 2
+
+    for spans in (before(), (m.span() for m in _term.finditer(text, end))):
         long = 0
-        for m in words:
-            yield m[0].lower(), m.start(), m.end()
-            long += m.end() - m.start() >= 3
+        for a, b in spans:
+            yield text[a:b].lower(), a, b
+            long += b - a >= 3
             if long == CONTEXT_WORDS:
                 break
 
@@ -224,10 +240,11 @@ def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", out: st
         for texts, rules in batches:
             yield pa.array([_spans(x.as_py(), _grouped(r.as_py())) for x, r in zip(texts, rules, strict=True)], SPAN_ARROW)
 
-    own = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.explode(pairs_of(F.col(text))).alias("_p")).select("_key", "_hash", F.col("_p.entity").alias("entity"), F.col("_p.term").alias("term")).distinct()
-    rules = own.join(telling.select("entity", "term"), ["entity", "term"]).groupBy("_key", "_hash").agg(F.collect_list(F.struct("entity", "term")).alias("_rules"))
-    joined = docs.join(rules, docs[key].eqNullSafe(rules["_key"]) & (F.xxhash64(docs[text]) == rules["_hash"]), "left")
-    return joined.withColumn(out, spans_by(F.col(text), F.col("_rules"))).drop("_key", "_hash", "_rules")
+    k, h, r = unused(docs, "key", "hash", "rules")
+    own = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.explode(pairs_of(F.col(text))).alias("p")).select("key", "hash", "p.entity", "p.term").distinct()
+    rules = own.join(telling.select("entity", "term"), ["entity", "term"]).groupBy(F.col("key").alias(k), F.col("hash").alias(h)).agg(F.collect_list(F.struct("entity", "term")).alias(r))
+    joined = docs.join(rules, docs[key].eqNullSafe(rules[k]) & (F.xxhash64(docs[text]) == rules[h]), "left")
+    return joined.withColumn(out, spans_by(F.col(text), F.col(r))).drop(k, h, r)
 
 
 @arrow_function("string")
@@ -249,13 +266,14 @@ def redacted(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with sanitised texts."""
-    return with_spans(docs, key, text, "_pii").withColumn(text, redacted(F.col(text), F.col("_pii"))).drop("_pii")
+    spans = unused(docs, "spans")[0]
+    return with_spans(docs, key, text, spans).withColumn(text, redacted(F.col(text), F.col(spans))).drop(spans)
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per text: key, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans."""
+    """One row per text: key, n_email, n_ip, n_card, n_phone, n_term, has_pii (a base span was found), base_sha256, spans."""
     found = with_spans(docs.select(key, text), key, text).select(key, "pii")
     base = F.filter("pii", lambda s: s["kind"] != "term")
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(key, *map(count, (*KINDS, "term")), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("pii")).alias("spans"))
+    return found.select(key, *map(count, (*KINDS, "term")), (F.size(base) > 0).alias("has_pii"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("pii")).alias("spans"))
