@@ -398,20 +398,54 @@ def test_shards(docs, spark):
     for rows_per_range in (250_000, 3):
         rows = sharding.shard(docs, rows_per_range=rows_per_range).collect()
         check_shards(texts(docs), rows, max(r["size"] for r in rows))
+        whole, _ = brute_homes(texts(docs))
+        assert all(len(s) == 1 for t, s in shards_of_groups(texts(docs), rows).items() if t in whole)
 
 
-def test_shards_split_a_hot_text(spark):
-    rows = [(k, "hot text") for k in range(900)] + [(1000 + k, f"text {k}" * (k % 7)) for k in range(900)]
-    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = sharding.shard(frame).collect()
-    check_shards(rows, found, 60)
-    assert len({r["shard"] for r in found if r["doc_id"] < 900}) > 1
-    small = defaultdict(set)
-    text = dict(rows)
+def shards_of_groups(rows, found):
+    text, out = defaultdict(set), defaultdict(set)
+    for i, t in rows:
+        text[i].add(t or "")
     for r in found:
-        if r["doc_id"] >= 1000:
-            small[text[r["doc_id"]]].add(r["shard"])
-    assert all(len(s) == 1 for t, s in small.items() if t)
+        for t in text[r["doc_id"]]:
+            out[t].add(r["shard"])
+    return out
+
+
+def brute_homes(rows, shards=8):
+    """Groups that must be whole: largest first, each on the emptiest shard if it fits there."""
+    size = Counter()
+    for _, t in rows:
+        size[t or ""] += len((t or "").encode()) + 1
+    total, load, whole = size.total(), [0] * shards, set()
+    for t, n in sorted(size.items(), key=lambda x: -x[1]):
+        if n <= total / shards * sharding.LARGE:
+            whole.add(t)
+        elif min(load) + n <= total / shards:
+            load[load.index(min(load))] += n
+            whole.add(t)
+    return whole, total / shards
+
+
+@pytest.mark.parametrize("sizes", [[900], [1200, 300, 250], [500] * 9, [40] * 12 + [600]])
+@pytest.mark.parametrize("rows_per_range", [250_000, 10])
+def test_shards_keep_groups_that_fit(spark, sizes, rows_per_range):
+    rows = [(1_000_000 * (g + 1) + k, f"hot text {g:03d}") for g, n in enumerate(sizes) for k in range(n)] + [(100_000 + k, f"text {k:06d}") for k in range(900)]
+    rows += [(200_000 + k, None if k % 2 else "") for k in range(300)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), rows_per_range=rows_per_range).collect()
+    whole, fair = brute_homes(rows)
+    check_shards(rows, found, 2 * sharding.LARGE * fair + 20)
+    split = {t for t, s in shards_of_groups(rows, found).items() if len(s) > 1}
+    size = Counter(t or "" for _, t in rows)
+    # of groups of one size any may be the one that no longer fits
+    torn, loose = Counter((size[t], len(t)) for t in split), Counter((size[t], len(t)) for t in set(size) - whole)
+    assert torn <= loose
+
+
+def test_shards_of_equal_rows(spark):
+    rows = [(None, "same")] * 400 + [(7, "same")] * 300 + [(k, f"text {k}") for k in range(100)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), rows_per_range=20).collect()
+    check_shards(rows, found, 20)
 
 
 def test_shards_edges(edge, empty):
