@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the shared folder; a local session without one gets its own."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chronoloom-"))
-    return df.checkpoint()
+from chronoloom.storage import drop, stored
 
 
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, block_rows: int = 5000, key: str = "vec_id", vector: str = "embedding", side: str = "both") -> DataFrame:
@@ -84,7 +74,7 @@ def nearest_of_all(items: DataFrame, k: int, block_rows: int = 2000, key: str =
     """
     blocks = max(1, -(-items.count() // block_rows))
     row = F.struct(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
-    packed = cut(items.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), row.alias("row")).groupBy("block").agg(F.collect_list("row").alias("rows")))
+    packed = stored(items.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), row.alias("row")).groupBy("block").agg(F.collect_list("row").alias("rows")), "vector-blocks")
     dealt = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("asked"), "block", "rows")
     # a task's own block comes first
     dealt = dealt.repartition("asked").sortWithinPartitions("asked", F.col("block") != F.col("asked"))
@@ -137,17 +127,20 @@ def nearest_of_all(items: DataFrame, k: int, block_rows: int = 2000, key: str =
 
 
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
-    """(node, root): the smallest node of each component of undirected edges (a, b). Labels spread along edges and jump to their own label's label; each round is checkpointed."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct())
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
+    """(node, root): the smallest node of each component of undirected edges (a, b). Labels spread along edges and jump to their own label's label; each round is a written table."""
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "edges")
+    labels, before = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")), None
     for _ in range(most):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
         low = labels.join(near, labels["node"] == near["a"], "left").select("node", "root", F.least("root", F.coalesce("m", "root")).alias("new"))
         jump = low.select(F.col("node").alias("_n"), F.col("new").alias("_r"))
-        new = cut(low.join(jump, low["new"] == jump["_n"]).select("node", F.col("root").alias("old"), F.least("new", "_r").alias("root")))
+        new = stored(low.join(jump, low["new"] == jump["_n"]).select("node", F.col("root").alias("old"), F.least("new", "_r").alias("root")), "labels")
         done = new.where("old != root").isEmpty()
-        labels = new.select("node", "root")
+        if before is not None:
+            drop(before)
+        labels, before = new.select("node", "root"), new
         if done:
+            drop(both)
             return labels
     raise RuntimeError("components did not settle")
 

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.plans.catalog import query
 from chronoloom.plans.frames import CURVE_SQL, read
+from chronoloom.storage import fresh_path
 from chronoloom.streaming import stateful as S
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder in the cluster's shared one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='chronoloom-')}/stream-{uuid.uuid4().hex}"
+    return fresh_path(spark, "stream")
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
