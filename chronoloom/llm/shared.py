@@ -1,72 +1,17 @@
-"""Shared-folder tables and small helpers for the corpus operators.
-
-Lineage is cut by writing a Parquet table in the folder that
-``spark.checkpoint.dir`` names, so a lost executor costs a re-read, not a
-recomputation. The folder has to be visible to the driver and all executors.
-"""
+"""Small helpers for the corpus operators. Tables that cut lineage are those of ``chronoloom.storage``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_dirs: dict[str, str] = {}
-_written: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only a local session without one gets its own."""
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = context.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
-    return _local_dirs[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(spark: SparkSession) -> None:
-    """Delete every table this application has written to the shared folder."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(hadoop).delete(target, True)
-
-
-#: Rows of the batches that go to Python workers. Texts may be long, and Spark's own number of rows is meant for short ones.
-BATCH_ROWS = 400
-
+from chronoloom.storage import delete, drop, drop_stored, fresh_path, shared_dir, stored, written
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the batches of this session, unless it has fewer rows set."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+__all__ = ["arrow_function", "delete", "drop", "drop_stored", "fresh_path", "let", "shared_dir", "stored", "table", "unused", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a folder, read by Spark."""
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

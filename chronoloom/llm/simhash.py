@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.shared import arrow_function, stored, unused
+from chronoloom.llm.shared import arrow_function, drop, stored, unused
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: Blocks into which free bits are cut, one more than the budget.
@@ -245,7 +245,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: every smaller neighbour goes to the smallest one
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, now = now, stored(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        drop(last, least)
 
 
 def _linked(fingerprints: DataFrame, limit: int | None) -> DataFrame:

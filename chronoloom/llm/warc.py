@@ -12,8 +12,13 @@ an empty one. Control characters in addresses are percent-encoded; without an
 address the record has no target.
 
 Archives are written in the shared folder, one a task, first under a temporary
-name, so a task that runs again replaces its own archive. The list of archives
-is written as a table before anything is read.
+name, so a task that runs again replaces its own archive. The folder is resolved
+on the driver as Spark would, so one without a scheme is in the default file
+system; tasks open it through Arrow's file systems (local, HDFS, S3, Azure,
+Google). The list of archives is written as a table before anything is read.
+
+Very long payloads are one record like any other; repeated rows are a record
+each. Columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.shared import fresh_path, stored
+from chronoloom.storage import qualified
 
 LEAST_BYTES = 0
-BLOCK = 1 << 20
+BLOCK, STEP = 1 << 20, 1 << 12
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -81,22 +87,21 @@ def record(page_id, url: str | None, payload: bytes, refers_to, refers_url: str
 
 
 def members(blocks: Callable[[], bytes]) -> Iterator[bytes]:
-    """Inflated gzip members of a stream; ``blocks`` gives its next bytes, or none at its end."""
-    rest = b""
-    while True:
-        rest = rest or blocks()
-        if not rest:
-            return
+    """Inflated gzip members of a stream; ``blocks`` gives its next bytes, or none at its end. Blocks are fed in small steps, so that what follows a small member is not copied for it."""
+    block, at = memoryview(blocks()), 0
+    while len(block):
         inflate, parts = zlib.decompressobj(31), []
-        while True:
-            parts.append(inflate.decompress(rest))
-            rest = inflate.unused_data
-            if inflate.eof:
-                break
-            rest = blocks()
-            if not rest:
-                raise WarcError("the archive ends inside a gzip member")
+        while not inflate.eof:
+            if at == len(block):
+                block, at = memoryview(blocks()), 0
+                if not len(block):
+                    raise WarcError("the archive ends inside a gzip member")
+            step = block[at : at + STEP]
+            parts.append(inflate.decompress(step))
+            at += len(step) - len(inflate.unused_data)
         yield b"".join(parts)
+        if at == len(block):
+            block, at = memoryview(blocks()), 0
 
 
 def parse(member: bytes) -> dict:
@@ -121,11 +126,23 @@ def parse(member: bytes) -> dict:
     return {"page_id": _page_id(fields.get("warc-record-id")), "record_type": kind, "refers_to": _page_id(fields.get("warc-refers-to")), "payload_bytes": size, "payload_digest": stated, "payload": payload if kind == "response" else None, "fields": fields}
 
 
+#: Schemes of Hadoop's file systems whose names differ here.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "viewfs": "hdfs", "gcs": "gs"}
+
+
+def located(folder: str) -> str:
+    """URI of a folder for the tasks' own file access; a folder without a scheme is refused, as it would be each machine's own."""
+    scheme, found, rest = folder.partition(":")
+    if not found or "/" in scheme:
+        raise ValueError(f"{folder}: give the archives' folder with its scheme")
+    return f"file:///{rest.lstrip('/')}" if scheme == "file" else f"{SCHEMES.get(scheme, scheme)}:{rest}"
+
+
 def _open(folder: str):
-    """File system and path of a folder given as a URI or path."""
+    """File system and path of a folder."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    return fs.FileSystem.from_uri(located(folder))
 
 
 def _writer(folder: str):
@@ -147,6 +164,7 @@ def _writer(folder: str):
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Write archives under ``folder``; returns their names and numbers of records."""
+    folder = qualified(pages.sparkSession, folder)
     own = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     full = F.coalesce("html", F.lit("")).cast("binary")
     keyed = own.select("*", F.sha1(full).alias("digest"), F.octet_length(full).alias("bytes"))
@@ -163,7 +181,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
 def read(archives: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """Records of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload."""
     fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), *([("payload", pa.binary())] if with_payload else [])]
-    schema = pa.schema(fields)
+    schema, folder = pa.schema(fields), qualified(archives.sparkSession, folder)
 
     def read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _open(folder)

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from chronoloom import storage
 from chronoloom.llm import bpe, decontaminate, langid, licenses, pii, quality, sharding, simhash, substring, warc
 from chronoloom.llm.queries import queries, tokenizer
 from chronoloom.llm.shared import table
@@ -245,6 +246,39 @@ def test_warc_edges(spark):
     assert warc.round_trip(pages.where("false")).collect() == []
 
 
+def test_warc_folders(spark, sf, tmp_path):
+    pages = table(spark, sf, "pages").limit(30)
+    expected = brute_warc([(r["page_id"], r["html"]) for r in pages.collect()])
+    for folder in (f"{tmp_path}/plain", f"file:{tmp_path}/short", f"file://{tmp_path}/full"):
+        same(warc.read(warc.write(pages, folder), folder, with_payload=False).collect(), expected)
+        assert list((tmp_path / folder.rpartition("/")[2]).glob("*.warc.gz"))
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    before = hadoop.get("fs.defaultFS")
+    hadoop.set("fs.defaultFS", "hdfs://far:8020/")
+    try:
+        assert warc.located(storage.qualified(spark, "/shared/warc")) == "hdfs://far:8020/shared/warc"
+        assert warc.located(storage.qualified(spark, "file:/shared/warc")) == "file:///shared/warc"
+    finally:
+        hadoop.set("fs.defaultFS", before)
+    assert warc.located("s3a://bucket/warc") == "s3://bucket/warc"
+    with pytest.raises(ValueError):
+        warc.located("/shared/warc")
+
+
+def test_tables_set_nothing_in_the_session(spark, sf):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for q in ("op3_decontamination", "op9_pii"):
+        queries()[q](spark, sf)
+    assert spark.conf.get(name) == before
+
+
+def test_component_rounds_leave_one_table(spark):
+    before = set(storage.written(spark))
+    simhash.components(spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))).count()
+    assert len(set(storage.written(spark)) - before) == 1
+
+
 def test_warc_reader_streams_and_verifies():
     both = warc.record(1, "u", b"a" * 5000, None, None) + warc.record(2, "u", b"b", 1, "v")
     data = iter([both[k : k + 7] for k in range(0, len(both), 7)])
