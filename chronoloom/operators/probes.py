@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.graphs import cut
+from chronoloom.storage import stored
 from chronoloom.operators.metrics import rank_metrics
 
 
@@ -103,17 +103,17 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int, alpha: float) -> Dat
         sent = scaled.join(now, scaled["b"] == now["node"]).groupBy("a").agg(F.sum(F.col("s") * F.col("v")).alias("m"))
         now = seeds.join(sent, seeds["node"] == sent["a"], "left").select("node", (alpha * F.coalesce("m", F.lit(0.0)) + (1 - alpha) * F.col("y")).alias("v"))
         if k % 4 == 3:
-            now = cut(now)
+            now = stored(now, "node-values")
     return now
 
 
 def harmonic(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
     """Anchors (not null) keep their value, others move to the weighted mean of their neighbours."""
-    fixed = cut(edges)
+    fixed = stored(edges, "edges")
     now = nodes.select("node", F.coalesce("anchor", F.lit(0.5)).alias("v"))
     for k in range(rounds):
         sent = fixed.join(now, fixed["b"] == now["node"]).groupBy("a").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
         now = nodes.join(sent, nodes["node"] == sent["a"], "left").select("node", F.coalesce("anchor", "m", F.lit(0.5)).alias("v"))
         if k % 4 == 3:
-            now = cut(now)
+            now = stored(now, "node-values")
     return now

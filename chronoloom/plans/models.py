@@ -18,6 +18,7 @@ from chronoloom.operators import ranks as R
 from chronoloom.operators import thresholds as T
 from chronoloom.plans.catalog import query
 from chronoloom.plans.frames import CURVE_SQL, curve, read
+from chronoloom.storage import stored
 
 
 def _values(spark, rows, ddl="name string, value double"):
@@ -93,8 +94,8 @@ def missing_feature_mixture(spark, sf):
 def _neighbours(spark, sf, k=8):
     """Undirected nearest-neighbour edges of all items, each asked against all items."""
     e = read(spark, sf, "embeddings")
-    found = G.cut(G.nearest_of_all(e, k).select(F.col("qid").alias("a"), F.col("vec_id").alias("b"), F.col("cosine").alias("w")))
-    return G.cut(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.max("w").alias("w"))), e
+    found = stored(G.nearest_of_all(e, k).select(F.col("qid").alias("a"), F.col("vec_id").alias("b"), F.col("cosine").alias("w")), "neighbours")
+    return stored(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.max("w").alias("w")), "neighbours"), e
 
 
 @query("q_label_spread")
@@ -120,7 +121,7 @@ def majority_propagation(spark, sf):
     now = e.select(F.col("vec_id").alias("node"), (F.col("label") < 5).cast("int").alias("v"))
     for _ in range(5):
         votes = edges.join(now, edges["b"] == now["node"]).groupBy("a").agg(F.sum(2 * F.col("v") - 1).alias("d"))
-        now = G.cut(now.join(votes, now["node"] == votes["a"], "left").select("node", F.when(F.col("d") > 0, 1).when(F.col("d") < 0, 0).otherwise(F.col("v")).alias("v")))
+        now = stored(now.join(votes, now["node"] == votes["a"], "left").select("node", F.when(F.col("d") > 0, 1).when(F.col("d") < 0, 0).otherwise(F.col("v")).alias("v")), "votes")
     return now
 
 
