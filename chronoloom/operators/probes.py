@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.storage import stored
 from chronoloom.operators.metrics import rank_metrics
+from chronoloom.storage import stored
 
 
 def moments(df: DataFrame, fold: str, vector: str, y: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -97,7 +97,7 @@ def principal(df: DataFrame, vector: str, n: int, axes: int) -> tuple[np.ndarray
 def spread(edges: DataFrame, seeds: DataFrame, rounds: int, alpha: float) -> DataFrame:
     """f = alpha * D^-1/2 W D^-1/2 f + (1 - alpha) y, repeated. seeds: (node, y)."""
     degree = edges.groupBy("a").agg(F.sum("w").alias("d"))
-    scaled = cut(edges.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b").select("a", "b", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("s")))
+    scaled = stored(edges.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b").select("a", "b", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("s")), "scaled-edges")
     now = seeds.select("node", F.col("y").alias("v"))
     for k in range(rounds):
         sent = scaled.join(now, scaled["b"] == now["node"]).groupBy("a").agg(F.sum(F.col("s") * F.col("v")).alias("m"))
