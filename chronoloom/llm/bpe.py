@@ -59,32 +59,29 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     after = list(range(1, n + 1))  # where the token at a live position ends
     before = list(range(-1, n - 1))  # the live position on its left
 
-    def put(at: int, value: int) -> None:
-        node = width + at
-        tree[node] = value
-        while node > 1:
-            other = tree[node ^ 1]
-            if other < value:
-                value = other
-            node >>= 1
-            if tree[node] == value:
-                return
-            tree[node] = value
-
     while (least := tree[1]) != NONE:
         i = least & POSITION
         gone = after[i]
         end = after[i] = after[gone]
-        put(gone, NONE)
+        left = before[i]
+        tree[width + gone] = tree[width + i] = NONE
         if end < n:
             before[end] = i
-            rank = get(piece[i : after[end]])
-            put(i, NONE if rank is None else rank << 32 | i)
-        else:
-            put(i, NONE)
-        if (left := before[i]) >= 0:
+            if (rank := get(piece[i : after[end]])) is not None:
+                tree[width + i] = rank << 32 | i
+        if left >= 0:
             rank = get(piece[left:end])
-            put(left, NONE if rank is None else rank << 32 | left)
+            tree[width + left] = NONE if rank is None else rank << 32 | left
+        for at in (i, gone, left) if left >= 0 else (i, gone):  # up to the root, or to a node that stays as it is
+            node = (width + at) >> 1
+            while node:
+                value, other = tree[2 * node], tree[2 * node + 1]
+                if other < value:
+                    value = other
+                if tree[node] == value:
+                    break
+                tree[node] = value
+                node >>= 1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
