@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import scalars as S
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, GRID_SQL, SPANS_SQL, curve, grid, read, spans
+from chronoloom.plans.frames import CURVE_SQL, GRID_SQL, SPANS_SQL, cells_sql, curve, grid, read, spans
 
 
 @query("q_frame_grid", f"WITH {GRID_SQL} SELECT gid, frame, t FROM grid")
@@ -66,13 +66,13 @@ def neighbourhood(spark, sf):
 
 @query(
     "q_fraction_points",
-    f"""WITH {CURVE_SQL}, w AS (SELECT gid, i AS w, i * 120.0 AS a, (i + 1) * 120.0 AS b FROM (SELECT DISTINCT gid FROM curve), range(6) r(i)),
+    f"""WITH {CURVE_SQL}, w AS (SELECT gid, i AS w, i * 120.0 AS a, (i + 1) * 120.0 AS b FROM (SELECT DISTINCT gid FROM curve), (SELECT unnest({cells_sql(120.0)}) AS i)),
     targets AS (SELECT w.*, f, a + (b - a) * f AS target FROM w, (VALUES (0.25), (0.5), (0.75)) v(f))
     SELECT gid, w, f::DOUBLE AS f, min(idx) FILTER (t >= target) AS idx, max(idx) AS last_idx FROM targets JOIN curve USING (gid) WHERE t >= a AND t < b GROUP BY gid, w, f""",
 )
 def fraction_points(spark, sf):
     """First sample at or after each fractional point of a window (null if none), and the window's last sample."""
-    c = curve(spark, sf).withColumn("w", F.floor(F.col("t") / 120)).where("w < 6")
+    c = curve(spark, sf).withColumn("w", F.floor(F.col("t") / 120))
     targets = F.explode(F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])).alias("f")
     at = (F.col("w") + F.col("f")) * 120
     return c.select("gid", "w", "idx", "t", targets).groupBy("gid", "w", "f").agg(F.min(F.when(F.col("t") >= at, F.col("idx"))).alias("idx"), F.max("idx").alias("last_idx"))
@@ -132,14 +132,14 @@ def rule_pooling(spark, sf):
 
 @query(
     "q_box_tiles",
-    """WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS w, floor(l_extendedprice / 1000)::BIGINT AS h FROM lineitem WHERE l_linenumber = 1),
+    """WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS w, floor(l_extendedprice / 1000)::BIGINT AS h FROM lineitem),
     n AS (SELECT *, CASE WHEN w >= 2 * h THEN 4 WHEN h >= 2 * w THEN 1 ELSE 2 END AS nx FROM b WHERE least(w, h) >= 4),
     k AS (SELECT *, 4 // nx AS ny, k::INT AS i, k % nx AS c, k // nx AS r FROM n, range(4) t(k))
     SELECT l_orderkey, l_linenumber, i, c * (w // nx) AS x0, r * (h // ny) AS y0, CASE WHEN c + 1 = nx THEN w ELSE (c + 1) * (w // nx) END AS x1, CASE WHEN r + 1 = ny THEN h ELSE (r + 1) * (h // ny) END AS y1 FROM k""",
 )
 def box_tiles(spark, sf):
     box = F.struct(F.lit(0).cast("long").alias("x0"), F.lit(0).cast("long").alias("y0"), F.col("l_quantity").cast("long").alias("x1"), F.floor(F.col("l_extendedprice") / 1000).alias("y1"))
-    parts = read(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", F.posexplode(S.tiles(F.col("b"))).alias("i", "b"))
+    parts = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", F.posexplode(S.tiles(F.col("b"))).alias("i", "b"))
     return parts.select("l_orderkey", "l_linenumber", "i", "b.x0", "b.y0", "b.x1", "b.y1")
 
 

@@ -6,11 +6,11 @@ interval for each purchase. grid: a frame every four hours.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-FRAME_HOURS, FRAMES = 4.0, 200
+FRAME_HOURS = 4.0
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +20,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gid, idx, t, s, y: positions from 0 in time order, score, positive if an error."""
     e = read(spark, sf_dir, "events")
-    hours = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', cast(ts as timestamp_ntz))") / F.lit(3.6e9)
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("gid"), (F.row_number().over(order) - 1).alias("idx"), hours.alias("t"), F.col("value").alias("s"), (F.col("event_type") == "error").cast("int").alias("y"), "event_type", "event_id")
+    return e.select(F.col("user_id").alias("gid"), (F.row_number().over(order) - 1).alias("idx"), hours().alias("t"), F.col("value").alias("s"), (F.col("event_type") == "error").cast("int").alias("y"), "event_type", "event_id")
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +30,24 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("gid", (F.row_number().over(W.partitionBy("gid").orderBy("t", "event_id")) - 1).alias("ord"), F.col("t").alias("start"), (F.col("t") + 1 + F.col("s") / 4).alias("end"), F.col("s").alias("v"))
 
 
+def hours() -> Column:
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', cast(ts as timestamp_ntz))") / F.lit(3.6e9)
+
+
+def duration(spark: SparkSession, sf_dir: str) -> float:
+    """Hours to the last event; 0 without events."""
+    return read(spark, sf_dir, "events").agg(F.coalesce(F.max(hours()), F.lit(0.0)).alias("t")).first()["t"]
+
+
+def n_cells(spark: SparkSession, sf_dir: str, width: float) -> int:
+    """Cells of a width from 0 up to the one that holds the last event."""
+    return int(duration(spark, sf_dir) // width) + 1
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gid, frame, t: left edges of the frames of every user."""
+    """gid, frame, t: left edges of the frames of every user, up to the table's last event."""
     users = read(spark, sf_dir, "events").select(F.col("user_id").alias("gid")).distinct()
-    frames = F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1)))
+    frames = F.explode(F.sequence(F.lit(0), F.lit(n_cells(spark, sf_dir, FRAME_HOURS) - 1)))
     return users.select("gid", frames.alias("frame")).withColumn("t", F.col("frame") * FRAME_HOURS)
 
 
@@ -43,4 +56,12 @@ CURVE_SQL = """curve AS (SELECT user_id AS gid, row_number() OVER (PARTITION BY
   (epoch_us(ts) - 1704067200000000) / 3.6e9 AS t, value AS s, (event_type = 'error')::INT AS y, event_type, event_id FROM events)"""
 SPANS_SQL = CURVE_SQL + """, spans AS (SELECT gid, row_number() OVER (PARTITION BY gid ORDER BY t, event_id) - 1 AS ord,
   t AS start, t + 1 + s / 4 AS "end", s AS v FROM curve WHERE event_type = 'purchase')"""
-GRID_SQL = f"""grid AS (SELECT gid, f AS frame, (f * {FRAME_HOURS})::DOUBLE AS t FROM (SELECT DISTINCT user_id AS gid FROM events), range({FRAMES}) r(f))"""
+DURATION_SQL = "(SELECT max((epoch_us(ts) - 1704067200000000) / 3.6e9) FROM events)"
+
+
+def cells_sql(width: float) -> str:
+    """A list of the numbers of the cells of a width."""
+    return f"range(floor({DURATION_SQL} / {width})::BIGINT + 1)"
+
+
+GRID_SQL = f"""grid AS (SELECT gid, f AS frame, (f * {FRAME_HOURS})::DOUBLE AS t FROM (SELECT DISTINCT user_id AS gid FROM events), (SELECT unnest({cells_sql(FRAME_HOURS)}) AS f))"""

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from chronoloom.operators import asof as A
 from chronoloom.operators import intervals as I
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, FRAME_HOURS, FRAMES, GRID_SQL, SPANS_SQL, curve, grid, read, spans
+from chronoloom.plans.frames import CURVE_SQL, FRAME_HOURS, GRID_SQL, SPANS_SQL, cells_sql, curve, grid, n_cells, read, spans
 
 CELL = 24.0
 _SAMPLES = "samples AS (SELECT gid, t, s AS v FROM curve)"
@@ -38,12 +38,12 @@ def samples_nearest(spark, sf):
     return A.nearest(grid(spark, sf), _samples(spark, sf), CELL).select("gid", "frame", "found.v")
 
 
-_DST = "dst AS (SELECT gid, i AS w, i * 31.0 AS a, (i + 1) * 31.0 AS b FROM (SELECT DISTINCT gid FROM spans), range(23) r(i))"
+_DST = f"dst AS (SELECT gid, i AS w, (i * 31.0)::DOUBLE AS a, ((i + 1) * 31.0)::DOUBLE AS b FROM (SELECT DISTINCT gid FROM spans), (SELECT unnest({cells_sql(31.0)}) AS i))"
 
 
 def _dst(spark, sf):
     ids = spans(spark, sf).select("gid").distinct()
-    w = F.explode(F.sequence(F.lit(0), F.lit(22))).alias("w")
+    w = F.explode(F.sequence(F.lit(0), F.lit(n_cells(spark, sf, 31.0) - 1))).alias("w")
     return ids.select("gid", w).select("gid", "w", (F.col("w") * 31.0).alias("a"), ((F.col("w") + 1) * 31.0).alias("b"))
 
 
@@ -85,11 +85,11 @@ def window_cells(spark, sf):
     return spans(spark, sf).select("gid", F.explode(F.sequence(first, last - 1)).alias("cell")).groupBy("gid", "cell").agg(F.count("*").alias("n"))
 
 
-@query("q_sample_and_hold", f"WITH {CURVE_SQL}, n AS (SELECT gid, count(*) AS n FROM curve GROUP BY gid) SELECT n.gid, f AS frame, s FROM n, range({FRAMES}) r(f) JOIN curve c ON c.gid = n.gid AND c.idx = least(floor(f / 4.0), n.n - 1)")
+@query("q_sample_and_hold", f"WITH {CURVE_SQL}, n AS (SELECT gid, count(*) AS n FROM curve GROUP BY gid), f AS (SELECT unnest({cells_sql(FRAME_HOURS)}) AS frame), g AS (SELECT gid, frame, least(frame // 4, n - 1) AS idx FROM n, f) SELECT g.gid, frame, s FROM g JOIN curve c ON c.gid = g.gid AND c.idx = g.idx")
 def sample_and_hold(spark, sf):
     """A curve of a lower rate held over a finer grid, its last sample held to the end."""
     c = curve(spark, sf)
-    n = c.groupBy("gid").agg(F.count("*").alias("n")).select("gid", "n", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame"))
+    n = c.groupBy("gid").agg(F.count("*").alias("n")).select("gid", "n", F.explode(F.sequence(F.lit(0), F.lit(n_cells(spark, sf, FRAME_HOURS) - 1))).alias("frame"))
     at = n.select("gid", "frame", F.least(F.floor(F.col("frame") / 4), F.col("n") - 1).alias("idx"))
     return at.join(c, ["gid", "idx"]).select("gid", "frame", "s")
 

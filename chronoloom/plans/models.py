@@ -17,7 +17,7 @@ from chronoloom.operators import probes as P
 from chronoloom.operators import ranks as R
 from chronoloom.operators import thresholds as T
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, curve, read
+from chronoloom.plans.frames import CURVE_SQL, cells_sql, curve, n_cells, read
 from chronoloom.storage import stored
 
 
@@ -152,10 +152,10 @@ def circular_shift_p(spark, sf):
     return per_series(curve(spark, sf).select("gid", "idx", "s", "y"), f, "p double").select("gid", F.round("p", 9).alias("p"))
 
 
-@query("q_boundary_density", f"WITH {CURVE_SQL}, p AS (SELECT gid, t FROM curve WHERE y = 1), g AS (SELECT i * 24.0 AS place, i FROM range(31) r(i)), k AS (SELECT gid, i, sum(exp(-0.5 * pow((t - place) / 12, 2))) AS k FROM p JOIN g ON abs(t - place) <= 72 GROUP BY ALL) SELECT gid, i::INT AS i, round(k / sum(k) OVER (PARTITION BY gid), 9) AS density FROM k")
+@query("q_boundary_density", f"WITH {CURVE_SQL}, p AS (SELECT gid, t FROM curve WHERE y = 1), g AS (SELECT (i * 24.0)::DOUBLE AS place, i FROM (SELECT unnest({cells_sql(24.0)}) AS i)), k AS (SELECT gid, i, sum(exp(-0.5 * pow((t - place) / 12, 2))) AS k FROM p JOIN g ON abs(t - place) <= 72 GROUP BY ALL) SELECT gid, i::INT AS i, round(k / sum(k) OVER (PARTITION BY gid), 9) AS density FROM k")
 def boundary_density(spark, sf):
     """Kernel density of the times of positives on a grid of days, each reaching three days either way; a point goes to the seven grid places it reaches."""
-    near = F.explode(F.sequence(F.greatest(F.ceil((F.col("t") - 72) / 24), F.lit(0)), F.least(F.floor((F.col("t") + 72) / 24), F.lit(30)))).alias("i")
+    near = F.explode(F.sequence(F.greatest(F.ceil((F.col("t") - 72) / 24), F.lit(0)), F.least(F.floor((F.col("t") + 72) / 24), F.lit(n_cells(spark, sf, 24.0) - 1)))).alias("i")
     k = curve(spark, sf).where("y = 1").select("gid", "t", near).groupBy("gid", F.col("i").cast("int").alias("i")).agg(F.sum(F.exp(-0.5 * ((F.col("t") - F.col("i") * 24) / 12) ** 2)).alias("k"))
     return k.select("gid", "i", F.round(F.col("k") / F.sum("k").over(W.partitionBy("gid")), 9).alias("density"))
 

@@ -32,7 +32,7 @@ def done_ids(spark, sf):
 
 @query("q_gap_crop", f"WITH {CURVE_SQL}, p AS (SELECT gid, floor(t / 6)::BIGINT AS position, avg(s) AS s FROM curve GROUP BY ALL) SELECT g.gid, i AS position, round(s, 6) AS s, (s IS NOT NULL) AS observed FROM (SELECT DISTINCT gid FROM curve) g, range(20, 40) r(i) LEFT JOIN p ON p.gid = g.gid AND p.position = i")
 def gap_crop(spark, sf):
-    """A cut of a sampled series that keeps its gaps."""
+    """Positions 20 to 39 of a sampled series, the crop asked for, with its gaps."""
     c = curve(spark, sf)
     p = c.groupBy("gid", F.floor(F.col("t") / 6).alias("position")).agg(F.avg("s").alias("s"))
     g = c.select("gid").distinct().select("gid", F.explode(F.sequence(F.lit(20), F.lit(39)).cast("array<bigint>")).alias("position"))

@@ -13,7 +13,7 @@ from chronoloom.operators import graphs as G
 from chronoloom.operators import intervals as I
 from chronoloom.operators.sequence import per_series
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, FRAME_HOURS, SPANS_SQL, curve, grid, read, spans
+from chronoloom.plans.frames import CURVE_SQL, FRAME_HOURS, SPANS_SQL, cells_sql, curve, grid, read, spans
 
 
 @query("q_clause_offsets", r"WITH c AS (SELECT item_id, text, regexp_extract_all(text, '[^.,;!?\n]+[.,;!?\n]*') AS cs FROM benchmark), p AS (SELECT item_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM c) SELECT item_id, i::INT AS i, coalesce(sum(length(c)) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(c)::BIGINT AS n FROM p")
@@ -55,10 +55,10 @@ def normalised_raster(spark, sf):
     return spans(spark, sf).select("gid", "ord", flags.alias("flags"), first.alias("first"), F.greatest(F.ceil(clamp(b) * 200 - 1e-9), first + 1).alias("past"))
 
 
-@query("q_numbered_intervals", f"WITH {CURVE_SQL} SELECT gid, idx, round(t, 6) AS start, round(t + 2 * {FRAME_HOURS}, 6) AS \"end\" FROM curve WHERE idx % 4 = 0 AND y = 0")
+@query("q_numbered_intervals", f"WITH {CURVE_SQL} SELECT gid, idx, round(t, 6) AS start, round(t + 2 * {FRAME_HOURS}, 6) AS \"end\" FROM curve WHERE y = 0")
 def numbered_intervals(spark, sf):
     """Answers that name numbered frames, as JSON; rows that don't parse, name no frame or are reversed are dropped."""
-    c = curve(spark, sf).where("idx % 4 = 0")
+    c = curve(spark, sf)
     said = F.when(F.col("y") == 0, F.concat(F.lit('[{"first": '), F.col("idx").cast("string"), F.lit(', "last": '), (F.col("idx") + 1).cast("string"), F.lit("}, "), F.lit('{"first": 9, "last": 2}]'))).otherwise("nothing there")
     parsed = c.select("gid", "idx", "t", F.explode(F.coalesce(F.from_json(said, "array<struct<first:int,last:int>>"), F.array().cast("array<struct<first:int,last:int>>"))).alias("x")).where("x.first <= x.last")
     return parsed.select("gid", "idx", F.round("t", 6).alias("start"), F.round(F.col("t") + (F.col("x.last") - F.col("x.first") + 1) * FRAME_HOURS, 6).alias("end"))
@@ -66,7 +66,7 @@ def numbered_intervals(spark, sf):
 
 @query(
     "q_box_mapping",
-    """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_quantity * 20)::BIGINT AS w, floor(l_extendedprice / 100)::BIGINT AS h, round(l_discount * 1000)::BIGINT AS x, round(l_tax * 1000)::BIGINT AS y FROM lineitem WHERE l_linenumber = 2)
+    """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_quantity * 20)::BIGINT AS w, floor(l_extendedprice / 100)::BIGINT AS h, round(l_discount * 1000)::BIGINT AS x, round(l_tax * 1000)::BIGINT AS y FROM lineitem)
     SELECT l_orderkey, l_linenumber, l_partkey, 10 + x * w // 1000 AS x0, 5 + y * h // 1000 AS y0, 10 + ((x + 100) * w + 999) // 1000 AS x1, 5 + ((y + 250) * h + 999) // 1000 AS y1 FROM b""",
 )
 def box_mapping(spark, sf):
@@ -74,7 +74,7 @@ def box_mapping(spark, sf):
     box = lambda *ends: F.struct(*[e.cast("long").alias(c) for c, e in zip(("x0", "y0", "x1", "y1"), ends, strict=True)])
     parent = box(F.lit(10), F.lit(5), 10 + F.col("l_quantity") * 20, 5 + F.floor(F.col("l_extendedprice") / 100))
     x, y = F.round(F.col("l_discount") * 1000), F.round(F.col("l_tax") * 1000)
-    return read(spark, sf, "lineitem").where("l_linenumber = 2").select("l_orderkey", "l_linenumber", "l_partkey", S.to_pixels(parent, box(x, y, x + 100, y + 250)).alias("b")).select("l_orderkey", "l_linenumber", "l_partkey", "b.*")
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.to_pixels(parent, box(x, y, x + 100, y + 250)).alias("b")).select("l_orderkey", "l_linenumber", "l_partkey", "b.*")
 
 
 @query("q_validated_labels", "SELECT doc_id, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END || CASE toxic WHEN 1 THEN '+toxic' ELSE '' END AS label FROM labels")
@@ -177,7 +177,7 @@ def confusion_slots(spark, sf):
     return share.unionByName(none).withColumn("p", F.round("p", 6))
 
 
-@query("q_block_coverage", f"WITH {SPANS_SQL}, g AS (SELECT gid, f AS frame, f * 4.0 AS t FROM (SELECT DISTINCT gid FROM spans), range(200) r(f)), h AS (SELECT g.gid, frame // 25 AS block, max(CASE WHEN s.ord IS NULL THEN 0 ELSE 1 END) AS y FROM g LEFT JOIN spans s ON s.gid = g.gid AND t >= s.start AND t < s.\"end\" GROUP BY g.gid, frame) SELECT gid, block, sum(y)::BIGINT AS covered FROM h GROUP BY ALL")
+@query("q_block_coverage", f"WITH {SPANS_SQL}, g AS (SELECT gid, f AS frame, (f * 4.0)::DOUBLE AS t FROM (SELECT DISTINCT gid FROM spans), (SELECT unnest({cells_sql(FRAME_HOURS)}) AS f)), h AS (SELECT g.gid, frame // 25 AS block, max(CASE WHEN s.ord IS NULL THEN 0 ELSE 1 END) AS y FROM g LEFT JOIN spans s ON s.gid = g.gid AND t >= s.start AND t < s.\"end\" GROUP BY g.gid, frame) SELECT gid, block, sum(y)::BIGINT AS covered FROM h GROUP BY ALL")
 def block_coverage(spark, sf):
     """Frames of each block that the union of a group's spans covers."""
     s = spans(spark, sf)

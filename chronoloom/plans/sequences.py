@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronoloom.operators import intervals as I
 from chronoloom.operators import sequence as Q
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import SPANS_SQL, curve, spans
+from chronoloom.plans.frames import DURATION_SQL, SPANS_SQL, curve, duration, spans
 
 
 def emission(s: np.ndarray) -> np.ndarray:
@@ -198,13 +198,13 @@ def nearest_score_pairs(spark, sf):
 
 @query(
     "q_scored_spans_normal",
-    f"""WITH {SPANS_SQL}, c AS (SELECT gid, ord, greatest(start, 0) AS start, least("end", 700) AS "end", v FROM spans WHERE least("end", 700) > greatest(start, 0)),
+    f"""WITH {SPANS_SQL}, c AS (SELECT gid, ord, start, least("end", {DURATION_SQL}) AS "end", v FROM spans WHERE least("end", {DURATION_SQL}) > start),
     m0 AS (SELECT *, max("end") OVER (PARTITION BY gid ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c), m1 AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + 2 THEN 1 ELSE 0 END) OVER (PARTITION BY gid ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS k FROM m0)
     SELECT gid, round(min(start), 6) AS start, round(max("end"), 6) AS "end", max(v) AS v FROM m1 GROUP BY gid, k""",
 )
 def scored_spans_normal(spark, sf):
-    """Spans clipped to the duration, then united across gaps of two hours with their largest score."""
-    c = spans(spark, sf).withColumns({"start": F.greatest("start", F.lit(0.0)), "end": F.least("end", F.lit(700.0))})
+    """Spans clipped to the last event, those of no length left out, then united across gaps of two hours with their largest score."""
+    c = spans(spark, sf).withColumn("end", F.least("end", F.lit(duration(spark, sf)))).where("end > start")
     return I.merged(c, 2.0).select("gid", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "v")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from chronoloom.operators import intervals as I
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, FRAME_HOURS, GRID_SQL, SPANS_SQL, curve, grid, spans
+from chronoloom.plans.frames import CURVE_SQL, DURATION_SQL, FRAME_HOURS, GRID_SQL, SPANS_SQL, cells_sql, curve, duration, grid, n_cells, spans
 
 #: Width of the time cells of range joins, in hours.
 CELL = 24.0
@@ -163,22 +165,22 @@ def cover_stats(spark, sf):
 
 @query(
     "q_index_raster",
-    f"""WITH {SPANS_SQL}, f AS (SELECT gid, v, greatest(ceil(least(start, "end") / 4 - 1e-9), 0)::BIGINT AS a, least(ceil(greatest(start, "end") / 4 - 1e-9), 200)::BIGINT AS b FROM spans)
+    f"""WITH {SPANS_SQL}, f AS (SELECT gid, v, greatest(ceil(least(start, "end") / 4 - 1e-9), 0)::BIGINT AS a, least(ceil(greatest(start, "end") / 4 - 1e-9), len({cells_sql(FRAME_HOURS)}))::BIGINT AS b FROM spans)
     SELECT gid, i AS frame, max(v) AS v FROM f, LATERAL (SELECT unnest(range(a, b)) AS i) GROUP BY gid, i""",
 )
 def index_raster(spark, sf):
     """Spans as ranges of frame numbers, edges by ceil with a tolerance, reversed ones swapped, clamped to the grid."""
     a = F.greatest(F.ceil(F.least("start", "end") / FRAME_HOURS - 1e-9), F.lit(0)).cast("long")
-    b = F.least(F.ceil(F.greatest("start", "end") / FRAME_HOURS - 1e-9), F.lit(200)).cast("long")
+    b = F.least(F.ceil(F.greatest("start", "end") / FRAME_HOURS - 1e-9), F.lit(n_cells(spark, sf, FRAME_HOURS))).cast("long")
     f = spans(spark, sf).select("gid", "v", a.alias("a"), b.alias("b")).where("b > a")
     return f.select("gid", "v", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("frame")).groupBy("gid", "frame").agg(F.max("v").alias("v"))
 
 
-@query("q_points_in_windows", f"WITH {CURVE_SQL} SELECT gid, least(floor(t / 100), 6)::BIGINT AS w, count(*) AS n, round(avg(s), 6) AS mean FROM curve WHERE t <= 700 GROUP BY ALL")
+@query("q_points_in_windows", f"WITH {CURVE_SQL} SELECT gid, greatest(least(floor(t / 100), ceil({DURATION_SQL} / 100) - 1), 0)::BIGINT AS w, count(*) AS n, round(avg(s), 6) AS mean FROM curve GROUP BY ALL")
 def points_in_windows(spark, sf):
-    """Points of half-open windows, the last one closed."""
-    c = curve(spark, sf).where("t <= 700")
-    return c.groupBy("gid", F.least(F.floor(F.col("t") / 100), F.lit(6)).alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean"))
+    """Points of half-open windows, the last one closed at the last event."""
+    last = max(0, math.ceil(duration(spark, sf) / 100) - 1)
+    return curve(spark, sf).groupBy("gid", F.least(F.floor(F.col("t") / 100), F.lit(last)).alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean"))
 
 
 @query(

@@ -171,11 +171,11 @@ def text_valleys(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.array_join(X.valley_breaks(F.col("text")), ",").alias("breaks"))
 
 
-@query("q_ngram_hits", "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents WHERE lang = 'en'), p AS (SELECT doc_id, unnest(list_zip(ws[:-2], ws[2:])) AS g FROM w WHERE len(ws) > 1) SELECT doc_id, count(*) AS n FROM p WHERE g[1] = 'of' AND g[2] = 'the' GROUP BY doc_id")
+@query("q_ngram_hits", "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents), p AS (SELECT doc_id, unnest(list_zip(ws[:-2], ws[2:])) AS g FROM w WHERE len(ws) > 1) SELECT doc_id, count(*) AS n FROM p WHERE g[1] = 'of' AND g[2] = 'the' GROUP BY doc_id")
 def ngram_hits(spark, sf):
     """Places of a word pair."""
     ws = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    d = read(spark, sf, "documents").where("lang = 'en'").select("doc_id", ws.alias("ws"))
+    d = read(spark, sf, "documents").select("doc_id", ws.alias("ws"))
     n = F.size(F.filter(F.transform("ws", lambda w, i: (w == "of") & (F.get("ws", i + 1) == "the")), lambda x: x))
     return d.select("doc_id", n.cast("long").alias("n")).where("n > 0")
 
