@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from chronoloom.operators import intervals as I
 from chronoloom.operators import sequence as Q
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import DURATION_SQL, SPANS_SQL, curve, duration, spans
+from chronoloom.plans.frames import CURVE_SQL, DURATION_SQL, SPANS_SQL, curve, duration, spans
 
 
 def emission(s: np.ndarray) -> np.ndarray:
@@ -34,18 +35,13 @@ def forward_backward(spark, sf):
 
 @query("q_model_averaged_posterior")
 def model_averaged_posterior(spark, sf):
-    """Posterior averaged over chains of different persistence by their likelihoods' softmax weights."""
+    """Posterior averaged over chains whose mean segment lengths run from two steps to the whole series, weighted by their evidence."""
 
     def f(p: pd.DataFrame) -> pd.DataFrame:
         e = emission(p["s"].to_numpy())
-        parts, weights = [], []
-        for length in np.geomspace(2, 32, 5):
-            a = np.array([[1 - 1 / length, 1 / length], [1 / length, 1 - 1 / length]])
-            post = Q.forward_backward(e, a, np.array([0.5, 0.5]))
-            parts.append(post[:, 1])
-            weights.append((post * e).sum())
-        w = np.exp(np.array(weights) - max(weights))
-        return _out(p, p1=(np.array(parts).T @ (w / w.sum())).round(9))
+        stay = 1 - 1 / Q.length_grid(len(e), 2, 5)
+        chains = np.array([[[a, 1 - a], [1 - a, a]] for a in stay])
+        return _out(p, p1=Q.averaged_posterior(e, chains, np.full((len(chains), 2), 0.5))[1][:, 1].round(9))
 
     return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "idx int, p1 double")
 
@@ -84,10 +80,22 @@ def isotonic(spark, sf):
     return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "idx int, v double")
 
 
-@query("q_savgol")
+#: What each of the seven positions of a window takes from its values: the projection on polynomials of degree two.
+_HAT = (lambda x: x @ np.linalg.pinv(x))(np.vander(np.arange(-3.0, 4.0), 3, increasing=True)).tolist()
+_HAT_SQL = "(VALUES " + ", ".join(f"({o}, {k}, {w!r}::DOUBLE)" for o, row in enumerate(_HAT) for k, w in enumerate(row)) + ") h(o, k, w)"
+
+
+@query("q_savgol", f"WITH {CURVE_SQL}, n AS (SELECT gid, idx, s, count(*) OVER (PARTITION BY gid) AS n FROM curve), a AS (SELECT *, greatest(least(idx - 3, n - 7), 0) AS a FROM n) SELECT a.gid, a.idx, round(CASE WHEN any_value(n) < 7 THEN any_value(a.s) ELSE sum(w * b.s) END, 6) AS v FROM a JOIN {_HAT_SQL} ON h.o = least(a.idx - a.a, 6) LEFT JOIN curve b ON b.gid = a.gid AND b.idx = a.a + h.k GROUP BY a.gid, a.idx")
 def savgol(spark, sf):
-    f = lambda p: _out(p, v=Q.savgol(p["s"].to_numpy(), 7, 2).round(6))
-    return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "idx int, v double")
+    """Local quadratic smoothing over seven positions; the ends are read from the first and the last full window."""
+    o = W.partitionBy("gid").orderBy("idx")
+    c = curve(spark, sf).select("gid", "idx", "s", F.count("*").over(W.partitionBy("gid")).alias("n"))
+    at = F.col("idx") - F.greatest(F.least(F.col("idx") - 3, F.col("n") - 7), F.lit(0))
+    c = c.select("*", at.alias("at"), *[F.lag("s", -d).over(o).alias(f"s{d + 6}") for d in range(-6, 7)])
+    v = F.col("s")
+    for k, row in enumerate(_HAT):
+        v = F.when((F.col("n") >= 7) & (F.col("at") == k), sum((w * F.col(f"s{j - k + 6}") for j, w in enumerate(row)), F.lit(0.0))).otherwise(v)
+    return c.select("gid", "idx", F.round(v, 6).alias("v"))
 
 
 @query("q_change_boundaries")
@@ -110,9 +118,9 @@ def mean_transport(spark, sf):
 
 @query("q_time_residual")
 def time_residual(spark, sf):
-    """What a label, time and its square leave of the score."""
-    f = lambda p: _out(p, v=Q.residual(p["s"].to_numpy(), [p["y"].to_numpy(float)]).round(5))
-    return Q.per_series(curve(spark, sf).select("gid", "idx", "s", "y"), f, "idx int, v double")
+    """What a label, a type, time and its square leave of the score."""
+    c = curve(spark, sf).select("gid", "idx", "s", "y", (F.col("event_type") == "view").cast("int").alias("seen"))
+    return Q.residuals(c, "s", ["y", "seen"]).select("gid", "idx", F.round("v", 5).alias("v"))
 
 
 @query("q_barycentre")
@@ -127,7 +135,9 @@ def haar_denoise(spark, sf):
     return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "idx int, v double")
 
 
-@query("q_block_length")
+@query("q_block_length", f"""WITH {CURVE_SQL}, v AS (SELECT gid, idx, unnest(['s', 'y']) AS c, unnest([s, y]) AS x FROM curve), m AS (SELECT *, x - avg(x) OVER (PARTITION BY gid, c) AS d, count(*) OVER (PARTITION BY gid, c) AS n FROM v),
+    q AS (SELECT gid, c, sum(d * d) AS q, any_value(n) AS n FROM m GROUP BY ALL HAVING sum(d * d) > 1e-12), l AS (SELECT a.gid, a.c, b.idx - a.idx AS k, sum(a.d * b.d) AS r FROM m a JOIN m b ON a.gid = b.gid AND a.c = b.c AND b.idx > a.idx GROUP BY ALL),
+    f AS (SELECT gid, k FROM l JOIN q USING (gid, c) WHERE n >= 4 GROUP BY gid, k HAVING bool_and(r <= exp(-1) * q)) SELECT c.gid, coalesce(min(k), any_value(c.n))::INT AS block FROM (SELECT gid, count(*) AS n FROM curve GROUP BY gid) c LEFT JOIN f USING (gid) GROUP BY c.gid""")
 def block_length(spark, sf):
     """Lag at which score and label have both lost their correlation."""
     f = lambda p: pd.DataFrame({"block": [Q.block_length(p[["s", "y"]].to_numpy(float))]}, dtype="int32")
