@@ -228,14 +228,42 @@ def gate_best(spark, sf):
     return b.select("event_type", "best", F.round(F.col("v") - F.col("base"), 6).alias("gain"))
 
 
-@query("q_bootstrap_ci")
+_LIMITS = "round(quantile_cont(v, 0.025), 9) AS low, round(median(v), 9) AS middle, round(quantile_cont(v, 0.975), 9) AS high, count(v) AS replicates"
+
+
+@query("q_bootstrap_ci", f"WITH {CURVE_SQL}, d AS (SELECT gid, avg(s) FILTER (y = 1) - avg(s) FILTER (y = 0) AS d FROM curve GROUP BY gid), {T.weights_sql('d', 400)}, m AS (SELECT r, sum(d * w) / sum(w) AS v FROM d JOIN weights USING (gid) WHERE d IS NOT NULL GROUP BY r) SELECT {_LIMITS} FROM m")
 def bootstrap_ci(spark, sf):
     """Interval of a mean paired difference over series, by Poisson resampling of series."""
     d = curve(spark, sf).groupBy("gid").agg((F.avg(F.when(F.col("y") == 1, F.col("s"))) - F.avg(F.when(F.col("y") == 0, F.col("s")))).alias("d")).where("d is not null")
     return T.bootstrap_mean(d, "d", "gid", 400)
 
 
-@query("q_bootstrap_auc")
+def _replicates_sql(score: str, group: str, out: str, n: int) -> str:
+    """(r, auc, ap) of a score whose groups are weighted by ``weights``."""
+    return f"""{out}c AS (SELECT r, {score} AS v, sum(w * y) AS p, sum(w * (1 - y)) AS n FROM scored JOIN weights ON weights.gid = {group} GROUP BY ALL),
+    {out}b AS (SELECT *, sum(p) OVER (PARTITION BY r) AS tp, sum(n) OVER (PARTITION BY r) AS tn, coalesce(sum(n) OVER (PARTITION BY r ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb, coalesce(sum(p) OVER (PARTITION BY r ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pb FROM {out}c),
+    {out} AS (SELECT r, sum(p * (nb + n / 2)) / any_value(tp) / any_value(tn) AS auc, sum(p * (tp - pb) / greatest(tp - pb + tn - nb, 1)) / any_value(tp) AS ap FROM {out}b GROUP BY r)"""
+
+
+@query("q_bootstrap_auc", f"WITH {CURVE_SQL}, scored AS (SELECT * FROM curve), g AS (SELECT DISTINCT gid FROM curve), {T.weights_sql('g', 100)}, {_replicates_sql('s', 'scored.gid', 'a', 100)}, m AS (SELECT auc AS v FROM a) SELECT {_LIMITS} FROM m")
 def bootstrap_auc(spark, sf):
     """Interval of the pooled AUC when series are resampled as clusters."""
     return T.bootstrap_auc(curve(spark, sf), "s", "y", "gid", 100)
+
+
+@query("q_bootstrap_ap", f"WITH {CURVE_SQL}, scored AS (SELECT * FROM curve), g AS (SELECT DISTINCT gid FROM curve), {T.weights_sql('g', 100)}, {_replicates_sql('s', 'scored.gid', 'a', 100)}, m AS (SELECT ap AS v FROM a) SELECT {_LIMITS} FROM m")
+def bootstrap_ap(spark, sf):
+    """Interval of the pooled average precision when series are resampled as clusters."""
+    return T.interval(T.replicate_metrics(curve(spark, sf), "s", "y", "gid", 100), "ap")
+
+
+@query("q_bootstrap_rows", f"WITH {CURVE_SQL}, scored AS (SELECT * FROM curve), g AS (SELECT event_id AS gid FROM curve), {T.weights_sql('g', 60)}, {_replicates_sql('s', 'scored.event_id', 'a', 60)}, m AS (SELECT auc AS v FROM a) SELECT {_LIMITS} FROM m")
+def bootstrap_rows(spark, sf):
+    """Interval of the pooled AUC when rows are resampled, positives and negatives each by themselves, as the AUC divides by the totals of both."""
+    return T.bootstrap_auc(curve(spark, sf), "s", "y", "event_id", 60)
+
+
+@query("q_bootstrap_difference", f"WITH {CURVE_SQL}, scored AS (SELECT * FROM curve), g AS (SELECT DISTINCT gid FROM curve), {T.weights_sql('g', 100)}, {_replicates_sql('s', 'scored.gid', 'a', 100)}, {_replicates_sql('t', 'scored.gid', 'b', 100)}, m AS (SELECT a.auc - b.auc AS v FROM a JOIN b USING (r)) SELECT {_LIMITS}, round(avg((v <= 0)::INT), 9) AS not_better FROM m")
+def bootstrap_difference(spark, sf):
+    """Paired interval of the difference of two scores' AUC over resampled series."""
+    return T.bootstrap_difference(curve(spark, sf), "s", "t", "y", "gid", 100)

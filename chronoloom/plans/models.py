@@ -40,12 +40,16 @@ def shapley(spark, sf):
     return v.select("gid", F.round(share, 6).alias("shapley"), F.round(mobius, 6).alias("interaction"))
 
 
-@query("q_judge_order")
+_JUDGES = list(itertools.permutations(("click", "signup", "view")))
+_DECIDED = " UNION ALL ".join(f"SELECT {k} AS k, '{'>'.join(o)}' AS judges, count(*) FILTER ((CASE WHEN abs(coalesce({o[0]}, 50) - 50) > 10 THEN {o[0]} > 50 WHEN abs(coalesce({o[1]}, 50) - 50) > 10 THEN {o[1]} > 50 ELSE coalesce({o[2]}, 50) > 50 END)::INT = gold) AS hits FROM v" for k, o in enumerate(_JUDGES))
+
+
+@query("q_judge_order", f"WITH {CURVE_SQL}, v AS (SELECT gid, avg(s) FILTER (event_type = 'click') AS click, avg(s) FILTER (event_type = 'signup') AS signup, avg(s) FILTER (event_type = 'view') AS view, (sum(y) >= 14)::INT AS gold FROM curve GROUP BY gid), d AS ({_DECIDED}) SELECT judges, hits FROM d ORDER BY hits DESC, k LIMIT 1")
 def judge_order(spark, sf):
     """The order of three judges, asked until one is sure, that decides most series rightly; ties go to the first in the alphabet."""
     names = ("click", "signup", "view")
     v = curve(spark, sf).groupBy("gid").agg(*[F.avg(F.when(F.col("event_type") == k, F.col("s"))).alias(k) for k in names], (F.sum("y") >= 14).cast("int").alias("gold"))
-    orders = list(itertools.permutations(names))
+    orders = _JUDGES
     sure = lambda k: F.abs(F.coalesce(F.col(k), F.lit(50.0)) - 50) > 10
     decide = lambda o: F.when(sure(o[0]), F.col(o[0]) > 50).when(sure(o[1]), F.col(o[1]) > 50).otherwise(F.coalesce(F.col(o[2]), F.lit(50.0)) > 50)
     hits = v.agg(*[F.count_if(decide(o).cast("int") == F.col("gold")).alias(str(k)) for k, o in enumerate(orders)]).first()
@@ -98,7 +102,23 @@ def _neighbours(spark, sf, k=8):
     return stored(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.max("w").alias("w")), "neighbours"), e
 
 
-@query("q_label_spread")
+def _knn_sql(k: int) -> str:
+    """e: undirected nearest-neighbour edges (a, b, w)."""
+    return f"""x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.vec_id AS a, o.vec_id AS b, round(list_dot_product(q.e, o.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(o.e, o.e)), 9) AS w FROM x q, x o WHERE q.vec_id <> o.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS r FROM p), t AS MATERIALIZED (SELECT a, b, w FROM r WHERE r <= {k}), e AS MATERIALIZED (SELECT a, b, max(w) AS w FROM (SELECT a, b, w FROM t UNION ALL SELECT b, a, w FROM t) GROUP BY a, b)"""
+
+
+def _rounds_sql(n: int, step: str) -> str:
+    """v0 to vn, each from the one before, which ``step`` names as {before}."""
+    return ", ".join(f"v{k} AS MATERIALIZED ({step.format(before=f'v{k - 1}')})" for k in range(1, n + 1))
+
+
+_SPREAD = _rounds_sql(12, "SELECT seeds.node, 0.8 * coalesce(m, 0) + 0.2 * y AS v FROM seeds LEFT JOIN (SELECT a, sum(s * v) AS m FROM g JOIN {before} f ON g.b = f.node GROUP BY a) u ON u.a = seeds.node")
+_HARMONIC = _rounds_sql(30, "SELECT seeds.node, coalesce(anchor, m, 0.5) AS v FROM seeds LEFT JOIN (SELECT a, sum(w * v) / sum(w) AS m FROM e JOIN {before} f ON e.b = f.node GROUP BY a) u ON u.a = seeds.node")
+_MAJORITY = _rounds_sql(5, "SELECT f.node, CASE WHEN d > 0 THEN 1 WHEN d < 0 THEN 0 ELSE f.v END AS v FROM {before} f LEFT JOIN (SELECT a, sum(2 * v - 1) AS d FROM e JOIN {before} h ON e.b = h.node GROUP BY a) u ON u.a = f.node")
+
+
+@query("q_label_spread", f"WITH {_knn_sql(8)}, d AS (SELECT a, sum(w) AS d FROM e GROUP BY a), g AS MATERIALIZED (SELECT e.a, e.b, w / sqrt(d.d * o.d) AS s FROM e JOIN d ON d.a = e.a JOIN d o ON o.a = e.b), seeds AS (SELECT vec_id AS node, (CASE WHEN vec_id % 10 = 0 THEN CASE WHEN label = 0 THEN 1 ELSE -1 END ELSE 0 END)::DOUBLE AS y FROM embeddings), v0 AS (SELECT node, y AS v FROM seeds), {_SPREAD} SELECT node, round(v, 5) AS v FROM v12")
 def label_spread(spark, sf):
     """Labels of every tenth item spread over the neighbour graph: f = 0.8 S f + 0.2 y, twelve rounds."""
     edges, e = _neighbours(spark, sf)
@@ -106,7 +126,7 @@ def label_spread(spark, sf):
     return P.spread(edges, seeds, 12, 0.8).select("node", F.round("v", 5).alias("v"))
 
 
-@query("q_harmonic_labels")
+@query("q_harmonic_labels", f"WITH {_knn_sql(8)}, seeds AS (SELECT vec_id AS node, CASE WHEN vec_id % 10 = 0 THEN (label = 0)::INT::DOUBLE END AS anchor FROM embeddings), v0 AS (SELECT node, coalesce(anchor, 0.5) AS v FROM seeds), {_HARMONIC} SELECT node, round(v, 5) AS v FROM v30")
 def harmonic_labels(spark, sf):
     """Anchored items keep their value, the others take their neighbours' weighted mean, thirty rounds."""
     edges, e = _neighbours(spark, sf)
@@ -114,7 +134,7 @@ def harmonic_labels(spark, sf):
     return P.harmonic(edges, e.select(F.col("vec_id").alias("node"), anchor.alias("anchor")), 30).select("node", F.round("v", 5).alias("v"))
 
 
-@query("q_majority_propagation")
+@query("q_majority_propagation", f"WITH {_knn_sql(5)}, v0 AS (SELECT vec_id AS node, (label < 5)::INT AS v FROM embeddings), {_MAJORITY} SELECT node, v FROM v5")
 def majority_propagation(spark, sf):
     """A binary value flips to that of most neighbours, five rounds; ties keep it."""
     edges, e = _neighbours(spark, sf, 5)
@@ -125,7 +145,7 @@ def majority_propagation(spark, sf):
     return now
 
 
-@query("q_density_peaks")
+@query("q_density_peaks", f"WITH {_knn_sql(12)}, d AS (SELECT a, sum(exp(-pow((1 - w) / 0.5, 2))) AS rho FROM e GROUP BY a), n AS (SELECT e.a, min(1 - w) AS delta FROM e JOIN d ON d.a = e.a JOIN d o ON o.a = e.b WHERE o.rho > d.rho OR (o.rho = d.rho AND e.b < e.a) GROUP BY e.a) SELECT d.a AS node, round(rho, 5) AS rho, round(coalesce(delta, 2.0), 5) AS delta, round(rho * coalesce(delta, 2.0), 5) AS gamma FROM d LEFT JOIN n USING (a)")
 def density_peaks(spark, sf):
     """Items by density times distance to the nearest denser one, from their neighbour lists."""
     edges, e = _neighbours(spark, sf, 12)
@@ -135,7 +155,7 @@ def density_peaks(spark, sf):
     return density.join(near, "a", "left").select(F.col("a").alias("node"), F.round("rho", 5).alias("rho"), F.round(F.coalesce("delta", F.lit(2.0)), 5).alias("delta"), F.round(F.col("rho") * F.coalesce("delta", F.lit(2.0)), 5).alias("gamma"))
 
 
-@query("q_circular_shift_p")
+@query("q_circular_shift_p", f"WITH {CURVE_SQL}, n AS (SELECT gid, count(*) AS n, sum(y) AS k, sum(s) AS total FROM curve GROUP BY gid), i AS (SELECT a.gid, (b.idx - a.idx + n) % n AS shift, sum(b.s) AS inside FROM curve a JOIN curve b USING (gid) JOIN n USING (gid) WHERE a.y = 1 GROUP BY ALL), g AS (SELECT gid, shift, inside / k - (total - inside) / (n - k) AS gap FROM i JOIN n USING (gid) WHERE k < n), o AS (SELECT gid, gap AS own FROM g WHERE shift = 0), p AS (SELECT gid, avg((gap >= own - 1e-9)::INT) AS p FROM g JOIN o USING (gid) GROUP BY gid) SELECT gid, round(p, 9) AS p FROM n LEFT JOIN p USING (gid)")
 def circular_shift_p(spark, sf):
     """Exact p of the mean difference inside and outside positives against all circular shifts of the label, by one Fourier product a series."""
     def f(p: pd.DataFrame) -> pd.DataFrame:
@@ -199,7 +219,7 @@ def box_overlap(spark, sf):
     return b.select("l_orderkey", "l_linenumber", F.round(S.box_iou(F.col("a"), F.col("b")), 6).alias("iou"))
 
 
-@query("q_decay_graph")
+@query("q_decay_graph", "WITH x AS (SELECT vec_id, vec_id // 50 AS block, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.vec_id AS a, o.vec_id AS b, round(list_dot_product(q.e, o.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(o.e, o.e)) * exp(-abs(q.vec_id - o.vec_id) / 25.0::DOUBLE), 6) AS w FROM x q JOIN x o ON q.block = o.block AND q.vec_id <> o.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS r FROM p) SELECT a, b, w FROM r WHERE r <= 3")
 def decay_graph(spark, sf):
     """Similar items inside position blocks of 50, weighted by cosine and decay in distance; the three best of each item."""
     e = read(spark, sf, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / 50).alias("block"))
@@ -228,12 +248,12 @@ def kmeans_histogram(spark, sf):
     return _values(spark, [("low", round(lo, 6)), ("high", round(hi, 6)), *rows])
 
 
-@query("q_block_permutation")
+@query("q_block_permutation", f"WITH {CURVE_SQL}, c AS (SELECT gid, idx, s, idx // 8 AS b, count(*) OVER (PARTITION BY gid) // 8 AS n FROM curve), o AS (SELECT gid, b, row_number() OVER (PARTITION BY gid ORDER BY md5('7:' || gid || ':' || b)) - 1 AS place FROM (SELECT DISTINCT gid, b FROM c WHERE b < n)) SELECT gid, coalesce(place, b) * 8 + idx % 8 AS idx, s FROM c LEFT JOIN o USING (gid, b)")
 def block_permutation(spark, sf):
     """Full blocks of eight positions put in the order of a seeded hash; the rest stays at the end."""
     c = curve(spark, sf).select("gid", "idx", "s", F.floor(F.col("idx") / 8).alias("b"))
     n = F.floor(F.count("*").over(W.partitionBy("gid")) / 8)
     blocks = c.withColumn("full", F.col("b") < n)
-    order = blocks.where("full").select("gid", "b").distinct().withColumn("to", F.row_number().over(W.partitionBy("gid").orderBy(F.xxhash64(F.lit(7), "gid", "b"))) - 1)
+    order = blocks.where("full").select("gid", "b").distinct().withColumn("to", F.row_number().over(W.partitionBy("gid").orderBy(F.md5(F.concat_ws(":", F.lit("7"), F.col("gid").cast("string"), F.col("b").cast("string"))))) - 1)
     moved = blocks.join(order, ["gid", "b"], "left")
     return moved.select("gid", (F.coalesce("to", "b") * 8 + F.col("idx") % 8).alias("idx"), "s")

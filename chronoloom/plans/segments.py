@@ -11,7 +11,6 @@ from chronoloom.functions import scalars as S
 from chronoloom.functions import text as X
 from chronoloom.operators import graphs as G
 from chronoloom.operators import intervals as I
-from chronoloom.operators.sequence import per_series
 from chronoloom.plans.catalog import query
 from chronoloom.plans.frames import CURVE_SQL, FRAME_HOURS, SPANS_SQL, cells_sql, curve, grid, read, spans
 
@@ -116,7 +115,7 @@ def rerank(spark, sf):
 
 @query("q_greedy_vector_pairs")
 def greedy_vector_pairs(spark, sf):
-    """Vectors of a block paired with those of the next one, greedily from the greatest cosine; blocks have 64 vectors."""
+    """Vectors of the first half of a block paired with those of its second half, greedily from the greatest cosine; blocks have 64 vectors."""
     e = read(spark, sf, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / 64).alias("block"))
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,21 +136,17 @@ def greedy_vector_pairs(spark, sf):
     return e.groupBy("block").applyInPandas(pairs, "a bigint, b bigint, cosine double")
 
 
-@query("q_softmax_refine")
+@query("q_softmax_refine", f"WITH {CURVE_SQL}, b AS (SELECT a.gid, a.idx, arg_max(c.idx, (c.s, -c.idx)) AS best FROM curve a JOIN curve c ON c.gid = a.gid AND c.idx BETWEEN a.idx - 1 AND a.idx + 1 GROUP BY ALL) SELECT b.gid, b.idx, round(sum(s * exp((s - 50) / 10)) / sum(exp((s - 50) / 10)), 6) AS v FROM b JOIN curve c ON c.gid = b.gid AND c.idx BETWEEN best - 2 AND best + 2 GROUP BY b.gid, b.idx")
 def softmax_refine(spark, sf):
     """Each score becomes the softmax-weighted mean of its neighbourhood, centred on the best neighbour within one position."""
-    def f(p: pd.DataFrame) -> pd.DataFrame:
-        s = p["s"].to_numpy()
-        n = len(s)
-        best = np.array([max(range(max(0, i - 1), min(n, i + 2)), key=lambda j: (s[j], -j)) for i in range(n)])
-        out = []
-        for b in best:
-            w = s[max(0, b - 2) : b + 3]
-            e = np.exp((w - w.max()) / 10)
-            out.append(float((w * e).sum() / e.sum()))
-        return pd.DataFrame({"idx": p["idx"], "v": np.round(out, 6)})
-
-    return per_series(curve(spark, sf).select("gid", "idx", "s"), f, "idx int, v double")
+    o = W.partitionBy("gid").orderBy("idx")
+    around = F.array_compact(F.array(*[F.lag("s", d).over(o) for d in range(-2, 3)]))
+    best = -F.max(F.struct(F.col("s"), (-F.col("idx")).alias("i"))).over(o.rowsBetween(-1, 1))["i"]
+    c = curve(spark, sf).select("gid", "idx", best.alias("best"), around.alias("around"))
+    sums = F.aggregate("around", F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("z")), lambda x, s: F.struct((x["a"] + s * F.exp((s - F.array_max("around")) / 10)).alias("a"), (x["z"] + F.exp((s - F.array_max("around")) / 10)).alias("z")), lambda x: x["a"] / x["z"])
+    c = c.select("gid", "idx", (F.col("best") - F.col("idx")).alias("step"), sums.alias("m"))
+    chosen = F.when(F.col("step") < 0, F.lag("m").over(o)).when(F.col("step") > 0, F.lead("m").over(o)).otherwise(F.col("m"))
+    return c.select("gid", "idx", F.round(chosen, 6).alias("v"))
 
 
 @query("q_closure", f"WITH {SPANS_SQL}, m0 AS (SELECT *, max(\"end\") OVER (PARTITION BY gid ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans), m1 AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY gid ORDER BY start, \"end\" ROWS UNBOUNDED PRECEDING) AS k FROM m0), m AS (SELECT gid, min(start) AS a, max(\"end\") AS b FROM m1 GROUP BY gid, k), c AS (SELECT gid, arg_max((start + \"end\") / 2, (v, -ord)) AS centre FROM spans GROUP BY gid) SELECT gid, round(a, 6) AS start, round(b, 6) AS \"end\" FROM m JOIN c USING (gid) WHERE centre >= a AND centre < b")

@@ -27,7 +27,12 @@ def _out(p: pd.DataFrame, **columns) -> pd.DataFrame:
     return pd.DataFrame({"idx": p["idx"], **columns})
 
 
-@query("q_forward_backward")
+_EMISSION_SQL = "e AS (SELECT gid, idx, -0.5 * pow((s - 50) / 20 + 0.7, 2) AS e0, -0.5 * pow((s - 50) / 20 - 0.7, 2) AS e1, max(idx) OVER (PARTITION BY gid) AS last FROM curve)"
+
+
+@query("q_forward_backward", f"""WITH RECURSIVE {CURVE_SQL}, {_EMISSION_SQL}, f AS (SELECT gid, idx, last, 2 / 3.0::DOUBLE AS q0, 1 / 3.0::DOUBLE AS q1, 2 * exp(e0) / (2 * exp(e0) + exp(e1)) AS p FROM e WHERE idx = 0
+    UNION ALL SELECT e.gid, e.idx, e.last, 0.9 * p + 0.2 * (1 - p), 0.1 * p + 0.8 * (1 - p), (0.9 * p + 0.2 * (1 - p)) * exp(e0) / ((0.9 * p + 0.2 * (1 - p)) * exp(e0) + (0.1 * p + 0.8 * (1 - p)) * exp(e1)) FROM f JOIN e ON e.gid = f.gid AND e.idx = f.idx + 1),
+    b AS (SELECT gid, idx, q0, q1, p AS g FROM f WHERE idx = last UNION ALL SELECT f.gid, f.idx, f.q0, f.q1, f.p * (0.9 * g / b.q0 + 0.1 * (1 - g) / b.q1) FROM b JOIN f ON f.gid = b.gid AND f.idx = b.idx - 1) SELECT gid, idx, round(1 - g, 9) AS p1 FROM b""")
 def forward_backward(spark, sf):
     f = lambda p: _out(p, p1=Q.forward_backward(emission(p["s"].to_numpy()), STAY, START)[:, 1].round(9))
     return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "idx int, p1 double")
@@ -46,7 +51,9 @@ def model_averaged_posterior(spark, sf):
     return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "idx int, p1 double")
 
 
-@query("q_viterbi_path")
+@query("q_viterbi_path", f"""WITH RECURSIVE {CURVE_SQL}, {_EMISSION_SQL}, f AS (SELECT gid, idx, last, ln(2 / 3.0::DOUBLE) + e0 AS b0, ln(1 / 3.0::DOUBLE) + e1 AS b1, 0 AS c0, 0 AS c1 FROM e WHERE idx = 0
+    UNION ALL SELECT e.gid, e.idx, e.last, greatest(b0 + ln(0.9), b1 + ln(0.2)) + e0, greatest(b0 + ln(0.1), b1 + ln(0.8)) + e1, (b1 + ln(0.2) > b0 + ln(0.9))::INT, (b1 + ln(0.8) > b0 + ln(0.1))::INT FROM f JOIN e ON e.gid = f.gid AND e.idx = f.idx + 1),
+    b AS (SELECT gid, idx, c0, c1, (b1 > b0)::INT AS state FROM f WHERE idx = last UNION ALL SELECT f.gid, f.idx, f.c0, f.c1, CASE WHEN b.state = 0 THEN b.c0 ELSE b.c1 END FROM b JOIN f ON f.gid = b.gid AND f.idx = b.idx - 1) SELECT gid, idx, state FROM b""")
 def viterbi_path(spark, sf):
     f = lambda p: _out(p, state=Q.viterbi(emission(p["s"].to_numpy()), STAY, START))
     return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "idx int, state int")
@@ -74,7 +81,7 @@ def dtw(spark, sf):
     return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "cost double, steps int")
 
 
-@query("q_isotonic")
+@query("q_isotonic", f"WITH {CURVE_SQL}, c AS (SELECT gid, idx, sum(s) OVER (PARTITION BY gid ORDER BY idx ROWS UNBOUNDED PRECEDING) AS c FROM curve UNION ALL SELECT DISTINCT gid, -1, 0.0 FROM curve), m AS (SELECT a.gid, a.idx + 1 AS a, b.idx AS b, (b.c - a.c) / (b.idx - a.idx) AS m FROM c a JOIN c b ON a.gid = b.gid AND b.idx > a.idx), h AS (SELECT m.gid, v.idx, m.a, max(m.m) AS m FROM m JOIN curve v ON v.gid = m.gid AND v.idx BETWEEN m.a AND m.b GROUP BY ALL) SELECT gid, idx, round(min(m), 6) AS v FROM h GROUP BY gid, idx")
 def isotonic(spark, sf):
     f = lambda p: _out(p, v=Q.isotonic_down(p["s"].to_numpy()).round(6))
     return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "idx int, v double")

@@ -53,7 +53,7 @@ def stream_capacity_tracks(spark, sf):
     return S.drained(S.tracks(e, 48.0, 3, final=True), "capacity", _folder(spark)).groupBy("gid", "reason").agg(F.count("*").alias("tracks"), F.sum("n").alias("n"))
 
 
-@query("q_stream_changes")
+@query("q_stream_changes", f"WITH RECURSIVE {CURVE_SQL}, o AS (SELECT gid, t, s, row_number() OVER (PARTITION BY gid ORDER BY t, s) AS r FROM curve), k AS (SELECT gid, r, t, s, s AS last, true AS kept FROM o WHERE r = 1 UNION ALL SELECT o.gid, o.r, o.t, o.s, CASE WHEN abs(o.s - k.last) >= 10 THEN o.s ELSE k.last END, abs(o.s - k.last) >= 10 FROM k JOIN o ON o.gid = k.gid AND o.r = k.r + 1) SELECT gid, t, s FROM k WHERE kept")
 def stream_changes(spark, sf):
     """Rows that moved by ten from the row kept before."""
     e = _events(spark, sf).select(F.col("user_id").alias("gid"), _hours().alias("t"), F.col("value").alias("s"))
