@@ -6,7 +6,8 @@ the pair that starts there together with the position, so its root is the
 leftmost pair of the least rank. A merge changes the pairs at the merged
 position and its left neighbour and clears the swallowed position, which are
 three point updates of logarithmic cost, so a piece of n bytes takes O(n log n).
-Every piece that isn't a token itself goes through the tree, whatever its length.
+Every piece that isn't a token itself goes through the tree, whatever its length;
+pieces of up to ``LONGEST`` bytes do so many at a time, as rows of numpy matrices.
 
 Null text encodes as the empty text: no ids, empty bytes. Very long texts are
 encoded whole. Repeated rows are encoded like any other. Only the text column is
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ CACHE_PIECE_CHARS = 64
 #: A node of the tree is rank * 2 ** 32 + position; this one stands for no pair.
 NONE = 1 << 62
 POSITION = (1 << 32) - 1
+#: Pieces of up to so many bytes are merged side by side, so many at once; those of so many characters of text are looked up together.
+LONGEST, ROWS, TOGETHER_CHARS = 64, 20_000, 2_000_000
 #: Code points below this are Latin letters, digits and signs.
 LATIN = 0x250
 
@@ -89,6 +93,81 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Merger:
+    """Merges many pieces at once. Pieces of one tree width are rows of a matrix, a row holds one piece's tree, and each step makes the next merge of every row."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        get = ranks.get
+        pairs = sorted((a << 32 | b, rank) for token, rank in ranks.items() for k in range(1, len(token)) if (a := get(token[:k])) is not None and (b := get(token[k:])) is not None)
+        self.pairs, self.merged = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(1, np.int64), np.full(1, -1, np.int64))
+
+    def leaves(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Tree leaves of the pairs of tokens at positions; -1 is no token."""
+        key = left.astype(np.int64) << 32 | right
+        place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        known = (self.pairs[place] == key) & (left >= 0) & (right >= 0)
+        return np.where(known, self.merged[place] << 32 | at, NONE)
+
+    def _matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
+        m, rows = len(pieces), np.arange(len(pieces))
+        n = np.fromiter(map(len, pieces), dtype=np.int64, count=m)
+        token = np.full((m, width + 1), -1, dtype=np.int32)
+        inside = np.arange(width + 1) < n[:, None]
+        token[inside] = self.byte[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        after, before = np.tile(np.arange(1, width + 2), (m, 1)), np.tile(np.arange(-1, width), (m, 1))
+        tree = np.full((m, 2 * width), NONE, dtype=np.int64)
+        tree[:, width:] = self.leaves(token[:, :-1], token[:, 1:], np.arange(width))
+        level = width
+        while level > 1:
+            tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+            level //= 2
+        while True:
+            least = tree[rows, 1]
+            live = least != NONE
+            rows, least = rows[live], least[live]
+            if not len(rows):
+                break
+            i = least & POSITION
+            gone = after[rows, i]
+            end = after[rows, gone]
+            left = before[rows, i]
+            token[rows, i], token[rows, gone] = least >> 32, -1
+            after[rows, i], before[rows, end] = end, i
+            tree[rows, width + gone] = NONE
+            tree[rows, width + i] = self.leaves(token[rows, i], token[rows, end], i)
+            some = left >= 0
+            tree[rows[some], width + left[some]] = self.leaves(token[rows[some], left[some]], token[rows[some], i[some]], left[some])
+            for at in (gone, i, np.where(some, left, i)):
+                node = (width + at) >> 1
+                for _ in range(width.bit_length() - 1):
+                    tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+                    node >>= 1
+        kept = token >= 0
+        flat, ends = token[kept], np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).tolist()
+        return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """Packed token ids of each piece."""
+        out: list[bytes] = [b""] * len(pieces)
+        by_width: dict[int, list[int]] = {}
+        raw = [p.encode() for p in pieces]
+        for k, r in enumerate(raw):
+            if (whole := self.ranks.get(r)) is not None:
+                out[k] = whole.to_bytes(4, sys.byteorder)
+            elif len(r) > LONGEST:
+                out[k] = np.array(merge(r, self.ranks), dtype=np.int32).tobytes()
+            else:
+                by_width.setdefault(1 << (len(r) - 1).bit_length(), []).append(k)
+        for width, own in by_width.items():
+            for a in range(0, len(own), ROWS):
+                some = own[a : a + ROWS]
+                for k, packed in zip(some, self._matrix([raw[k] for k in some], width), strict=True):
+                    out[k] = packed
+        return out
+
+
 def splitter(pattern: str):
     """A function from text to its pieces. Texts of Latin letters go through the standard library's engine, with the pattern's classes spelled out; all others through the engine that knows the classes."""
     find = regex.compile(pattern).findall
@@ -101,8 +180,8 @@ def splitter(pattern: str):
     return lambda text: find(text) if other(text) else quick(text)
 
 
-#: Pieces met by this Python worker, by rank file and pattern.
-_known: dict[tuple[str, str], dict[str, bytes]] = {}
+#: Pieces met by this Python worker and its merger, by rank file and pattern.
+_known: dict[tuple[str, str], tuple[dict[str, bytes], Merger]] = {}
 
 
 def encoder(spark: SparkSession, path: str, pattern: str):
@@ -110,24 +189,34 @@ def encoder(spark: SparkSession, path: str, pattern: str):
     ranks_everywhere = spark.sparkContext.broadcast(load_ranks(path))
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ranks, pieces = ranks_everywhere.value, splitter(pattern)
-        known = _known.setdefault((path, pattern), {})
-
-        def ids(piece: str) -> bytes:
-            packed = np.array(merge(piece.encode(), ranks), dtype=np.int32).tobytes()
-            if len(piece) <= CACHE_PIECE_CHARS:
-                if len(known) >= CACHE_PIECES:
-                    known.clear()
-                known[piece] = packed
-            return packed
+        pieces = splitter(pattern)
+        if (path, pattern) not in _known:
+            _known[path, pattern] = {}, Merger(ranks_everywhere.value)
+        known, merger = _known[path, pattern]
+
+        def coded(texts: list[str]) -> list[bytes]:
+            split = [pieces(t) for t in texts]
+            new = {p for own in split for p in own if p not in known}
+            if len(known) + len(new) > CACHE_PIECES:
+                known.clear()
+                new = {p for own in split for p in own}
+            known.update(zip(new, merger.ids(list(new)), strict=True))
+            out = [b"".join([known[p] for p in own]) for own in split]
+            for p in new:
+                if len(p) > CACHE_PIECE_CHARS:
+                    del known[p]
+            return out
 
         for texts in batches:
-            parts, ends, total = [], [0], 0
+            parts, waiting, chars = [], [], 0
             for text in texts:
-                packed = b"".join([known.get(p) or ids(p) for p in pieces(text.as_py() or "")])
-                total += len(packed) // 4
-                parts.append(packed)
-                ends.append(total)
+                waiting.append(text.as_py() or "")
+                chars += len(waiting[-1])
+                if chars > TOGETHER_CHARS:
+                    parts += coded(waiting)
+                    waiting, chars = [], 0
+            parts += coded(waiting)
+            ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
 
     return F.arrow_udf(encode, "array<int>")

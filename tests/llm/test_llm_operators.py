@@ -810,6 +810,16 @@ def test_merge_equals_the_library():
         assert bpe.merge(piece, ranks) == coder._encode_single_piece(piece)
 
 
+def test_merges_side_by_side_equal_the_library(docs):
+    coder, ranks = reference(), bpe.load_ranks(tokenizer()[0])
+    rng = np.random.default_rng(13)
+    pieces = ["".join(rng.choice(list("abeinrst éß日😀"), rng.integers(1, 70))) for _ in range(600)] + ["a" * n for n in range(1, 70)]
+    pieces += [p for _, t in texts(docs)[:30] for p in bpe.splitter(tokenizer()[1])(t or "")]
+    found = bpe.Merger(ranks).ids(pieces)
+    assert [np.frombuffer(x, np.int32).tolist() for x in found] == [coder._encode_single_piece(p.encode()) for p in pieces]
+    assert [bpe.merge(p.encode(), ranks) for p in pieces[:300]] == [np.frombuffer(x, np.int32).tolist() for x in found[:300]]
+
+
 def test_tokens_brute(docs, edge, empty):
     coder = reference()
     for df in (docs, edge):
