@@ -264,7 +264,7 @@ def collapse_repeats(text: Column, longest: int = 4) -> Column:
 
 
 def valley_breaks(text: Column, block: int = 20, least: int = 30) -> Column:
-    """Word positions where the cosine of the word counts on both sides is lowest around and below its mean by half a deviation, at least ``least`` apart; the deepest first."""
+    """Word positions where the cosine of the word counts on both sides is lowest around and below its mean by half a deviation, at least ``least`` apart; the deepest first, of equals to twelve digits the first."""
     @F.pandas_udf("array<int>")
     def breaks(texts: pd.Series) -> pd.Series:
         from collections import Counter
@@ -278,7 +278,7 @@ def valley_breaks(text: Column, block: int = 20, least: int = 30) -> Column:
             for k in at:
                 a, b = Counter(own[k - block : k]), Counter(own[k : k + block])
                 norm = np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
-                score.append(sum(n * b[w] for w, n in a.items()) / norm if norm else 0.0)
+                score.append(round(float(sum(n * b[w] for w, n in a.items()) / norm), 12) if norm else 0.0)
             if len(score) < 3:
                 return []
             s = np.array(score)
