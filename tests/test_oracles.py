@@ -50,7 +50,7 @@ def test_sql(spark, sf, name):
 
 
 #: Queries without SQL whose functions alone are tested against known answers.
-BY_FUNCTION = {"q_histogram_thresholds", "q_kde_valley", "q_gaussian_mixture"}
+BY_FUNCTION = {"q_histogram_thresholds", "q_gaussian_mixture"}
 
 
 def test_all_others_have_value_tests():

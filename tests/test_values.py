@@ -447,6 +447,22 @@ def test_kmeans_histogram(series, rows):
     assert share == sorted(share) and share[0] == 0 and share[-1] == 1
 
 
+def test_kde_valley(series, rows):
+    x = np.log1p(np.array([r["s"] for own in series.values() for r in own]))
+    found = {r["name"]: r["value"] for r in rows("q_kde_valley")}
+    width = 0.9 * min(x.std(), np.subtract(*np.quantile(x, [0.75, 0.25])) / 1.34) * len(x) ** -0.2
+    assert found["bandwidth"] == pytest.approx(width, rel=0.02)  # values count as the middles of their bins
+    at = np.linspace(x.min() - 3 * width, x.max() + 3 * width, 4001)
+    density = np.exp(-0.5 * ((at[:, None] - x) / found["bandwidth"]) ** 2).sum(axis=1)
+    modes = [k for k in range(1, 4000) if density[k - 1] < density[k] >= density[k + 1]]
+    assert found["modes"] == len(modes)
+    if len(modes) < 2:
+        assert found["valley"] is None
+    else:
+        a, b = sorted(sorted(modes, key=lambda k: -density[k])[:2])
+        assert found["valley"] == pytest.approx(at[a + density[a : b + 1].argmin()], abs=0.05)
+
+
 def test_greedy_vector_pairs(spark, sf, rows):
     ids, x, _ = vectors(spark, sf)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
