@@ -15,7 +15,10 @@ one number per subword and language, so prediction looks up those numbers.
 
 Null text and text without letters are ``und`` with score 0, not accepted; so is
 every text if there is nothing to learn from. Case doesn't matter. Whole texts
-are read, in segments of fixed size.
+are read, in segments of fixed size. Of rows that share a key the least (lang,
+text) is learned from; all repeated rows are predicted alike. Between languages
+of equal probability the first in the alphabet is taken. A row without a key
+counts as held out. Other columns are not read.
 """
 
 from __future__ import annotations

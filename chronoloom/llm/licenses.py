@@ -11,7 +11,10 @@ text only if the text has the template's longest mandatory phrase.
 Besides, places of short base phrases are counted. Null text counts as empty: no
 words, no labels, null places, score 0. Words are compared in lower case, and
 overlapping places all count. Score is 1 where a template accepts, one half
-where only base phrases stand, else 0.
+where only base phrases stand, else 0. Very long texts are read whole, repeated
+rows get equal results; of runs of one template that overlap the leftmost is
+kept, and of those that begin alike the longest. Other columns are carried along
+whatever their names, but for one with the name of ``out``, which is replaced.
 """
 
 from __future__ import annotations

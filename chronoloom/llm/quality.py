@@ -12,7 +12,9 @@ as a literal inside the expression, so scoring neither joins nor shuffles.
 
 Null and empty texts have no words and fail the base rules. Without any trusted
 text the base rules alone decide and the ratio is null. Repeated rows count as
-often as they occur. Only the named columns are read.
+often as they occur. A text with just the least mean weight is kept. Very long
+texts are read whole. Only the named columns are read; ``filtered`` carries the
+others along whatever their names.
 """
 
 from __future__ import annotations

@@ -18,42 +18,52 @@ def tokenizer() -> tuple[str, str]:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and verdict of every document. Nulls, empty and long texts, ties, repeated rows and other columns: see the module."""
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from a bounded sample of those that aren't held out. Nulls, empty and long texts, ties, repeated rows and other columns: see the module."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document. Nulls, empty and long texts, ties, repeated rows and other columns: see the module."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back. Nulls, empty and long texts, ties, repeated rows and other columns: see the module."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Nulls, empty and long texts, ties, repeated rows and other columns: see the module."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document. Nulls, empty and long texts, ties, repeated rows and other columns: see the module."""
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of a document that another one has too. Nulls, empty and long texts, ties, repeated rows and other columns: see the module."""
     return substring.report(table(spark, sf_dir, "documents"))
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates of every document. Nulls, empty and long texts, ties, repeated rows and other columns: see the module."""
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document. Nulls, empty and long texts, ties, repeated rows and other columns: see the module."""
     return pii.report(table(spark, sf_dir, "documents"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and what they decode to. Nulls, empty and long texts, ties, repeated rows and other columns: see the module."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), *tokenizer())
 
 
