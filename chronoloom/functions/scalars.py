@@ -149,3 +149,34 @@ def to_pixels(parent: Column, part: Column, scale: int = 1000) -> Column:
 
 def any_of(*columns: Column) -> Column:
     return reduce(lambda a, b: a | b, columns)
+
+
+def any_dim(label: Column, first: int, last: int) -> Column:
+    """Whether one of the dimensions from ``first`` to ``last`` (from 0, both included) of a label list is set; false for a null or shorter list."""
+    return F.coalesce(F.exists(F.slice(label, first + 1, last - first + 1), lambda x: F.coalesce(x == 1, F.lit(False))), F.lit(False))
+
+
+def only_first(label: Column) -> Column:
+    """Whether dimension 0 is set and no other."""
+    return any_dim(label, 0, 0) & ~any_dim(label, 1, 2**20)
+
+
+def filled_end(start: Column, end: Column, following: Column, duration: Column, last_resort: float = 30.0) -> Column:
+    """A missing end: the start that follows, else the duration, else ``last_resort`` after the start. Null if that isn't after the start."""
+    filled = F.coalesce(end, following, duration, start + last_resort)
+    return F.when(filled > start, filled)
+
+
+def widened_end(start: Column, end: Column, seconds: float = 1.0) -> Column:
+    """The end, or ``seconds`` after the start if the end isn't after it; null if either is missing or not finite."""
+    finite = ~F.isnan(start) & ~F.isnan(end) & (F.abs(start) < float("inf")) & (F.abs(end) < float("inf"))
+    return F.when(finite, F.when(end <= start, start + seconds).otherwise(end))
+
+
+def nonincreasing(p: Column) -> Column:
+    """The nearest non-increasing list in least squares: at k the least over i <= k of the largest mean of p[i..j], j >= k. For short lists; its work is their cube."""
+    n = F.size(p)
+    to = F.transform(F.sequence(F.lit(0), n), lambda k: F.aggregate(F.slice(p, F.lit(1), k), F.lit(0.0), lambda a, x: a + x))
+    mean = lambda i, j: (F.element_at(to, j + 1) - F.element_at(to, i)) / (j - i + 1)
+    largest = lambda i, k: F.array_max(F.transform(F.sequence(k, n), lambda j: mean(i, j)))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.array_min(F.transform(F.sequence(F.lit(1), k), lambda i: largest(i, k))))).otherwise(p)

@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from chronoloom.storage import drop, stored
 
@@ -155,6 +156,45 @@ def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return reached
 
 
+def reached_windows(nodes: DataFrame, edges: DataFrame, same: DataFrame, hops: int = 2, each: int = 2, by: str = "gid") -> DataFrame:
+    """The nearest windows on either side that a window's nodes reach: (by, window, found, hop).
+
+    nodes: (by, window, node); windows of a group are numbered in time order. edges and
+    same: undirected (a, b). An edge of ``same`` costs nothing, so what it ties is one
+    node; other edges cost a hop. On each side the ``each`` nearest are kept, with the
+    least number of hops. Of every node reached only the nearest windows that hold it
+    are looked up, by windows over its own list, so a node that stands in all windows
+    of a group makes no pairs of them.
+    """
+    tied = components(same).select("node", "root")
+    named = stored(nodes.join(tied, "node", "left").select(by, "window", "node", F.coalesce("root", "node").alias("root")), "walk-nodes")
+    roots = named.select("node", "root").distinct()
+    ends = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    joined = edges.select("a", "b").join(ends("a"), "a").join(ends("b"), "b").where("ra != rb")
+    both = stored(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(joined.select("rb", "ra")).distinct(), "walk-edges")
+    at = named.select(by, "window", "root").distinct()
+    key = [by, "window", "root"]
+    reached = at.withColumn("hop", F.lit(0))
+    front = reached
+    for h in range(1, hops + 1):
+        moved = front.join(both, front["root"] == both["a"]).select(by, "window", F.col("b").alias("root")).distinct()
+        front = stored(moved.join(reached, key, "left_anti").withColumn("hop", F.lit(h)), "walk-front")
+        reached = reached.unionByName(front)
+    inside = W.partitionBy(by, "root").orderBy("window")
+    beside = lambda f: F.array(F.col("window"), *[f("window", k).over(inside) for k in range(1, each)])
+    own = at.select(*key, F.lit(None).cast("int").alias("hop"), F.struct(beside(F.lag).alias("back"), beside(F.lead).alias("ahead")).alias("own"))
+    stream = reached.withColumn("own", F.lit(None).cast(own.schema["own"].dataType)).unionByName(own)
+    asked = F.col("own").isNull()
+    before = W.partitionBy(by, "root").orderBy("window", F.when(asked, 0).otherwise(1)).rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy(by, "root").orderBy("window", F.when(asked, 1).otherwise(0)).rowsBetween(1, W.unboundedFollowing)
+    found = stream.select(*key, "hop", asked.alias("asked"), F.last("own", True).over(before).alias("b"), F.first("own", True).over(after).alias("f")).where("asked")
+    none = F.array().cast("array<bigint>")
+    pairs = found.select(by, "window", "hop", F.explode(F.concat(F.coalesce("b.back", none), F.coalesce("f.ahead", none))).alias("found")).where("found is not null")
+    least = pairs.groupBy(by, "window", "found").agg(F.min("hop").alias("hop"))
+    side = W.partitionBy(by, "window", F.col("found") < F.col("window")).orderBy(F.abs(F.col("found") - F.col("window")))
+    return least.withColumn("_r", F.row_number().over(side)).where(F.col("_r") <= each).drop("_r")
+
+
 def propagate(edges: DataFrame, values: DataFrame, rounds: int, keep: float) -> DataFrame:
     """Node values mixed with the softmax-weighted mean of their neighbours: v = keep * v + (1 - keep) * sum(softmax(w) * v_neighbour)."""
     weights = edges.select("a", "b", F.exp("w").alias("e"))

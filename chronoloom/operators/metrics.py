@@ -54,6 +54,20 @@ def macro(per_group: DataFrame, metric: str = "auc") -> DataFrame:
     return per_group.agg(F.avg(metric).alias("macro"), F.stddev_pop(metric).alias("sd_pop"), F.stddev_samp(metric).alias("sd_samp"), F.median(metric).alias("median"), F.count(metric).alias("defined"), F.count_if(F.col(metric).isNull()).alias("skipped"))
 
 
+def evaluation(df: DataFrame, score: str, label: str, by: str, cohort: DataFrame | None = None) -> DataFrame:
+    """One row: pooled auc and ap of all rows, and their means over the groups of the cohort (all groups if none is given) that have both classes; groups defined and skipped."""
+    pooled = rank_metrics(df, score, label).select(F.col("auc").alias("pooled_auc"), F.col("ap").alias("pooled_ap"))
+    own = df if cohort is None else df.join(cohort.select(by).distinct(), by, "left_semi")
+    means = rank_metrics(own, score, label, [by]).agg(F.avg("auc").alias("macro_auc"), F.avg("ap").alias("macro_ap"), F.count("auc").alias("defined"), F.count_if(F.col("auc").isNull()).alias("skipped"))
+    return pooled.crossJoin(means)  # one row each
+
+
+def paired_metric(df: DataFrame, first: str, second: str, label: str, by: str) -> DataFrame:
+    """By group with both classes: the AUC of two scores, their difference, and the number of rows."""
+    a, b = (rank_metrics(df, s, label, [by]).where("auc is not null").select(by, F.col("auc").alias(name)) for s, name in ((first, "first"), (second, "second")))
+    return a.join(b, by).join(df.groupBy(by).agg(F.count("*").alias("n_rows")), by).withColumn("delta", F.col("first") - F.col("second"))
+
+
 def _over(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators.metrics import rank_metrics
+from chronoloom.operators.ranks import global_rank
 from chronoloom.storage import stored
 
 
@@ -63,6 +64,114 @@ def ridge_cv(df: DataFrame, key: str, vector: str, positive: Column, folds: int,
     return rank_metrics(own.select(F.round(score(vector, "fold"), 9).alias("s"), F.col("y").cast("int").alias("y")), "s", "y").select(F.round("auc", 6).alias("auc"))
 
 
+def stratified_folds(df: DataFrame, key: str, positive: Column, folds: int) -> DataFrame:
+    """``df`` with ``fold``: rows of each class are dealt out in turn, in the order of a hash of the key, so folds have equal shares of both. Rows of no class are left out."""
+    hashed = df.withColumn("_h", F.xxhash64(key))
+    dealt = [global_rank(hashed.where(own), ["_h", key], "_rank") for own in (positive, ~positive)]
+    return dealt[0].unionByName(dealt[1]).withColumn("fold", (F.col("_rank") % folds).cast("int")).drop("_h", "_rank")
+
+
+def _standardised(xx: np.ndarray, xy: np.ndarray, ridge: float) -> np.ndarray:
+    """Intercept and weights of a ridge regression on the standardised features, for the raw ones; from the moments of the rows."""
+    n = xx[0, 0]
+    mean, target = xx[0, 1:] / n, xy[0] / n
+    cov = xx[1:, 1:] - n * np.outer(mean, mean)
+    variance = np.diag(cov) / n
+    sd = np.where(variance > 1e-18, np.sqrt(np.maximum(variance, 1e-18)), 1.0)
+    w = np.linalg.solve(cov / np.outer(sd, sd) + ridge * np.eye(len(sd)), (xy[1:] - n * mean * target) / sd) / sd
+    return np.r_[target - mean @ w, w]
+
+
+def _dots(vectors: pd.Series, rows: np.ndarray) -> np.ndarray:
+    x = np.array(vectors.tolist(), dtype=float).reshape(len(vectors), -1)
+    return rows[:, 0] + (x * rows[:, 1:]).sum(axis=1)
+
+
+def fold_scores(df: DataFrame, key: str, vector: str, y: Column, fold: Column, ridge: float) -> DataFrame:
+    """(key, fold, y, score): each row is scored by a ridge regression on the standardised vectors of the other folds. Give rows of one group one fold, and no group is on both sides."""
+    own = stored(df.select(key, vector, y.cast("double").alias("y"), fold.cast("int").alias("fold")), "folds")
+    m = moments(own, "fold", vector, "y")
+    xx, xy = sum(a for a, _ in m.values()), sum(b for _, b in m.values())
+    beta = {f: _standardised(xx - m[f][0], xy - m[f][1], ridge) for f in m}
+
+    @F.pandas_udf("double")
+    def score(v: pd.Series, f: pd.Series) -> pd.Series:
+        return pd.Series(_dots(v, np.array([beta[int(k)] for k in f])) if len(v) else [], dtype=float)
+
+    return own.select(key, "fold", "y", score(vector, "fold").alias("score"))
+
+
+def leave_one_out(df: DataFrame, key: str, vector: str, y: Column, ridge: float) -> DataFrame:
+    """(key, y, score): each row's score by the ridge regression of all others.
+
+    Taking a row out changes the solution by its leverage h alone: score = (fit - h y) / (1 - h). So one pass
+    for the moments and one for the scores stand for as many fits as there are rows.
+    """
+    own = df.select(key, vector, y.cast("double").alias("y"))
+    m = moments(own.withColumn("fold", F.lit(0)), "fold", vector, "y")
+    if not m:
+        return own.select(key, "y", F.lit(None).cast("double").alias("score"))
+    xx, xy = m[0]
+    penalty = ridge * np.eye(len(xy))
+    penalty[0, 0] = 1e-9
+    inverse = np.linalg.inv(xx + penalty)
+    beta = inverse @ xy
+
+    @F.pandas_udf("double")
+    def score(v: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=float)
+        x = np.column_stack([np.ones(len(v)), np.array(v.tolist(), dtype=float)])
+        h = ((x @ inverse) * x).sum(axis=1)
+        return pd.Series((x @ beta - h * y.to_numpy()) / (1 - h))
+
+    return own.select(key, "y", score(vector, "y").alias("score"))
+
+
+def projected(df: DataFrame, key: str, vector: str, n: int, axes: int) -> DataFrame:
+    """(key, p): each standardised vector on the first principal axes; an axis points to where its largest weight (the first of equals) is positive."""
+    m = moments(df.select(F.lit(0).alias("fold"), vector, F.lit(0.0).alias("y")), "fold", vector, "y")
+    _, found = principal(df, vector, n, axes)
+    lead = np.abs(np.round(found, 9)).argmax(axis=1)
+    found = found * np.where(found[np.arange(axes), lead] < 0, -1.0, 1.0)[:, None]
+    xx = m[0][0] if m else np.eye(n + 1)
+    mean = xx[0, 1:] / xx[0, 0]
+    sd = np.sqrt(np.maximum(np.diag(xx)[1:] / xx[0, 0] - mean**2, 0))
+    scale = np.where(sd > 1e-12, 1 / np.where(sd > 1e-12, sd, 1), 0)
+    turn = (found * scale).T
+
+    @F.pandas_udf("array<double>")
+    def on_axes(v: pd.Series) -> pd.Series:
+        x = np.array(v.tolist(), dtype=float).reshape(len(v), -1)
+        return pd.Series(list((x - mean) @ turn) if len(v) else [], dtype=object)
+
+    return df.select(key, on_axes(vector).alias("p"))
+
+
+def logistic_folds(df: DataFrame, n: int, fold: str, folds: int, ridge: float, steps: int = 8) -> np.ndarray:
+    """Coefficients (folds, n) of y on the array x, each from the rows outside the fold; a Newton step of all folds is one aggregation."""
+    beta = np.zeros((folds, n))
+    penalty = ridge * np.r_[0.0, np.ones(n - 1)]
+    for _ in range(steps):
+        sums = []
+        for f in range(folds):
+            out = F.col(fold) != f
+            p = 1 / (1 + F.exp(-sum((F.col("x")[k] * float(b) for k, b in enumerate(beta[f])), F.lit(0.0))))
+            of = lambda v, out=out: F.coalesce(F.sum(F.when(out, v)), F.lit(0.0))
+            sums += [of(F.col("x")[k] * (F.col("y") - p)).alias(f"g{f}_{k}") for k in range(n)]
+            sums += [of(F.col("x")[i] * F.col("x")[j] * p * (1 - p)).alias(f"h{f}_{i}_{j}") for i in range(n) for j in range(i, n)]
+        r = df.agg(*sums).first()
+        moved = 0.0
+        for f in range(folds):
+            h = np.array([[r[f"h{f}_{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) + np.diag(penalty) + 1e-12 * np.eye(n)
+            step = np.linalg.solve(h, np.array([r[f"g{f}_{k}"] for k in range(n)]) - penalty * beta[f])
+            beta[f] += step
+            moved = max(moved, np.abs(step).max())
+        if moved < 1e-9:
+            break
+    return beta
+
+
 def logistic(df: DataFrame, n: int, ridge: float, steps: int = 8) -> np.ndarray:
     """Coefficients of y on the array x of n features, the first unpenalised; one aggregation a Newton step."""
     beta = np.zeros(n)

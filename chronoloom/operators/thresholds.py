@@ -8,14 +8,18 @@ with their counts. Only those sums and bins are handled on the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chronoloom.functions.stats import poisson_weights
 from chronoloom.operators.metrics import _cumulated
 from chronoloom.operators.ranks import global_rank
+from chronoloom.storage import stored
 
 
 def bounded_rows(df: DataFrame, most: int) -> list:
@@ -192,6 +196,81 @@ def kde_valley(h: np.ndarray, x: np.ndarray, grid: int = 4001) -> dict[str, floa
     return {"valley": float(at[a + int(density[a : b + 1].argmin())]), "modes": float(len(modes)), "bandwidth": width}
 
 
+def valley_replicates(df: DataFrame, value: str, group: str, replicates: int, bins: int = 256) -> DataFrame:
+    """(replicate, valley): the density valley of the values resampled by Poisson weights of their groups; null without two modes. A task sends one count a bin and replicate."""
+    r = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    low = float(r["lo"] or 0.0)
+    width = (float(r["hi"] or 0.0) - low) / bins or 1.0
+    centres = low + width * (np.arange(bins) + 0.5)
+
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((bins, replicates), np.int64)
+        for part in parts:
+            at = np.minimum(((part[value].to_numpy(float) - low) / width).astype(np.int64), bins - 1)
+            np.add.at(held, at, poisson_weights(part[group].to_numpy(), replicates))
+        b, k = np.nonzero(held)
+        yield pd.DataFrame({"replicate": k + 1, "bin": b, "n": held[b, k]})
+
+    def valley(own: pd.DataFrame) -> pd.DataFrame:
+        h = np.zeros(bins)
+        h[own["bin"].to_numpy()] = own["n"].to_numpy()
+        return pd.DataFrame({"replicate": own["replicate"].iloc[:1], "valley": [kde_valley(h, centres)["valley"]]}).astype({"valley": float})
+
+    counts = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias(value), group).mapInPandas(sums, "replicate int, bin int, n bigint").groupBy("replicate", "bin").agg(F.sum("n").alias("n"))
+    found = counts.groupBy("replicate").applyInPandas(valley, "replicate int, valley double")
+    return found.withColumn("valley", F.when(~F.isnan("valley"), F.col("valley")))
+
+
+def valley_interval(per_replicate: DataFrame, replicates: int) -> DataFrame:
+    """Median, quartiles, 95 % interval and deviation of the valleys, and the share of replicates without one."""
+    at = lambda q, name: F.percentile("valley", q).alias(name)
+    return per_replicate.agg(at(0.5, "median"), at(0.25, "q1"), at(0.75, "q3"), at(0.025, "low"), at(0.975, "high"), F.stddev_samp("valley").alias("sd"), (1 - F.count("valley") / replicates).alias("without"))
+
+
+def mixture_starts(q1: float, q3: float, sd: float, starts: int) -> list[list[float]]:
+    """The quartiles as means, the first as they are, others moved by normal numbers of a twentieth of the deviation."""
+    moved = np.random.default_rng(0).normal(0, 0.05 * max(sd, 1e-3), (starts, 2))
+    moved[0] = 0
+    return (np.array([q1, q3]) + moved).tolist()
+
+
+def best_mixture(df: DataFrame, value: str, starts: int = 4, steps: int = 30) -> dict[str, float]:
+    """Two Gaussian components by EM from several starts, that of the greatest likelihood; mean0 <= mean1. A step of all starts is one aggregation over distinct values."""
+    counts = stored(df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n")), "mixture-counts")
+    n, x = F.col("n"), F.col("x")
+    a = counts.agg(F.sum("n").alias("n"), (F.sum(n * x) / F.sum("n")).alias("m"), (F.sum(n * x * x) / F.sum("n")).alias("q"), F.percentile("x", [0.25, 0.75], n).alias("at")).first()
+    if not a["n"]:
+        return {}
+    variance = a["q"] - a["m"] ** 2 + 1e-4
+    fits = [[0.5, m, [variance, variance]] for m in mixture_starts(*a["at"], np.sqrt(variance), starts)]
+    for step in range(steps + 1):
+        sums = []
+        for k, (w, m, v) in enumerate(fits):
+            logs = [F.lit(math.log(p) - 0.5 * math.log(2 * math.pi * v[j])) - (x - m[j]) ** 2 / (2 * v[j]) for j, p in enumerate((1 - w, w))]
+            total = F.greatest(*logs) + F.log1p(F.exp(-F.abs(logs[0] - logs[1])))
+            r = F.exp(logs[1] - total)
+            sums += [F.sum(n * e).alias(f"{name}{k}") for name, e in (("l", total), ("r", r), ("x", r * x), ("q", r * x * x), ("y", (1 - r) * x), ("u", (1 - r) * x * x))]
+        s = counts.agg(*sums).first()
+        if step == steps:
+            break
+        for k in range(starts):
+            r1 = min(max(s[f"r{k}"], 1e-8), a["n"] - 1e-8)
+            m = [s[f"y{k}"] / (a["n"] - r1), s[f"x{k}"] / r1]
+            fits[k] = [r1 / a["n"], m, [max(s[f"u{k}"] / (a["n"] - r1) - m[0] ** 2, 1e-4), max(s[f"q{k}"] / r1 - m[1] ** 2, 1e-4)]]
+    best = max(range(starts), key=lambda k: (round(s[f"l{k}"], 6), -k))
+    w, m, v = fits[best]
+    low = 0 if m[0] <= m[1] else 1
+    return {"weight": w if low == 0 else 1 - w, "mean0": m[low], "mean1": m[1 - low], "var0": v[low], "var1": v[1 - low], "log_likelihood": s[f"l{best}"]}
+
+
+def high_posterior(x: Column, g: dict[str, float]) -> Column:
+    """Chance of the component with the larger mean; null without a mixture."""
+    if not g:
+        return F.lit(None).cast("double")
+    log = lambda p, m, v: math.log(max(p, 1e-12)) - 0.5 * math.log(2 * math.pi * v) - (x - m) ** 2 / (2 * v)
+    return 1 / (1 + F.exp(log(1 - g["weight"], g["mean0"], g["var0"]) - log(g["weight"], g["mean1"], g["var1"])))
+
+
 def gaussian_mixture(df: DataFrame, value: str, shared_variance: bool = False, steps: int = 60, tolerance: float = 1e-7) -> dict[str, float]:
     """Two components by EM. Each step sums responsibilities over the distinct values with their counts."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n")).persist()

@@ -53,6 +53,34 @@ def stream_capacity_tracks(spark, sf):
     return S.drained(S.tracks(e, 48.0, 3, final=True), "capacity", _folder(spark)).groupBy("gid", "reason").agg(F.count("*").alias("tracks"), F.sum("n").alias("n"))
 
 
+_ZERO_MS = 1_704_067_200_000  # 2024-01-01
+
+
+@query(
+    "q_stream_silent_tracks",
+    f"""WITH {CURVE_SQL}, g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY gid, event_type ORDER BY t, event_id) > 24, true)::INT AS new FROM curve), k AS (SELECT *, sum(new) OVER (PARTITION BY gid, event_type ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
+    x AS (SELECT gid, event_type AS label, count(*) AS n, min(t) AS start, max(t) AS "end" FROM k GROUP BY gid, event_type, k), l AS (SELECT gid, max(t) AS last FROM curve GROUP BY gid)
+    SELECT gid, label, n, round(start, 6) AS start, round("end", 6) AS "end" FROM x JOIN l USING (gid) WHERE greatest(last, (SELECT max(t) FROM curve) - 1) - "end" > 24""",
+)
+def stream_silent_tracks(spark, sf):
+    """Tracks that a later row of their user or the watermark has ended; what may still go on is not among them."""
+    e = _events(spark, sf).select(F.col("user_id").alias("gid"), F.col("event_type").alias("label"), _hours().alias("t"), "ts")
+    t = S.drained(S.tracks(e, 24.0, 99, delay="1 hour", zero_ms=_ZERO_MS), "silent", _folder(spark))
+    return t.select("gid", "label", "n", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query(
+    "q_stream_window_picks",
+    """WITH e AS (SELECT user_id AS gid, ts, event_id, time_bucket(INTERVAL 3 DAY, ts, TIMESTAMP '1970-01-01') AS start FROM events), w AS (SELECT gid, start, arg_min(event_id, (ts, event_id)) FILTER (ts >= start + INTERVAL 1 DAY) AS a, arg_min(event_id, (ts, event_id)) FILTER (ts >= start + INTERVAL 2 DAY) AS b, arg_max(event_id, (ts, event_id)) AS z FROM e GROUP BY ALL)
+    SELECT DISTINCT gid, start, unnest([coalesce(a, z), coalesce(b, z)]) AS event_id FROM w""",
+)
+def stream_window_picks(spark, sf):
+    """Events at one and two thirds of every three days of a user's stream."""
+    e = _events(spark, sf).select(F.col("user_id").alias("gid"), "ts", "event_id")
+    p = S.drained(S.window_picks(e, "3 days", 3 * 86_400), "picks", _folder(spark), "complete")
+    return p.select("gid", F.col("w.start").cast("timestamp_ntz").alias("start"), F.explode("picks").alias("event_id"))
+
+
 @query("q_stream_changes", f"WITH RECURSIVE {CURVE_SQL}, o AS (SELECT gid, t, s, row_number() OVER (PARTITION BY gid ORDER BY t, s) AS r FROM curve), k AS (SELECT gid, r, t, s, s AS last, true AS kept FROM o WHERE r = 1 UNION ALL SELECT o.gid, o.r, o.t, o.s, CASE WHEN abs(o.s - k.last) >= 10 THEN o.s ELSE k.last END, abs(o.s - k.last) >= 10 FROM k JOIN o ON o.gid = k.gid AND o.r = k.r + 1) SELECT gid, t, s FROM k WHERE kept")
 def stream_changes(spark, sf):
     """Rows that moved by ten from the row kept before."""

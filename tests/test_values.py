@@ -562,3 +562,99 @@ def test_word_distance(spark, sf, rows):
                 c.append(common[j] + 1 if w == x else max(common[j + 1], c[j]))
             edits, common = np.array(e), np.array(c)
         assert both == (edits[-1], common[-1])
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, sf):
+    """Ids, vectors and the label asked for, by id."""
+    e = sorted(read(spark, sf, "embeddings").collect(), key=lambda r: r["vec_id"])
+    return [r["vec_id"] for r in e], np.array([r["embedding"] for r in e], float), np.array([float(r["label"] == 0) for r in e])
+
+
+def test_stratified_probe(vectors, rows):
+    ids, x, y = vectors
+    found = {r["vec_id"]: r for r in rows("q_stratified_probe")}
+    fold = np.array([found[k]["fold"] for k in ids])
+    for own in (0, 1):
+        sizes = [((fold == f) & (y == own)).sum() for f in range(5)]
+        assert max(sizes) - min(sizes) <= 1
+    for f in range(5):
+        a, b = x[fold != f], x[fold == f]
+        mean, sd = a.mean(axis=0), a.std(axis=0)
+        z = (a - mean) / sd
+        w = np.linalg.solve(z.T @ z + np.eye(z.shape[1]), z.T @ (y[fold != f] - y[fold != f].mean()))
+        want = (b - mean) / sd @ w + y[fold != f].mean()
+        assert [found[k]["score"] for k, o in zip(ids, fold, strict=True) if o == f] == pytest.approx(want, abs=2e-6)
+
+
+def test_grouped_folds(series, rows):
+    found = {r["event_id"]: r for r in rows("q_grouped_folds")}
+    own = [r for one in series.values() for r in one]
+    x = np.array([[1.0, r["s"] / 100, r["t"] / 700] for r in own])
+    y, fold = np.array([float(r["y"]) for r in own]), np.array([r["gid"] % 5 for r in own])
+    for f in set(fold):
+        a, b = x[fold != f], np.zeros(3)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-a @ b))
+            b += np.linalg.solve((a.T * (p * (1 - p))) @ a + np.diag([0, 1.0, 1]), a.T @ (y[fold != f] - p) - np.array([0, 1.0, 1]) * b)
+        want = 1 / (1 + np.exp(-x[fold == f] @ b))
+        mine = [found[r["event_id"]] for r, o in zip(own, fold, strict=True) if o == f]
+        assert {r["fold"] for r in mine} == {f} and [r["p"] for r in mine] == pytest.approx(want, abs=2e-6)
+
+
+def test_leave_one_out(vectors, rows):
+    ids, x, y = vectors
+    found = {r["vec_id"]: r["score"] for r in rows("q_leave_one_out")}
+    z = np.column_stack([np.ones(len(x)), x])
+    penalty = np.diag(np.r_[1e-9, np.ones(x.shape[1])])
+    for k in range(0, len(ids), 7):
+        keep = np.arange(len(ids)) != k
+        b = np.linalg.solve(z[keep].T @ z[keep] + penalty, z[keep].T @ y[keep])
+        assert found[ids[k]] == pytest.approx(z[k] @ b, abs=2e-6)
+    assert len(found) == len(ids)
+
+
+def test_principal_projection(vectors, rows):
+    ids, x, _ = vectors
+    found = {r["vec_id"]: (r["p0"], r["p1"]) for r in rows("q_principal_projection")}
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    axes = np.linalg.svd(z, full_matrices=False)[2][:2]
+    for k, axis in enumerate(axes):
+        axis = axis * np.sign(axis[np.abs(axis).argmax()])
+        assert [found[i][k] for i in ids] == pytest.approx(z @ axis, abs=2e-4)
+
+
+def test_valley_bootstrap(series, rows):
+    from chronoloom.functions.stats import poisson_weights
+    from chronoloom.operators.thresholds import kde_valley
+
+    found = rows("q_valley_bootstrap")[0]
+    own = [r for one in series.values() for r in one]
+    x = np.log1p([r["s"] for r in own])
+    weights = poisson_weights(np.array([r["event_id"] for r in own]), 100)
+    edges = x.min() + (x.max() - x.min()) / 256 * np.arange(257)
+    at = np.minimum(((x - x.min()) / ((x.max() - x.min()) / 256)).astype(int), 255)
+    valleys = [kde_valley(np.bincount(at, weights[:, k], 256), (edges[1:] + edges[:-1]) / 2)["valley"] for k in range(100)]
+    v = [a for a in valleys if a is not None]
+    assert found["without"] == pytest.approx(1 - len(v) / 100)
+    if len(v) > 1:
+        assert [found[k] for k in ("median", "q1", "q3", "low", "high")] == pytest.approx(np.quantile(v, [0.5, 0.25, 0.75, 0.025, 0.975]), abs=1e-5)
+        assert found["sd"] == pytest.approx(np.std(v, ddof=1), abs=1e-5)
+
+
+def test_high_posterior(series, rows):
+    found = {r["event_id"]: r["p"] for r in rows("q_high_posterior")}
+    own = [r for one in series.values() for r in one]
+    assert set(found) == {r["event_id"] for r in own}
+    x, p = np.log1p([r["s"] for r in own]), np.array([found[r["event_id"]] for r in own])
+    # the chances give back the components that gave them, but for the last EM step
+    w, m = p.mean(), [((1 - p) * x).sum() / (1 - p).sum(), (p * x).sum() / p.sum()]
+    v = [((1 - p) * (x - m[0]) ** 2).sum() / (1 - p).sum(), (p * (x - m[1]) ** 2).sum() / p.sum()]
+    a, b = (q * np.exp(-((x - c) ** 2) / (2 * s)) / np.sqrt(s) for q, c, s in ((1 - w, m[0], v[0]), (w, m[1], v[1])))
+    assert m[0] < m[1] and np.abs(b / (a + b) - p).max() < 0.03
+
+
+def test_two_level(series, rows):
+    found = rows("q_two_level")
+    assert {r["gid"] for r in found} == set(series) and len({r["log_likelihood"] for r in found}) == 1
+    assert all(0 <= r["w"] <= 1 for r in found) and math.isfinite(found[0]["log_likelihood"])
