@@ -2,7 +2,8 @@
 
 A template is licence wording with marked regions: text between
 ``<<beginOptional>>`` and ``<<endOptional>>`` may be absent, and
-``<<var;match=REGEX;max=N>>`` stands for up to N words that each match REGEX.
+``<<var;match=REGEX;max=N;min=M>>`` stands for M to N words (M is 0 if left out)
+that each match REGEX.
 All other words are mandatory. A template compiles to a token automaton; a text
 is accepted where some run of its words takes the automaton to its end, so every
 mandatory word must be there, in order and spelled alike. An automaton reads a
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.llm.license_texts import TEXTS
+
 #: Base phrases and their labels.
 BASE = {
     "gnu general public license": "gpl",
@@ -34,8 +37,8 @@ BASE = {
     "mit license": "mit",
 }
 
-#: Licence wording with marked regions.
-TEMPLATES = {
+#: Short notices and first sentences with marked regions.
+NOTICES = {
     "apache-notice": "Licensed under the Apache License, <<beginOptional>>Version<<endOptional>> <<var;match=[0-9]+;max=2>>",
     "cc-by-notice": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>Creative Commons<<endOptional>> CC BY <<var;match=nc|nd|sa;max=2>> <<var;match=[0-9]+;max=2>>",
     "gpl-notice": "licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>> version <<var;match=[0-9]+;max=2>>",
@@ -45,6 +48,9 @@ TEMPLATES = {
     "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
 }
 
+#: Every template: notices, whole texts and headers of files.
+TEMPLATES = NOTICES | TEXTS
+
 RESULT = "struct<n_words:bigint,places:array<struct<label:string,word:bigint>>,accepted:array<struct<label:string,word:bigint,end_word:bigint>>>"
 PLACE = pa.struct([("label", pa.string()), ("word", pa.int64())])
 RUN = pa.struct([("label", pa.string()), ("word", pa.int64()), ("end_word", pa.int64())])
@@ -59,7 +65,7 @@ def words(text: str | None) -> list[str]:
 
 
 def parsed(template: str) -> list[tuple]:
-    """Regions in order: ("must", words), ("may", words) or ("var", pattern, most words)."""
+    """Regions in order: ("must", words), ("may", words) or ("var", pattern, most words, least words)."""
     regions, optional = [], False
     for k, part in enumerate(_mark.split(template)):
         if k % 2 == 0:
@@ -68,7 +74,7 @@ def parsed(template: str) -> list[tuple]:
                 regions.append(("may" if optional else "must", own))
         elif part.startswith("var"):
             given = dict(x.split("=", 1) for x in part.split(";")[1:])
-            regions.append(("var", given.get("match", ".+"), int(given.get("max", 1))))
+            regions.append(("var", given.get("match", ".+"), int(given.get("max", 1)), int(given.get("min", 0))))
         else:
             optional = part == "beginOptional"
     return regions
@@ -88,7 +94,7 @@ class Automaton:
                 test = re.compile(given[0])
                 for _ in range(given[1]):
                     at = self._step(at, test)
-                for s in range(begin, at):
+                for s in range(begin + given[2], at):
                     self.skips[s].append(at)
             else:
                 for word in given[0]:

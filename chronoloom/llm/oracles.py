@@ -46,7 +46,7 @@ def _pattern(template: str) -> str:
     out = ""
     for kind, *given in parsed(template):
         if kind == "var":
-            out += "(?: (?:%s)){0,%d}" % (given[0].replace(".+", "[^ ]+"), given[1])
+            out += "(?: (?:%s)){%d,%d}" % (given[0].replace(".+", "[^ ]+"), given[2], given[1])
         else:
             body = "".join(f" {re.escape(w)}" for w in given[0])
             out += f"(?:{body})?" if kind == "may" else body

@@ -655,7 +655,7 @@ def as_regex(template):
     out = ""
     for kind, *given in licenses.parsed(template):
         if kind == "var":
-            out += f"(?: (?:{given[0]}))" + "{0,%d}" % given[1] if given[0] != ".+" else "(?: [^ ]+){0,%d}" % given[1]
+            out += (f"(?: (?:{given[0]}))" if given[0] != ".+" else "(?: [^ ]+)") + "{%d,%d}" % (given[2], given[1])
         else:
             body = " " + " ".join(map(re.escape, given[0]))
             out += f"(?:{body})?" if kind == "may" else body
@@ -691,9 +691,74 @@ def test_automaton_regions():
     assert runs("grant full and free use of here") == [(0, 7)]
     assert runs("grant full free use of here") == []
     assert runs("grant use of 7 here") == [] and runs("grant use of a b c here") == []
+    some = licenses.Automaton("the <<var;match=a|b;max=3;min=2>> end")
+    assert [some.runs(t.split()) for t in ("the end", "the a end", "the a b end", "the a b a end", "the a b a b end")] == [[], [], [(0, 4)], [(0, 5)], []]
     assert runs("grant grant use of here grant use of q here") == [(1, 5), (5, 10)]
 
 
+def filled(template, optional):
+    """Words of a text that the template stands for, and places of the mandatory ones."""
+    out, mandatory = [], []
+    for kind, *given in licenses.parsed(template):
+        if kind == "must":
+            mandatory.extend(range(len(out), len(out) + len(given[0])))
+            out.extend(given[0])
+        elif kind == "may":
+            out.extend(given[0] if optional else [])
+        elif given[0] == ".+":
+            out.append(f"holder{len(out)}")
+        elif given[2]:
+            out.append(given[0].split("|")[0])
+    return out, mandatory
+
+
+def test_whole_licences(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+    commented = "\n".join(f" * {line}" for line in mit.split("\n"))
+    changed = mit.replace("free of charge", "for a charge")
+    cut = mit.replace("FITNESS FOR A PARTICULAR PURPOSE AND ", "")
+    rows = [(0, mit), (1, f"x = 1\n{commented}\ny = 2"), (2, changed), (3, cut), (4, mit + "\n\n" + mit)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = {r["doc_id"]: r["labels"] for r in licenses.report(df).collect()}
+    assert labels == {0: "mit-license,mit-text", 1: "mit-license,mit-text", 2: "", 3: "mit-text", 4: "mit-license,mit-text"}
+    same(licenses.report(df).collect(), brute_licences(rows))
+
+
+def test_every_template_accepts_its_own_wording(spark):
+    """Filled in, each template is accepted; without any one of three mandatory words it is not."""
+    rows, wanted = [], []
+    for label, template in licenses.TEMPLATES.items():
+        for optional in (False, True):
+            own, mandatory = filled(template, optional)
+            for gone in (None, mandatory[0], mandatory[len(mandatory) // 2], mandatory[-1]):
+                text = " ".join(w for k, w in enumerate(own) if k != gone)
+                rows.append((len(rows), f"before {text} after"))
+                wanted.append((label, gone is None))
+    got = licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same(got, brute_licences(rows))
+    for r in got:
+        label, accepted = wanted[r["doc_id"]]
+        assert accepted == (label in r["labels"].split(",")), (label, accepted, r["labels"])
+    gpl = next(r["labels"] for r in got if wanted[r["doc_id"]] == ("gpl-header", True))
+    assert "lgpl-header" not in gpl
+
+
 # 9: personal data
 
 
