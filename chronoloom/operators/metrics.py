@@ -33,7 +33,8 @@ def _cumulated(counts: DataFrame, by: list[str], parts: int = 64) -> DataFrame:
         inside = W.partitionBy("_part").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
         own = lambda c: F.coalesce(F.sum(c).over(inside), F.lit(0))
         placed = parted.select("*", own("_pos").alias("p1"), own("_neg").alias("n1"))
-        out = placed.join(F.broadcast(before), F.col("_part") == F.col("_q")).withColumns({"pos_below": F.col("p0") + F.col("p1"), "neg_below": F.col("n0") + F.col("n1")}).drop("_part", "_q", "p0", "n0", "p1", "n1")
+        # null-safe, as the optimizer would carry the part's expression over a plain equality, to where the score isn't
+        out = placed.join(F.broadcast(before), F.col("_part").eqNullSafe(F.col("_q"))).withColumns({"pos_below": F.col("p0") + F.col("p1"), "neg_below": F.col("n0") + F.col("n1")}).drop("_part", "_q", "p0", "n0", "p1", "n1")
     return out.withColumns({"pos_from": F.col("P") - F.col("pos_below"), "neg_from": F.col("N") - F.col("neg_below")})
 
 

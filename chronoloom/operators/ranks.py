@@ -7,16 +7,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def global_rank(df: DataFrame, order: list[str], out: str = "rank", parts: int = 64) -> DataFrame:
-    """Rank from 0 over all rows without one task that sorts them: quantiles of the first column cut the rows into parts, a row's rank is its place in its part plus the rows of the parts before."""
-    first = F.col(order[0])
-    cuts = df.agg(F.percentile_approx(first, [k / parts for k in range(1, parts)], 10_000).alias("cuts")).first()["cuts"] or []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= first)) if cuts else F.lit(0)
+def _splitters(df: DataFrame, order: list[str], parts: int, sampled: int = 4_000) -> list[Column]:
+    """At most ``parts - 1`` quantiles of a sample of about ``sampled`` rows, drawn by hash, as struct literals in order."""
+    n = df.count()
+    own = df.select(*order)
+    if n > sampled:
+        own = own.where(F.pmod(F.xxhash64(*order), F.lit(1 << 30)) < int(sampled / n * (1 << 30)) + 1)
+    rows = own.distinct().orderBy(*order).collect()
+    chosen = [rows[k * len(rows) // parts] for k in range(1, parts)] if len(rows) >= parts else rows[1:]
+    return [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(own.schema, r)]) for r in chosen]
+
+
+def group_rank(df: DataFrame, by: list[str], order: list[str], out: str = "rank", size: str | None = None, parts: int = 64) -> DataFrame:
+    """Rank from 0 in a group, and the group's rows in ``size``, without one task that sorts a group.
+
+    Splitters of (group, order) cut all rows into parts of like size, so a group of most rows has most parts; a row's rank
+    is its place in its part plus the group's rows in the parts before. The sample only sets the parts' sizes. Nulls come
+    first and null keys are a group; rows alike in ``by`` and ``order`` share a part and get its places in any order.
+    """
+    cuts = _splitters(df, [*by, *order], parts)
+    part = F.size(F.filter(F.array(*cuts), lambda c: c <= F.struct(*by, *order))) if cuts else F.lit(0)
     parted = df.withColumn("_part", part)
-    before = parted.groupBy("_part").agg(F.count("*").alias("_rows"))  # one row a part
-    before = before.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_rows").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = parted.withColumn("_place", F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1)
-    return placed.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(out, F.col("_place") + F.col("_before")).drop("_part", "_p", "_place", "_before")
+    counts = parted.groupBy(*by, "_part").agg(F.count("*").alias("_rows"))  # a row for each part and for each group
+    own = W.partitionBy(*by)
+    before = F.coalesce(F.sum("_rows").over(own.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_part").alias("_p"), before.alias("_before"), F.sum("_rows").over(own).alias("_size"))
+    placed = parted.withColumn("_place", F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order)) - 1)
+    same = F.col("_part").eqNullSafe(F.col("_p"))  # null-safe, as the optimizer would carry the part's expression over a plain equality
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    ranked = placed.join(counts if by else F.broadcast(counts), same).withColumn(out, F.col("_place") + F.col("_before"))
+    return (ranked.withColumn(size, F.col("_size")) if size else ranked).drop("_part", "_p", "_place", "_before", "_size", *[f"_by{k}" for k in range(len(by))])
+
+
+def global_rank(df: DataFrame, order: list[str], out: str = "rank", parts: int = 64) -> DataFrame:
+    """Rank from 0 over all rows; see ``group_rank``. One row a part is broadcast."""
+    return group_rank(df, [], order, out, parts=parts)
 
 
 def midrank(value: Column | str, by: list[str]) -> Column:

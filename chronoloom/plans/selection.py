@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chronoloom.operators import ranks
 from chronoloom.plans.catalog import query
 from chronoloom.plans.frames import CURVE_SQL, curve, read
 
@@ -63,8 +64,8 @@ def matched_budget(spark, sf):
     """As many of each length bucket, in order of preference, as another selection has."""
     c = curve(spark, sf).withColumn("len", F.floor(F.col("t") / 240))
     k = c.where("y = 1 or s > 90").groupBy("event_type", "len").agg(F.count("*").alias("k"))
-    r = F.row_number().over(W.partitionBy("event_type", "len").orderBy("s", "event_id"))
-    return c.select("event_id", "event_type", "len", r.alias("r")).join(k, ["event_type", "len"]).where("r <= k").select("event_id")
+    r = ranks.group_rank(c.select("event_id", "event_type", "len", "s"), ["event_type", "len"], ["s", "event_id"], "r")
+    return r.join(k, ["event_type", "len"]).where("r < k").select("event_id")
 
 
 @query(
@@ -98,17 +99,17 @@ def _hash_order(key: str):
 @query("q_stratified_split", "WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality, toxic ORDER BY md5('7:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY quality, toxic) AS n FROM labels) SELECT doc_id, CASE WHEN r <= round_even(0.2 * n, 0) THEN 'test' WHEN r <= round_even(0.3 * n, 0) THEN 'val' ELSE 'train' END AS split FROM r")
 def stratified_split(spark, sf):
     """Shares of each stratum in the order of a seeded hash."""
-    g = W.partitionBy("quality", "toxic")
-    r = read(spark, sf, "labels").select("doc_id", F.row_number().over(g.orderBy(_hash_order("doc_id"), "doc_id")).alias("r"), F.count("*").over(g).alias("n"))
-    return r.select("doc_id", F.when(F.col("r") <= F.rint(0.2 * F.col("n")), "test").when(F.col("r") <= F.rint(0.3 * F.col("n")), "val").otherwise("train").alias("split"))
+    l = read(spark, sf, "labels").select("doc_id", "quality", "toxic", _hash_order("doc_id").alias("h"))
+    r = ranks.group_rank(l, ["quality", "toxic"], ["h", "doc_id"], "r", "n")
+    return r.select("doc_id", F.when(F.col("r") < F.rint(0.2 * F.col("n")), "test").when(F.col("r") < F.rint(0.3 * F.col("n")), "val").otherwise("train").alias("split"))
 
 
 @query("q_validation_carve", "WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5('7:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY quality) AS n FROM labels) SELECT doc_id FROM r WHERE r <= least(greatest(round_even(0.1 * n, 0), 1), n - 1)")
 def validation_carve(spark, sf):
     """A tenth of each class, at least one row and never all."""
-    g = W.partitionBy("quality")
-    r = read(spark, sf, "labels").select("doc_id", F.row_number().over(g.orderBy(_hash_order("doc_id"), "doc_id")).alias("r"), F.count("*").over(g).alias("n"))
-    return r.where(F.col("r") <= F.least(F.greatest(F.rint(0.1 * F.col("n")), F.lit(1.0)), F.col("n") - 1)).select("doc_id")
+    l = read(spark, sf, "labels").select("doc_id", "quality", _hash_order("doc_id").alias("h"))
+    r = ranks.group_rank(l, ["quality"], ["h", "doc_id"], "r", "n")
+    return r.where(F.col("r") < F.least(F.greatest(F.rint(0.1 * F.col("n")), F.lit(1.0)), F.col("n") - 1)).select("doc_id")
 
 
 @query(
@@ -127,8 +128,8 @@ def uncertain_band(spark, sf):
     n = max(1, math.ceil(k["n"] * 0.05))
     n1 = min(k["b"], n - min(k["a"], n // 2))
     n0 = min(k["a"], n - n1)
-    r = band.withColumn("r", F.row_number().over(W.partitionBy("y").orderBy(F.desc("h"), "event_id")))
-    return r.where(F.col("r") <= F.when(F.col("y") == 1, n1).otherwise(n0)).select("event_id", "y")
+    r = ranks.group_rank(band.withColumn("less", -F.col("h")), ["y"], ["less", "event_id"], "r")
+    return r.where(F.col("r") < F.when(F.col("y") == 1, n1).otherwise(n0)).select("event_id", "y")
 
 
 @query("q_ordered_union", f"WITH {CURVE_SQL}, a AS (SELECT gid, list_slice(list(event_id ORDER BY idx), 1, 6) AS a, list_slice(list(event_id ORDER BY s DESC, idx), 1, 6) AS b FROM curve GROUP BY gid) SELECT gid, array_to_string(list_slice(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))), 1, 8), ',') AS ids FROM a")

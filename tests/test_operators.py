@@ -295,3 +295,20 @@ def test_local_z_by_brute_force(spark):
         sd = math.sqrt(sum((v - mean) ** 2 for v in near) / len(near))
         if sd > 1e-6:
             assert got[k] == pytest.approx((x - mean) / sd, abs=1e-5)
+
+
+@pytest.mark.parametrize("parts", [1, 5, 64])
+def test_group_rank_by_sorting(spark, parts):
+    """Null keys and values, one group and one value with most rows, identical rows, more rows than are sampled."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a"] * 8 + ["b", None]), rng.choice([1.0] * 6 + [-2.5, None, float("nan"), float(rng.randrange(50))]), k) for k in range(6000)]
+    rows += [("c", 3.0, -1)] * 4
+    order = lambda r: (r[1] is not None, r[1] != r[1], r[1] if r[1] is not None and r[1] == r[1] else 0.0, r[2])
+    groups = {}
+    for r in sorted(rows, key=order):
+        groups.setdefault(r[0], []).append(r)
+    expected = sorted((str(g), r[2], place, len(own)) for g, own in groups.items() for place, r in enumerate(own))
+    got = R.group_rank(frame(spark, rows, "g string, s double, k int"), ["g"], ["s", "k"], "r", "n", parts=parts)
+    assert got.columns == ["g", "s", "k", "r", "n"]
+    assert sorted((str(r["g"]), r["k"], r["r"], r["n"]) for r in got.collect()) == expected
+    assert R.group_rank(frame(spark, [], "g string, s double, k int"), ["g"], ["s", "k"]).collect() == []
