@@ -565,14 +565,14 @@ def test_word_distance(spark, sf, rows):
 
 
 @pytest.fixture(scope="module")
-def vectors(spark, sf):
+def labelled_vectors(spark, sf):
     """Ids, vectors and the label asked for, by id."""
     e = sorted(read(spark, sf, "embeddings").collect(), key=lambda r: r["vec_id"])
     return [r["vec_id"] for r in e], np.array([r["embedding"] for r in e], float), np.array([float(r["label"] == 0) for r in e])
 
 
-def test_stratified_probe(vectors, rows):
-    ids, x, y = vectors
+def test_stratified_probe(labelled_vectors, rows):
+    ids, x, y = labelled_vectors
     found = {r["vec_id"]: r for r in rows("q_stratified_probe")}
     fold = np.array([found[k]["fold"] for k in ids])
     for own in (0, 1):
@@ -602,8 +602,8 @@ def test_grouped_folds(series, rows):
         assert {r["fold"] for r in mine} == {f} and [r["p"] for r in mine] == pytest.approx(want, abs=2e-6)
 
 
-def test_leave_one_out(vectors, rows):
-    ids, x, y = vectors
+def test_leave_one_out(labelled_vectors, rows):
+    ids, x, y = labelled_vectors
     found = {r["vec_id"]: r["score"] for r in rows("q_leave_one_out")}
     z = np.column_stack([np.ones(len(x)), x])
     penalty = np.diag(np.r_[1e-9, np.ones(x.shape[1])])
@@ -614,8 +614,8 @@ def test_leave_one_out(vectors, rows):
     assert len(found) == len(ids)
 
 
-def test_principal_projection(vectors, rows):
-    ids, x, _ = vectors
+def test_principal_projection(labelled_vectors, rows):
+    ids, x, _ = labelled_vectors
     found = {r["vec_id"]: (r["p0"], r["p1"]) for r in rows("q_principal_projection")}
     z = (x - x.mean(axis=0)) / x.std(axis=0)
     axes = np.linalg.svd(z, full_matrices=False)[2][:2]
