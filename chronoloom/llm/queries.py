@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import bpe, decontaminate, langid, licenses, pii, quality, sharding, simhash, substring, warc
+from chronoloom.llm import bpe, clustering, codes, decontaminate, langid, licenses, pii, quality, secrets, sharding, simhash, substring, warc
 from chronoloom.llm.shared import table
 
 
@@ -67,5 +67,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector. Nulls, ties, repeated rows and other columns: see the module."""
+    return clustering.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of every vector. Nulls, ties, repeated rows and other columns: see the module."""
+    return codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document. Nulls, empty and long texts, ties, repeated rows and other columns: see the module."""
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_decontamination, op4_warc, op5_simhash, op6_sharding, op7_substring_dedup, op8_licences, op9_pii, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_decontamination, op4_warc, op5_simhash, op6_sharding, op7_substring_dedup, op8_licences, op9_pii, op10_bpe, op11_clustering, op12_vector_codes, op13_secrets)}
