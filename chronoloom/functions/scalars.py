@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for ``body``. Columns that a lambda reads would otherwise be evaluated for every element, or be taken for a new column of that name in the same select."""
+    return F.transform(F.array(value), body)[0]
+
+
 def n_frames(duration: Column, rate: float) -> Column:
     """Frames of a curve: ceil with a tolerance, at least one."""
     return F.greatest(F.ceil(duration * rate - 1e-9).cast("long"), F.lit(1).cast("long"))
@@ -90,8 +95,8 @@ def top_mean(xs: Column, k: int) -> Column:
 
 def log_sum_exp(xs: Column) -> Column:
     """Null entries are left out; null if none are left."""
-    own = F.filter(xs, lambda x: x.isNotNull())
-    return F.when(F.size(own) > 0, F.array_max(own) + F.log(F.aggregate(own, F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(own)))))
+    of = lambda own, top: top + F.log(F.aggregate(own, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+    return let(F.filter(xs, lambda x: x.isNotNull()), lambda own: let(F.array_max(own), lambda top: F.when(top.isNotNull(), of(own, top))))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from chronoloom.functions import scalars as S
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, GRID_SQL, SPANS_SQL, cells_sql, curve, grid, read, spans
+from chronoloom.plans.frames import CURVE_SQL, DURATION_SQL, GRID_SQL, SHARE_SQL, SPANS_SQL, cells_sql, curve, duration, grid, read, shares, spans
 
 
 @query("q_frame_grid", f"WITH {GRID_SQL} SELECT gid, frame, t FROM grid")
@@ -78,9 +80,10 @@ def fraction_points(spark, sf):
     return c.select("gid", "w", "idx", "t", targets).groupBy("gid", "w", "f").agg(F.min(F.when(F.col("t") >= at, F.col("idx"))).alias("idx"), F.max("idx").alias("last_idx"))
 
 
-@query("q_span_notes", f"WITH {SPANS_SQL} SELECT gid, count(*) FILTER (\"end\" > 700) AS over_end, count(*) FILTER (start >= 700) AS past_end, count(*) FILTER (\"end\" <= start) AS degenerate FROM spans GROUP BY gid")
+@query("q_span_notes", f"WITH {SPANS_SQL} SELECT gid, count(*) FILTER (\"end\" > {DURATION_SQL}) AS over_end, count(*) FILTER (start >= {DURATION_SQL}) AS past_end, count(*) FILTER (\"end\" <= start) AS degenerate FROM spans GROUP BY gid")
 def span_notes(spark, sf):
-    return spans(spark, sf).groupBy("gid").agg(F.count_if(F.col("end") > 700).alias("over_end"), F.count_if(F.col("start") >= 700).alias("past_end"), F.count_if(F.col("end") <= F.col("start")).alias("degenerate"))
+    past = duration(spark, sf)
+    return spans(spark, sf).groupBy("gid").agg(F.count_if(F.col("end") > past).alias("over_end"), F.count_if(F.col("start") >= past).alias("past_end"), F.count_if(F.col("end") <= F.col("start")).alias("degenerate"))
 
 
 @query("q_both_classes", f"WITH {CURVE_SQL} SELECT gid, sum(y)::BIGINT AS n_pos, count(*) AS n FROM curve GROUP BY gid HAVING sum(y) BETWEEN 1 AND count(*) - 1 AND bool_or(event_type = 'view')")
@@ -109,8 +112,8 @@ def probability_scalars(spark, sf):
 
 @query("q_inverse_entropy")
 def inverse_entropy(spark, sf):
-    h = F.col("s") / 200
-    return curve(spark, sf).select("event_id", F.round(h, 6).alias("h"), F.round(S.inverse_entropy(h), 9).alias("p"))
+    h = F.col("p") * math.log(2)
+    return shares(curve(spark, sf)).select("event_id", F.round(h, 6).alias("h"), F.round(S.inverse_entropy(h), 9).alias("p"))
 
 
 @query("q_wilson", f"""WITH {CURVE_SQL}, k AS (SELECT gid, sum(y) AS k, count(*) AS n FROM curve GROUP BY gid), w AS (SELECT *, k / n AS p, 1.959964 AS z FROM k)
@@ -122,11 +125,11 @@ def wilson(spark, sf):
 
 @query(
     "q_rule_pooling",
-    f"""WITH {CURVE_SQL}, p AS (SELECT gid, event_type, max(s) / 200 AS p FROM curve GROUP BY gid, event_type)
+    f"""WITH {CURVE_SQL}, p AS (SELECT gid, event_type, max({SHARE_SQL}) AS p FROM curve GROUP BY gid, event_type)
     SELECT gid, round(1 - product(1 - p), 9) AS noisy_or, round(list_avg(list_slice(list_sort(list(p), 'DESC'), 1, 2)), 9) AS top2, round(max(p) + ln(sum(exp(p))) - max(p), 9) AS log_sum_exp FROM p GROUP BY gid""",
 )
 def rule_pooling(spark, sf):
-    p = curve(spark, sf).groupBy("gid", "event_type").agg((F.max("s") / 200).alias("p")).groupBy("gid").agg(F.collect_list("p").alias("p"))
+    p = shares(curve(spark, sf)).groupBy("gid", "event_type").agg(F.max("p").alias("p")).groupBy("gid").agg(F.collect_list("p").alias("p"))
     return p.select("gid", F.round(S.noisy_or(F.col("p")), 9).alias("noisy_or"), F.round(S.top_mean(F.col("p"), 2), 9).alias("top2"), F.round(S.log_sum_exp(F.col("p")), 9).alias("log_sum_exp"))
 
 

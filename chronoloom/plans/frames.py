@@ -44,6 +44,13 @@ def n_cells(spark: SparkSession, sf_dir: str, width: float) -> int:
     return int(duration(spark, sf_dir) // width) + 1
 
 
+def shares(df: DataFrame, value: str = "s", out: str = "p") -> DataFrame:
+    """``df`` with each value's place in the range of all values, 0 to 1."""
+    r = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    low, width = (0.0, 1.0) if r["lo"] is None else (r["lo"], (r["hi"] - r["lo"]) or 1.0)
+    return df.withColumn(out, (F.col(value) - low) / width)
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gid, frame, t: left edges of the frames of every user, up to the table's last event."""
     users = read(spark, sf_dir, "events").select(F.col("user_id").alias("gid")).distinct()
@@ -56,6 +63,7 @@ CURVE_SQL = """curve AS (SELECT user_id AS gid, row_number() OVER (PARTITION BY
   (epoch_us(ts) - 1704067200000000) / 3.6e9 AS t, value AS s, (event_type = 'error')::INT AS y, event_type, event_id FROM events)"""
 SPANS_SQL = CURVE_SQL + """, spans AS (SELECT gid, row_number() OVER (PARTITION BY gid ORDER BY t, event_id) - 1 AS ord,
   t AS start, t + 1 + s / 4 AS "end", s AS v FROM curve WHERE event_type = 'purchase')"""
+SHARE_SQL = "((s - (SELECT min(value) FROM events)) / (SELECT max(value) - min(value) FROM events))"
 DURATION_SQL = "(SELECT max((epoch_us(ts) - 1704067200000000) / 3.6e9) FROM events)"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from chronoloom.functions import stats as T
 from chronoloom.operators import metrics as M
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, curve, read
+from chronoloom.plans.frames import CURVE_SQL, SHARE_SQL, curve, read, shares
 
 
 def _r(*names, n=9):
@@ -68,9 +68,9 @@ def best_f1_threshold(spark, sf):
     return M.best_f1(_labelled(spark, sf), "s", "y").select("threshold", *_r("f1"))
 
 
-@query("q_calibration", f"WITH {CURVE_SQL}, p AS (SELECT least(greatest(s / 200, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS p, y FROM curve), b AS (SELECT floor(p * 10) AS bin, count(*) AS n, sum(p) AS sp, sum(y) AS sy, sum((p - y) * (p - y)) AS b, sum(-(y * ln(p) + (1 - y) * ln(1 - p))) AS l FROM p GROUP BY 1) SELECT round(sum(b) / sum(n), 9) AS brier, round(sum(l) / sum(n), 9) AS nll, round(sum(abs(sp - sy)) / sum(n), 9) AS ece FROM b")
+@query("q_calibration", f"WITH {CURVE_SQL}, p AS (SELECT least(greatest({SHARE_SQL}, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS p, y FROM curve), b AS (SELECT floor(p * 10) AS bin, count(*) AS n, sum(p) AS sp, sum(y) AS sy, sum((p - y) * (p - y)) AS b, sum(-(y * ln(p) + (1 - y) * ln(1 - p))) AS l FROM p GROUP BY 1) SELECT round(sum(b) / sum(n), 9) AS brier, round(sum(l) / sum(n), 9) AS nll, round(sum(abs(sp - sy)) / sum(n), 9) AS ece FROM b")
 def calibration(spark, sf):
-    return M.calibration(curve(spark, sf), F.col("s") / 200, F.col("y")).select(*_r("brier", "nll", "ece"))
+    return M.calibration(shares(curve(spark, sf)), F.col("p"), F.col("y")).select(*_r("brier", "nll", "ece"))
 
 
 @query("q_summary", f"WITH {CURVE_SQL} SELECT event_type, min(s) AS least, round(quantile_cont(s, 0.1), 6) AS p10, round(quantile_cont(s, 0.25), 6) AS p25, round(median(s), 6) AS median, round(quantile_cont(s, 0.75), 6) AS p75, round(quantile_cont(s, 0.9), 6) AS p90, max(s) AS most, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS sd FROM curve GROUP BY event_type")

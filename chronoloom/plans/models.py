@@ -17,7 +17,7 @@ from chronoloom.operators import probes as P
 from chronoloom.operators import ranks as R
 from chronoloom.operators import thresholds as T
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, cells_sql, curve, n_cells, read
+from chronoloom.plans.frames import CURVE_SQL, cells_sql, curve, n_cells, read, shares
 from chronoloom.storage import stored
 
 
@@ -81,9 +81,9 @@ def principal_axes(spark, sf):
 @query("q_mixtures")
 def mixtures(spark, sf):
     """Two-component mixtures of Student t, Laplace and beta kind by EM over aggregated values."""
-    c = curve(spark, sf)
+    c = shares(curve(spark, sf))
     rows = []
-    for name, kind, v in (("student_t", X.student_t, F.log1p("s")), ("laplace", X.laplace, F.log1p("s")), ("beta", X.beta, F.least(F.greatest(F.col("s") / 500, F.lit(1e-4)), F.lit(1 - 1e-4)))):
+    for name, kind, v in (("student_t", X.student_t, F.log1p("s")), ("laplace", X.laplace, F.log1p("s")), ("beta", X.beta, F.least(F.greatest(F.col("p"), F.lit(1e-4)), F.lit(1 - 1e-4)))):
         rows += [(name, k, round(float(x), 5)) for k, x in X.fit(c.select(v.alias("x")), "x", kind, steps=12).items()]
     return spark.createDataFrame(rows, "kind string, name string, value double")
 

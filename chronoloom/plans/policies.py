@@ -93,8 +93,8 @@ def coalition_worth(spark, sf):
     """Worth of coalitions of three streams in each window: the log of the mean of their members' exponentials, a single member's own value."""
     mean = lambda k: F.coalesce(F.avg(F.when(F.col("event_type") == k, F.col("s"))), F.lit(0.0)) / 20
     v = curve(spark, sf).groupBy("gid", F.floor(F.col("t") / 48).alias("w")).agg(mean("view").alias("a"), mean("click").alias("b"), mean("error").alias("c"))
-    worth = lambda p: F.round(S.log_sum_exp(F.array(*p)) - F.log(F.lit(float(len(p)))), 6).alias(p)
-    return v.select("gid", "w", F.round("a", 6).alias("a"), worth("ab"), worth("bc"), worth("abc"))
+    worth = lambda p: (S.log_sum_exp(F.array(*p)) - F.log(F.lit(float(len(p))))).alias(p)
+    return v.select("gid", "w", "a", worth("ab"), worth("bc"), worth("abc")).select("gid", "w", *[F.round(c, 6).alias(c) for c in ("a", "ab", "bc", "abc")])
 
 
 @query(
@@ -102,7 +102,7 @@ def coalition_worth(spark, sf):
     f"""WITH {CURVE_SQL}, m AS (SELECT gid, k, coalesce((avg(s) FILTER (idx % 10 = k) - 50) / 20, 0) AS m FROM curve, range(10) r(k) GROUP BY gid, k), p AS (SELECT *, 1 / (1 + exp(-m)) AS p FROM m), c AS (SELECT *, sum(p) OVER (PARTITION BY gid ORDER BY k) AS c FROM p),
     x AS (SELECT i.gid, k.k, i.k AS i, max((j.c - i.c + i.p) / (j.k - i.k + 1)) AS hi FROM c i JOIN c k ON k.gid = i.gid AND k.k >= i.k JOIN c j ON j.gid = i.gid AND j.k >= k.k GROUP BY ALL), q AS (SELECT gid, k, min(hi) AS q FROM x GROUP BY gid, k),
     z AS (SELECT gid, avg(q) AS s, max(q) AS first, min(q) AS last, avg(p) AS r, avg(m) AS z_mean FROM q JOIN p USING (gid, k) GROUP BY gid)
-    SELECT gid, round(ln(s) - ln(1 - s), 6) AS z_ord, round(ln(r) - ln(1 - r), 6) AS z_raw, round(z_mean, 6) AS z_mean, round(first, 6) AS first, round(last, 6) AS last FROM z""",
+    SELECT gid, round(ln(s) - ln(1 - s), 6) AS z_ord, round(ln(r) - ln(1 - r), 6) AS z_raw, round(z_mean, 9) AS z_mean, round(first, 6) AS first, round(last, 6) AS last FROM z""",
 )
 def ordinal_terms(spark, sf):
     """Logits of the mean of ten graded chances after and before they are made non-increasing, the mean of their margins, and the ends of the projection."""
@@ -110,7 +110,7 @@ def ordinal_terms(spark, sf):
     margins = F.array(*[F.coalesce((F.avg(F.when(F.col("idx") % 10 == k, F.col("s"))) - 50) / 20, F.lit(0.0)) for k in range(10)])
     g = c.groupBy("gid").agg(margins.alias("m")).withColumn("p", F.transform("m", S.sigmoid)).withColumn("q", S.nonincreasing(F.col("p")))
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a)
-    return g.select("gid", F.round(S.logit(mean("q"), 1e-4), 6).alias("z_ord"), F.round(S.logit(mean("p"), 1e-4), 6).alias("z_raw"), F.round(mean("m"), 6).alias("z_mean"), F.round(F.element_at("q", 1), 6).alias("first"), F.round(F.element_at("q", -1), 6).alias("last"))
+    return g.select("gid", F.round(S.logit(mean("q"), 1e-4), 6).alias("z_ord"), F.round(S.logit(mean("p"), 1e-4), 6).alias("z_raw"), F.round(mean("m"), 9).alias("z_mean"), F.round(F.element_at("q", 1), 6).alias("first"), F.round(F.element_at("q", -1), 6).alias("last"))
 
 
 @query(

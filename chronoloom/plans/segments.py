@@ -12,7 +12,7 @@ from chronoloom.functions import text as X
 from chronoloom.operators import graphs as G
 from chronoloom.operators import intervals as I
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, FRAME_HOURS, SPANS_SQL, cells_sql, curve, grid, read, spans
+from chronoloom.plans.frames import CURVE_SQL, DURATION_SQL, FRAME_HOURS, SPANS_SQL, cells_sql, curve, duration, grid, read, spans
 
 
 @query("q_clause_offsets", r"WITH c AS (SELECT item_id, text, regexp_extract_all(text, '[^.,;!?\n]+[.,;!?\n]*') AS cs FROM benchmark), p AS (SELECT item_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM c) SELECT item_id, i::INT AS i, coalesce(sum(length(c)) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(c)::BIGINT AS n FROM p")
@@ -42,12 +42,13 @@ def words_by_midpoint(spark, sf):
 
 @query(
     "q_normalised_raster",
-    f"""WITH {SPANS_SQL}, n AS (SELECT gid, ord, start / 700 AS a, "end" / 700 AS b FROM spans), c AS (SELECT gid, ord, greatest(least(a, 1), 0) AS a, greatest(least(b, 1), 0) AS b, concat_ws(',', CASE WHEN a < 0 OR b > 1 THEN 'clamped' END, CASE WHEN a >= 1 THEN 'outside' END) AS flags FROM n)
+    f"""WITH {SPANS_SQL}, n AS (SELECT gid, ord, start / {DURATION_SQL} AS a, "end" / {DURATION_SQL} AS b FROM spans), c AS (SELECT gid, ord, greatest(least(a, 1), 0) AS a, greatest(least(b, 1), 0) AS b, concat_ws(',', CASE WHEN a < 0 OR b > 1 THEN 'clamped' END, CASE WHEN a >= 1 THEN 'outside' END) AS flags FROM n)
     SELECT gid, ord, flags, floor(a * 200)::BIGINT AS first, greatest(ceil(b * 200 - 1e-9), floor(a * 200) + 1)::BIGINT AS past FROM c""",
 )
 def normalised_raster(spark, sf):
     """Intervals in shares of the duration to frames, at least one, and flags of what had to be changed."""
-    a, b = F.col("start") / 700, F.col("end") / 700
+    whole = duration(spark, sf) or 1.0
+    a, b = F.col("start") / whole, F.col("end") / whole
     clamp = lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
     flags = F.concat_ws(",", F.when((a < 0) | (b > 1), "clamped"), F.when(a >= 1, "outside"))
     first = F.floor(clamp(a) * 200)

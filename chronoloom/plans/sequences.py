@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from chronoloom.operators import intervals as I
 from chronoloom.operators import sequence as Q
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, DURATION_SQL, SPANS_SQL, curve, duration, spans
+from chronoloom.plans.frames import CURVE_SQL, DURATION_SQL, SPANS_SQL, curve, duration, shares, spans
 
 
 def emission(s: np.ndarray) -> np.ndarray:
@@ -119,8 +119,8 @@ def mdl_segments(spark, sf):
 
 @query("q_mean_transport")
 def mean_transport(spark, sf):
-    f = lambda p: _out(p, v=Q.transport(p["s"].to_numpy() / 250, p["y"].to_numpy(float), 0.5).round(6))
-    return Q.per_series(curve(spark, sf).select("gid", "idx", "s", "y"), f, "idx int, v double")
+    f = lambda p: _out(p, v=Q.transport(p["p"].to_numpy(), p["y"].to_numpy(float), 0.5).round(6))
+    return Q.per_series(shares(curve(spark, sf)).select("gid", "idx", "p", "y"), f, "idx int, v double")
 
 
 @query("q_time_residual")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from chronoloom.functions import text as X
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, curve, read
+from chronoloom.plans.frames import CURVE_SQL, DURATION_SQL, curve, duration, read
 
 _SEGMENTS = "seg AS (SELECT conv_id, turn, turn * 10.0 AS start, turn * 10.0 + 10.0 AS \"end\", list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '') AS ws FROM conversations)"
 
@@ -32,13 +32,13 @@ def window_text_slice(spark, sf):
     return lists.select("conv_id", "w", F.array_join(F.transform("l", lambda x: x["t"]), " ").alias("text"))
 
 
-@query("q_fill_times", f"WITH {CURVE_SQL}, c AS (SELECT gid, idx, CASE WHEN idx % 3 = 0 THEN t END AS start FROM curve) SELECT gid, idx, round(coalesce(start, max(start) OVER (PARTITION BY gid ORDER BY idx ROWS UNBOUNDED PRECEDING), 0), 6) AS prev_end, round(coalesce(start, min(start) OVER (PARTITION BY gid ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 720), 6) AS next_start FROM c")
+@query("q_fill_times", f"WITH {CURVE_SQL}, c AS (SELECT gid, idx, CASE WHEN idx % 3 = 0 THEN t END AS start FROM curve) SELECT gid, idx, round(coalesce(start, max(start) OVER (PARTITION BY gid ORDER BY idx ROWS UNBOUNDED PRECEDING), 0), 6) AS prev_end, round(coalesce(start, min(start) OVER (PARTITION BY gid ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), {DURATION_SQL}), 6) AS next_start FROM c")
 def fill_times(spark, sf):
     """Missing times by two policies: the last known one, or the next known one, else the duration."""
     o = W.partitionBy("gid").orderBy("idx")
     start = F.when(F.col("idx") % 3 == 0, F.col("t"))
     c = curve(spark, sf).select("gid", "idx", start.alias("start"))
-    return c.select("gid", "idx", F.round(F.coalesce("start", F.max("start").over(o.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0)), 6).alias("prev_end"), F.round(F.coalesce("start", F.first("start", ignorenulls=True).over(o.rowsBetween(0, W.unboundedFollowing)), F.lit(720.0)), 6).alias("next_start"))
+    return c.select("gid", "idx", F.round(F.coalesce("start", F.max("start").over(o.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0)), 6).alias("prev_end"), F.round(F.coalesce("start", F.first("start", ignorenulls=True).over(o.rowsBetween(0, W.unboundedFollowing)), F.lit(duration(spark, sf))), 6).alias("next_start"))
 
 
 @query(

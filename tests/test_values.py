@@ -134,10 +134,12 @@ def test_mdl_segments(series, rows):
 
 def test_mean_transport(series, rows):
     found = by_position(rows("q_mean_transport"), "v")
+    every = np.concatenate([scores(own) for own in series.values()])
+    low, high = every.min(), every.max()
     for gid, own in series.items():
         v = np.array([found[gid, k] for k in range(len(own))])
-        p, y = scores(own) / 250, np.array([float(r["y"]) for r in own])
-        assert v.mean() == pytest.approx(p.mean(), abs=1e-4) or p.max() > 1
+        p, y = (scores(own) - low) / (high - low), np.array([float(r["y"]) for r in own])
+        assert v.mean() == pytest.approx(p.mean(), abs=1e-4)
         p = np.clip(p, 1e-6, 1 - 1e-6)
         moved = np.log(v / (1 - v)) - np.log(p / (1 - p))
         inner = (v > 0.01) & (v < 0.99) & (p > 0.01) & (p < 0.99)  # rounding to six digits moves the odds at the ends
@@ -405,7 +407,7 @@ def test_mixtures_are_fixed_points_of_their_steps(series, rows):
         k = m * (1 - m) / ((r @ x**2) / r.sum() - m * m) - 1
         return m * k, (1 - m) * k
 
-    for kind, x in (("student_t", np.log1p(s)), ("laplace", np.log1p(s)), ("beta", np.clip(s / 500, 1e-4, 1 - 1e-4))):
+    for kind, x in (("student_t", np.log1p(s)), ("laplace", np.log1p(s)), ("beta", np.clip((s - s.min()) / np.ptp(s), 1e-4, 1 - 1e-4))):
         r = (x > x.mean()).astype(float)
         ps = [(x.mean(), 1.0), (x.mean(), 1.0)]
         for k in range(13):
@@ -658,3 +660,94 @@ def test_two_level(series, rows):
     found = rows("q_two_level")
     assert {r["gid"] for r in found} == set(series) and len({r["log_likelihood"] for r in found}) == 1
     assert all(0 <= r["w"] <= 1 for r in found) and math.isfinite(found[0]["log_likelihood"])
+
+
+def test_histogram_thresholds(series, rows):
+    """Each method as a plain search over the cuts of a histogram that holds every value."""
+    s = np.concatenate([scores(own) for own in series.values()])
+    p = (s - s.min()) / np.ptp(s)
+    found = {r["method"]: r["threshold"] for r in rows("q_histogram_thresholds")}
+
+    def counted(bins):
+        width = 1 / bins
+        h = np.bincount(np.minimum(np.floor(p / width), bins - 1).astype(int), minlength=bins).astype(float)
+        return h, width * (np.arange(bins) + 0.5)
+
+    def searched(score, bins=256):
+        h, x = counted(bins)
+        assert h.sum() == len(s)
+        best, at = -math.inf, None
+        for k in range(1, bins):
+            low, high = h[:k], h[k:]
+            if low.sum() and high.sum():
+                value = score(low, high, x[:k], x[k:])
+                if value is not None and value > best + 1e-12:
+                    best, at = value, x[k]
+        return at
+
+    def side(h, x):
+        w = h.sum() / len(s)
+        m = (h @ x) / h.sum()
+        return w, m, (h @ (x - m) ** 2) / h.sum()
+
+    def between(a, b, x, z):
+        (w0, m0, _), (w1, m1, _) = side(a, x), side(b, z)
+        return w0 * w1 * (m0 - m1) ** 2
+
+    def least_error(a, b, x, z):
+        (w0, _, v0), (w1, _, v1) = side(a, x), side(b, z)
+        if v0 <= 1e-15 or v1 <= 1e-15:
+            return None
+        return -(1 + w0 * math.log(v0) + w1 * math.log(v1) - 2 * (w0 * math.log(w0) + w1 * math.log(w1)))
+
+    def entropies(a, b, x, z):
+        return sum(-sum(q * math.log(q) for q in h / h.sum() if q) for h in (a, b))
+
+    def correlation(a, b, x, z):
+        return -math.log(((a / len(s)) ** 2).sum() * ((b / len(s)) ** 2).sum()) + 2 * math.log(a.sum() / len(s) * b.sum() / len(s))
+
+    def second_order(a, b, x, z):
+        return -sum(math.log(((h / h.sum()) ** 2).sum()) for h in (a, b))
+
+    def cross_entropy(a, b, x, z):
+        return sum(w * m * math.log(m) for w, m, _ in (side(a, x), side(b, z)))
+
+    for name, score in (("otsu", between), ("kittler", least_error), ("kapur", entropies), ("yen", correlation), ("renyi", second_order), ("li_lee", cross_entropy)):
+        assert found[name] == pytest.approx(searched(score), abs=1e-6), name
+
+    def farthest(bins):
+        h, x = counted(bins)
+        peak, last = int(h.argmax()), max(k for k in range(bins) if h[k])
+        gap = lambda k: abs((h[last] - h[peak]) * (k - peak) - (last - peak) * (h[k] - h[peak]))
+        return x[max(range(peak, last + 1), key=lambda k: (gap(k), -k))]
+
+    assert found["triangle"] == pytest.approx(farthest(50), abs=1e-6) and found["rosin"] == pytest.approx(farthest(256), abs=1e-6)
+    assert 0 <= found["js_split"] <= 1
+
+
+def test_gaussian_mixture(series, rows):
+    """Plain EM over all rows, from the same start, for as many steps."""
+    x = np.log1p(np.concatenate([scores(own) for own in series.values()]))
+    found = defaultdict(dict)
+    for r in rows("q_gaussian_mixture"):
+        found[r["shared"]][r["name"]] = r["value"]
+    for shared, own in found.items():
+        sd = x.std()
+        w, m, v, last = 0.5, [x.mean() - sd, x.mean() + sd], [sd**2, sd**2], -math.inf
+        for _ in range(25):
+            logs = [math.log(q) - 0.5 * math.log(2 * math.pi * b) - (x - a) ** 2 / (2 * b) for q, a, b in zip((1 - w, w), m, v, strict=True)]
+            total = np.logaddexp(*logs)
+            r = np.exp(logs[1] - total)
+            w, m = r.mean(), [((1 - r) @ x) / (1 - r).sum(), (r @ x) / r.sum()]
+            v = [((1 - r) @ (x - m[0]) ** 2) / (1 - r).sum(), (r @ (x - m[1]) ** 2) / r.sum()]
+            if shared:
+                v = [(1 - w) * v[0] + w * v[1]] * 2
+            if abs(total.sum() - last) < 1e-7 * abs(last):
+                break
+            last = total.sum()
+        expected = {"weight": w, "mean0": m[0], "mean1": m[1], "var0": v[0], "var1": v[1]}
+        assert {k: own[k] for k in expected} == pytest.approx(expected, abs=2e-4), shared
+        density = lambda t, q, a, b: q * math.exp(-((t - a) ** 2) / (2 * b)) / math.sqrt(2 * math.pi * b)
+        sides = [density(own["crossing"], q, a, b) for q, a, b in zip((1 - w, w), m, v, strict=True)]
+        assert min(m) <= own["crossing"] <= max(m) and (sides[0] == pytest.approx(sides[1], rel=0.02) or own["crossing"] == pytest.approx(min(m), abs=0.01) or own["crossing"] == pytest.approx(max(m), abs=0.01))
+        assert 0 < own["error"] <= min(w, 1 - w) + 1e-3
