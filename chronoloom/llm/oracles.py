@@ -1,4 +1,4 @@
-"""DuckDB SQL of the corpus queries that SQL can express: decontamination, WARC and licences.
+"""DuckDB SQL of the corpus queries that SQL can express: decontamination, WARC, licences, clustering, vector codes and secrets.
 
 The others rest on a 64-bit hash, a trained model, tokenizer ranks or corpus
 statistics that DuckDB's functions don't offer; tests hold them against brute force.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from chronoloom.llm import secrets
 from chronoloom.llm.licenses import BASE, TEMPLATES, parsed
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,5 +73,72 @@ FROM l
 """
 
 
+def _whole(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: floor({scale} * x::DOUBLE))"
+
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"
+_APART = "list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, y.v) + list_inner_product(y.v, y.v)"
+
+
+def _means(own: str, by: str) -> str:
+    """Componentwise floors of the means of the groups of ``own`` (its vectors are v)."""
+    return f"""(SELECT {by}, list(((s - (s % n + n) % n) // n)::DOUBLE ORDER BY i) AS m FROM (SELECT {by}, i, sum(e)::BIGINT AS s, count(*) AS n FROM (SELECT {by}, unnest(v) AS e, generate_subscripts(v, 1) AS i FROM {own}) GROUP BY ALL) GROUP BY {by})"""
+
+
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds without bounds, one after the other."""
+    out = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, {_whole(256)} AS v FROM embeddings WHERE len(embedding) = 64 AND {_FINITE})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM kept QUALIFY c < {k})",
+    ]
+    for n in range(rounds + 1):
+        out.append(f"a{n} AS MATERIALIZED (SELECT x.r, any_value(x.vec_id) AS vec_id, any_value(x.v) AS v, arg_min(y.c, ({_APART}, y.c)) AS c, min({_APART})::BIGINT AS d FROM kept x, c{n} y GROUP BY x.r)")
+        if n < rounds:
+            out.append(f"c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m, v) AS v FROM c{n} LEFT JOIN {_means(f'a{n}', 'c')} USING (c))")
+    return f"""WITH {", ".join(out)}
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(list_transform(y.v, lambda e: e::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} y USING (c)"""
+
+
+def _codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    out = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, {_whole(1024)}) - 1 AS r, vec_id, label, {_whole(1024)} AS w FROM embeddings WHERE {_FINITE})",
+        f"parts AS MATERIALIZED (SELECT r, p, w[p * len(w) // {parts} + 1:(p + 1) * len(w) // {parts}] AS v FROM kept, range({parts}) t(p))",
+        f"b0 AS MATERIALIZED (SELECT p, r AS e, v FROM parts WHERE r < {entries})",
+    ]
+    for n in range(rounds + 1):
+        out.append(f"a{n} AS MATERIALIZED (SELECT x.r, x.p, any_value(x.v) AS v, arg_min(y.e, ({_APART}, y.e)) AS e, min({_APART})::BIGINT AS d FROM parts x JOIN b{n} y ON x.p = y.p GROUP BY x.r, x.p)")
+        if n < rounds:
+            out.append(f"b{n + 1} AS MATERIALIZED (SELECT p, e, coalesce(m, v) AS v FROM b{n} LEFT JOIN {_means(f'a{n}', 'p, e')} USING (p, e))")
+    return f"""WITH {", ".join(out)},
+t AS (SELECT r, string_agg(printf('%02x', e::INT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN t USING (r), h"""
+
+
+def _secrets() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    good = {"assign": f"length(regexp_extract(x, {quoted('^' + secrets._ASSIGN + '(' + secrets._VALUE + ')$')}, 1)) >= {secrets.LEAST_VALUE}", "opaque": " AND ".join(f"regexp_matches(x, '{c}')" for c in secrets.CLASSES)}
+
+    def places(name: str, pattern: str, test: str = "true") -> str:
+        ends = "list_sum(list_transform(b[1:i], lambda y: length(y))) + list_sum(list_transform(m[1:i], lambda y: length(y)))"
+        return f"(SELECT r, {name} AS k, z - length(x) AS s, z AS e FROM (SELECT r, m[i] AS x, ({ends})::INT AS z FROM (SELECT r, m, b, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, {quoted(pattern)}) AS m, string_split_regex(t, {quoted(pattern)}) AS b FROM d))) WHERE {test})"
+
+    parts = " UNION ALL ".join(f"FROM {places(str(n), secrets.PATTERNS[k], good.get(k, 'true'))}" for n, k in enumerate(secrets.KINDS))
+    roles = {r: ", ".join(str(n) for n, k in enumerate(secrets.KINDS) if secrets.ROLES[k] == r) for r in ("id", "secret", "endpoint")}
+    said = lambda: f"string_agg(({list(secrets.KINDS)})[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k)"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+p AS MATERIALIZED ({parts}), ends AS MATERIALIZED {places("-1", secrets.SCOPE_END)},
+q AS MATERIALIZED (SELECT *, (SELECT count(*) FROM ends WHERE ends.r = p.r AND ends.s < p.s) AS scope FROM p),
+w AS (SELECT a.r, a.k, a.s, a.e, bool_or(b.k IN ({roles["id"]})) AS ids, bool_or(b.k IN ({roles["secret"]})) AS secrets, bool_or(b.k IN (0, 2)) AS strong
+  FROM q a JOIN q b ON a.r = b.r AND a.scope = b.scope AND (b.s - a.e BETWEEN 0 AND {secrets.REACH} OR a.s - b.e BETWEEN 0 AND {secrets.REACH}) WHERE a.k >= 3 GROUP BY ALL),
+l AS (SELECT r, k, s, e FROM w WHERE CASE WHEN k IN ({roles["id"]}) THEN secrets WHEN k IN ({roles["endpoint"]}) THEN strong OR (secrets AND ids) ELSE ids END),
+base AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, {said()} AS b FROM p WHERE k < 3 GROUP BY r),
+every AS (SELECT r, count(*) FILTER (k >= 3) AS n_linked, {said()} AS spans FROM (FROM l UNION ALL SELECT r, k, s, e FROM p WHERE k < 3) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_linked, 0) AS n_linked, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN base USING (r) LEFT JOIN every USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": DECONTAMINATION, "op4_warc": WARC, "op8_licences": LICENCES}
+    return {"op3_decontamination": DECONTAMINATION, "op4_warc": WARC, "op8_licences": LICENCES, "op11_clustering": _clusters(), "op12_vector_codes": _codes(), "op13_secrets": _secrets()}

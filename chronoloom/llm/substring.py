@@ -26,8 +26,9 @@ a smaller key, so following the keys down, one copy of every word stays.
 
 Null and empty texts have no spans, nor have texts of ``LEAD`` words or fewer.
 Words compare with their case, whitespace between them doesn't count. A passage
-that a single text repeats is no repeat. Texts are told apart by key and a hash
-of the text. Rows repeated with their key count as texts that share everything;
+that a single text repeats is no repeat. Texts are told apart by key and a
+64-bit hash of the text, under the first seed for which no two unlike texts of a key
+share a hash; that is looked up in all rows before anything else. Rows repeated with their key count as texts that share everything;
 all of them carry the smallest key and so are first. Rows without a key are
 never the first holder of what a row with a key has; what only they hold stays
 in all of them. Very long texts are read whole, in memory of a few dozen bytes a
@@ -43,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.shared import arrow_function, stored, unused
@@ -186,13 +187,28 @@ def _low(c: str):
     return F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def text_hash(text: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), text)
+
+
+def telling_seed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> int:
+    """The first seed under which unlike texts of a key have unlike hashes."""
+    seed = 0
+    while True:
+        own = docs.select(F.col(key).alias("key"), text_hash(F.col(text), seed).alias("hash"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("full"))
+        if own.groupBy("key", "hash").agg(F.min("full").alias("a"), F.max("full").alias("b")).where("a < b").isEmpty():
+            return seed
+        seed += 1
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int | None = None) -> DataFrame:
     """Spans that stand in more than one text, one row each: key, hash, start, end, n_words, n_texts (most texts that share a chunk of it), first_id (smallest key among those that have it), first (this text has it)."""
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    seed = telling_seed(docs, key, text) if seed is None else seed
     counted = own.select("key", F.explode(distinct_digests(F.col("text"))).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_texts"), F.min("key").alias("first_id")).where("n_texts > 1")
     # written, so that adaptive execution may split the join below where a passage stands in very many texts
     counted = stored(counted, "repeated-digests")
-    places = own.select("key", F.hash("text").alias("hash"), F.explode(placed_digests(F.col("text"))).alias("s")).select("key", "hash", "s.*")
+    places = own.select("key", text_hash(F.col("text"), seed).alias("hash"), F.explode(placed_digests(F.col("text"))).alias("s")).select("key", "hash", "s.*")
     shared = places.join(counted, "digest").select("key", "hash", _high("place").alias("start"), _low("place").alias("end"), _high("words").alias("first_word"), (_high("words") + _low("words")).alias("past_word"), "n_texts", "first_id")
     # one group is the chunks of one text with one first holder; the set takes repeated rows once, before the shuffle too
     place = F.struct("first_word", "past_word", "start", "end", "n_texts")
@@ -219,10 +235,11 @@ def cut_out(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with each repeated span left only in the text that has it first."""
-    later = repeats(docs, key, text).where("not first")
+    seed = telling_seed(docs, key, text)
+    later = repeats(docs, key, text, seed).where("not first")
     k, h, s = unused(docs, "key", "hash", "spans")
     per_text = later.groupBy(F.col(key).alias(k), F.col("hash").alias(h)).agg(F.collect_list(F.struct("start", "end")).alias(s))
-    joined = docs.join(per_text, docs[key].eqNullSafe(per_text[k]) & (F.hash(docs[text]) == per_text[h]), "left")
+    joined = docs.join(per_text, docs[key].eqNullSafe(per_text[k]) & (text_hash(docs[text], seed) == per_text[h]), "left")
     return joined.withColumn(text, cut_out(F.col(text), F.col(s))).select(*docs.columns)
 
 
