@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chronoloom.operators.ranks import group_rank
+
 FRAME_HOURS = 4.0
 
 
@@ -44,6 +46,12 @@ def n_cells(spark: SparkSession, sf_dir: str, width: float) -> int:
     return int(duration(spark, sf_dir) // width) + 1
 
 
+def ranked_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``curve``, with n, the rows of a series; positions are taken in ranges, so that a series of most rows is no single task."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("gid"), "ts", hours().alias("t"), F.col("value").alias("s"), (F.col("event_type") == "error").cast("int").alias("y"), "event_type", "event_id")
+    return group_rank(e, ["gid"], ["ts", "event_id"], "idx", size="n").drop("ts")
+
+
 def shares(df: DataFrame, value: str = "s", out: str = "p") -> DataFrame:
     """``df`` with each value's place in the range of all values, 0 to 1."""
     r = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from chronoloom.operators import intervals as I
+from chronoloom.operators import scans as N
 from chronoloom.operators import sequence as Q
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, DURATION_SQL, SPANS_SQL, curve, duration, shares, spans
+from chronoloom.plans.frames import CURVE_SQL, DURATION_SQL, SPANS_SQL, curve, duration, ranked_curve, shares, spans
 
 
 def emission(s: np.ndarray) -> np.ndarray:
@@ -19,6 +20,10 @@ def emission(s: np.ndarray) -> np.ndarray:
     return np.column_stack([-0.5 * (z + 0.7) ** 2, -0.5 * (z - 0.7) ** 2])
 
 
+def _emission(x: np.ndarray) -> np.ndarray:
+    return emission(x[:, 0])
+
+
 STAY = np.array([[0.9, 0.1], [0.2, 0.8]])
 START = np.array([2 / 3, 1 / 3])
 
@@ -34,39 +39,41 @@ _EMISSION_SQL = "e AS (SELECT gid, idx, -0.5 * pow((s - 50) / 20 + 0.7, 2) AS e0
     UNION ALL SELECT e.gid, e.idx, e.last, 0.9 * p + 0.2 * (1 - p), 0.1 * p + 0.8 * (1 - p), (0.9 * p + 0.2 * (1 - p)) * exp(e0) / ((0.9 * p + 0.2 * (1 - p)) * exp(e0) + (0.1 * p + 0.8 * (1 - p)) * exp(e1)) FROM f JOIN e ON e.gid = f.gid AND e.idx = f.idx + 1),
     b AS (SELECT gid, idx, q0, q1, p AS g FROM f WHERE idx = last UNION ALL SELECT f.gid, f.idx, f.q0, f.q1, f.p * (0.9 * g / b.q0 + 0.1 * (1 - g) / b.q1) FROM b JOIN f ON f.gid = b.gid AND f.idx = b.idx - 1) SELECT gid, idx, round(1 - g, 9) AS p1 FROM b""")
 def forward_backward(spark, sf):
-    f = lambda p: _out(p, p1=Q.forward_backward(emission(p["s"].to_numpy()), STAY, START)[:, 1].round(9))
-    return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "idx int, p1 double")
+    """Chance of the high state, by scans of blocks."""
+    p = N.posteriors(ranked_curve(spark, sf), ["s"], N.constant(_emission, STAY, START))
+    return p.select("gid", "idx", F.round(F.get("p", F.lit(1)), 9).alias("p1"))
 
 
 @query("q_model_averaged_posterior")
 def model_averaged_posterior(spark, sf):
     """Posterior averaged over chains whose mean segment lengths run from two steps to the whole series, weighted by their evidence."""
 
-    def f(p: pd.DataFrame) -> pd.DataFrame:
-        e = emission(p["s"].to_numpy())
-        stay = 1 - 1 / Q.length_grid(len(e), 2, 5)
-        chains = np.array([[[a, 1 - a], [1 - a, a]] for a in stay])
-        return _out(p, p1=Q.averaged_posterior(e, chains, np.full((len(chains), 2), 0.5))[1][:, 1].round(9))
+    def chains(n: int) -> tuple[np.ndarray, np.ndarray]:
+        lengths = Q.length_grid(n, 2, 5)
+        stay = 1 - 1 / np.concatenate([lengths, np.repeat(lengths[-1:], 5 - len(lengths))])  # a short series has one chain, which counts alone whatever its number
+        return np.array([[[a, 1 - a], [1 - a, a]] for a in stay]), np.full((5, 2), 0.5)
 
-    return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "idx int, p1 double")
+    p = N.posteriors(ranked_curve(spark, sf), ["s"], N.Chains(_emission, chains))
+    return p.select("gid", "idx", F.round(F.get("p", F.lit(1)), 9).alias("p1"))
 
 
 @query("q_viterbi_path", f"""WITH RECURSIVE {CURVE_SQL}, {_EMISSION_SQL}, f AS (SELECT gid, idx, last, ln(2 / 3.0::DOUBLE) + e0 AS b0, ln(1 / 3.0::DOUBLE) + e1 AS b1, 0 AS c0, 0 AS c1 FROM e WHERE idx = 0
     UNION ALL SELECT e.gid, e.idx, e.last, greatest(b0 + ln(0.9), b1 + ln(0.2)) + e0, greatest(b0 + ln(0.1), b1 + ln(0.8)) + e1, (b1 + ln(0.2) > b0 + ln(0.9))::INT, (b1 + ln(0.8) > b0 + ln(0.1))::INT FROM f JOIN e ON e.gid = f.gid AND e.idx = f.idx + 1),
     b AS (SELECT gid, idx, c0, c1, (b1 > b0)::INT AS state FROM f WHERE idx = last UNION ALL SELECT f.gid, f.idx, f.c0, f.c1, CASE WHEN b.state = 0 THEN b.c0 ELSE b.c1 END FROM b JOIN f ON f.gid = b.gid AND f.idx = b.idx - 1) SELECT gid, idx, state FROM b""")
 def viterbi_path(spark, sf):
-    f = lambda p: _out(p, state=Q.viterbi(emission(p["s"].to_numpy()), STAY, START))
-    return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "idx int, state int")
+    """The most likely path, by scans of blocks."""
+    return N.best_paths(ranked_curve(spark, sf), ["s"], N.constant(_emission, STAY, START))
 
 
 @query("q_phase_path")
 def phase_path(spark, sf):
     """Setup, climax, release: a path that never goes back."""
-    def f(p: pd.DataFrame) -> pd.DataFrame:
-        z = ((p["s"] - 50) / 20).to_numpy()
-        return _out(p, phase=Q.legal_phases(np.column_stack([-z * z, z, -np.abs(z - 0.5)])))
 
-    return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "idx int, phase int")
+    def emitted(x: np.ndarray) -> np.ndarray:
+        z = (x[:, 0] - 50) / 20
+        return np.column_stack([-z * z, z, -np.abs(z - 0.5)])
+
+    return N.best_paths(ranked_curve(spark, sf), ["s"], N.constant(emitted, Q.onward(3), np.ones(3) / 3)).withColumnRenamed("state", "phase")
 
 
 @query("q_dtw")
