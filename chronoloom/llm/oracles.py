@@ -83,7 +83,7 @@ _APART = "list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, y.v) + list
 
 def _means(own: str, by: str) -> str:
     """Componentwise floors of the means of the groups of ``own`` (its vectors are v)."""
-    return f"""(SELECT {by}, list(((s - (s % n + n) % n) // n)::DOUBLE ORDER BY i) AS m FROM (SELECT {by}, i, sum(e)::BIGINT AS s, count(*) AS n FROM (SELECT {by}, unnest(v) AS e, generate_subscripts(v, 1) AS i FROM {own}) GROUP BY ALL) GROUP BY {by})"""
+    return f"""(SELECT {by}, list(((s - (s % n + n) % n) // n)::DOUBLE ORDER BY i) AS m FROM (SELECT {by}, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT {by}, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {own}) GROUP BY ALL) GROUP BY {by})"""
 
 
 def _clusters(k: int = 40, rounds: int = 5) -> str:
