@@ -9,6 +9,8 @@ from chronoloom.plans.catalog import query
 from chronoloom.plans.frames import CURVE_SQL, read
 from chronoloom.storage import fresh_path
 from chronoloom.streaming import stateful as S
+from chronoloom.streaming import trackers as T
+from chronoloom.streaming.stores import rocks
 
 
 def _folder(spark: SparkSession) -> str:
@@ -69,6 +71,39 @@ def stream_silent_tracks(spark, sf):
     return t.select("gid", "label", "n", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
+def _ticked(spark: SparkSession, sf: str, folder: str, hours: float) -> DataFrame:
+    """The stream of (gid, label, t, ts), then a tick of every user so many hours after the last row, which lets all tracks end."""
+    e = read(spark, sf, "events").select(F.col("user_id").alias("gid"), F.col("ts").cast("timestamp").alias("ts"))
+    last = e.agg(F.max("ts").alias("last"))
+    tick = e.select("gid").distinct().join(F.broadcast(last)).select("gid", (F.col("last") + F.make_interval(hours=F.lit(int(hours)))).alias("ts"))
+    tick.write.parquet(f"{folder}/ticks")
+    ticks = spark.readStream.schema(tick.schema).parquet(f"{folder}/ticks").select("gid", F.lit(None).cast("string").alias("label"), _hours().alias("t"), "ts")
+    return _events(spark, sf).select(F.col("user_id").alias("gid"), F.col("event_type").alias("label"), _hours().alias("t"), "ts").unionByName(ticks)
+
+
+@query(
+    "q_stream_track_ends",
+    f"""WITH {CURVE_SQL}, g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY gid, event_type ORDER BY t, event_id) > 48, true)::INT AS new FROM curve), k AS (SELECT *, sum(new) OVER (PARTITION BY gid, event_type ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
+    x AS (SELECT gid, event_type AS label, count(*) AS n, min(t) AS start, max(t) AS "end" FROM k GROUP BY gid, event_type, k)
+    SELECT gid, row_number() OVER (PARTITION BY gid ORDER BY start, label) - 1 AS track, label, n, round(start, 6) AS start, round("end", 6) AS "end", 'gap' AS reason FROM x""",
+)
+def stream_track_ends(spark, sf):
+    """Ends of tracks in event time, with room for all labels."""
+    folder = _folder(spark)
+    with rocks(spark):
+        r = S.drained(T.records(_ticked(spark, sf, folder, 400), 48.0, 99, 24.0, "1 hour", _ZERO_MS), "records", folder)
+    return r.where("kind = 'end'").select("gid", "track", "label", "n", F.round("start", 6).alias("start"), F.round("t", 6).alias("end"), "reason")
+
+
+@query("q_stream_track_records")
+def stream_track_records(spark, sf):
+    """Supports and ends of tracks with room for three labels of a user."""
+    folder = _folder(spark)
+    with rocks(spark):
+        r = S.drained(T.records(_ticked(spark, sf, folder, 400), 48.0, 3, 24.0, "1 hour", _ZERO_MS), "records", folder)
+    return r.withColumns({c: F.round(c, 6) for c in ("t", "start")})
+
+
 @query(
     "q_stream_window_picks",
     """WITH e AS (SELECT user_id AS gid, ts, event_id, time_bucket(INTERVAL 3 DAY, ts, TIMESTAMP '1970-01-01') AS start FROM events), w AS (SELECT gid, start, arg_min(event_id, (ts, event_id)) FILTER (ts >= start + INTERVAL 1 DAY) AS a, arg_min(event_id, (ts, event_id)) FILTER (ts >= start + INTERVAL 2 DAY) AS b, arg_max(event_id, (ts, event_id)) AS z FROM e GROUP BY ALL)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from chronoloom.plans.catalog import query
 from chronoloom.plans.frames import read
 from chronoloom.storage import fresh_path
 from chronoloom.streaming import comparison
+from chronoloom.streaming.stores import rocks
 
 PER_FRAME, DIMS = 12, 64
 HOW = K.Grouping(budget=8, similarity=0.0, neighbours=4)
@@ -63,23 +62,6 @@ def token_vectors(spark, sf):
     return a.select("gid", "frame", "root", "kind", "members", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(DIMS - 1)), 6).alias("last"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-
-
-@contextmanager
-def rocks(spark: SparkSession):
-    """The state store that keyed state of several values needs, for the streams begun inside."""
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, before)
-
-
 @query("q_stream_token_groups", GROUPS_SQL)
 def stream_token_groups(spark, sf):
     """The same groups from a stream of token rows that arrive in three parts, each a run of the stream that goes on from the checkpoint of the one before."""

@@ -751,3 +751,56 @@ def test_gaussian_mixture(series, rows):
         sides = [density(own["crossing"], q, a, b) for q, a, b in zip((1 - w, w), m, v, strict=True)]
         assert min(m) <= own["crossing"] <= max(m) and (sides[0] == pytest.approx(sides[1], rel=0.02) or own["crossing"] == pytest.approx(min(m), abs=0.01) or own["crossing"] == pytest.approx(max(m), abs=0.01))
         assert 0 < own["error"] <= min(w, 1 - w) + 1e-3
+
+
+def test_stream_track_records(series, rows):
+    """Plain tracks of all rows in order."""
+    expected = []
+    for gid, own in series.items():
+        live, following = {}, 0
+
+        def end(label, reason):
+            track, start, last, n = live.pop(label)
+            expected.append((gid, track, label, "end", round(last, 6), round(start, 6), n, reason))
+
+        for r in sorted(own, key=lambda r: (r["t"], r["event_type"])):
+            for label in [k for k, v in live.items() if r["t"] - v[2] > 48]:
+                end(label, "gap")
+            if r["event_type"] not in live:
+                live[r["event_type"]] = [following, r["t"], r["t"], 0]
+                following += 1
+            v = live[r["event_type"]]
+            v[2:] = [r["t"], v[3] + 1]
+            expected.append((gid, v[0], r["event_type"], "support", round(r["t"], 6), round(v[1], 6), v[3], None))
+            if len(live) > 3:
+                end(min(live, key=lambda k: live[k][1]), "capacity")
+        for label in list(live):
+            end(label, "gap")
+    found = [tuple(r.values()) for r in rows("q_stream_track_records")]
+    assert sorted(map(str, found)) == sorted(map(str, expected))
+    assert {r[-1] for r in found} == {None, "gap", "capacity"}
+
+
+def test_tracks_do_not_depend_on_batches(spark, tmp_path):
+    """A key with most rows, in one batch or in many runs that go on from the checkpoint, in and out of order."""
+    import datetime
+
+    from chronoloom.streaming import stateful, trackers
+    from chronoloom.streaming.stores import rocks
+
+    rng = np.random.default_rng(8)
+    zero = datetime.datetime(2024, 1, 1)
+    rows_ = [(int(g), str(rng.choice(list("abcd"))), float(t)) for g, t in zip(rng.choice([1, 1, 1, 2], 3_000), np.sort(rng.uniform(0, 900, 3_000)), strict=True)]
+    rows_ += [(g, None, 2_000.0) for g in (1, 2)]
+    schema = "gid bigint, label string, t double, ts timestamp"
+    full = [(*r, zero + datetime.timedelta(hours=r[2])) for r in rows_]
+    got = []
+    with rocks(spark):
+        for name, parts in (("once", [full]), ("many", [full[k : k + 750] for k in range(0, 3_001, 750)])):
+            for part in parts:
+                mixed = [part[i] for i in rng.permutation(len(part))]
+                spark.createDataFrame(mixed, schema).repartition(2).write.mode("append").parquet(f"{tmp_path}/{name}")
+                stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}")
+                found = stateful.drained(trackers.records(stream, 30.0, 2, 12.0, "1 hour", 1_704_067_200_000), name, str(tmp_path))
+            got.append(sorted(map(str, map(tuple, found.collect()))))
+    assert got[0] == got[1] and len([r for r in got[0] if "'support'" in r]) == 3_000
