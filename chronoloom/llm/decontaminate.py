@@ -6,7 +6,9 @@ automaton reads a text's word numbers once. Its patterns are the short items and
 of the others, every seventh run of seven words: each window holds one of these
 whole, so the automaton has at most one node a benchmark word instead of
 thirteen. Where a run of seven is found, the words of the item on either side are
-compared, six at most, and thirteen equal words in a row are hits. A hit is a
+compared, six at most, and thirteen equal words in a row are hits. Places of a run
+that have the same six words on either side are compared as one, so a phrase that
+many items share, or one item repeats, costs no more than a rare one. A hit is a
 range of words; the words' places in the original text are found only for texts
 that have a hit.
 
@@ -45,6 +47,8 @@ SIDE = WINDOW - SEED
 BLOCK_WORDS = 8_000_000
 #: Places of a pattern that are compared at once.
 _AT_ONCE = 4096
+#: Odd numbers that hash the words around a place.
+_MIX = np.random.default_rng(2026).integers(0, 1 << 63, WINDOW + SIDE, dtype=np.uint64) | np.uint64(1)
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _plain = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -88,12 +92,42 @@ class Machine:
             own += len(held) + SIDE
         self.flat, self.begins = np.concatenate([*parts, np.full(WINDOW, -1, np.int32)]), np.array(begins, np.int64)
         self.whole = np.diff(np.append(self.begins, own)) - SIDE < WINDOW  # items that are one window
-        order = np.argsort(np.array(seen, np.int64), kind="stable")
-        self.places = np.array(at, np.int64)[order]
-        self.bounds = np.searchsorted(np.array(seen, np.int64)[order], np.arange(len(self.lengths) + 1))
+        self._fold(np.array(seen, np.int64), np.array(at, np.int64))
         if self.lengths:
             self.machine.make_automaton()
 
+    def around(self, places: np.ndarray) -> np.ndarray:
+        """The words of items from SIDE before each place to SIDE past its pattern."""
+        return self.flat[places[:, None] + np.arange(-SIDE, WINDOW)]
+
+    def _fold(self, pattern: np.ndarray, place: np.ndarray) -> None:
+        """Places of a pattern that have equal words on either side are one, with a list of their items; so are those of items that are one window."""
+        owner = np.searchsorted(self.begins, place, side="right") - 1
+        whole = self.whole[owner] if len(owner) else np.zeros(0, bool)
+        hashed = np.zeros(len(place), np.uint64)
+        for k in range(0, len(place), 1 << 16):
+            hashed[k : k + (1 << 16)] = (self.around(place[k : k + (1 << 16)]).astype(np.uint64) * _MIX).sum(axis=1, dtype=np.uint64)
+        hashed[whole] = 0
+        order = np.lexsort((place, hashed, whole, pattern))
+        pattern, place, owner, whole, hashed = (x[order] for x in (pattern, place, owner, whole, hashed))
+        differs = lambda x: np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+        new = differs(pattern) | differs(whole) | differs(hashed)
+        group = np.cumsum(new) - 1
+        first = place[np.flatnonzero(new)]
+        apart = np.zeros(len(first), bool)  # groups whose hashes are equal by chance
+        for k in range(0, len(place), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            unlike = (self.around(place[part]) != self.around(first[group[part]])).any(axis=1) & ~whole[part]
+            apart[group[part][unlike]] = True
+        new |= apart[group] if len(group) else False
+        starts = np.flatnonzero(new)
+        self.places, self.alone = place[starts], whole[starts]
+        self.bounds = np.searchsorted(pattern[starts], np.arange(len(self.lengths) + 1))
+        fold = np.cumsum(new) - 1
+        once = differs(fold) | differs(owner)  # owners ascend with the places of a fold
+        self.owners = owner[once].astype(np.int32)
+        self.owned = np.searchsorted(fold[once], np.arange(len(starts) + 1))
+
     def runs(self, own: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Ranges [first, past) of the words that stand in windows, and the numbers of their items."""
         get = self.numbers.get
@@ -102,28 +136,27 @@ class Machine:
         if not found:
             return [], set()
         padded = np.concatenate([np.full(SIDE, -2, np.int32), np.array(read, np.int32), np.full(WINDOW, -2, np.int32)])
-        ranges, items = set(), set()
+        ranges, folds = set(), set()
         for end, pattern in found:
             size = self.lengths[pattern]
             start = end + 1 - size
             around = padded[start : start + WINDOW + SIDE]  # from SIDE words before the pattern
             for k in range(self.bounds[pattern], self.bounds[pattern + 1], _AT_ONCE):
-                places = self.places[k : min(k + _AT_ONCE, self.bounds[pattern + 1])]
-                owner = np.searchsorted(self.begins, places, side="right") - 1
-                whole = self.whole[owner]
-                if whole.any():
+                number = np.arange(k, min(k + _AT_ONCE, self.bounds[pattern + 1]))
+                alone = self.alone[number]
+                if alone.any():
                     ranges.add((start, end + 1))
-                    items.update(owner[whole].tolist())
-                if size < SEED or whole.all():
+                    folds.update(number[alone].tolist())
+                if size < SEED or alone.all():
                     continue
-                places, owner = places[~whole], owner[~whole]
-                equal = self.flat[places[:, None] + np.arange(-SIDE, WINDOW)] == around
+                number = number[~alone]
+                equal = self.around(self.places[number]) == around
                 left = np.cumprod(equal[:, SIDE - 1 :: -1], axis=1).sum(axis=1)
                 right = np.cumprod(equal[:, SIDE + SEED :], axis=1).sum(axis=1)
                 hit = left + SEED + right >= WINDOW
                 ranges.update(zip((start - left[hit]).tolist(), (end + 1 + right[hit]).tolist(), strict=True))
-                items.update(owner[hit].tolist())
-        return sorted(ranges), items
+                folds.update(number[hit].tolist())
+        return sorted(ranges), {int(i) for f in folds for i in self.owners[self.owned[f] : self.owned[f + 1]]}
 
 
 def scan(machine: Machine, text: str | None) -> tuple[int, list[dict], set[int]]:
