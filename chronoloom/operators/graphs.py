@@ -57,74 +57,153 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, block_rows: int =
     return found.groupBy("qid").agg(top.alias("t")).select("qid", F.explode("t").alias("x")).select("qid", F.col(f"x.{key}"), (-F.col("x.d")).alias("cosine"))
 
 
-def _unit(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and unit vectors of one packed block, by key."""
-    own = rows.flatten()
-    ids, x = own.field("key").to_numpy(zero_copy_only=False), own.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(np.float64)
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    order = np.argsort(ids, kind="stable")
-    return ids[order], x[order]
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(np.float64)
+
+
+class _Best:
+    """The k best of all items that have been seen, for each of some queries."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, least: np.ndarray | None = None):
+        self.ids, self.q, self.k = ids, q, k
+        self.least = np.full(len(ids), -np.inf) if least is None else least
+        self.held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+
+    def add(self, own: np.ndarray, x: np.ndarray) -> None:
+        cos = self.q @ x.T
+        cos[self.ids[:, None] == own[None, :]] = -np.inf
+        floor = self.least
+        if cos.shape[1] > self.k and not np.isfinite(self.least).all():
+            floor = np.maximum(self.least, np.partition(cos, cos.shape[1] - self.k, axis=1)[:, cos.shape[1] - self.k])
+        r, c = np.nonzero((cos >= floor[:, None] - 2e-9) & (cos > -2))
+        held = [np.r_[self.held[0], r], np.r_[self.held[1], own[c]], np.r_[self.held[2], np.round(cos[r, c], 9)]]
+        order = np.lexsort((held[1], -held[2], held[0]))
+        held = [h[order] for h in held]
+        first = np.searchsorted(held[0], held[0])
+        kept = np.arange(len(first)) - first < self.k
+        self.held = held = [h[kept] for h in held]
+        n = np.bincount(held[0], minlength=len(self.ids))
+        full = np.cumsum(n)[n == self.k] - 1
+        self.least = self.least.copy()
+        self.least[n == self.k] = np.maximum(self.least[n == self.k], held[2][full])
+
+
+#: Pivots around which items are put together, most blocks of items, queries that one task puts to a block.
+PIVOTS, BLOCKS, ASKED = 256, 50_000, 20_000
 
 
 def nearest_of_all(items: DataFrame, k: int, block_rows: int = 2000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k most similar items of every item: qid, key, cosine, with the ties and zero vectors of ``cosine_topk``.
+    """The k most similar items of every item: qid, key, cosine, with the ties and zero vectors of ``cosine_topk``. See ``neighbour_asks``."""
+    if items.isEmpty():
+        return items.sparkSession.createDataFrame([], f"qid bigint, {key} bigint, cosine double")
+    packed, asks = neighbour_asks(items, k, block_rows, key, vector)
+    found = answers(packed, asks.select(F.explode("asks").alias("block"), "qid", "vector", "least"), k, key)
+    near = asks.select("qid", F.explode("found").alias("x")).select("qid", F.col("x.key").alias(key), "x.cosine")
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), F.col(key)))), 1, k)
+    return near.unionByName(found).groupBy("qid").agg(top.alias("t")).select("qid", F.explode("t").alias("x")).select("qid", F.col(f"x.{key}"), (-F.col("x.d")).alias("cosine"))
 
-    Items are packed into blocks of about ``block_rows`` by a hash of the key. A task
-    holds one block as queries and passes all blocks by it, one at a time. Nothing is
-    collected; the work grows with the square of the number of items.
-    """
-    blocks = max(1, -(-items.count() // block_rows))
-    row = F.struct(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
-    packed = stored(items.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), row.alias("row")).groupBy("block").agg(F.collect_list("row").alias("rows")), "vector-blocks")
-    dealt = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("asked"), "block", "rows")
-    # a task's own block comes first
-    dealt = dealt.repartition("asked").sortWithinPartitions("asked", F.col("block") != F.col("asked"))
+
+def answers(packed: DataFrame, asked: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
+    """The k most similar items of the blocks (block, rows) that queries (block, qid, vector, least) name, a query and block at a time; ones below ``least`` are left out. Blocks that many queries name are copied, not the queries gathered."""
+    n = asked.groupBy("block").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("salts"))
+    salts = F.broadcast(n)  # a row a block: BLOCKS and the pivots at most
+    none = lambda kind: F.lit(None).cast(kind)
+    kinds = dict(asked.dtypes)
+    held = packed.join(salts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("asks"), none("bigint").alias("qid"), none(kinds["vector"]).alias("vector"), none("double").alias("least"), "rows")
+    asking = asked.join(salts, "block").select("block", F.pmod(F.xxhash64("qid"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("asks"), "qid", "vector", "least", none(dict(packed.dtypes)["rows"]).alias("rows"))
+    dealt = held.unionByName(asking).repartition("block", "salt").sortWithinPartitions("block", "salt", "asks")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = q = None
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        least = np.empty(0)
-
-        def add(own: np.ndarray, x: np.ndarray, same: bool) -> None:
-            nonlocal held, least
-            cos = q @ x.T
-            if same:
-                cos[ids[:, None] == own[None, :]] = -np.inf
-            floor = least
-            if cos.shape[1] > k and not np.isfinite(least).all():
-                floor = np.maximum(least, np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k])
-            r, c = np.nonzero((cos >= floor[:, None] - 2e-9) & (cos > -2))
-            held = [np.r_[held[0], r], np.r_[held[1], own[c]], np.r_[held[2], np.round(cos[r, c], 9)]]
-            order = np.lexsort((held[1], -held[2], held[0]))
-            held = [h[order] for h in held]
-            first = np.searchsorted(held[0], held[0])
-            kept = np.arange(len(first)) - first < k
-            held = [h[kept] for h in held]
-            n = np.bincount(held[0], minlength=len(ids))
-            least = np.where(n == k, 0.0, -np.inf)
-            full = np.cumsum(n)[n == k] - 1
-            least[n == k] = held[2][full]
+        block, waiting = None, []
+
+        def answered(asked: pa.RecordBatch) -> pa.RecordBatch:
+            found = _Best(asked.column("qid").to_numpy(), _units(_matrix(asked.column("vector"))), k, asked.column("least").to_numpy())
+            found.add(*block)
+            return pa.RecordBatch.from_pydict({"qid": found.ids[found.held[0]], key: found.held[1], "cosine": found.held[2]}, pa.schema([("qid", pa.int64()), (key, pa.int64()), ("cosine", pa.float64())]))
+
+        for batch in batches:
+            own = np.asarray(batch.column("asks")) == 0
+            if own.any():
+                rows = batch.column("rows").slice(int(own.argmax()), 1).flatten()
+                block = rows.field("key").to_numpy(zero_copy_only=False), _units(_matrix(rows.field("vector")))
+            asking = batch.filter(pa.array(~own))
+            if block is None:
+                waiting.append(asking)
+                continue
+            for part in [*waiting, asking]:
+                for at in range(0, part.num_rows, 1000):
+                    yield answered(part.slice(at, 1000))
+            waiting = []
 
+    return dealt.groupBy("block", "salt").applyInArrow(best, f"qid bigint, {key} bigint, cosine double")
+
+
+def neighbour_asks(items: DataFrame, k: int, block_rows: int = 2000, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """Blocks of items (block, rows), and for each item what its own block gives (found), its k-th best cosine there (least), and the other blocks that could hold a better one (asks).
+
+    Items go to the nearest of up to PIVOTS items, drawn by hash; those of a pivot are cut into
+    blocks of about ``block_rows`` (more if there would be over BLOCKS blocks), so a vector that
+    a third of all rows share is many blocks. A block knows the largest distance of its items
+    from the pivot. By the triangle inequality none of them is nearer to a query than the
+    query's distance to the pivot less that radius; a block for which this rules out the k-th
+    best is not asked. Zero vectors, which are near nothing, are in blocks that all ask, and ask
+    all. Pivots and a row a block go to the tasks.
+    """
+    n = items.count()
+    rows = max(block_rows, -(-n // BLOCKS))
+    drawn = items.select(key, vector).orderBy(F.xxhash64(key), key).limit(min(PIVOTS, -(-n // rows))).collect()
+    pivots = _units(np.array([r[1] for r in drawn], dtype=np.float64))
+    pivots = np.unique(pivots[np.linalg.norm(pivots, axis=1) > 0], axis=0)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _units(_matrix(batch.column("vector")))
+            zero = ~x.any(axis=1)
+            cos = x @ pivots.T if len(pivots) else np.zeros((len(x), 1))
+            cell = np.where(zero, 0, 1 + cos.argmax(axis=1))
+            away = np.where(zero, np.inf, np.sqrt(np.maximum(2 - 2 * cos.max(axis=1), 0)))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("vector"), pa.array(cell, pa.int32()), pa.array(away)], ["key", "vector", "cell", "away"])
+
+    own = items.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
+    cells = stored(own.mapInArrow(placed, f"key bigint, vector {dict(own.dtypes)['vector']}, cell int, away double"), "vector-cells")
+    count = {r["cell"]: r["n"] for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a pivot
+    parts = [-(-count.get(c, 0) // rows) for c in range(len(pivots) + 1)]
+    begins = np.cumsum([0, *parts]).tolist()
+    block = F.get(F.array(*map(F.lit, begins)), "cell") + F.pmod(F.xxhash64("key"), F.get(F.array(*[F.lit(max(x, 1)) for x in parts]), "cell"))
+    packed = stored(cells.select(block.cast("int").alias("block"), "cell", "away", F.struct("key", "vector").alias("row")).groupBy("block").agg(F.first("cell").alias("cell"), F.max("away").alias("radius"), F.collect_list("row").alias("rows")), "vector-blocks")
+    known = sorted(tuple(r) for r in packed.select("block", "cell", "radius").collect())  # a row a block
+    ids, cell, radius = (np.array(x) for x in zip(*known, strict=True))
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block, rows = batch.column("block")[i].as_py(), batch.column("rows").slice(i, 1)
-                own = _unit(rows)
-                if block == batch.column("asked")[i].as_py():
-                    ids, q = own
-                    least = np.full(len(ids), -np.inf)
-                    add(*own, True)
-                    for x in waiting:
-                        add(*x, False)
-                    waiting = []
-                elif q is None:
-                    waiting.append(own)
-                else:
-                    add(*own, False)
-        if q is not None:
-            yield pa.RecordBatch.from_pydict({"qid": ids[held[0]], key: held[1], "cosine": held[2]}, pa.schema([("qid", pa.int64()), (key, pa.int64()), ("cosine", pa.float64())]))
-
-    return dealt.groupBy("asked").applyInArrow(best, f"qid bigint, {key} bigint, cosine double")
+                held = batch.column("rows").slice(i, 1).flatten()
+                own, x = held.field("key").to_numpy(zero_copy_only=False), _units(_matrix(held.field("vector")))
+                for at in range(0, len(own), 100):
+                    part = slice(at, at + 100)
+                    best = _Best(own[part], x[part], k)
+                    best.add(own, x)
+                    zero = ~x[part].any(axis=1)
+                    away = np.sqrt(np.maximum(2 - 2 * (x[part] @ pivots.T), 0)) if len(pivots) else np.zeros((len(x[part]), 0))
+                    away = np.concatenate([np.zeros((len(away), 1)), away], axis=1)[:, cell]
+                    apart = np.maximum(away - radius[None, :] - 1e-7, 0)
+                    asks = (1 - apart * apart / 2 >= best.least[:, None] - 4e-9) | ~np.isfinite(radius)[None, :] | zero[:, None]
+                    asks[:, ids == batch.column("block")[i].as_py()] = False
+                    found = [[] for _ in best.ids]
+                    for r, other, cosine in zip(*best.held, strict=True):
+                        found[r].append({"key": int(other), "cosine": float(cosine)})
+                    kind = pa.list_(pa.struct([("key", pa.int64()), ("cosine", pa.float64())]))
+                    yield pa.RecordBatch.from_arrays([pa.array(best.ids), held.field("vector")[at : at + 100], pa.array(found, kind), pa.array(best.least), pa.array([ids[a].tolist() for a in asks], pa.list_(pa.int32()))], ["qid", "vector", "found", "least", "asks"])
+
+    asks = stored(packed.select("block", "rows").mapInArrow(asking, f"qid bigint, vector {dict(own.dtypes)['vector']}, found array<struct<key:bigint,cosine:double>>, least double, asks array<int>"), "neighbour-asks")
+    drop(cells)
+    return packed.select("block", "rows"), asks
 
 
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
@@ -205,3 +284,32 @@ def propagate(edges: DataFrame, values: DataFrame, rounds: int, keep: float) ->
         moved = share.join(now, share["b"] == now["node"]).groupBy("a").agg(F.sum(F.col("p") * F.col("v")).alias("m"))
         now = now.join(moved, now["node"] == moved["a"], "left").select("node", F.when(F.col("m").isNull(), F.col("v")).otherwise(keep * F.col("v") + (1 - keep) * F.col("m")).alias("v"))
     return now
+
+
+def node_scores(edges: DataFrame, tolerance: float = 1e-10, most: int = 500) -> DataFrame:
+    """(node, score): scores whose differences fit the values of edges (a, b, v), v for a less b, best; of mean zero in each component.
+
+    Conjugate gradients on the edge table: a step is a join with the edges and a few sums. Equal edges
+    are summed first, loops and edges without a value say nothing. Each step is a written table; there
+    is no matrix of nodes. ``tolerance`` is that of the residual against the right-hand side.
+    """
+    own = edges.where("a != b and v is not null").select("a", "b", F.col("v").cast("double").alias("v"))
+    ways = own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("v")).alias("v")))
+    both = stored(ways.groupBy("a", "b").agg(F.count("*").alias("w"), F.sum("v").alias("v")), "score-edges")
+    start = both.groupBy("a").agg(F.sum("v").alias("r"), F.sum("w").alias("d")).select(F.col("a").alias("node"), F.lit(0.0).alias("x"), "r", F.col("r").alias("p"), "d")
+    state, kept, first = start, None, None
+    for _ in range(most):
+        moved = both.join(state.select(F.col("node").alias("b"), "p"), "b").groupBy("a").agg(F.sum(F.col("w") * F.col("p")).alias("m"))
+        step = stored(state.join(moved.withColumnRenamed("a", "node"), "node").select("node", "x", "r", "p", "d", (F.col("d") * F.col("p") - F.col("m")).alias("q")), "score-step")
+        drop(*([kept] if kept is not None else []))
+        kept = step
+        s = step.agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("p") * F.col("q")).alias("pq")).first()
+        first = s["rr"] if first is None else first
+        if not s["rr"] or not s["pq"] or s["rr"] <= tolerance**2 * first:
+            break
+        along = s["rr"] / s["pq"]
+        r = F.col("r") - along * F.col("q")
+        after = step.agg(F.sum(r * r).alias("rr")).first()["rr"]
+        state = step.select("node", (F.col("x") + along * F.col("p")).alias("x"), r.alias("r"), (r + after / s["rr"] * F.col("p")).alias("p"), "d")
+    drop(both)
+    return kept.select("node", F.col("x").alias("score"))

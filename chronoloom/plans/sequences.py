@@ -82,7 +82,7 @@ def dtw(spark, sf):
     def f(p: pd.DataFrame) -> pd.DataFrame:
         s = p["s"].to_numpy()
         a, b = s[: len(s) // 2], s[len(s) // 2 :]
-        cost, path = Q.dtw(np.abs(a[:, None] - b[None, :])) if len(a) else (0.0, [])
+        cost, path = Q.dtw(a, b) if len(a) else (0.0, [])
         return pd.DataFrame({"cost": [round(cost, 6)], "steps": [len(path)]})
 
     return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "cost double, steps int")

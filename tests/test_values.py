@@ -804,3 +804,56 @@ def test_tracks_do_not_depend_on_batches(spark, tmp_path):
                 found = stateful.drained(trackers.records(stream, 30.0, 2, 12.0, "1 hour", 1_704_067_200_000), name, str(tmp_path))
             got.append(sorted(map(str, map(tuple, found.collect()))))
     assert got[0] == got[1] and len([r for r in got[0] if "'support'" in r]) == 3_000
+
+
+def test_sparse_node_scores(spark, sf, rows):
+    """The dense solution of the same fit."""
+    from chronoloom.plans.graphs import _day_edges
+
+    edges = [tuple(r) for r in _day_edges(spark, sf).collect() if r["a"] != r["b"]]
+    nodes = sorted({n for a, b, _ in edges for n in (a, b)})
+    at = {n: k for k, n in enumerate(nodes)}
+    m = np.zeros((len(edges) + 1, len(nodes)))
+    for k, (a, b, _) in enumerate(edges):
+        m[k, at[a]], m[k, at[b]] = 1, -1
+    m[-1] = 1
+    expected = np.linalg.lstsq(m, np.array([*(v for *_, v in edges), 0.0]), rcond=None)[0]
+    found = {r["node"]: r["score"] for r in rows("q_sparse_node_scores")}
+    assert [found[n] for n in nodes] == pytest.approx(expected, abs=2e-5) and len(found) == len(nodes)
+
+
+def test_node_scores_of_components(spark):
+    from chronoloom.operators.graphs import node_scores
+
+    edges = [(1, 2, 1.0), (2, 3, 1.0), (1, 3, 2.0), (7, 8, -4.0), (7, 8, -4.0), (9, 9, 5.0), (8, 7, None)]
+    found = {r["node"]: r["score"] for r in node_scores(spark.createDataFrame(edges, "a bigint, b bigint, v double")).collect()}
+    assert found == {1: pytest.approx(1), 2: pytest.approx(0, abs=1e-9), 3: pytest.approx(-1), 7: pytest.approx(-2), 8: pytest.approx(2)}
+
+
+def plain_greedy(left, right):
+    unit = lambda v: np.array(v, dtype=float) / max(np.linalg.norm(v), 1e-300)
+    cos = {(a, b): round(float(unit(x) @ unit(y)), 9) for a, x in left for b, y in right}
+    out, used = set(), (set(), set())
+    for a, b in sorted(cos, key=lambda p: (-cos[p], p)):
+        if a not in used[0] and b not in used[1]:
+            used[0].add(a)
+            used[1].add(b)
+            out.add((a, b))
+    return out
+
+
+def test_greedy_two_sides(spark, sf, rows):
+    e = [(r["vec_id"], r["embedding"], r["label"]) for r in read(spark, sf, "embeddings").collect()]
+    expected = plain_greedy([(i, v) for i, v, k in e if k < 5], [(i, v) for i, v, k in e if k >= 5])
+    assert {(r["a"], r["b"]) for r in rows("q_greedy_two_sides")} == expected
+
+
+def test_greedy_pairs_of_ties_and_zeros(spark):
+    from chronoloom.operators.pairing import greedy_pairs
+
+    rng = np.random.default_rng(2)
+    some = lambda n: [(i, [float(x) for x in rng.integers(-1, 2, 3)]) for i in range(n)]
+    left, right = some(30), some(45)
+    frames = [spark.createDataFrame(x, "vec_id bigint, embedding array<double>") for x in (left, right)]
+    assert {(r["a"], r["b"]) for r in greedy_pairs(*frames, k=3, block_rows=20).collect()} == plain_greedy(left, right)
+    assert greedy_pairs(frames[0], frames[1].where("false")).count() == 0
