@@ -292,3 +292,71 @@ def valley_breaks(text: Column, block: int = 20, least: int = 30) -> Column:
         return texts.map(one)
 
     return breaks(text)
+
+
+#: Fixed value: what ends a clause.
+CLAUSE_END = r"[.!?…。！？,，、]+\s*|\n+"
+
+
+def collapse_clauses(text: Column, longest: int = 8) -> Column:
+    """array<struct<key, start, end>>: clauses left when immediate repetitions of 1 to ``longest`` clauses are reduced to one, the shortest first, again and again until none is left. Clauses compare by ``clause_key``; one without a key joins the next, or the last; offsets are code points of the text."""
+    @F.pandas_udf("array<struct<key:string,start:int,end:int>>")
+    def collapse(texts: pd.Series) -> pd.Series:
+        import re
+        import unicodedata
+
+        ends = re.compile(CLAUSE_END)
+
+        def key(t: str) -> str:
+            return " ".join(re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKC", t).casefold()).split())
+
+        def units(t: str) -> list[tuple[str, int, int]]:
+            out, start, at = [], 0, 0
+            for end, past in [*((m.start(), m.end()) for m in ends.finditer(t)), (len(t), len(t))]:
+                if own := key(t[at:end]):
+                    out.append((own, start, past))
+                    start = past
+                at = past
+            if start < len(t):
+                out = [*out[:-1], (out[-1][0], out[-1][1], len(t))] if out else [("", 0, len(t))]
+            return out
+
+        def one(t: str | None) -> list[dict]:
+            own, before = units(t or ""), -1
+            while len(own) != before:
+                before, keys, kept, i = len(own), [u[0] for u in own], [], 0
+                while i < len(own):
+                    k = next((k for k in range(1, longest + 1) if i + 2 * k <= len(own) and keys[i : i + k] == keys[i + k : i + 2 * k]), 0)
+                    kept += own[i : i + max(k, 1)]
+                    j = i + max(k, 1)
+                    while k and keys[j : j + k] == keys[i : i + k]:
+                        j += k
+                    i = j
+                own = kept
+            return [{"key": a, "start": b, "end": c} for a, b, c in own]
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return collapse(text)
+
+
+def parse_snippet(cell: Column) -> Column:
+    """Struct (spans, problems) of a list literal of clock pairs: spans in whole seconds as written, and a reason for every item that gives none. An empty cell has neither; one that is no list is a problem as a whole."""
+    own = F.trim(F.coalesce(cell, F.lit("")))
+    inside = F.regexp_extract(own, r"(?s)^\[(.*)\]$", 1)
+    # items are lists without lists inside, or what stands between commas outside of them
+    items = F.filter(F.transform(F.regexp_extract_all(inside, F.lit(r"\[[^\[\]]*\]|[^,\[\]]+"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+
+    def judged(item: Column) -> Column:
+        parts = F.transform(F.split(F.regexp_extract(item, r"(?s)^\[(.*)\]$", 1), ","), lambda p: F.regexp_replace(F.trim(p), r"^(['\"])(.*)\1$", "$2"))
+        pair = item.startswith("[") & (F.size(parts) == 2)
+        start, end = parse_clock(F.get(parts, 0)), parse_clock(F.get(parts, 1))
+        reason = F.when(~pair, "malformed_pair").when(start.isNull() | end.isNull(), "unparseable_time").when(end <= start, "non_positive_duration")
+        return F.struct(F.concat(reason, F.lit(":"), item).alias("problem"), start.cast("double").alias("start"), end.cast("double").alias("end"))
+
+    all_ = F.transform(items, judged)
+    whole = own.rlike(r"(?s)^\[.*\]$")
+    spans = F.transform(F.filter(all_, lambda x: x["problem"].isNull()), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    problems = F.transform(F.filter(all_, lambda x: x["problem"].isNotNull()), lambda x: x["problem"])
+    none = F.array().cast("array<struct<start:double,end:double>>")
+    return F.when(own == "", F.struct(none.alias("spans"), F.array().cast("array<string>").alias("problems"))).when(~whole, F.struct(none.alias("spans"), F.array(F.lit("unparseable_cell")).alias("problems"))).otherwise(F.struct(spans.alias("spans"), problems.alias("problems")))

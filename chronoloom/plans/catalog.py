@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-MODULES = ("curves", "spans", "joins", "metrics", "ranks", "sequences", "selection", "texts", "thresholds", "graphs", "models", "records", "segments", "streams", "policies", "studies", "tokens")
+MODULES = ("curves", "spans", "joins", "metrics", "ranks", "sequences", "selection", "texts", "thresholds", "graphs", "models", "records", "segments", "streams", "policies", "studies", "tokens", "variants")
 
 
 def query(name: str, sql: str | None = None):

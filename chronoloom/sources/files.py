@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoloom.storage import stored
+
 MANIFEST = "dataset string, video_id string, duration double, video_path string, has_video_stream boolean"
 PREDICTION = "schema_version int, method string, dataset string, video_id string, duration double, native_rate double, score_curve array<double>, intervals array<array<double>>, error string, calls int, seed int, code_path string, extra string"
 TRANSCRIPT = "video_id string, wav_duration double, chunks array<struct<start:double,end:double,text:string>>"
@@ -77,15 +83,68 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def _little(at: int, n: int):
-    """Unsigned little-endian number of n bytes from byte ``at`` (from 1) of the column content."""
-    byte = lambda k: F.conv(F.hex(F.substring("content", at + k, 1)), 16, 10).cast("long")
-    return sum((byte(k) * (1 << 8 * k) for k in range(1, n)), byte(0))
+AUDIO = "path string, seconds double, rate int, channels int, bits int, problem string"
+
+
+def _walked(path: str, length: int) -> tuple:
+    """Seconds, rate, channels, bits and problem of a file, from the headers of its chunks; what chunks hold is passed over."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    rate = channels = bits = bytes_a_second = None
+    with system.open_input_file(name) as f:
+        if f.read(4) != b"RIFF" or len(f.read(4)) < 4 or f.read(4) != b"WAVE":
+            return None, None, None, None, "no RIFF WAVE header"
+        at = 12
+        while at + 8 <= length:
+            f.seek(at)
+            kind, size = struct.unpack("<4sI", f.read(8))
+            if kind == b"fmt ":
+                own = f.read(min(size, 16))
+                if len(own) < 16:
+                    return None, None, None, None, "short format chunk"
+                _, channels, rate, bytes_a_second, _, bits = struct.unpack("<HHIIHH", own)
+            elif kind == b"data":
+                if not bytes_a_second:
+                    return None, rate, channels, bits, "data before format" if bytes_a_second is None else "no bytes a second"
+                return min(size, length - at - 8) / bytes_a_second, rate, channels, bits, None  # a size past the end is that of a stream
+            at += 8 + size + size % 2
+    return None, rate, channels, bits, "no data chunk"
+
+
+def audio_headers(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: path, seconds, rate, channels, bits, or the problem. Tasks read the headers of a file's chunks, wherever these stand, and none of the sound; the file listing doesn't load contents either, and leaves out files of no bytes."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("path", pa.string()), ("seconds", pa.float64()), ("rate", pa.int32()), ("channels", pa.int32()), ("bits", pa.int32()), ("problem", pa.string())]
+        for batch in batches:
+            rows = [(p, *_walked(p, n)) for p, n in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
+
+    return spark.read.format("binaryFile").load(path).select("path", "length").mapInArrow(walk, AUDIO)
 
 
 def wav_durations(spark: SparkSession, path: str) -> DataFrame:
-    """path, seconds of WAV files whose format chunk stands first, as it mostly does: data bytes over bytes a second."""
-    return spark.read.format("binaryFile").load(path).where(F.substring("content", 1, 4) == F.lit(b"RIFF")).select("path", (_little(41, 4) / _little(29, 4)).alias("seconds"))
+    """path, seconds of the WAV files among the files."""
+    return audio_headers(spark, path).where("seconds is not null").select("path", "seconds")
+
+
+def parted(df: DataFrame, key: str, parsed: Column) -> tuple[DataFrame, DataFrame]:
+    """Two tables of one parse, a struct (spans, problems): (key, start, end) of what is good, (key, reason) of what isn't. The parse is written once; an item is in one of the two."""
+    held = stored(df.select(key, parsed.alias("p")), "parsed")
+    good = held.select(key, F.explode("p.spans").alias("s")).select(key, "s.start", "s.end")
+    return good, held.select(key, F.explode("p.problems").alias("reason"))
+
+
+def even_lists(df: DataFrame, key: str, lists: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of parallel lists as one row a position (key, position, and a column a list), and (key, reason) of rows whose lists differ in length or are missing. A row is in one of the two."""
+    held = stored(df.select(key, *lists), "lists")
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in lists]))
+    lengths = F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.size(c).cast("string")) for c in lists])
+    reason = F.when(F.size(missing) > 0, F.concat(F.lit("missing:"), F.array_join(missing, ","))).when(F.size(F.array_distinct(F.array(*[F.size(c) for c in lists]))) > 1, F.concat(F.lit("lengths:"), lengths))
+    judged = held.withColumn("_reason", reason)
+    good = judged.where("_reason is null").select(key, F.posexplode(F.arrays_zip(*lists)).alias("position", "z")).select(key, "position", *[F.col("z")[c].alias(c) for c in lists])
+    return good, judged.where("_reason is not null").select(key, F.col("_reason").alias("reason"))
 
 
 def finalize(predictions: DataFrame, cohort: DataFrame, path: str, key: str = "video_id") -> DataFrame:
