@@ -52,11 +52,11 @@ def degeneracy(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     length = lambda cs: F.aggregate(cs, F.lit(0), lambda a, c: a + F.length(c))
     again = lambda cs: F.filter(cs, lambda c, k: F.coalesce(c == F.get(cs, k - 1), F.lit(False)) | F.coalesce(c == F.get(cs, k + 1), F.lit(False)))
-    runs = F.transform(F.regexp_extract_all(t, F.lit(r"(?s)(.)\1*"), F.lit(0)), lambda r: F.length(r))
+    runs = F.transform(F.regexp_extract_all(t, F.lit(r"(?s)(.)\1+"), F.lit(0)), lambda r: F.length(r))
     return F.transform(F.array(F.array_sort(clauses(t))), lambda cs: F.struct(
         F.size(cs).alias("n_clauses"),
         F.when(F.size(cs) >= 2, length(again(cs)) / F.greatest(length(cs), F.lit(1))).alias("loop_frac"),
-        F.coalesce(F.array_max(runs), F.lit(0)).alias("max_char_run"),
+        F.coalesce(F.array_max(runs), (t != "").cast("int")).alias("max_char_run"),
         F.when(t != "", F.size(F.array_distinct(F.split(t, ""))) / F.length(t)).alias("distinct_char_ratio"),
         F.exists(F.array(*map(F.lit, TAGS)), lambda x: F.contains(t, x)).alias("bracket_tag"),
     ))[0]

@@ -3,7 +3,8 @@
 Rank metrics need only the positives and negatives of each distinct score, so
 rows are aggregated before they are shuffled. Pooled metrics need running sums
 over all distinct scores; these are taken inside ranges of the score, with the
-totals of the ranges before, and never in one task.
+totals of the ranges before, and never in one task. So are those inside groups
+where there are very many scores.
 """
 
 from __future__ import annotations
@@ -12,16 +13,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from chronoloom.operators.ranks import value_counts
+from chronoloom.operators.ranks import splitters, value_counts
+from chronoloom.storage import stored
+
+
+#: Distinct scores of all groups together up to which a group's scores are taken in one task.
+TOGETHER = 2_000_000
+
+
+def _grouped_sums(counts: DataFrame, by: list[str], parts: int) -> DataFrame:
+    """pos_below, neg_below, P and N inside groups. Up to TOGETHER rows the groups are windows; beyond, ranges of (group, score) are, and the sums of a group's ranges before come by a join, so a group of most scores is many tasks."""
+    whole = W.partitionBy(*by)
+    below = lambda c, over: F.coalesce(F.sum(c).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    if counts.count() <= TOGETHER:
+        up = whole.orderBy("_s")
+        return counts.select("*", below("_pos", up).alias("pos_below"), below("_neg", up).alias("neg_below"), F.sum("_pos").over(whole).alias("P"), F.sum("_neg").over(whole).alias("N"))
+    cuts = splitters(counts, [*by, "_s"], parts)
+    parted = counts.withColumn("_part", F.size(F.filter(F.array(*cuts), lambda c: c <= F.struct(*by, "_s"))) if cuts else F.lit(0))
+    sums = parted.groupBy(*by, "_part").agg(F.sum("_pos").alias("p"), F.sum("_neg").alias("n"))  # a row for each part and for each group
+    ranged = whole.orderBy("_part")
+    before = sums.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_part").alias("_q"), below("p", ranged).alias("p0"), below("n", ranged).alias("n0"), F.sum("p").over(whole).alias("P"), F.sum("n").over(whole).alias("N"))
+    inside = W.partitionBy(*by, "_part").orderBy("_s")
+    placed = parted.select("*", below("_pos", inside).alias("p1"), below("_neg", inside).alias("n1"))
+    same = F.col("_part").eqNullSafe(F.col("_q"))
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    return placed.join(before, same).withColumns({"pos_below": F.col("p0") + F.col("p1"), "neg_below": F.col("n0") + F.col("n1")}).drop("_part", "_q", "p0", "n0", "p1", "n1", *[f"_by{k}" for k in range(len(by))])
 
 
 def _cumulated(counts: DataFrame, by: list[str], parts: int = 64) -> DataFrame:
     """counts with pos_from and neg_from (sums over scores at or above), pos_below, neg_below, and totals P and N."""
     if by:
-        up = W.partitionBy(*by).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-        everything = W.partitionBy(*by)
-        below = lambda c: F.coalesce(F.sum(c).over(up), F.lit(0))
-        out = counts.select("*", below("_pos").alias("pos_below"), below("_neg").alias("neg_below"), F.sum("_pos").over(everything).alias("P"), F.sum("_neg").over(everything).alias("N"))
+        out = _grouped_sums(stored(counts, "score-counts"), by, parts)
     else:
         cuts = counts.agg(F.percentile_approx("_s", [k / parts for k in range(1, parts)], 10_000).alias("c")).first()["c"] or []
         part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col("_s"))) if cuts else F.lit(0)

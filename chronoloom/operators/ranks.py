@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def _splitters(df: DataFrame, order: list[str], parts: int, sampled: int = 4_000) -> list[Column]:
+def splitters(df: DataFrame, order: list[str], parts: int, sampled: int = 4_000) -> list[Column]:
     """At most ``parts - 1`` quantiles of a sample of about ``sampled`` rows, drawn by hash, as struct literals in order."""
     n = df.count()
     own = df.select(*order)
@@ -25,7 +25,7 @@ def group_rank(df: DataFrame, by: list[str], order: list[str], out: str = "rank"
     is its place in its part plus the group's rows in the parts before. The sample only sets the parts' sizes. Nulls come
     first and null keys are a group; rows alike in ``by`` and ``order`` share a part and get its places in any order.
     """
-    cuts = _splitters(df, [*by, *order], parts)
+    cuts = splitters(df, [*by, *order], parts)
     part = F.size(F.filter(F.array(*cuts), lambda c: c <= F.struct(*by, *order))) if cuts else F.lit(0)
     parted = df.withColumn("_part", part)
     counts = parted.groupBy(*by, "_part").agg(F.count("*").alias("_rows"))  # a row for each part and for each group

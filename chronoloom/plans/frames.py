@@ -19,8 +19,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of the table up to which a series is numbered in one task.
+TOGETHER = 5_000_000
+_sizes: dict[tuple[str, str], int] = {}
+
+
+def _many(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether the table is so long that a series may be too long for a task. Its size only chooses the plan, so one look a session will do."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _sizes:
+        _sizes[at] = read(spark, sf_dir, "events").count()
+    return _sizes[at] > TOGETHER
+
+
 def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gid, idx, t, s, y: positions from 0 in time order, score, positive if an error."""
+    """gid, idx, t, s, y: positions from 0 in time order, score, positive if an error. A query that doesn't read idx doesn't sort, as the optimizer drops the window; in long tables positions are taken in ranges."""
+    columns = ["gid", "idx", "t", "s", "y", "event_type", "event_id"]
+    if _many(spark, sf_dir):
+        return ranked_curve(spark, sf_dir).select(*columns)
     e = read(spark, sf_dir, "events")
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
     return e.select(F.col("user_id").alias("gid"), (F.row_number().over(order) - 1).alias("idx"), hours().alias("t"), F.col("value").alias("s"), (F.col("event_type") == "error").cast("int").alias("y"), "event_type", "event_id")

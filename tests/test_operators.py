@@ -312,3 +312,28 @@ def test_group_rank_by_sorting(spark, parts):
     assert got.columns == ["g", "s", "k", "r", "n"]
     assert sorted((str(r["g"]), r["k"], r["r"], r["n"]) for r in got.collect()) == expected
     assert R.group_rank(frame(spark, [], "g string, s double, k int"), ["g"], ["s", "k"]).collect() == []
+
+
+def test_grouped_rank_metrics_in_ranges(spark, monkeypatch):
+    """A hot group, groups of one class, a null group and ties, in windows of groups and in ranges of (group, score)."""
+    import numpy as np
+
+    from chronoloom.operators import metrics as M
+
+    rng = np.random.default_rng(3)
+    rows = [(1 if k % 3 else int(rng.integers(2, 9)), float(rng.integers(0, 150)), int(rng.random() < 0.3)) for k in range(3_000)]
+    rows += [(None, float(k % 7), k % 2) for k in range(50)] + [(99, 1.0, 1), (99, 2.0, 1)]
+    df = spark.createDataFrame(rows, "g bigint, s double, y int")
+    found = []
+    for together in (M.TOGETHER, 0):
+        monkeypatch.setattr(M, "TOGETHER", together)
+        found.append(sorted((str(r["g"]), r["auc"], r["ap"], r["base_rate"], r["n_pos"], r["n_neg"]) for r in M.rank_metrics(df, "s", "y", ["g"]).collect()))
+    assert len(found[0]) == len(found[1]) == 10 and found[0] == [(*a[:1], pytest.approx(a[1]), pytest.approx(a[2]), *a[3:]) for a in found[1]]
+
+
+def test_curves_of_long_tables(spark, sf, monkeypatch):
+    from chronoloom.plans import frames
+
+    before = sorted(map(tuple, frames.curve(spark, sf).collect()))
+    monkeypatch.setattr(frames, "TOGETHER", 0)
+    assert sorted(map(tuple, frames.curve(spark, sf).collect())) == before
