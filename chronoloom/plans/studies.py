@@ -12,6 +12,7 @@ from chronoloom.operators import graphs as G
 from chronoloom.operators import metrics as M
 from chronoloom.operators import probes as P
 from chronoloom.operators import thresholds as T
+from chronoloom.operators import tiedchains as C
 from chronoloom.operators import twolevel as L
 from chronoloom.plans.catalog import query
 from chronoloom.plans.frames import CURVE_SQL, curve, read
@@ -110,6 +111,16 @@ def two_level(spark, sf):
     return L.positives(series, fitted, STAY).select("gid", F.round("w", 4).alias("w"), F.lit(round(fitted.get("log_likelihood", 0.0), 3)).alias("log_likelihood"))
 
 
+@query("q_tied_chains")
+def tied_chains(spark, sf):
+    """Chance that a series is positive, by the mixture with a chain for each of its kinds of reading and learned transitions."""
+    kinds = list(_KINDS)
+    held = [F.transform(F.array_sort(F.collect_list(F.when(F.col("event_type") == k, F.struct("idx", F.log1p("s").alias("x"))))), lambda r: r["x"]).alias(k) for k in kinds]
+    series = curve(spark, sf).groupBy("gid").agg(*held)
+    p, likelihoods = C.fit(series, kinds, 6)
+    return C.positives(series, kinds, p).select("gid", F.round("w", 5).alias("w"), F.lit(round(likelihoods[-1], 3)).alias("log_likelihood"))
+
+
 _KINDS = ("click", "error", "purchase", "signup", "view")
 _KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(_KINDS)) + " END"
 

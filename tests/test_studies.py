@@ -201,3 +201,70 @@ def test_silent_keys_end(spark, tmp_path):
     stream = spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
     ended = stateful.drained(stateful.tracks(stream, 24.0, 9, delay="1 hour", zero_ms=zero), "silent", str(tmp_path)).collect()
     assert {(r["gid"], r["start"], r["end"], r["n"], r["reason"]) for r in ended} == {(1, 0.0, 1.0, 2, "gap"), (2, 2.0, 2.0, 1, "gap")}
+
+
+def brute_step(lists, p):
+    """Sums of an E-step by all paths of all kinds."""
+    import itertools
+    import math
+
+    normal = lambda x, m, v: -0.5 * math.log(2 * math.pi * v) - (x - m) ** 2 / (2 * v)
+    kinds = list(lists)
+    out = np.zeros(3 + 15 * len(kinds))
+    for r in range(len(lists[kinds[0]])):
+        negative, chains = math.log(1 - p["positive"]), {}
+        for name in kinds:
+            y, k = lists[name][r], p["kinds"][name]
+            negative += sum(normal(x, k["negative"], k["variance"]) for x in y)
+            start = (1 - k["start"], k["start"])
+            chains[name] = {path: sum(math.log(start[s]) if t == 0 else math.log(k["step"][path[t - 1]][s]) for t, s in enumerate(path)) + sum(normal(x, k[("off", "on")[s]], k["variance"]) for x, s in zip(y, path, strict=True)) for path in itertools.product((0, 1), repeat=len(y))}
+        evidence = {name: math.log(sum(map(math.exp, own.values()))) for name, own in chains.items()}
+        positive = math.log(p["positive"]) + sum(evidence.values())
+        total = math.log(math.exp(negative) + math.exp(positive))
+        w = math.exp(positive - total)
+        out[:3] += [total, 1, w]
+        for i, name in enumerate(kinds):
+            own, y = out[3 + 15 * i : 18 + 15 * i], lists[name][r]
+            own[6:9] += [(1 - w) * sum(x**k for x in y) for k in range(3)]
+            for path, log in chains[name].items():
+                q = w * math.exp(log - evidence[name])
+                for t, s in enumerate(path):
+                    own[9 + 3 * s : 12 + 3 * s] += [q, q * y[t], q * y[t] ** 2]
+                    if t:
+                        own[2 + 2 * path[t - 1] + s] += q
+                    else:
+                        own[s] += q
+    return out
+
+
+def test_tied_chains_by_enumeration():
+    from chronoloom.operators import tiedchains as C
+
+    rng = np.random.default_rng(2)
+    lists = {k: [rng.normal(0, 1, n).tolist() for n in (3, 1, 0, 5)] for k in ("a", "b")}
+    lists["b"][0] = []
+    p = {"positive": 0.3, "kinds": {"a": {"start": 0.4, "step": [[0.7, 0.3], [0.4, 0.6]], "negative": -0.2, "off": -0.5, "on": 0.9, "variance": 0.8}, "b": {"start": 0.1, "step": [[0.9, 0.1], [0.5, 0.5]], "negative": 0.1, "off": -1.0, "on": 0.2, "variance": 1.5}}}
+    assert C.sums(lists, p) == pytest.approx(brute_step(lists, p))
+    before = -np.inf
+    for _ in range(8):  # the likelihood never falls
+        s = C.sums(lists, p)
+        assert s[0] >= before - 1e-9
+        before, p = s[0], C.updated(s, ["a", "b"])
+
+
+def test_tied_chains_query(spark, sf):
+    """Plain rounds over all series at once give the query's chances."""
+    import __spark_entry__ as entry_module
+    from chronoloom.operators import tiedchains as C
+    from chronoloom.plans.frames import curve
+
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    by = {}
+    for r in sorted(curve(spark, sf).collect(), key=lambda r: (r["gid"], r["idx"])):
+        by.setdefault(r["gid"], {k: [] for k in kinds})[r["event_type"]].append(float(np.log1p(r["s"])))
+    series = spark.createDataFrame([(g, *[v[k] for k in kinds]) for g, v in by.items()], "gid bigint, " + ", ".join(f"{k} array<double>" for k in kinds))
+    p, likelihoods = C.fit(series, kinds, 6)
+    assert all(b >= a - 1e-6 for a, b in zip(likelihoods, likelihoods[1:], strict=False))
+    w = dict(zip(by, C.expected({k: [v[k] for v in by.values()] for k in kinds}, p)[1], strict=True))
+    rows = {r["gid"]: r["w"] for r in entry_module.queries()["q_tied_chains"](spark, sf).collect()}
+    assert rows == {g: pytest.approx(x, abs=2e-5) for g, x in w.items()}
