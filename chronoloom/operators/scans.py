@@ -76,10 +76,10 @@ def padded(lists: pd.Series, shape: tuple[int, ...]) -> tuple[np.ndarray, np.nda
 
 
 def steps(part: pd.DataFrame, chains: Chains) -> tuple[np.ndarray, np.ndarray]:
-    """Step matrices (rows, BLOCK, chains, states, states) of blocks (block, n, values), and the blocks' lengths."""
-    lengths = np.array([len(v) for v in part["values"]])
-    flat = np.concatenate([np.stack(v).astype(float) for v in part["values"]])
-    e = np.asarray(chains.emission(flat))
+    """Step matrices (rows, BLOCK, chains, states, states) of blocks (block, n, steps, values), and the blocks' lengths."""
+    lengths = part["steps"].to_numpy()
+    flat = np.concatenate([np.asarray(v, dtype=float) for v in part["values"]])
+    e = np.asarray(chains.emission(flat.reshape(int(lengths.sum()), -1)))
     k = e.shape[1]
     logs = {n: chains.logs(n) for n in set(part["n"])}
     g = len(next(iter(logs.values()))[0])
@@ -153,10 +153,10 @@ def scan(matrices: DataFrame, longest: int, chains: int, states: int, reduce: Re
 
 
 def blocks_of(series: DataFrame, values: list[str]) -> DataFrame:
-    """Rows (gid, idx, n, values) to a written table of blocks (gid, block, n, values in order)."""
+    """Rows (gid, idx, n, values) to a written table of blocks (gid, block, n, steps, and their values one after the other)."""
     own = F.struct("idx", F.array(*[F.col(v).cast("double") for v in values]).alias("v"))
     held = series.groupBy("gid", F.floor(F.col("idx") / BLOCK).alias("block")).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(own)).alias("l"))
-    return stored(held.select("gid", "block", "n", F.transform("l", lambda x: x["v"]).alias("values")), "scan-blocks")
+    return stored(held.select("gid", "block", "n", F.size("l").alias("steps"), F.flatten(F.transform("l", lambda x: x["v"])).alias("values")), "scan-blocks")
 
 
 def _around(blocks: DataFrame, longest: int, chains: Chains, g: int, k: int, reduce: Reduce) -> DataFrame:
@@ -203,10 +203,11 @@ def posteriors(series: DataFrame, values: list[str], chains: Chains) -> DataFram
                     z = back(m[:, t], z, SUM)
                 joint -= SUM(SUM(joint, axis=3), axis=2)[:, :, None, None]
                 chance = np.exp(joint).sum(axis=2)
-                yield pd.DataFrame({"gid": p["gid"], "block": p["block"], "p": [list(chance[r, : n[r]]) for r in range(len(p))]})
+                yield pd.DataFrame({"gid": p["gid"], "block": p["block"], "p": [chance[r, : n[r]].ravel() for r in range(len(p))]})
 
-    found = _around(blocks, longest, chains, g, k, SUM).mapInPandas(run, "gid bigint, block bigint, p array<array<double>>")
-    return found.select("gid", "block", F.posexplode("p").alias("at", "p")).select("gid", (F.col("block") * BLOCK + F.col("at")).alias("idx"), "p")
+    found = _around(blocks, longest, chains, g, k, SUM).mapInPandas(run, "gid bigint, block bigint, p array<double>")
+    each = F.transform(F.sequence(F.lit(0), (F.size("p") / k).cast("int") - 1), lambda i: F.slice("p", i * k + 1, F.lit(k)))
+    return found.select("gid", "block", F.posexplode(each).alias("at", "p")).select("gid", (F.col("block") * BLOCK + F.col("at")).alias("idx"), "p")
 
 
 def best_paths(series: DataFrame, values: list[str], chains: Chains) -> DataFrame:
@@ -236,11 +237,11 @@ def best_paths(series: DataFrame, values: list[str], chains: Chains) -> DataFram
                 last = (p["block"].to_numpy() + 1) * BLOCK >= p["n"].to_numpy()
                 end = np.where(last, ahead[line, n - 1, 0].argmax(axis=1), -1)
                 step = np.where((state[:, None, :] == np.arange(k)[None, :, None]) & ((end < 0)[:, None, None] | (np.arange(k) == end[:, None])[:, None, :]), 0.0, -np.inf)
-                yield pd.DataFrame({"gid": p["gid"], "block": p["block"], "end": end, "m": list(step.reshape(len(p), -1)), "paths": [[list(path[r, s, : n[r]]) for s in range(k)] for r in range(len(p))]})
+                yield pd.DataFrame({"gid": p["gid"], "block": p["block"], "end": end, "m": list(step.reshape(len(p), -1)), "steps": n, "paths": [path[r, :, : n[r]].ravel() for r in range(len(p))]})
 
-    found = stored(_around(blocks, longest, chains, 1, k, BEST).mapInPandas(paths, "gid bigint, block bigint, end int, m array<double>, paths array<array<int>>"), "scan-paths")
+    found = stored(_around(blocks, longest, chains, 1, k, BEST).mapInPandas(paths, "gid bigint, block bigint, end int, m array<double>, steps int, paths array<int>"), "scan-paths")
     after = scan(found.select("gid", F.col("block").alias("i"), "m"), -(-longest // BLOCK), 1, k, BEST)
     follows = after.select("gid", F.col("i").alias("block"), F.array_position("after", 0.0).cast("int").alias("follows"))
     own = found.join(follows, ["gid", "block"]).withColumn("state", F.when(F.col("end") >= 0, F.col("end")).otherwise(F.col("follows") - 1))
     drop(blocks)
-    return own.select("gid", "block", F.posexplode(F.get("paths", "state")).alias("at", "state")).select("gid", (F.col("block") * BLOCK + F.col("at")).alias("idx"), "state")
+    return own.select("gid", "block", F.posexplode(F.slice("paths", F.col("state") * F.col("steps") + 1, F.col("steps"))).alias("at", "state")).select("gid", (F.col("block") * BLOCK + F.col("at")).alias("idx"), "state")

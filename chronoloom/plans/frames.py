@@ -63,9 +63,12 @@ def n_cells(spark: SparkSession, sf_dir: str, width: float) -> int:
 
 
 def ranked_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``curve``, with n, the rows of a series; positions are taken in ranges, so that a series of most rows is no single task."""
+    """As ``curve``, with n, the rows of a series; in long tables positions are taken in ranges, so that a series of most rows is no single task."""
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("gid"), "ts", hours().alias("t"), F.col("value").alias("s"), (F.col("event_type") == "error").cast("int").alias("y"), "event_type", "event_id")
-    return group_rank(e, ["gid"], ["ts", "event_id"], "idx", size="n").drop("ts")
+    if _many(spark, sf_dir):
+        return group_rank(e, ["gid"], ["ts", "event_id"], "idx", size="n").drop("ts")
+    own = W.partitionBy("gid")
+    return e.withColumns({"idx": F.row_number().over(own.orderBy("ts", "event_id")) - 1, "n": F.count("*").over(own)}).drop("ts")
 
 
 def shares(df: DataFrame, value: str = "s", out: str = "p") -> DataFrame:
