@@ -88,9 +88,9 @@ def dtw(spark, sf):
     return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "cost double, steps int")
 
 
-@query("q_isotonic", f"WITH {CURVE_SQL}, c AS (SELECT gid, idx, sum(s) OVER (PARTITION BY gid ORDER BY idx ROWS UNBOUNDED PRECEDING) AS c FROM curve UNION ALL SELECT DISTINCT gid, -1, 0.0 FROM curve), m AS (SELECT a.gid, a.idx + 1 AS a, b.idx AS b, (b.c - a.c) / (b.idx - a.idx) AS m FROM c a JOIN c b ON a.gid = b.gid AND b.idx > a.idx), h AS (SELECT m.gid, v.idx, m.a, max(m.m) AS m FROM m JOIN curve v ON v.gid = m.gid AND v.idx BETWEEN m.a AND m.b GROUP BY ALL) SELECT gid, idx, round(min(m), 6) AS v FROM h GROUP BY gid, idx")
+@query("q_isotonic", f"WITH {CURVE_SQL}, c AS (SELECT gid, idx, sum(s) OVER (PARTITION BY gid ORDER BY idx ROWS UNBOUNDED PRECEDING) AS c FROM curve UNION ALL SELECT DISTINCT gid, -1, 0.0 FROM curve), m AS (SELECT a.gid, a.idx + 1 AS a, b.idx AS b, (b.c - a.c) / (b.idx - a.idx) AS m FROM c a JOIN c b ON a.gid = b.gid AND b.idx > a.idx), h AS (SELECT m.gid, v.idx, m.a, max(m.m) AS m FROM m JOIN curve v ON v.gid = m.gid AND v.idx BETWEEN m.a AND m.b GROUP BY ALL) SELECT gid, idx, round(min(m), 9) AS v FROM h GROUP BY gid, idx")
 def isotonic(spark, sf):
-    f = lambda p: _out(p, v=Q.isotonic_down(p["s"].to_numpy()).round(6))
+    f = lambda p: _out(p, v=Q.isotonic_down(p["s"].to_numpy()).round(9))
     return Q.per_series(curve(spark, sf).select("gid", "idx", "s"), f, "idx int, v double")
 
 
