@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import scalars as S
 from chronoloom.functions import stats as B
 from chronoloom.operators import graphs as G
+from chronoloom.operators import leftout as O
 from chronoloom.operators import metrics as M
 from chronoloom.operators import probes as P
 from chronoloom.operators import thresholds as T
@@ -44,6 +45,12 @@ def leave_one_out(spark, sf):
     return P.leave_one_out(read(spark, sf, "embeddings"), "vec_id", "embedding", F.col("label") == 0, RIDGE).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query("q_logistic_leave_one_out")
+def logistic_leave_one_out(spark, sf):
+    """Each vector's log odds by the logistic regression of all others."""
+    return O.logistic_leave_one_out(read(spark, sf, "embeddings"), "vec_id", "embedding", F.col("label") == 0, RIDGE).select("vec_id", F.round("score", 5).alias("score"))
+
+
 @query("q_principal_projection")
 def principal_projection(spark, sf):
     """The standardised vectors on their first two principal axes."""

@@ -8,11 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.functions import scalars as S
+import __spark_entry__ as entry_module
 from chronoloom.operators import graphs as G
+from chronoloom.operators import leftout as O
 from chronoloom.operators import metrics as M
 from chronoloom.operators import probes as P
 from chronoloom.operators import thresholds as T
 from chronoloom.operators import twolevel as L
+from chronoloom.plans.frames import read
 from chronoloom.plans.policies import uncovered
 from chronoloom.streaming import stateful
 
@@ -268,3 +271,67 @@ def test_tied_chains_query(spark, sf):
     w = dict(zip(by, C.expected({k: [v[k] for v in by.values()] for k in kinds}, p)[1], strict=True))
     rows = {r["gid"]: r["w"] for r in entry_module.queries()["q_tied_chains"](spark, sf).collect()}
     assert rows == {g: pytest.approx(x, abs=2e-5) for g, x in w.items()}
+
+
+def refitted(x, y, ridge):
+    """Log odds of each row by a fit of all others, one by one."""
+    z, penalty = np.column_stack([np.ones(len(x)), x]), ridge * np.diag(np.r_[0.0, np.ones(x.shape[1])])
+
+    def loss(a, t, b):
+        return np.logaddexp(0, a @ b).sum() - t @ (a @ b) + b @ penalty @ b / 2
+
+    out = []
+    for k in range(len(x)):
+        a, t, b = np.delete(z, k, axis=0), np.delete(y, k), np.zeros(z.shape[1])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(a @ b, -700, 700)))
+            step = np.linalg.solve((a.T * (p * (1 - p))) @ a + penalty, a.T @ (t - p) - penalty @ b)
+            while loss(a, t, b + step) > loss(a, t, b) + 1e-9:
+                step /= 2
+            b = b + step
+            if np.abs(step).max() < 1e-12:
+                break
+        out.append(z[k] @ b)
+    return np.array(out)
+
+
+def test_logistic_leave_one_out(spark, sf):
+    e = sorted(read(spark, sf, "embeddings").collect(), key=lambda r: r["vec_id"])
+    x, y = np.array([r["embedding"] for r in e], float), np.array([float(r["label"] == 0) for r in e])
+    found = {r["vec_id"]: r["score"] for r in entry_module.queries()["q_logistic_leave_one_out"](spark, sf).collect()}
+    assert [found[r["vec_id"]] for r in e] == pytest.approx(refitted(x, y, 1.0), abs=6e-6) and len(found) == len(e)
+
+
+@pytest.mark.parametrize("seed,n,d,scale,ridge", [(1, 40, 2, 1.0, 1.0), (2, 30, 3, 30.0, 0.01), (3, 60, 1, 5.0, 0.1)])
+def test_left_out_rows_that_move_the_fit_far(spark, monkeypatch, seed, n, d, scale, ridge):
+    """Few rows, wide values and a weak penalty; several chunks and blocks."""
+    monkeypatch.setattr(O, "CHUNK", 16)
+    monkeypatch.setattr(O, "BLOCK", 9)
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, d)) * scale
+    y = (x[:, 0] / scale + r.normal(size=n) > 0).astype(float)
+    df = spark.createDataFrame([(int(k), v.tolist(), float(t)) for k, (v, t) in enumerate(zip(x, y, strict=True))], "k int, v array<double>, y double")
+    found = {r["k"]: r["score"] for r in O.logistic_leave_one_out(df, "k", "v", F.col("y"), ridge).collect()}
+    assert [found[k] for k in range(n)] == pytest.approx(refitted(x, y, ridge), abs=1e-5)
+
+
+def test_one_step_is_enough_for_many_rows(spark):
+    """The bound closes rows after the first step, and they are right to the tolerance."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(4000, 2))
+    y = (x[:, 0] + 2 * r.normal(size=4000) > 0).astype(float)
+    df = spark.createDataFrame([(k, v.tolist(), float(t)) for k, (v, t) in enumerate(zip(x, y, strict=True))], "k int, v array<double>, y double")
+    loose, tight = ({r["k"]: r["score"] for r in O.logistic_leave_one_out(df, "k", "v", F.col("y"), 1.0, tolerance=t).collect()} for t in (1e-4, 1e-10))
+    assert max(abs(loose[k] - tight[k]) for k in range(4000)) < 1e-4
+
+
+def test_left_out_rows_without_vector_class_or_others(spark):
+    rows = [(1, [0.0], 1.0), (1, [1.0], 0.0), (1, [1.0], 0.0), (2, None, 1.0), (3, [2.0], None)]
+    df = spark.createDataFrame(rows, "k int, v array<double>, y double")
+    found = sorted(((r["k"], r["y"], r["score"]) for r in O.logistic_leave_one_out(df, "k", "v", F.col("y"), 1.0).collect()), key=str)
+    want = refitted(np.array([[0.0], [1.0], [1.0]]), np.array([1.0, 0.0, 0.0]), 1.0)[1]
+    assert [f[:2] for f in found] == [(1, 0.0), (1, 0.0), (1, 1.0), (2, 1.0), (3, None)]
+    assert [f[2] for f in found[:2]] == pytest.approx([want, want], abs=1e-6) and [f[2] for f in found[2:]] == [None] * 3
+    for few in (rows[:0], rows[:2], rows[1:3]):
+        own = O.logistic_leave_one_out(spark.createDataFrame(few, "k int, v array<double>, y double"), "k", "v", F.col("y"), 1.0).collect()
+        assert [r["score"] for r in own] == [None] * len(few)
