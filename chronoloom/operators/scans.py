@@ -100,7 +100,9 @@ def total(m: np.ndarray, reduce: Reduce) -> np.ndarray:
     return m[:, 0]
 
 
-def _pieces(part: pd.DataFrame, size: int = 512) -> Iterator[pd.DataFrame]:
+def _pieces(part: pd.DataFrame, chains: int, states: int) -> Iterator[pd.DataFrame]:
+    """Up to 512 rows at a time, fewer if the terms of their products would be over four million."""
+    size = min(512, max(1, (1 << 22) // (BLOCK // 2 * chains * states**3)))
     for k in range(0, len(part), size):
         yield part.iloc[k : k + size]
 
@@ -121,13 +123,13 @@ def scan(matrices: DataFrame, longest: int, chains: int, states: int, reduce: Re
 
     def totals(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in parts:
-            for p in _pieces(whole):
+            for p in _pieces(whole, chains, states):
                 m, _ = padded(p["ms"], shape)
                 yield pd.DataFrame({"gid": p["gid"], "i": p["j"], "m": list(total(m, reduce).reshape(len(p), -1))})
 
     def ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in parts:
-            for p in _pieces(whole):
+            for p in _pieces(whole, chains, states):
                 m, n = padded(p["ms"], shape)
                 a = np.stack([np.asarray(x, dtype=float) for x in p["before"]]).reshape(len(p), chains, states)
                 z = np.stack([np.asarray(x, dtype=float) for x in p["after"]]).reshape(len(p), chains, states)
@@ -164,7 +166,7 @@ def _around(blocks: DataFrame, longest: int, chains: Chains, g: int, k: int, red
 
     def totals(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in parts:
-            for p in _pieces(whole):
+            for p in _pieces(whole, g, k):
                 yield pd.DataFrame({"gid": p["gid"], "i": p["block"], "m": list(total(steps(p, chains)[0], reduce).reshape(len(p), -1))})
 
     around = scan(blocks.mapInPandas(totals, MATRICES), -(-longest // BLOCK), g, k, reduce)
@@ -194,7 +196,7 @@ def posteriors(series: DataFrame, values: list[str], chains: Chains) -> DataFram
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in parts:
-            for p in _pieces(whole):
+            for p in _pieces(whole, g, k):
                 m, n, ahead = _inside(p, chains, g, k, SUM)
                 z = np.stack([np.asarray(x, dtype=float) for x in p["after"]]).reshape(len(p), g, k)
                 joint = np.empty_like(ahead)
@@ -222,7 +224,7 @@ def best_paths(series: DataFrame, values: list[str], chains: Chains) -> DataFram
 
     def paths(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in parts:
-            for p in _pieces(whole):
+            for p in _pieces(whole, 1, k):
                 m, n, ahead = _inside(p, chains, 1, k, BEST)
                 before = np.stack([np.asarray(x, dtype=float) for x in p["before"]]).reshape(len(p), 1, k)
                 into = np.concatenate([before[:, None], ahead[:, :-1]], axis=1)[:, :, 0]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from chronoloom.operators import intervals as I
+from chronoloom.operators import phases as H
 from chronoloom.operators import scans as N
 from chronoloom.operators import sequence as Q
 from chronoloom.plans.catalog import query
@@ -65,6 +66,25 @@ def viterbi_path(spark, sf):
     return N.best_paths(ranked_curve(spark, sf), ["s"], N.constant(_emission, STAY, START))
 
 
+@query("q_nested_phases")
+def nested_phases(spark, sf):
+    """Chances of three nested phases of two sub-states each; purchases are readings of two events."""
+    chain = H.phase_chain(H.KINDS["three_nested"], 2, 1.0, (6.0, 4.0), np.array([0.5, 0.3, 0.2]))
+    c = ranked_curve(spark, sf).withColumn("pair", (F.col("event_type") == "purchase").cast("int"))
+    p = N.posteriors(c, ["s", "pair"], H.readings(chain, [[20.0, 60.0, 120.0]], 40.0))
+    share = lambda own: F.round(sum((F.get("p", F.lit(int(k))) for k in np.flatnonzero(own)), F.lit(0.0)), 7)
+    return p.select("gid", "idx", share(chain.phase == 1).alias("p_between"), share(chain.positive).alias("p_high"))
+
+
+@query("q_joint_phases")
+def joint_phases(spark, sf):
+    """Chance that either of two readings is high, in a chain over both: the score, and the score of clicks and views alone."""
+    chain = H.phase_chain(H.KINDS["joint"], 1, 1.0, (8.0, 3.0), np.array([0.7, 0.1, 0.1, 0.1]), keep_before=False)
+    c = ranked_curve(spark, sf).withColumn("r", F.when(F.col("event_type").isin("click", "view"), F.col("s")).otherwise(F.lit(float("nan"))))
+    p = N.posteriors(c, ["s", "r"], H.readings(chain, [[30.0, 90.0], [20.0, 110.0]], 45.0))
+    return p.select("gid", "idx", F.round(1 - F.get("p", F.lit(0)), 7).alias("p_high"))
+
+
 @query("q_phase_path")
 def phase_path(spark, sf):
     """Setup, climax, release: a path that never goes back."""

@@ -12,7 +12,9 @@ import __spark_entry__ as entry_module
 from chronoloom.operators import graphs as G
 from chronoloom.operators import leftout as O
 from chronoloom.operators import metrics as M
+from chronoloom.operators import phases as H
 from chronoloom.operators import probes as P
+from chronoloom.operators import scans as N
 from chronoloom.operators import thresholds as T
 from chronoloom.operators import twolevel as L
 from chronoloom.plans.frames import read
@@ -335,3 +337,101 @@ def test_left_out_rows_without_vector_class_or_others(spark):
     for few in (rows[:0], rows[:2], rows[1:3]):
         own = O.logistic_leave_one_out(spark.createDataFrame(few, "k int, v array<double>, y double"), "k", "v", F.col("y"), 1.0).collect()
         assert [r["score"] for r in own] == [None] * len(few)
+
+
+def phase_chances(kind, k, cell, length, start, values, pair, means, sd, independent=False):
+    """Chances of the phases at each cell, summed over all paths of (phase, sub-state); a reading of two cells looks at the path's phase before."""
+    phases = range(len(kind.positive))
+    k = 1 if independent else k
+    states = [(p, i) for p in phases for i in range(k)]
+
+    def step(a, b):
+        if independent:
+            return start[b[0]]
+        leave = min(max(k * cell / length[kind.positive[a[0]]], 1e-9), 1.0)
+        chance = 1 - leave if a == b else 0.0
+        if b == (a[0], a[1] + 1):
+            chance += leave
+        if a[1] == k - 1 and b[1] == 0:
+            chance += leave * kind.onward[a[0]][b[0]]
+        return chance
+
+    total = np.zeros((len(values), len(phases)))
+    for path in itertools.product(states, repeat=len(values)):
+        chance = start[path[0][0]] / k
+        for a, b in itertools.pairwise(path):
+            chance *= step(a, b)
+        for t, (p, _) in enumerate(path):
+            before = path[t - 1][0] if t else 0
+            for c, own in enumerate(kind.levels):
+                level = max(own[p], own[before]) if pair[t] else own[p]
+                if chance and not math.isnan(values[t][c]):
+                    chance *= math.exp(-0.5 * ((values[t][c] - means[c][level]) / sd) ** 2)
+        for t, (p, _) in enumerate(path):
+            total[t, p] += chance
+    return total / total.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("name,k,independent", [("two", 3, False), ("two", 2, True), ("three_nested", 2, False), ("three_free", 1, False), ("joint", 1, False)])
+def test_chains_of_phases_against_all_paths(spark, name, k, independent):
+    kind, r = H.KINDS[name], np.random.default_rng(len(name) + k)
+    n, columns = 5, len(kind.levels)
+    start = r.dirichlet(np.ones(len(kind.positive)))
+    means = [list(np.arange(max(own) + 1) * 1.5) for own in kind.levels]
+    series = {g: (np.where(r.random((n, columns)) < 0.2, np.nan, r.normal(1, 1, (n, columns))), r.integers(0, 2, n)) for g in (1, 2)}
+    rows = [(g, t, n, *map(float, v[t]), int(pair[t])) for g, (v, pair) in series.items() for t in range(n)]
+    names = [f"v{c}" for c in range(columns)]
+    df = spark.createDataFrame(rows, "gid bigint, idx bigint, n bigint, " + ", ".join(f"{c} double" for c in names) + ", pair int")
+    for kept in (True, False):
+        chain = H.phase_chain(kind, k, 1.0, (5.0, 3.0), start, keep_before=kept, independent=independent)
+        assert np.allclose(chain.transition.sum(axis=1), 1) and chain.start.sum() == pytest.approx(1)
+        own = names + ["pair"] * kept
+        found = {(x["gid"], x["idx"]): np.bincount(chain.phase, x["p"], len(kind.positive)) for x in N.posteriors(df, own, H.readings(chain, means, 1.0)).collect()}
+        for g, (v, pair) in series.items():
+            want = phase_chances(kind, k, 1.0, (5.0, 3.0), start, v, pair * kept, means, 1.0, independent)
+            assert np.allclose([found[g, t] for t in range(n)], want, atol=1e-9)
+
+
+def test_two_phases_from_one_chance_and_lengths_out_of_range():
+    one = H.phase_chain(H.KINDS["two"], 2, 4.0, (1.0, 1e30), 0.3, keep_before=False)
+    assert one.start.tolist() == pytest.approx([0.35, 0.35, 0.15, 0.15])
+    assert one.transition[0].tolist() == [0, 1, 0, 0] and one.transition[1].tolist() == [0, 0, 1, 0] and one.transition[2, 2] == 1 - 1e-9
+
+
+def forward_backward_of(chain, logs):
+    a = [chain.start * np.exp(logs[0])]
+    for e in logs[1:]:
+        a.append(a[-1] / a[-1].sum() @ chain.transition * np.exp(e))
+    z, out = np.ones(len(chain.start)), []
+    for t in reversed(range(len(logs))):
+        p = a[t] * z
+        out.append(p / p.sum())
+        z = chain.transition @ (z * np.exp(logs[t]))
+        z /= z.sum()
+    return np.array(out[::-1])
+
+
+@pytest.mark.parametrize("name", ["q_nested_phases", "q_joint_phases"])
+def test_queries_on_phases(spark, sf, name):
+    """Whole series of the table, long ones among them, by plain recursions."""
+    series = {}
+    for r in read(spark, sf, "events").orderBy("ts", "event_id").collect():
+        series.setdefault(r["user_id"], []).append(r)
+    found = {(r["gid"], r["idx"]): tuple(r)[2:] for r in entry_module.queries()[name](spark, sf).collect()}
+    assert len(found) == sum(map(len, series.values()))
+    nested = name == "q_nested_phases"
+    kind = H.KINDS["three_nested" if nested else "joint"]
+    chain = H.phase_chain(kind, 2, 1.0, (6.0, 4.0), np.array([0.5, 0.3, 0.2])) if nested else H.phase_chain(kind, 1, 1.0, (8.0, 3.0), np.array([0.7, 0.1, 0.1, 0.1]), keep_before=False)
+    for g in sorted(series)[::5]:
+        logs = []
+        for r in series[g]:
+            if nested:
+                level = [max(p, b) if r["event_type"] == "purchase" else p for p, b in zip(chain.phase, chain.before, strict=True)]
+                logs.append([-0.5 * ((r["value"] - (20.0, 60.0, 120.0)[q]) / 40) ** 2 for q in level])
+            else:
+                second = r["event_type"] in ("click", "view")
+                logs.append([-0.5 * ((r["value"] - (30.0, 90.0)[p // 2]) / 45) ** 2 - second * 0.5 * ((r["value"] - (20.0, 110.0)[p % 2]) / 45) ** 2 for p in range(4)])
+        want = forward_backward_of(chain, np.array(logs) - np.max(logs, axis=1, keepdims=True))
+        for t, p in enumerate(want):
+            by = np.bincount(chain.phase, p, len(kind.positive))
+            assert found[g, t] == pytest.approx((by[1], by[2]) if nested else (1 - by[0],), abs=2e-7)
