@@ -25,6 +25,18 @@ def parse_spans(text: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(F.least(p["a"].cast("double"), p["b"].cast("double")).alias("start"), F.greatest(p["a"].cast("double"), p["b"].cast("double")).alias("end")))
 
 
+def parse_pairs(text: Column) -> Column:
+    """Number pairs in round brackets as array<struct<start, end>>, in the order of the text; without any, the one pair of a text that is a pair in square brackets and nothing else."""
+    pair = r"\s*([0-9]+(?:\.[0-9]+)?)\s*,\s*([0-9]+(?:\.[0-9]+)?)\s*"
+    own = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
+
+    def found(pattern: str) -> Column:
+        sides = [F.regexp_extract_all(own, F.lit(pattern), F.lit(k)) for k in (1, 2)]
+        return F.zip_with(*sides, lambda a, b: F.struct(a.cast("double").alias("start"), b.cast("double").alias("end")))
+
+    return F.when(F.regexp_like(own, F.lit(rf"\({pair}\)")), found(rf"\({pair}\)")).otherwise(found(rf"^\[{pair}\]$"))
+
+
 def norm_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
 

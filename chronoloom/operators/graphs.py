@@ -313,3 +313,48 @@ def node_scores(edges: DataFrame, tolerance: float = 1e-10, most: int = 500) ->
         state = step.select("node", (F.col("x") + along * F.col("p")).alias("x"), r.alias("r"), (r + after / s["rr"] * F.col("p")).alias("p"), "d")
     drop(both)
     return kept.select("node", F.col("x").alias("score"))
+
+
+def position_graph(items: DataFrame, block: int, most: int, least: int, alpha: float, gamma: float, by: str = "gid") -> DataFrame:
+    """Rows (by, idx, look, motion), positions from 0 without gaps, to undirected edges (by, a, b, w) with a < b.
+
+    w = (alpha * cosine of looks + (1 - alpha) * exp(-distance of motions)) / (1 + gamma |a - b|). In each block of
+    ``block`` positions a row keeps its k best positive weights (of equals the smaller positions; its own place counts);
+    k falls from ``most`` to ``least`` by one a tenth of the series that the row's block begins after. An edge is kept
+    if either end keeps it. Each pair of blocks is met once in one task, so a long series is many.
+    """
+    own = F.struct("idx", F.col("look").cast("array<double>").alias("look"), F.col("motion").cast("array<double>").alias("motion"))
+    blocks = items.groupBy(by, F.floor(F.col("idx") / block).alias("block")).agg(F.array_sort(F.collect_list(own)).alias("rows"))
+    packed = stored(blocks, "position-blocks")
+    sizes = packed.groupBy(by).agg(F.sum(F.size("rows")).alias("n"))
+    later = packed.join(sizes, by).select(by, "n", "block", "rows", F.explode(F.sequence("block", F.ceil(F.col("n") / block) - 1)).alias("other"))
+    pairs = later.join(packed.select(by, F.col("block").alias("other"), F.col("rows").alias("others")), [by, "other"])
+
+    def matrix(rows: pa.StructArray, name: str) -> np.ndarray:
+        return np.array(rows.field(name).to_pylist(), dtype=float).reshape(len(rows), -1)
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = [batch.column(c).slice(i, 1).flatten() for c in ("rows", "others")]
+                at = [s.field("idx").to_numpy() for s in sides]
+                looks = [matrix(s, "look") for s in sides]
+                looks = [x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-6) for x in looks]
+                motion = [matrix(s, "motion") for s in sides]
+                away = np.sqrt(((motion[0][:, None] - motion[1][None]) ** 2).sum(axis=2))
+                w = (alpha * looks[0] @ looks[1].T + (1 - alpha) * np.exp(-away)) / (1 + gamma * np.abs(at[0][:, None] - at[1][None]))
+                tenth = max(1, batch.column("n")[i].as_py() // 10)
+                keep = np.zeros(w.shape, dtype=bool)
+                for turned, number in ((False, batch.column("block")[i].as_py()), (True, batch.column("other")[i].as_py())):
+                    own = np.round(w.T if turned else w, 12)
+                    k = max(least, most - number * block // tenth)
+                    best = np.argsort(-own, axis=1, kind="stable")[:, :k]
+                    found = np.zeros(own.shape, dtype=bool)
+                    np.put_along_axis(found, best, True, axis=1)
+                    keep |= found.T if turned else found
+                a, b = np.nonzero(keep & (w > 0) & (at[0][:, None] != at[1][None]))
+                low, high = np.minimum(at[0][a], at[1][b]), np.maximum(at[0][a], at[1][b])
+                once = np.unique(np.column_stack([low, high]), axis=0, return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(by)[i].as_py()] * len(once), batch.schema.field(by).type), pa.array(low[once], pa.int64()), pa.array(high[once], pa.int64()), pa.array(w[a, b][once])], [by, "a", "b", "w"])
+
+    return pairs.select(by, "n", "block", "other", "rows", "others").mapInArrow(edges, f"{by} {dict(items.dtypes)[by]}, a bigint, b bigint, w double")

@@ -59,3 +59,20 @@ def between_class(df: DataFrame, value: str, by: str) -> DataFrame:
     x = df.join(cut, by).groupBy(by).agg(F.count_if(low).alias("n0"), F.count_if(~low).alias("n1"), F.avg(F.when(low, F.col(value))).alias("m0"), F.avg(F.when(~low, F.col(value))).alias("m1"))
     n = F.col("n0") + F.col("n1")
     return x.select(by, (F.col("n0") * F.col("n1") / n / n * (F.col("m0") - F.col("m1")) ** 2).alias("score"))
+
+
+def floor_raster(spans: DataFrame, sizes: DataFrame, rate: float, key: str = "gid") -> DataFrame:
+    """(key, frame, y) of the floor of duration * rate frames of each key of ``sizes`` (key, duration), one at least: 1 if the frame's time lies in a half-open span clipped to the duration. A key of a null duration has one frame.
+
+    Spans become ranges of frames, so nothing is compared pair by pair; a span's work is its frames.
+    """
+    end = F.col("duration")
+    every = sizes.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor(end * rate), F.lit(1)) - 1)).alias("frame"))
+    hit = clipped(spans, sizes, key).select(key, F.explode(F.filter(F.sequence(F.greatest(F.floor(F.col("start") * rate) - 1, F.lit(0)), F.ceil(F.col("end") * rate)), lambda f: (f / F.lit(float(rate)) >= F.col("start")) & (f / F.lit(float(rate)) < F.col("end")))).alias("frame"))
+    return every.join(hit.distinct().withColumn("_hit", F.lit(1)), [key, "frame"], "left").select(key, "frame", F.coalesce("_hit", F.lit(0)).alias("y"))
+
+
+def clipped(spans: DataFrame, sizes: DataFrame, key: str = "gid") -> DataFrame:
+    """Spans inside [0, duration) of their key; what is empty then is left out, as are keys without a duration."""
+    inside = spans.join(sizes.select(key, "duration"), key).withColumns({"start": F.greatest(F.col("start"), F.lit(0.0)), "end": F.least("end", "duration")})
+    return inside.where("end > start and duration is not null").drop("duration")

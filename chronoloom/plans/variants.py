@@ -12,7 +12,9 @@ from chronoloom.functions import stats as T
 from chronoloom.functions import text as X
 from chronoloom.operators import graphs as G
 from chronoloom.operators import grids
+from chronoloom.operators import intervals as I
 from chronoloom.operators import metrics as M
+from chronoloom.operators.ranks import group_rank
 from chronoloom.plans.catalog import query
 from chronoloom.plans.frames import CURVE_SQL, FRAME_HOURS, SPANS_SQL, cells_sql, curve, n_cells, ranked_curve, read, spans
 from chronoloom.plans.metrics import _LIMITS, _rank_sql, _replicates_sql
@@ -167,3 +169,56 @@ def rerank_distinct(spark, sf):
 def between_class(spark, sf):
     """Between-class variance of each type's scores cut at their mean."""
     return grids.between_class(curve(spark, sf), "s", "event_type").select("event_type", F.round("score", 6).alias("score"))
+
+
+@query(
+    "q_pair_fallback",
+    """WITH e AS (SELECT event_id, event_id % 5 AS c, (event_id % 90)::DOUBLE AS a, event_id % 90 + 2.5 AS b FROM events) SELECT event_id, a AS start, b AS "end" FROM e WHERE c < 3 UNION ALL SELECT event_id, b, a FROM e WHERE c = 0""",
+)
+def pair_fallback(spark, sf):
+    """Pairs of answers: two in round brackets, one among square ones that then don't count, one in square brackets alone, and texts that hold none."""
+    i = F.col("event_id")
+    a, b = (i % 90).cast("string"), (i % 90 + F.lit(2.5)).cast("string")
+    both = F.concat(a, F.lit(" , "), b)
+    cases = [F.concat(F.lit("from ("), both, F.lit(") to ("), b, F.lit(","), a, F.lit(")")), F.concat(F.lit("[7, 8] ("), both, F.lit(")")), F.concat(F.lit("\n[ "), both, F.lit("] ")), F.concat(F.lit("at ["), both, F.lit("]")), F.concat(F.lit("(-"), both, F.lit(")"))]
+    e = read(spark, sf, "events").select("event_id", F.explode(X.parse_pairs(F.get(F.array(*cases), (i % 5).cast("int")))).alias("s"))
+    return e.select("event_id", "s.start", "s.end")
+
+
+_SIZES_SQL = "sizes AS (SELECT gid, max(t) AS duration FROM curve GROUP BY gid)"
+
+
+@query(
+    "q_floor_raster",
+    f"""WITH {SPANS_SQL}, {_SIZES_SQL}, k AS (SELECT gid, greatest(least("end", duration), start) AS stop, greatest(start, 0) AS start FROM spans JOIN sizes USING (gid)), f AS (SELECT gid, unnest(range(greatest(floor(duration / 4)::BIGINT, 1))) AS frame FROM sizes),
+    h AS (SELECT DISTINCT gid, unnest(range(greatest(floor(start / 4)::BIGINT, 0), ceil(stop / 4)::BIGINT + 1)) AS frame, start, stop FROM k) SELECT gid, frame, max((start IS NOT NULL AND frame / 0.25::DOUBLE >= start AND frame / 0.25::DOUBLE < stop)::INT) AS y FROM f LEFT JOIN h USING (gid, frame) GROUP BY ALL""",
+)
+def floor_raster(spark, sf):
+    """Frames of each series' own length, rounded down, that lie in a span."""
+    sizes = curve(spark, sf).groupBy("gid").agg(F.max("t").alias("duration"))
+    return grids.floor_raster(spans(spark, sf), sizes, 1 / FRAME_HOURS)
+
+
+@query(
+    "q_clipped_spans",
+    f"""WITH {SPANS_SQL}, {_SIZES_SQL}, k AS (SELECT gid, greatest(start, 0) AS start, least("end", duration) AS stop FROM spans JOIN sizes USING (gid) WHERE least("end", duration) > greatest(start, 0)),
+    m AS (SELECT *, max(stop) OVER (PARTITION BY gid ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k), n AS (SELECT *, sum((before IS NULL OR start > before + 1e-9)::INT) OVER (PARTITION BY gid ORDER BY start, stop) AS island FROM m)
+    SELECT gid, round(min(start), 6) AS start, round(max(stop), 6) AS "end" FROM n GROUP BY gid, island""",
+)
+def clipped_spans(spark, sf):
+    """Spans clipped to their series and merged where they touch."""
+    sizes = curve(spark, sf).groupBy("gid").agg(F.max("t").alias("duration"))
+    return I.merged(grids.clipped(spans(spark, sf), sizes), 1e-9).select("gid", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query(
+    "q_position_graph",
+    """WITH x AS (SELECT label AS gid, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, count(*) OVER (PARTITION BY label) AS n, embedding::DOUBLE[] AS e FROM embeddings), z AS (SELECT gid, idx, n, idx // 20 AS block, e, sqrt(list_dot_product(e, e)) + 1e-6 AS l FROM x),
+    p AS (SELECT a.gid, a.idx AS i, b.idx AS j, b.block, greatest(3, 8 - a.block * 20 // greatest(1, a.n // 10)) AS k, (0.75 * list_dot_product(a.e, b.e) / (a.l * b.l) + 0.25 * exp(-sqrt(pow(a.e[1] - b.e[1], 2) + pow(a.e[2] - b.e[2], 2)))) / (1 + 0.6 * abs(a.idx - b.idx) / 4) AS w FROM z a JOIN z b USING (gid)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY gid, i, block ORDER BY round(w, 12) DESC, j) AS r FROM p) SELECT gid, least(i, j) AS a, greatest(i, j) AS b, round(max(w), 9) AS w FROM r WHERE r <= k AND w > 0 AND i <> j GROUP BY ALL""",
+)
+def position_graph(spark, sf):
+    """Similar vectors of a label in the order of their ids: the best of each block of 20, fewer towards the end."""
+    e = read(spark, sf, "embeddings").select(F.col("label").alias("gid"), "vec_id", F.col("embedding").alias("look"), F.slice("embedding", 1, 2).alias("motion"))
+    items = group_rank(e, ["gid"], ["vec_id"], "idx")
+    return G.position_graph(items, 20, 8, 3, 0.75, 0.6 / 4).select("gid", "a", "b", F.round("w", 9).alias("w"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoloom.operators.ranks import group_rank
 from chronoloom.storage import stored
 
 MANIFEST = "dataset string, video_id string, duration double, video_path string, has_video_stream boolean"
@@ -78,6 +79,24 @@ def frame_files(spark: SparkSession, path: str) -> DataFrame:
     return found.where("t != ''").select("path", F.col("t").cast("double").alias("t"))
 
 
+def uniform_files(found: DataFrame, k: int) -> DataFrame:
+    """(group, path, t): k files of each folder of ``frame_files``, evenly spaced in the order of their names, ends included, positions rounded half to even; all files of a folder that has no more. ``group`` is the folder's path."""
+    own = found.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("group"), "path", "t")
+    sizes = own.groupBy("group").agg(F.count("*").alias("n"))
+    at = F.sequence(F.lit(0), F.lit(k - 1))
+    even = F.transform(at, lambda i: F.rint(i * ((F.col("n") - 1) / F.lit(max(k - 1, 1)))).cast("long"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    picks = sizes.select("group", F.explode(F.when(F.col("n") > k, even).otherwise(every)).alias("_rank"))
+    return group_rank(own, ["group"], ["path"], "_rank").join(picks, ["group", "_rank"]).select("group", "path", "t")
+
+
+def without_errors(spark: SparkSession, path: str, schema: str, key: list[str], error: str = "error") -> DataFrame:
+    """The last record of each key among the line records whose error is null or empty; a missing file is an error. ``schema`` names the error column."""
+    raw = numbered(spark, path).where(F.trim("value") != "")
+    records = raw.select("file", "block", "ordinal", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("file", "block", "ordinal", "r.*")
+    return last_wins(records.where(F.coalesce(F.col(error), F.lit("")) == ""), key)
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """path, length and SHA-256 of files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

@@ -3,6 +3,7 @@
 import json
 import wave
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -56,6 +57,28 @@ def test_binary_files(spark, tmp_path):
     assert files.wav_durations(spark, str(tmp_path / "a.wav")).collect()[0]["seconds"] == 1.5
 
 
+def test_evenly_spaced_files_of_each_folder(spark, tmp_path):
+    sizes = {"a": 20, "b": 3, "c": 4, "d": 7}
+    for folder, n in sizes.items():
+        (tmp_path / folder).mkdir()
+        for k in range(n):
+            (tmp_path / folder / f"frame_{k:03d}.5.jpg").write_bytes(b"x")
+    found = files.frame_files(spark, str(tmp_path / "*"))
+    for k in (1, 4):
+        mine = sorted((r["group"].rpartition("/")[2], r["t"]) for r in files.uniform_files(found, k).collect())
+        assert mine == sorted((f, i + 0.5) for f, n in sizes.items() for i in (range(n) if n <= k else np.linspace(0, n - 1, k).round().astype(int)))
+    assert files.uniform_files(found.where("t < 0"), 4).count() == 0
+
+
+def test_scores_without_error_rows(spark, tmp_path):
+    rows = [("x", 1.0, None), ("y", 2.0, "failed"), ("x", 3.0, ""), ("x", 4.0, "late"), ("z", None, None)]
+    (tmp_path / "s.jsonl").write_text("\n".join(json.dumps({"video_id": v, "score": s} | ({"error": e} if e is not None else {})) + "\n" for v, s, e in rows))
+    found = files.without_errors(spark, str(tmp_path / "s.jsonl"), "video_id string, score double, error string", ["video_id"])
+    assert {(r["video_id"], r["score"]) for r in found.collect()} == {("x", 3.0), ("z", None)}
+    with pytest.raises(PySparkException):
+        files.without_errors(spark, str(tmp_path / "none.jsonl"), "video_id string, error string", ["video_id"]).collect()
+
+
 def test_finalize_is_gated(spark, tmp_path):
     cohort = spark.createDataFrame([("a",), ("b",)], "video_id string")
     schema = "video_id string, score_curve array<double>, error string"

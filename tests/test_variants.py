@@ -4,11 +4,13 @@ import re
 import struct
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from chronoloom.functions import text as X
+from chronoloom.operators import graphs as G
 from chronoloom.operators import grids
 from chronoloom.plans.frames import read
 from chronoloom.sources import files
@@ -96,3 +98,43 @@ def test_collapsed_clauses(spark, sf):
     assert [[k for k, *_ in x] for x in found] == [["a", "b", "c"], ["ja", "ja nein"], ["x", "y"], [""], [], [], ["a"]]
     assert found[2] == [("x", 0, 3), ("y", 6, 9)]
     assert {r["n"] for r in entry_module.queries()["q_collapse_clauses"](spark, sf).collect()} and some >= 0
+
+
+def test_pairs_in_brackets_of_either_kind(spark):
+    texts = ["(1, 2) and ( 3.5 ,4 )", "[1, 2]", " [ 1.5 ,2 ]\n", "see [1, 2]", "[1, 2] [3, 4]", "[9, 9] (5,6)", "(1 2)", "(-1, 2)", "(7, 3)", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", X.parse_pairs(F.col("t")).alias("p"))
+    found = {r["k"]: [tuple(x) for x in r["p"]] for r in df.collect()}
+    assert [found[k] for k in range(len(texts))] == [[(1, 2), (3.5, 4)], [(1, 2)], [(1.5, 2)], [], [], [(5, 6)], [], [], [(7, 3)], [], []]
+
+
+def test_raster_of_a_rounded_down_length(spark):
+    sizes = {1: 2.6, 2: 0.1, 3: None, 4: 1.0}
+    spans = [(1, -3.0, 0.3), (1, 0.3, 0.3), (1, 2.2, 9.0), (1, 1.9, 1.2), (2, 0.0, 5.0), (3, 0.0, 5.0), (4, 1.0, 2.0), (4, 0.25, 0.5), (4, 0.4, 0.75), (4, None, 1.0)]
+    own = spark.createDataFrame(list(sizes.items()), "gid int, duration double")
+    held = spark.createDataFrame(spans, "gid int, start double, end double")
+    found = {(r["gid"], r["frame"]): r["y"] for r in grids.floor_raster(held, own, 4.0).collect()}
+    want = {}
+    for g, d in sizes.items():
+        for f in range(max(1, int((d or 0) * 4))):
+            want[g, f] = int(d is not None and any(k == g and max(0, a if a is not None else 0.0) <= f / 4 < min(d, b) for k, a, b in spans))
+    assert found == want
+    assert grids.floor_raster(held, own.where("gid < 0"), 4.0).count() == 0
+
+
+@pytest.mark.parametrize("n,block", [(3, 4), (47, 10), (60, 7)])
+def test_position_graph_against_all_pairs(spark, n, block):
+    r = np.random.default_rng(n)
+    looks, motion = r.normal(size=(n, 3)), r.normal(size=(n, 2))
+    looks[1], motion[1], looks[2] = looks[0], motion[0], 0.0
+    df = spark.createDataFrame([(8, i, looks[i].tolist(), motion[i].tolist()) for i in range(n)] + [(9, 0, [1.0, 0.0, 0.0], [0.0, 0.0])], "gid int, idx bigint, look array<double>, motion array<double>")
+    found = {(x["a"], x["b"]): x["w"] for x in G.position_graph(df, block, 6, 2, 0.75, 0.1).collect() if x["gid"] == 8 and x["a"] < x["b"]}
+    unit = looks / (np.linalg.norm(looks, axis=1, keepdims=True) + 1e-6)
+    w = np.array([[(0.75 * unit[i] @ unit[j] + 0.25 * np.exp(-np.linalg.norm(motion[i] - motion[j]))) / (1 + 0.1 * abs(i - j)) for j in range(n)] for i in range(n)])
+    want = {}
+    for i in range(n):
+        k = max(2, 6 - i // block * block // max(1, n // 10))
+        for at in range(0, n, block):
+            best = sorted(range(at, min(at + block, n)), key=lambda j: (-round(w[i, j], 12), j))[:k]
+            want |= {(min(i, j), max(i, j)): w[i, j] for j in best if j != i and w[i, j] > 0}
+    assert found.keys() == want.keys() and all(found[e] == pytest.approx(want[e], abs=1e-12) for e in want)
+    assert G.position_graph(df.where("gid < 0"), block, 6, 2, 0.75, 0.1).count() == 0
