@@ -82,6 +82,15 @@ def slice_by_share(ws: Column, a: Column, b: Column, start: Column, end: Column)
     return F.slice(ws, first + 1, F.greatest(last - first, F.lit(0)))
 
 
+def clipped_piece(text: Column, a: Column, b: Column, start: Column, end: Column) -> Column:
+    """What of a segment [start, end) falls into [a, b), as struct (start, end, text) with times clipped: the text as it is if it lies inside, else its words in proportion to time; null if there is nothing."""
+    lo, hi = F.greatest(start, a), F.least(end, b)
+    own = words(text)
+    cut = F.array_join(slice_by_share(own, a, b, start, end), " ")
+    said = F.when((start >= a) & (end <= b), F.nullif(text, F.lit(""))).otherwise(F.nullif(cut, F.lit("")))
+    return F.when((hi > lo) & said.isNotNull(), F.struct(lo.alias("start"), hi.alias("end"), said.alias("text")))
+
+
 def label_prefix(text: Column, key: str = "label") -> Column:
     """Text up to and with a quoted key and its colon; null without it."""
     return F.nullif(F.regexp_extract(text, rf'(?s)^(.*?"{key}"\s*:\s*)', 1), F.lit(""))

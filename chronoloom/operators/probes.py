@@ -148,10 +148,32 @@ def projected(df: DataFrame, key: str, vector: str, n: int, axes: int) -> DataFr
     return df.select(key, on_axes(vector).alias("p"))
 
 
-def logistic_folds(df: DataFrame, n: int, fold: str, folds: int, ridge: float, steps: int = 8) -> np.ndarray:
-    """Coefficients (folds, n) of y on the array x, each from the rows outside the fold; a Newton step of all folds is one aggregation."""
+def _variances(df: DataFrame, n: int, fold: str, folds: int) -> np.ndarray:
+    """Variances (folds, n) of the features over the rows outside each fold, 1 where a feature doesn't vary."""
+    each = df.groupBy(fold).agg(F.count("*").alias("n"), *[F.avg(F.col("x")[k]).alias(f"m{k}") for k in range(n)], *[F.var_pop(F.col("x")[k]).alias(f"v{k}") for k in range(n)]).collect()  # a row a fold
+    out = np.ones((folds, n))
+    for f in range(folds):
+        own = [r for r in each if r[fold] != f]
+        share = np.array([r["n"] for r in own], dtype=float)
+        if not share.sum():
+            continue
+        share /= share.sum()
+        mean = np.array([[r[f"m{k}"] for k in range(n)] for r in own])
+        inside = np.array([[r[f"v{k}"] for k in range(n)] for r in own])
+        v = share @ inside + share @ (mean - share @ mean) ** 2
+        out[f] = np.where(v > 1e-18, v, 1.0)
+    return out
+
+
+def logistic_folds(df: DataFrame, n: int, fold: str, folds: int, ridge: float, steps: int = 8, standardised: bool = False) -> np.ndarray:
+    """Coefficients (folds, n) of y on the array x, each from the rows outside the fold; a Newton step of all folds is one aggregation.
+
+    With ``standardised`` the fit is that of features brought to mean 0 and deviation 1 over the rows it is made from. As the
+    intercept is free, only the penalty changes: a coefficient counts times its feature's deviation.
+    """
     beta = np.zeros((folds, n))
-    penalty = ridge * np.r_[0.0, np.ones(n - 1)]
+    scales = _variances(df, n, fold, folds) if standardised else np.ones((folds, n))
+    penalties = ridge * scales * np.r_[0.0, np.ones(n - 1)]
     for _ in range(steps):
         sums = []
         for f in range(folds):
@@ -162,7 +184,7 @@ def logistic_folds(df: DataFrame, n: int, fold: str, folds: int, ridge: float, s
             sums += [of(F.col("x")[i] * F.col("x")[j] * p * (1 - p)).alias(f"h{f}_{i}_{j}") for i in range(n) for j in range(i, n)]
         r = df.agg(*sums).first()
         moved = 0.0
-        for f in range(folds):
+        for f, penalty in enumerate(penalties):
             h = np.array([[r[f"h{f}_{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) + np.diag(penalty) + 1e-12 * np.eye(n)
             step = np.linalg.solve(h, np.array([r[f"g{f}_{k}"] for k in range(n)]) - penalty * beta[f])
             beta[f] += step

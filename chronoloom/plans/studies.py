@@ -39,6 +39,16 @@ def grouped_folds(spark, sf):
     return c.select("event_id", "fold", F.round(S.sigmoid(S.dot(F.col("x"), chosen)), 6).alias("p"))
 
 
+@query("q_standardised_folds")
+def standardised_folds(spark, sf):
+    """As the grouped folds, with features standardised over the rows that a fit is made from."""
+    x = F.array(F.lit(1.0), F.col("s"), F.col("t"), F.col("idx").cast("double"))
+    c = curve(spark, sf).select("event_id", "gid", x.alias("x"), F.col("y").cast("double").alias("y"), F.pmod("gid", F.lit(FOLDS)).cast("int").alias("fold"))
+    beta = P.logistic_folds(c, 4, "fold", FOLDS, RIDGE, steps=25, standardised=True)
+    chosen = F.array(*[F.array(*[F.lit(float(b)) for b in row]) for row in beta])[F.col("fold")]
+    return c.select("event_id", "fold", F.round(S.sigmoid(S.dot(F.col("x"), chosen)), 6).alias("p"))
+
+
 @query("q_leave_one_out")
 def leave_one_out(spark, sf):
     """Each vector's score by the ridge regression of all others."""

@@ -14,9 +14,10 @@ from chronoloom.operators import graphs as G
 from chronoloom.operators import grids
 from chronoloom.operators import intervals as I
 from chronoloom.operators import metrics as M
+from chronoloom.operators.asof import asof
 from chronoloom.operators.ranks import group_rank
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, FRAME_HOURS, SPANS_SQL, cells_sql, curve, n_cells, ranked_curve, read, spans
+from chronoloom.plans.frames import CURVE_SQL, FRAME_HOURS, GRID_SQL, SPANS_SQL, cells_sql, curve, grid, n_cells, ranked_curve, read, spans
 from chronoloom.plans.metrics import _LIMITS, _rank_sql, _replicates_sql
 from chronoloom.sources import files
 
@@ -222,3 +223,47 @@ def position_graph(spark, sf):
     e = read(spark, sf, "embeddings").select(F.col("label").alias("gid"), "vec_id", F.col("embedding").alias("look"), F.slice("embedding", 1, 2).alias("motion"))
     items = group_rank(e, ["gid"], ["vec_id"], "idx")
     return G.position_graph(items, 20, 8, 3, 0.75, 0.6 / 4).select("gid", "a", "b", F.round("w", 9).alias("w"))
+
+
+_TURNS = "conv_id, turn, text, CASE WHEN turn % 7 <> 3 THEN turn * 10.0::DOUBLE END AS s, CASE WHEN turn % 3 <> 0 THEN turn * 10.0::DOUBLE + turn % 4 * 5 END AS e, CASE WHEN conv_id % 3 = 0 THEN 35.0::DOUBLE WHEN conv_id % 3 = 1 THEN 0.0::DOUBLE END AS d"
+
+
+@query(
+    "q_timed_chunks",
+    f"""WITH c AS (SELECT {_TURNS}, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations), k AS (SELECT *, last_value(coalesce(e, nullif(d, 0), s) IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
+    f AS (SELECT conv_id AS video_id, position, coalesce(s, before, 0.0) AS start, text, e, d FROM k), g AS (SELECT *, coalesce(e, nullif(d, 0), start) AS "end" FROM f) SELECT video_id, position, start, "end", length(text) AS n FROM g WHERE "end" > start""",
+)
+def timed_chunks(spark, sf):
+    """Turns as transcripts whose chunks lack starts, ends or the duration."""
+    t = F.col("turn")
+    chunk = F.struct("turn", F.when(t % 7 != 3, t * 10.0).alias("start"), F.when(t % 3 != 0, t * 10.0 + t % 4 * 5).alias("end"), "text")
+    records = read(spark, sf, "conversations").groupBy(F.col("conv_id").alias("video_id")).agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
+    d = F.when(F.col("video_id") % 3 == 0, 35.0).when(F.col("video_id") % 3 == 1, 0.0)
+    return files.timed_chunks(records.withColumn("wav_duration", d)).select("video_id", "position", "start", "end", F.length("text").alias("n"))
+
+
+@query(
+    "q_clipped_pieces",
+    """WITH c AS (SELECT conv_id, turn, text, turn * 10.0::DOUBLE AS s, turn * 10.0::DOUBLE + 4 + turn % 4 * 3 AS e FROM conversations WHERE text <> ''), x AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '') AS ws, unnest(range(floor(s / 12)::BIGINT, ceil(e / 12)::BIGINT)) AS w FROM c),
+    p AS (SELECT conv_id, turn, w, greatest(s, w * 12) AS start, least(e, w * 12 + 12) AS "end", CASE WHEN s >= w * 12 AND e <= w * 12 + 12 THEN text ELSE array_to_string(list_slice(ws, round_even(len(ws) * (greatest(s, w * 12) - s) / (e - s), 0)::INT + 1, round_even(len(ws) * (least(e, w * 12 + 12) - s) / (e - s), 0)::INT), ' ') END AS text FROM x)
+    SELECT conv_id, turn, w, start, "end", text FROM p WHERE text <> ''""",
+)
+def clipped_pieces(spark, sf):
+    """Pieces of the turns in windows of twelve seconds, with clipped times; a turn inside a window is kept as it is."""
+    t = F.col("turn")
+    c = read(spark, sf, "conversations").select("conv_id", "turn", "text", (t * 10.0).alias("s"), (t * 10.0 + 4 + t % 4 * 3).alias("e"))
+    w = F.col("w")
+    x = c.withColumn("w", F.explode(F.sequence(F.floor(F.col("s") / 12), F.ceil(F.col("e") / 12) - 1)))
+    return x.select("conv_id", "turn", "w", X.clipped_piece(F.col("text"), w * 12.0, w * 12.0 + 12, F.col("s"), F.col("e")).alias("p")).where("p is not null").select("conv_id", "turn", "w", "p.*")
+
+
+@query(
+    "q_span_of_midpoint",
+    f"""WITH {SPANS_SQL}, {GRID_SQL}, n AS (SELECT DISTINCT gid FROM spans) SELECT grid.gid, frame, greatest((SELECT count(*) FROM spans s WHERE s.gid = grid.gid AND s.start <= t + 2) - 1, 0) AS at FROM grid JOIN n USING (gid)""",
+)
+def span_of_midpoint(spark, sf):
+    """Number of the last span that begins at or before the middle of each frame; the first before all, the last behind all."""
+    s = spans(spark, sf)
+    points = grid(spark, sf).select("gid", "frame", (F.col("t") + FRAME_HOURS / 2).alias("t"))
+    found = asof(points.join(s.select("gid").distinct(), "gid", "left_semi"), s.select("gid", F.col("start").alias("t"), F.col("ord").alias("v")), 24.0)
+    return found.select("gid", "frame", F.coalesce(F.col("found.v").cast("long"), F.lit(0)).alias("at"))

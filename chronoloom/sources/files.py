@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from chronoloom.operators.ranks import group_rank
 from chronoloom.storage import stored
@@ -97,6 +98,21 @@ def without_errors(spark: SparkSession, path: str, schema: str, key: list[str],
     return last_wins(records.where(F.coalesce(F.col(error), F.lit("")) == ""), key)
 
 
+def timed_chunks(transcripts: DataFrame, fill: bool = True) -> DataFrame:
+    """(video_id, position, start, end, text) of transcripts (video_id, wav_duration, chunks), empty chunks left out.
+
+    A missing start is the end of the chunk before (0 for the first), a missing end the duration or, where that is missing
+    or 0, the start; so ends that were filled count for later starts. Without ``fill`` chunks that lack either are left out.
+    """
+    c = transcripts.select("video_id", F.when(F.col("wav_duration") != 0, F.col("wav_duration")).alias("d"), F.posexplode("chunks").alias("position", "c")).select("video_id", "d", "position", F.col("c.start").alias("s"), F.col("c.end").alias("e"), F.coalesce("c.text", F.lit("")).alias("text"))
+    if not fill:
+        return c.where("e > s").select("video_id", "position", F.col("s").alias("start"), F.col("e").alias("end"), "text")
+    before = W.partitionBy("video_id").orderBy("position").rowsBetween(W.unboundedPreceding, -1)
+    last = F.last(F.coalesce("e", "d", "s"), ignorenulls=True).over(before)  # with a duration every chunk has an end; without one, a chunk that has neither ends where it begins, at the last one's end
+    filled = c.withColumn("start", F.coalesce("s", last, F.lit(0.0))).withColumn("end", F.coalesce("e", "d", "start"))
+    return filled.where(F.col("end") > F.col("start")).select("video_id", "position", "start", "end", "text")
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """path, length and SHA-256 of files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

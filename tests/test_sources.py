@@ -79,6 +79,29 @@ def test_scores_without_error_rows(spark, tmp_path):
         files.without_errors(spark, str(tmp_path / "none.jsonl"), "video_id string, error string", ["video_id"]).collect()
 
 
+def test_chunks_without_times(spark):
+    c = lambda *rows: [{"start": a, "end": b, "text": t} for a, b, t in rows]
+    records = [
+        ("timed", 9.0, c((0.0, 1.0, "a"), (1.0, 1.0, "b"), (2.0, 1.5, "c"))),
+        ("duration", 9.0, c((None, 1.0, "a"), (None, None, "b"), (None, None, "c"), (3.0, None, None))),
+        ("none", None, c((None, None, "a"), (2.0, None, "b"), (None, None, "c"), (None, 5.0, "d"))),
+        ("zero", 0.0, c((4.0, None, "a"), (None, 6.0, "b"))),
+        ("empty", 3.0, []),
+        ("missing", 3.0, None),
+    ]
+    df = spark.createDataFrame(records, files.TRANSCRIPT)
+    want = {}
+    for name, d, chunks in records:  # one chunk after the other
+        last = 0.0
+        for k, x in enumerate(chunks or []):
+            s = last if x["start"] is None else x["start"]
+            last = (d or s) if x["end"] is None else x["end"]
+            if last > s:
+                want[name, k] = (s, last, x["text"] or "")
+    assert {(r["video_id"], r["position"]): tuple(r)[2:] for r in files.timed_chunks(df).collect()} == want
+    assert {(r["video_id"], r["position"]) for r in files.timed_chunks(df, fill=False).collect()} == {("timed", 0)}
+
+
 def test_finalize_is_gated(spark, tmp_path):
     cohort = spark.createDataFrame([("a",), ("b",)], "video_id string")
     schema = "video_id string, score_curve array<double>, error string"

@@ -604,6 +604,23 @@ def test_grouped_folds(series, rows):
         assert {r["fold"] for r in mine} == {f} and [r["p"] for r in mine] == pytest.approx(want, abs=2e-6)
 
 
+def test_standardised_folds(series, rows):
+    found = {r["event_id"]: r for r in rows("q_standardised_folds")}
+    own = [(r, k) for one in series.values() for k, r in enumerate(one)]
+    x = np.array([[r["s"], r["t"], k] for r, k in own], float)
+    y, fold = np.array([float(r["y"]) for r, _ in own]), np.array([r["gid"] % 5 for r, _ in own])
+    for f in set(fold):
+        mean, sd = x[fold != f].mean(axis=0), x[fold != f].std(axis=0)
+        z = np.column_stack([np.ones(len(x)), (x - mean) / sd])
+        a, b = z[fold != f], np.zeros(4)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-a @ b))
+            b += np.linalg.solve((a.T * (p * (1 - p))) @ a + np.diag([0, 1.0, 1, 1]), a.T @ (y[fold != f] - p) - np.array([0, 1.0, 1, 1]) * b)
+        want = 1 / (1 + np.exp(-z[fold == f] @ b))
+        mine = [found[r["event_id"]] for (r, _), o in zip(own, fold, strict=True) if o == f]
+        assert {r["fold"] for r in mine} == {f} and [r["p"] for r in mine] == pytest.approx(want, abs=2e-6)
+
+
 def test_leave_one_out(labelled_vectors, rows):
     ids, x, y = labelled_vectors
     found = {r["vec_id"]: r["score"] for r in rows("q_leave_one_out")}
