@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from chronoloom.functions import stats as T
 from chronoloom.operators import metrics as M
+from chronoloom.operators.quantiles import percentiles
 from chronoloom.plans.catalog import query
 from chronoloom.plans.frames import CURVE_SQL, SHARE_SQL, curve, read, shares
 
@@ -75,8 +76,9 @@ def calibration(spark, sf):
 
 @query("q_summary", f"WITH {CURVE_SQL} SELECT event_type, min(s) AS least, round(quantile_cont(s, 0.1), 6) AS p10, round(quantile_cont(s, 0.25), 6) AS p25, round(median(s), 6) AS median, round(quantile_cont(s, 0.75), 6) AS p75, round(quantile_cont(s, 0.9), 6) AS p90, max(s) AS most, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS sd FROM curve GROUP BY event_type")
 def summary(spark, sf):
-    q = F.percentile("s", [0.1, 0.25, 0.5, 0.75, 0.9])
-    g = curve(spark, sf).where("not isnan(s)").groupBy("event_type").agg(F.min("s").alias("least"), F.max("s").alias("most"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.stddev_samp("s"), 6).alias("sd"), q.alias("q"))
+    c = curve(spark, sf).where("not isnan(s)")
+    g = c.groupBy("event_type").agg(F.min("s").alias("least"), F.max("s").alias("most"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.stddev_samp("s"), 6).alias("sd"))
+    g = g.join(percentiles(c, "s", ["event_type"], [0.1, 0.25, 0.5, 0.75, 0.9]), "event_type", "left")
     return g.select("event_type", "least", *[F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("p10", "p25", "median", "p75", "p90"))], "most", "mean", "sd")
 
 
@@ -89,10 +91,11 @@ def summary(spark, sf):
 def trimmed_stats(spark, sf):
     """Statistics of the values between the 5th and the 95th percentile."""
     c = curve(spark, sf)
-    q = c.groupBy("event_type").agg(F.percentile("s", [0.05, 0.95]).alias("ends"))
+    q = percentiles(c, "s", ["event_type"], [0.05, 0.95], "ends")
     kept = c.join(q, "event_type").where(F.col("s").between(F.col("ends")[0], F.col("ends")[1]))
     names = ("p10", "p25", "median", "p75", "p90")
-    g = kept.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.stddev_pop("s"), 6).alias("sd"), F.percentile("s", [0.1, 0.25, 0.5, 0.75, 0.9]).alias("q"), F.min("s").alias("least"), F.max("s").alias("most"))
+    g = kept.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.stddev_pop("s"), 6).alias("sd"), F.min("s").alias("least"), F.max("s").alias("most"))
+    g = g.join(percentiles(kept, "s", ["event_type"], [0.1, 0.25, 0.5, 0.75, 0.9]), "event_type", "left")
     return g.select("event_type", "n", "mean", "sd", *[F.round(F.col("q")[k], 9).alias(x) for k, x in enumerate(names)], "least", "most")
 
 

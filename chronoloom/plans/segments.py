@@ -11,6 +11,7 @@ from chronoloom.functions import scalars as S
 from chronoloom.functions import text as X
 from chronoloom.operators import graphs as G
 from chronoloom.operators import intervals as I
+from chronoloom.operators.quantiles import percentiles
 from chronoloom.plans.catalog import query
 from chronoloom.plans.frames import CURVE_SQL, DURATION_SQL, FRAME_HOURS, SPANS_SQL, cells_sql, curve, duration, grid, read, spans
 
@@ -92,8 +93,9 @@ def rule_band(spark, sf):
     from chronoloom.functions import scalars as S
 
     p = curve(spark, sf).select("event_id", "event_type", S.sigmoid((F.col("s") - 50) / 20).alias("p"))
-    m = p.where("p between 0.3 and 0.9").agg(F.median("p").alias("m")).first()["m"]
-    band = F.col("p").between(0.3, 0.9) & (F.col("p") >= F.lit(m))
+    middle = percentiles(p.where("p between 0.3 and 0.9"), "p", [], [0.5]).first()
+    m = middle["q"][0] if middle else None
+    band = F.col("p").between(0.3, 0.9) & (F.col("p") >= F.lit(m).cast("double"))
     return p.select("event_id", F.when(band, (F.col("event_type") == "error").cast("int")).otherwise((F.col("p") >= 0.5).cast("int")).alias("v"))
 
 

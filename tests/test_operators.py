@@ -14,6 +14,7 @@ from chronoloom.operators import intervals as I
 from chronoloom.operators import metrics as M
 from chronoloom.operators import ranks as R
 from chronoloom.operators import thresholds as T
+from chronoloom.operators.quantiles import percentiles
 
 
 def frame(spark, rows, ddl):
@@ -337,3 +338,19 @@ def test_curves_of_long_tables(spark, sf, monkeypatch):
     before = sorted(map(tuple, frames.curve(spark, sf).collect()))
     monkeypatch.setattr(frames, "TOGETHER", 0)
     assert sorted(map(tuple, frames.curve(spark, sf).collect())) == before
+
+
+@pytest.mark.parametrize("parts", [1, 5, 64])
+def test_percentiles_of_groups_in_ranges(spark, parts):
+    r = random.Random(parts)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0, 0.5]
+    groups = {"hot": [r.random() for _ in range(300)] + [0.5] * 200, "one": [3.0], None: [1.0, 2.0], "ties": [7.0] * 9 + [8.0], "nan": [1.0, float("nan")], "nulls": [None, None], "mixed": [None, 4.0, 2.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    found = {x["g"]: x["q"] for x in percentiles(df, "v", ["g"], shares, parts=parts).collect()}
+    want = {x["g"]: x["q"] for x in df.where("v is not null").groupBy("g").agg(F.percentile("v", shares).alias("q")).collect()}
+    assert found.keys() == want.keys() == groups.keys() - {"nulls"}
+    for g, q in want.items():
+        assert found[g] == pytest.approx(q, abs=1e-12, nan_ok=True)
+    pooled = [x["q"] for x in percentiles(df.where("not isnan(v)"), "v", [], shares, parts=parts).collect()]
+    assert len(pooled) == 1 and pooled[0] == pytest.approx(df.where("not isnan(v)").agg(F.percentile("v", shares)).first()[0], abs=1e-12)
+    assert percentiles(df.where("v > 100 and not isnan(v)"), "v", ["g"], shares).count() == 0
