@@ -127,3 +127,10 @@ def stream_changes(spark, sf):
 def stream_first_arrival(spark, sf):
     first = S.first_arrivals(_events(spark, sf), ["user_id", "event_type"], delay="3650 days")
     return S.drained(first.select("user_id", "event_type"), "first", _folder(spark)).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("q_stream_daily_arrival", "SELECT DISTINCT user_id, event_type, ts::DATE AS day FROM events")
+def stream_daily_arrival(spark, sf):
+    """The first event of each type that a user has in a day; a key is forgotten once the watermark is a day past it."""
+    e = _events(spark, sf).withColumn("day", F.to_date("ts"))
+    return S.drained(S.first_arrivals(e, ["user_id", "event_type", "day"], delay="1 day").select("user_id", "event_type", "day"), "daily", _folder(spark))

@@ -1,6 +1,8 @@
 """File sources and sinks, and streams over them."""
 
+import datetime
 import json
+import time
 import wave
 
 import numpy as np
@@ -129,3 +131,14 @@ def test_changes_against_the_row_before(spark, tmp_path):
     spark.createDataFrame([(1, 0.0, 1.0), (1, 1.0, 1.5), (1, 2.0, 3.0)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     assert sorted(r["s"] for r in stateful.drained(stateful.changes(stream, 1.0), "c", str(tmp_path)).collect()) == [1.0, 3.0]
+
+
+def test_first_arrivals_over_batches_and_after_the_watermark(spark, tmp_path):
+    """A key comes once within the delay, whatever the batch; state goes with the watermark, and the key counts anew."""
+    schema, day = "k string, ts timestamp, n int", lambda d, h=0: datetime.datetime(2024, 1, d, h)
+    for k, rows in enumerate([[("a", day(1), 1), ("b", day(1), 2)], [("a", day(1, 12), 3)], [("c", day(9), 4)], [("c", day(9, 1), 5)], [("a", day(10), 6)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}.parquet"))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*.parquet"))
+    found = stateful.drained(stateful.first_arrivals(stream, ["k"], delay="1 day").select("k", "n"), "arrivals", str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [("a", 1), ("a", 6), ("b", 2), ("c", 4)]
