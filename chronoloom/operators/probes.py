@@ -165,8 +165,30 @@ def _variances(df: DataFrame, n: int, fold: str, folds: int) -> np.ndarray:
     return out
 
 
+def _fold_moments(rows: DataFrame, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients (folds, n) and curvatures (folds, n, n) of the log likelihood of the rows outside each fold: sums inside tasks, entries added up in Spark. rows: (x, y, f)."""
+    folds, n = beta.shape
+
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g, h = np.zeros((folds, n)), np.zeros((folds, n, n))
+        for part in parts:
+            x = np.array(part["x"].tolist(), dtype=float).reshape(len(part), n)
+            p = 0.5 * (1 + np.tanh(0.5 * (x @ beta.T)))
+            out = part["f"].to_numpy()[:, None] != np.arange(folds)
+            g += ((part["y"].to_numpy(float)[:, None] - p) * out).T @ x
+            for f, w in enumerate((p * (1 - p) * out).T):
+                h[f] += (x.T * w) @ x
+        yield pd.DataFrame({"v": [np.r_[g.ravel(), h.ravel()].tolist()]})
+
+    summed = rows.mapInPandas(add, "v array<double>").select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
+    flat = np.zeros(folds * n * (1 + n))
+    for r in summed.toLocalIterator():  # entries of one matrix a fold
+        flat[r["k"]] = r["v"]
+    return flat[: folds * n].reshape(folds, n), flat[folds * n :].reshape(folds, n, n)
+
+
 def logistic_folds(df: DataFrame, n: int, fold: str, folds: int, ridge: float, steps: int = 8, standardised: bool = False) -> np.ndarray:
-    """Coefficients (folds, n) of y on the array x, each from the rows outside the fold; a Newton step of all folds is one aggregation.
+    """Coefficients (folds, n) of y on the array x, each from the rows outside the fold; a Newton step of all folds is one pass.
 
     With ``standardised`` the fit is that of features brought to mean 0 and deviation 1 over the rows it is made from. As the
     intercept is free, only the penalty changes: a coefficient counts times its feature's deviation.
@@ -174,21 +196,14 @@ def logistic_folds(df: DataFrame, n: int, fold: str, folds: int, ridge: float, s
     beta = np.zeros((folds, n))
     scales = _variances(df, n, fold, folds) if standardised else np.ones((folds, n))
     penalties = ridge * scales * np.r_[0.0, np.ones(n - 1)]
+    rows = df.select("x", F.col("y").cast("double").alias("y"), F.col(fold).alias("f"))
     for _ in range(steps):
-        sums = []
-        for f in range(folds):
-            out = F.col(fold) != f
-            p = 1 / (1 + F.exp(-sum((F.col("x")[k] * float(b) for k, b in enumerate(beta[f])), F.lit(0.0))))
-            of = lambda v, out=out: F.coalesce(F.sum(F.when(out, v)), F.lit(0.0))
-            sums += [of(F.col("x")[k] * (F.col("y") - p)).alias(f"g{f}_{k}") for k in range(n)]
-            sums += [of(F.col("x")[i] * F.col("x")[j] * p * (1 - p)).alias(f"h{f}_{i}_{j}") for i in range(n) for j in range(i, n)]
-        r = df.agg(*sums).first()
+        slopes, curves = _fold_moments(rows, beta)
         moved = 0.0
         for f, penalty in enumerate(penalties):
-            h = np.array([[r[f"h{f}_{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) + np.diag(penalty) + 1e-12 * np.eye(n)
-            step = np.linalg.solve(h, np.array([r[f"g{f}_{k}"] for k in range(n)]) - penalty * beta[f])
+            step = np.linalg.solve(curves[f] + np.diag(penalty) + 1e-12 * np.eye(n), slopes[f] - penalty * beta[f])
             beta[f] += step
-            moved = max(moved, np.abs(step).max())
+            moved = max(moved, (np.abs(step) * np.sqrt(scales[f])).max())
         if moved < 1e-9:
             break
     return beta
