@@ -12,6 +12,7 @@ from chronoloom.operators import asof as A
 from chronoloom.operators import graphs as G
 from chronoloom.operators import intervals as I
 from chronoloom.operators import metrics as M
+from chronoloom.operators import quantiles
 from chronoloom.operators import ranks as R
 from chronoloom.operators import thresholds as T
 from chronoloom.operators.quantiles import percentiles
@@ -340,8 +341,9 @@ def test_curves_of_long_tables(spark, sf, monkeypatch):
     assert sorted(map(tuple, frames.curve(spark, sf).collect())) == before
 
 
-@pytest.mark.parametrize("parts", [1, 5, 64])
-def test_percentiles_of_groups_in_ranges(spark, parts):
+@pytest.mark.parametrize("parts,together", [(1, 0), (5, 0), (64, 0), (64, 2_000_000)])
+def test_percentiles_of_groups_in_ranges(spark, monkeypatch, parts, together):
+    monkeypatch.setattr(quantiles, "TOGETHER", together)
     r = random.Random(parts)
     shares = [0.0, 0.25, 0.5, 0.9, 1.0, 0.5]
     groups = {"hot": [r.random() for _ in range(300)] + [0.5] * 200, "one": [3.0], None: [1.0, 2.0], "ties": [7.0] * 9 + [8.0], "nan": [1.0, float("nan")], "nulls": [None, None], "mixed": [None, 4.0, 2.0]}
