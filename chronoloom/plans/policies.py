@@ -121,11 +121,15 @@ def ordinal_terms(spark, sf):
 )
 def max_sum_stretch(spark, sf):
     """The stretch with the largest positive sum, the earliest of equals; series without one are left out."""
-    o = W.partitionBy("gid").orderBy("idx")
-    p = curve(spark, sf).withColumn("p", F.sum(F.col("s") - 50).over(o.rowsBetween(W.unboundedPreceding, 0)))
-    before = F.min(F.struct("p", F.col("idx").cast("int").alias("i"))).over(o.rowsBetween(W.unboundedPreceding, -1))
-    none = F.struct(F.lit(0.0).alias("p"), F.lit(-1).alias("i"))
-    low = p.withColumn("low", F.least(none, F.coalesce(before, none)))
-    x = low.select("gid", (F.col("low.i") + 1).alias("start"), F.col("idx").alias("end"), F.round(F.col("p") - F.col("low.p"), 6).alias("best")).where("best > 0")
-    top = F.max_by(F.struct("start", "end", "best"), F.struct("best", -F.col("start"), -F.col("end")))
-    return x.groupBy("gid").agg(top.alias("t")).select("gid", "t.start", "t.end", "t.best")
+    own, before = W.partitionBy("gid"), (W.unboundedPreceding, -1)
+    gain = lambda end, start: F.round(end - start, 6)
+    p = curve(spark, sf).withColumn("p", F.sum(F.col("s") - 50).over(own.orderBy("idx").rowsBetween(W.unboundedPreceding, 0)))
+    # equal stretches are equal after rounding, so the best gain is found first, then the first start that reaches it, then that start's first end
+    low = F.least(F.lit(0.0), F.min("p").over(own.orderBy("idx").rowsBetween(*before)))
+    high = F.max("p").over(own.orderBy(F.desc("idx")).rowsBetween(*before))
+    x = p.withColumns({"low": low, "high": high, "top": F.max("p").over(own)}).withColumn("best", F.max(gain(F.col("p"), F.col("low"))).over(own)).where("best > 0")
+    first = lambda start, total: F.struct(start.cast("int").alias("start"), total.alias("p"))
+    whole = F.when(gain(F.col("top"), F.lit(0.0)) == F.col("best"), first(F.lit(0), F.lit(0.0)))
+    later = F.min(F.when(gain(F.col("high"), F.col("p")) == F.col("best"), first(F.col("idx") + 1, F.col("p")))).over(own)
+    f = x.withColumn("f", F.coalesce(whole, later))
+    return f.where((F.col("idx") >= F.col("f.start")) & (gain(F.col("p"), F.col("f.p")) == F.col("best"))).groupBy("gid", F.col("f.start").alias("start"), "best").agg(F.min("idx").alias("end")).select("gid", "start", "end", "best")
