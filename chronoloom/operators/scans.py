@@ -13,6 +13,7 @@ All values are logarithms: nothing underflows, and impossible steps are -inf.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -247,3 +248,91 @@ def best_paths(series: DataFrame, values: list[str], chains: Chains) -> DataFram
     own = found.join(follows, ["gid", "block"]).withColumn("state", F.when(F.col("end") >= 0, F.col("end")).otherwise(F.col("follows") - 1))
     drop(blocks)
     return own.select("gid", "block", F.posexplode(F.slice("paths", F.col("state") * F.col("steps") + 1, F.col("steps"))).alias("at", "state")).select("gid", (F.col("block") * BLOCK + F.col("at")).alias("idx"), "state")
+
+
+@dataclass(frozen=True)
+class TwoStates:
+    """Weights of the states at the start, chances of a step from row to column, log likelihoods of both states, of one value."""
+
+    start: tuple[float, float]
+    steps: tuple[tuple[float, float], tuple[float, float]]
+    logs: Callable[[float], tuple[float, float]]
+
+    def likelihoods(self, lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Of blocks as (rows, BLOCK), filled up with ones, and the blocks' lengths."""
+        n = np.array([len(x) for x in lists])
+        out = np.ones((2, len(lists), BLOCK))
+        at = np.arange(BLOCK)[None] < n[:, None]
+        logs = [self.logs(x) for x in np.concatenate([np.asarray(x, dtype=float) for x in lists]).tolist()]
+        for k in range(2):  # the C library's exp, which vectors of numpy round otherwise
+            out[k][at] = [math.exp(x[k]) for x in logs]
+        return out, n
+
+    def after(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chances of both states a step later."""
+        (a, b), (c, d) = self.steps
+        return a * p + c * (1 - p), b * p + d * (1 - p)
+
+    def forth(self, likely: np.ndarray, first: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Chances after each step of blocks, given those before them; ``first`` blocks begin a series."""
+        out = np.empty(likely.shape[1:])
+        with np.errstate(all="ignore"):
+            for t in range(BLOCK):
+                q0, q1 = self.after(p)
+                if t == 0:
+                    q0, q1 = np.where(first, self.start[0], q0), np.where(first, self.start[1], q1)
+                out[:, t] = p = q0 * likely[0][:, t] / (q0 * likely[0][:, t] + q1 * likely[1][:, t])
+        return out
+
+    def back(self, p: np.ndarray, n: np.ndarray, last: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Chances given the whole series, from those of the steps that follow the blocks; ``last`` blocks end a series."""
+        out = np.empty_like(p)
+        with np.errstate(all="ignore"):
+            for t in reversed(range(BLOCK)):
+                q0, q1 = self.after(p[:, t])
+                step = p[:, t] * (self.steps[0][0] * g / q0 + self.steps[0][1] * (1 - g) / q1)
+                step = np.where(last & (t == n - 1), p[:, t], step)
+                out[:, t] = g = np.where(t < n, step, g)
+        return out
+
+
+def two_states(series: DataFrame, value: str, chain: TwoStates) -> DataFrame:
+    """Rows (gid, idx, n, value) to (gid, idx, p): chances of the first state given the whole series, the very doubles of a loop from row to row.
+
+    Blocks begin with a guess, and each then begins with what the block before it ended in, until no beginning changes:
+    that is the loop's result. A chain forgets its beginning within a block or two, so a few rounds do.
+    """
+    blocks = blocks_of(series, [value]).drop("steps")
+
+    def forward(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            likely, n = chain.likelihoods(p["values"])
+            found = chain.forth(likely, p["block"].to_numpy() == 0, p["held"].to_numpy())
+            yield p.assign(p=[x[:k] for x, k in zip(found, n, strict=True)], out=found[np.arange(len(p)), n - 1])
+
+    def backward(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            n = np.array([len(x) for x in part["p"]])
+            p = np.full((len(part), BLOCK), 0.5)
+            p[np.arange(BLOCK)[None] < n[:, None]] = np.concatenate(list(part["p"]))
+            last = (part["block"].to_numpy() + 1) * BLOCK >= part["n"].to_numpy()
+            found = chain.back(p, n, last, part["held"].to_numpy())
+            yield part.assign(g=[x[:k] for x, k in zip(found, n, strict=True)], out=found[:, 0])
+
+    def settled(given: DataFrame, step: Callable, result: str, towards: int) -> DataFrame:
+        """Blocks with a list ``result``, run until what a block begins with is what its neighbour ended in."""
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema) + f", held double, {result} array<double>, out double"
+        now = stored(given.withColumn("held", F.lit(0.5)).mapInPandas(step, schema), "two-states")
+        while True:
+            beside = now.select("gid", (F.col("block") + towards).alias("block"), F.col("out").alias("following"))
+            met = now.join(beside, ["gid", "block"], "left")
+            if met.where(F.col("following").isNotNull() & ~F.col("held").eqNullSafe(F.col("following"))).isEmpty():
+                return now.drop("held", "out")
+            following = stored(met.withColumn("held", F.coalesce("following", "held")).select(*given.columns, "held").mapInPandas(step, schema), "two-states")
+            drop(now)
+            now = following
+
+    ahead = settled(blocks, forward, "p", 1)
+    whole = settled(ahead.select("gid", "block", "n", "p"), backward, "g", -1)
+    drop(blocks)
+    return whole.select("gid", "block", F.posexplode("g").alias("at", "p")).select("gid", (F.col("block") * BLOCK + F.col("at")).alias("idx"), "p")
