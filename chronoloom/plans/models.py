@@ -17,7 +17,7 @@ from chronoloom.operators import probes as P
 from chronoloom.operators import ranks as R
 from chronoloom.operators import thresholds as T
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, cells_sql, curve, n_cells, read, shares
+from chronoloom.plans.frames import CURVE_SQL, cells_sql, curve, points, n_cells, read, shares
 from chronoloom.storage import stored
 
 
@@ -67,7 +67,7 @@ def ridge_probe(spark, sf):
 def logistic_fit(spark, sf):
     """L2 logistic regression of the label on score and time, by Newton steps over summed gradients."""
     x = F.array(F.lit(1.0), F.col("s") / 100, F.col("t") / 700)
-    beta = P.logistic(curve(spark, sf).select(x.alias("x"), F.col("y").cast("double").alias("y")), 3, ridge=1.0)
+    beta = P.logistic(points(spark, sf).select(x.alias("x"), F.col("y").cast("double").alias("y")), 3, ridge=1.0)
     return _values(spark, [(f"b{k}", round(float(b), 6)) for k, b in enumerate(beta)])
 
 

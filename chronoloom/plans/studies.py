@@ -16,8 +16,9 @@ from chronoloom.operators import thresholds as T
 from chronoloom.operators import tiedchains as C
 from chronoloom.operators import twolevel as L
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, curve, read
+from chronoloom.plans.frames import CURVE_SQL, curve, points, read
 from chronoloom.plans.metrics import _rank_sql
+from chronoloom.storage import stored
 
 FOLDS, RIDGE, REPLICATES, STAY = 5, 1.0, 100, 0.8
 
@@ -33,7 +34,7 @@ def stratified_probe(spark, sf):
 def grouped_folds(spark, sf):
     """Held-out chances of a logistic regression on score and time; a series is in one fold."""
     x = F.array(F.lit(1.0), F.col("s") / 100, F.col("t") / 700)
-    c = curve(spark, sf).select("event_id", "gid", x.alias("x"), F.col("y").cast("double").alias("y"), F.pmod("gid", F.lit(FOLDS)).cast("int").alias("fold"))
+    c = stored(points(spark, sf).select("event_id", "gid", x.alias("x"), F.col("y").cast("double").alias("y"), F.pmod("gid", F.lit(FOLDS)).cast("int").alias("fold")), "fold-rows")
     beta = P.logistic_folds(c, 3, "fold", FOLDS, RIDGE)
     chosen = F.array(*[F.array(*[F.lit(float(b)) for b in row]) for row in beta])[F.col("fold")]
     return c.select("event_id", "fold", F.round(S.sigmoid(S.dot(F.col("x"), chosen)), 6).alias("p"))
@@ -43,7 +44,7 @@ def grouped_folds(spark, sf):
 def standardised_folds(spark, sf):
     """As the grouped folds, with features standardised over the rows that a fit is made from."""
     x = F.array(F.lit(1.0), F.col("s"), F.col("t"), F.col("idx").cast("double"))
-    c = curve(spark, sf).select("event_id", "gid", x.alias("x"), F.col("y").cast("double").alias("y"), F.pmod("gid", F.lit(FOLDS)).cast("int").alias("fold"))
+    c = stored(curve(spark, sf).select("event_id", "gid", x.alias("x"), F.col("y").cast("double").alias("y"), F.pmod("gid", F.lit(FOLDS)).cast("int").alias("fold")), "fold-rows")  # the passes read the table, not its sort
     beta = P.logistic_folds(c, 4, "fold", FOLDS, RIDGE, steps=25, standardised=True)
     chosen = F.array(*[F.array(*[F.lit(float(b)) for b in row]) for row in beta])[F.col("fold")]
     return c.select("event_id", "fold", F.round(S.sigmoid(S.dot(F.col("x"), chosen)), 6).alias("p"))
@@ -75,7 +76,7 @@ def principal_projection(spark, sf):
 )
 def evaluation(spark, sf):
     """Pooled metrics of all series, and their means over the series of a cohort."""
-    c = curve(spark, sf)
+    c = points(spark, sf)
     e = M.evaluation(c, "s", "y", "gid", c.where("event_type = 'signup'").select("gid"))
     return e.select(*[F.round(k, 9).alias(k) for k in ("pooled_auc", "pooled_ap", "macro_auc", "macro_ap")], "defined", "skipped")
 
@@ -123,7 +124,7 @@ def high_posterior(spark, sf):
 def two_level(spark, sf):
     """Chance that a series is positive, by the two-level mixture fitted to all series."""
     c = curve(spark, sf).groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("idx", F.log1p("s").alias("x")))).alias("l"), F.avg("y").alias("level"))
-    series = c.select("gid", F.col("l.x").alias("y"), "level")
+    series = stored(c.select("gid", F.col("l.x").alias("y"), "level"), "two-level-series")
     fitted = L.fit(series, STAY, 8)
     return L.positives(series, fitted, STAY).select("gid", F.round("w", 4).alias("w"), F.lit(round(fitted.get("log_likelihood", 0.0), 3)).alias("log_likelihood"))
 
