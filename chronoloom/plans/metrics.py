@@ -9,7 +9,7 @@ from chronoloom.functions import stats as T
 from chronoloom.operators import metrics as M
 from chronoloom.operators.quantiles import percentiles
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, SHARE_SQL, curve, read, shares
+from chronoloom.plans.frames import CURVE_SQL, SHARE_SQL, curve, points, read, shares
 
 
 def _r(*names, n=9):
@@ -39,7 +39,7 @@ def pooled_metrics(spark, sf):
 
 @query("q_group_metrics", f"WITH {CURVE_SQL}, {_rank_sql('curve', 'gid')} SELECT gid, round(auc, 9) AS auc, round(ap, 9) AS ap, round(base_rate, 9) AS base_rate, n_pos, n_neg FROM r")
 def group_metrics(spark, sf):
-    return M.rank_metrics(curve(spark, sf), "s", "y", ["gid"]).select("gid", *_r("auc", "ap", "base_rate"), "n_pos", "n_neg")
+    return M.rank_metrics(points(spark, sf), "s", "y", ["gid"]).select("gid", *_r("auc", "ap", "base_rate"), "n_pos", "n_neg")
 
 
 @query("q_macro_group_auc", f"WITH {CURVE_SQL}, {_rank_sql('curve', 'gid')} SELECT round(avg(auc), 9) AS macro, round(stddev_pop(auc), 9) AS sd_pop, round(stddev_samp(auc), 9) AS sd_samp, round(median(auc), 9) AS median, count(auc) AS defined, count(*) - count(auc) AS skipped FROM r")
@@ -90,7 +90,7 @@ def summary(spark, sf):
 )
 def trimmed_stats(spark, sf):
     """Statistics of the values between the 5th and the 95th percentile."""
-    c = curve(spark, sf)
+    c = points(spark, sf)
     q = percentiles(c, "s", ["event_type"], [0.05, 0.95], "ends")
     kept = c.join(q, "event_type").where(F.col("s").between(F.col("ends")[0], F.col("ends")[1]))
     names = ("p10", "p25", "median", "p75", "p90")

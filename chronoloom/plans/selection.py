@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 from chronoloom.operators import ranks
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, curve, read
+from chronoloom.plans.frames import CURVE_SQL, curve, points, read
 
 
 @query("q_dedup_first", "SELECT DISTINCT ON (l_partkey) l_partkey, l_orderkey, l_linenumber FROM lineitem ORDER BY l_partkey, l_orderkey, l_linenumber")
@@ -62,7 +62,7 @@ def time_order(spark, sf):
 @query("q_matched_budget", f"WITH {CURVE_SQL}, k AS (SELECT event_type, floor(t / 240) AS len, count(*) AS k FROM curve WHERE y = 1 OR s > 90 GROUP BY ALL), r AS (SELECT event_id, floor(t / 240) AS len, event_type, row_number() OVER (PARTITION BY event_type, floor(t / 240) ORDER BY s, event_id) AS r FROM curve) SELECT event_id FROM r JOIN k USING (event_type, len) WHERE r <= k")
 def matched_budget(spark, sf):
     """As many of each length bucket, in order of preference, as another selection has."""
-    c = curve(spark, sf).withColumn("len", F.floor(F.col("t") / 240))
+    c = points(spark, sf).withColumn("len", F.floor(F.col("t") / 240))
     k = c.where("y = 1 or s > 90").groupBy("event_type", "len").agg(F.count("*").alias("k"))
     r = ranks.group_rank(c.select("event_id", "event_type", "len", "s"), ["event_type", "len"], ["s", "event_id"], "r")
     return r.join(k, ["event_type", "len"]).where("r < k").select("event_id")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 from chronoloom.operators import thresholds as T
 from chronoloom.plans.catalog import query
-from chronoloom.plans.frames import CURVE_SQL, curve, shares
+from chronoloom.plans.frames import CURVE_SQL, curve, points, shares
 
 
 @query("q_otsu_threshold", f"WITH {CURVE_SQL}, r AS (SELECT min(s) AS lo, max(s) AS hi, count(*) AS n FROM curve), g AS (SELECT i, lo + (hi - lo) * i / 199 AS lim FROM r, range(200) x(i)), v AS (SELECT i, lim, count(*) FILTER (s < lim) AS n0, count(*) FILTER (s >= lim) AS n1, var_pop(s) FILTER (s < lim) AS v0, var_pop(s) FILTER (s >= lim) AS v1 FROM g, curve GROUP BY i, lim) SELECT round(arg_min(lim, (round((n0 * v0 + n1 * v1) / (n0 + n1), 9), i)), 6) AS threshold FROM v WHERE n0 > 0 AND n1 > 0")
@@ -49,7 +49,7 @@ def mad_quantile(spark, sf):
 @query("q_histogram_thresholds")
 def histogram_thresholds(spark, sf):
     """Thresholds in shares of the range of all values, as five of the methods count chances alone."""
-    t = T.histogram_thresholds(shares(curve(spark, sf)).select("p"), "p")
+    t = T.histogram_thresholds(shares(points(spark, sf)).select("p"), "p")
     return spark.createDataFrame([(name, round(x, 6)) for name, x in t.items()], "method string, threshold double")
 
 

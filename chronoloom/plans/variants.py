@@ -19,6 +19,7 @@ from chronoloom.operators.ranks import group_rank
 from chronoloom.plans.catalog import query
 from chronoloom.plans.frames import CURVE_SQL, FRAME_HOURS, GRID_SQL, SPANS_SQL, cells_sql, curve, grid, n_cells, ranked_curve, read, spans
 from chronoloom.plans.metrics import _LIMITS, _rank_sql, _replicates_sql
+from chronoloom.storage import stored
 from chronoloom.sources import files
 
 _SHORT = "SELECT gid, idx, y FROM (SELECT *, count(*) OVER (PARTITION BY gid) AS n FROM curve) WHERE idx < n - gid % 3"
@@ -31,7 +32,7 @@ _SHORT = "SELECT gid, idx, y FROM (SELECT *, count(*) OVER (PARTITION BY gid) AS
 )
 def truncated_join(spark, sf):
     """Scores and labels of a series up to the shorter one's length, with both lengths."""
-    c = ranked_curve(spark, sf)
+    c = stored(ranked_curve(spark, sf), "curve")
     gold = c.where(F.col("idx") < F.col("n") - F.col("gid") % 3).select("gid", "idx", "y")
     return grids.truncated(c.select("gid", "idx", "s"), gold, "gid", "idx").where(~F.isnan("s") & (F.abs("s") < float("inf")))
 
