@@ -223,7 +223,7 @@ def position_graph(spark, sf):
     """Similar vectors of a label in the order of their ids: the best of each block of 20, fewer towards the end."""
     e = read(spark, sf, "embeddings").select(F.col("label").alias("gid"), "vec_id", F.col("embedding").alias("look"), F.slice("embedding", 1, 2).alias("motion"))
     items = group_rank(e, ["gid"], ["vec_id"], "idx")
-    return G.position_graph(items, 20, 8, 3, 0.75, 0.6 / 4).select("gid", "a", "b", F.round("w", 9).alias("w"))
+    return G.position_graph(items, 20, 8, 3, 0.75, 0.6 / 4, digits=9)
 
 
 _TURNS = "conv_id, turn, text, CASE WHEN turn % 7 <> 3 THEN turn * 10.0::DOUBLE END AS s, CASE WHEN turn % 3 <> 0 THEN turn * 10.0::DOUBLE + turn % 4 * 5 END AS e, CASE WHEN conv_id % 3 = 0 THEN 35.0::DOUBLE WHEN conv_id % 3 = 1 THEN 0.0::DOUBLE END AS d"

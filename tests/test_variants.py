@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from chronoloom import storage
 from chronoloom.functions import text as X
 from chronoloom.operators import graphs as G
 from chronoloom.operators import grids
@@ -138,3 +139,34 @@ def test_position_graph_against_all_pairs(spark, n, block):
             want |= {(min(i, j), max(i, j)): w[i, j] for j in best if j != i and w[i, j] > 0}
     assert found.keys() == want.keys() and all(found[e] == pytest.approx(want[e], abs=1e-12) for e in want)
     assert G.position_graph(df.where("gid < 0"), block, 6, 2, 0.75, 0.1).count() == 0
+
+
+@pytest.mark.parametrize("n,wide,strip", [(47, 1, 1), (60, 2, 1), (61, 3, 2)])
+def test_position_graph_in_parts_and_strips(spark, monkeypatch, n, wide, strip):
+    """Parts and strips of any width, also where many weights are equal, give the edges of one part; a part's rows are shuffled once a part."""
+    r = np.random.default_rng(n)
+    looks, motion = r.integers(0, 2, size=(n, 2)).astype(float), np.zeros((n, 2))
+    looks[20:30] = looks[5]
+    df = spark.createDataFrame([(8, i, looks[i].tolist(), motion[i].tolist()) for i in range(n)], "gid int, idx bigint, look array<double>, motion array<double>")
+    edges = lambda: {(x["a"], x["b"]): x["w"] for x in G.position_graph(df, 10, 6, 2, 0.75, 0.0, digits=9).collect()}
+    whole = edges()
+    monkeypatch.setattr(G, "WIDE", wide)
+    monkeypatch.setattr(G, "STRIP", strip)
+    assert whole and edges() == whole
+    unit = looks / (np.linalg.norm(looks, axis=1, keepdims=True) + 1e-6)
+    w = 0.75 * unit @ unit.T + 0.25
+    want = set()
+    for i in range(n):
+        for at in range(0, n, 10):
+            best = sorted(range(at, min(at + 10, n)), key=lambda j: (-round(w[i, j], 12), j))[: max(2, 6 - i // 10 * 10 // max(1, n // 10))]
+            want |= {(min(i, j), max(i, j)) for j in best if j != i}
+    assert whole.keys() == want
+
+
+def test_position_graph_meets_few_rows_of_the_table(spark):
+    """What goes to the tasks grows with the parts, not with the blocks: 1,200 positions in blocks of 20 are two parts."""
+    df = spark.range(1200).select(F.lit(1).alias("gid"), F.col("id").alias("idx"), F.array(F.rand(1), F.rand(2)).alias("look"), F.array(F.rand(3), F.rand(4)).alias("motion"))
+    plan = G.position_graph(df, 20, 8, 3, 0.75, 0.15)
+    assert plan.count() > 0
+    packed = [p for p in storage.written(spark) if "position-parts" in p][-1]
+    assert spark.read.parquet(packed).count() == 2
