@@ -17,34 +17,52 @@ from chronoloom.operators.ranks import splitters, value_counts
 from chronoloom.storage import stored
 
 
-#: Distinct scores of all groups together up to which a group's scores are taken in one task.
+#: Distinct scores of all groups together up to which a group's scores are taken in one task; of more, those of groups of up to an eighth of this are.
 TOGETHER = 2_000_000
 
 
+def _same(by: list[str]) -> Column:
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    return same
+
+
 def _grouped_sums(counts: DataFrame, by: list[str], parts: int) -> DataFrame:
-    """pos_below, neg_below, P and N inside groups. Up to TOGETHER rows the groups are windows; beyond, ranges of (group, score) are, and the sums of a group's ranges before come by a join, so a group of most scores is many tasks."""
+    """pos_below, neg_below, P and N inside groups. Groups are windows, but where all have over TOGETHER rows those of over an eighth of it are taken in ranges of
+    (group, score), and the sums of a group's ranges before come by a join, so a group of most scores is many tasks."""
     whole = W.partitionBy(*by)
     below = lambda c, over: F.coalesce(F.sum(c).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    if counts.count() <= TOGETHER:
+
+    def windows(own: DataFrame) -> DataFrame:
         up = whole.orderBy("_s")
-        return counts.select("*", below("_pos", up).alias("pos_below"), below("_neg", up).alias("neg_below"), F.sum("_pos").over(whole).alias("P"), F.sum("_neg").over(whole).alias("N"))
-    cuts = splitters(counts, [*by, "_s"], parts)
-    parted = counts.withColumn("_part", F.size(F.filter(F.array(*cuts), lambda c: c <= F.struct(*by, "_s"))) if cuts else F.lit(0))
+        return own.select("*", below("_pos", up).alias("pos_below"), below("_neg", up).alias("neg_below"), F.sum("_pos").over(whole).alias("P"), F.sum("_neg").over(whole).alias("N"))
+
+    if counts.count() <= TOGETHER:
+        return windows(counts)
+    keys = [F.col(c).alias(f"_by{k}") for k, c in enumerate(by)]
+    large = stored(counts.groupBy(*by).agg(F.count("*").alias("_size")).where(F.col("_size") > TOGETHER // 8).select(*keys), "large-groups")
+    if large.isEmpty():
+        return windows(counts)
+    few = F.broadcast(large)  # at most a row for each TOGETHER / 8 rows of counts
+    long = counts.join(few, _same(by), "left_semi")
+    cuts = splitters(long, [*by, "_s"], parts)
+    parted = long.withColumn("_part", F.size(F.filter(F.array(*cuts), lambda c: c <= F.struct(*by, "_s"))) if cuts else F.lit(0))
     sums = parted.groupBy(*by, "_part").agg(F.sum("_pos").alias("p"), F.sum("_neg").alias("n"))  # a row for each part and for each group
     ranged = whole.orderBy("_part")
-    before = sums.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_part").alias("_q"), below("p", ranged).alias("p0"), below("n", ranged).alias("n0"), F.sum("p").over(whole).alias("P"), F.sum("n").over(whole).alias("N"))
+    before = sums.select(*keys, F.col("_part").alias("_q"), below("p", ranged).alias("p0"), below("n", ranged).alias("n0"), F.sum("p").over(whole).alias("P"), F.sum("n").over(whole).alias("N"))
     inside = W.partitionBy(*by, "_part").orderBy("_s")
     placed = parted.select("*", below("_pos", inside).alias("p1"), below("_neg", inside).alias("n1"))
-    same = F.col("_part").eqNullSafe(F.col("_q"))
-    for k, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
-    return placed.join(before, same).withColumns({"pos_below": F.col("p0") + F.col("p1"), "neg_below": F.col("n0") + F.col("n1")}).drop("_part", "_q", "p0", "n0", "p1", "n1", *[f"_by{k}" for k in range(len(by))])
+    same = _same(by) & F.col("_part").eqNullSafe(F.col("_q"))
+    ranges = placed.join(before, same).withColumns({"pos_below": F.col("p0") + F.col("p1"), "neg_below": F.col("n0") + F.col("n1")}).drop("_part", "_q", "p0", "n0", "p1", "n1", *[f"_by{k}" for k in range(len(by))])
+    return windows(counts.join(few, _same(by), "left_anti")).unionByName(ranges)
 
 
 def _cumulated(counts: DataFrame, by: list[str], parts: int = 64) -> DataFrame:
     """counts with pos_from and neg_from (sums over scores at or above), pos_below, neg_below, and totals P and N."""
+    counts = stored(counts, "score-counts")  # it is read several times
     if by:
-        out = _grouped_sums(stored(counts, "score-counts"), by, parts)
+        out = _grouped_sums(counts, by, parts)
     else:
         cuts = counts.agg(F.percentile_approx("_s", [k / parts for k in range(1, parts)], 10_000).alias("c")).first()["c"] or []
         part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col("_s"))) if cuts else F.lit(0)

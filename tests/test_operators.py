@@ -333,6 +333,25 @@ def test_grouped_rank_metrics_in_ranges(spark, monkeypatch):
     assert len(found[0]) == len(found[1]) == 10 and found[0] == [(*a[:1], pytest.approx(a[1]), pytest.approx(a[2]), *a[3:]) for a in found[1]]
 
 
+def test_only_large_groups_are_taken_in_ranges(spark, monkeypatch):
+    """Of many scores, groups of few are windows beside a large group's ranges; without a large group there are no ranges."""
+    from chronoloom.operators import metrics as M
+
+    r = random.Random(7)
+    small = [(None if g == 3 else g, float(r.randrange(20)), int(r.random() < 0.4)) for g in range(12) for _ in range(60)]
+    hot = [(50, float(r.randrange(300)), int(r.random() < 0.4)) for _ in range(900)]
+    schema = "g bigint, s double, y int"
+    metrics = lambda rows: {x["g"]: (x["auc"], x["ap"], x["base_rate"], x["n_pos"], x["n_neg"]) for x in M.rank_metrics(spark.createDataFrame(rows, schema), "s", "y", ["g"]).collect()}
+    want = metrics(small + hot)
+    calls, own = [], M.splitters
+    monkeypatch.setattr(M, "splitters", lambda df, *a: calls.append({x["g"] for x in df.select("g").distinct().collect()}) or own(df, *a))
+    monkeypatch.setattr(M, "TOGETHER", 200)
+    found = metrics(small + hot)
+    assert calls == [{50}] and found.keys() == want.keys() and len(want) == 13
+    assert all(found[g] == pytest.approx(want[g], abs=1e-12) for g in want)
+    assert metrics(small) == {g: v for g, v in want.items() if g != 50} and calls == [{50}]
+
+
 def test_curves_of_long_tables(spark, sf, monkeypatch):
     from chronoloom.plans import frames
 
