@@ -4,7 +4,7 @@ A series is negative or positive. The readings of a negative one have one mean;
 those of a positive one follow a chain of the states off and on with a mean each.
 All readings share a variance, and a level of the whole series has a mean for
 negative and for positive ones. A series is one row, so an iteration shuffles
-nothing: each task sends one row of sums.
+nothing: each task sends one row of sums. Rows of a batch run side by side.
 """
 
 from __future__ import annotations
@@ -24,28 +24,50 @@ from chronoloom.storage import stored
 #: on; then count, sum and sum of squares of the readings of negative, off and on.
 SUMS = 17
 LEAST = 1e-9
+#: Readings of the series that run side by side, with what is filled up behind shorter ones.
+CELLS = 250_000
 
 
 def _log_normal(x: np.ndarray, mean: float, variance: float) -> np.ndarray:
     return -0.5 * np.log(2 * np.pi * variance) - (x - mean) ** 2 / (2 * variance)
 
 
-def _expected(y: np.ndarray, level: float, p: dict[str, float], stay: float) -> tuple[float, float, np.ndarray]:
-    """Log likelihood of a series, its chance of being positive, and the states' chances if it is."""
+def _side_by_side(series: list[np.ndarray]) -> Iterator[list[int]]:
+    """Numbers of series that run together: of like length, at most CELLS cells when all are as long as the longest, or one."""
+    some: list[int] = []
+    for k in sorted(range(len(series)), key=lambda k: len(series[k])):
+        if some and (len(some) + 1) * len(series[k]) > CELLS:
+            yield some
+            some = []
+        some.append(k)
+    if some:
+        yield some
+
+
+def _expected(series: list[np.ndarray], level: np.ndarray, p: dict[str, float], stay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of series side by side: log likelihoods, chances of being positive, the readings with zeros behind, where there are readings, and the states' chances if it is positive."""
+    n = max(1, *map(len, series))
+    there = np.arange(n) < np.array([len(y) for y in series])[:, None]
+    y = np.zeros(there.shape)
+    y[there] = np.concatenate(series)
     step = np.array([[stay, 1 - stay], [1 - stay, stay]])
-    emission = np.column_stack([_log_normal(y, p["off"], p["variance"]), _log_normal(y, p["on"], p["variance"])])
-    evidence, states = chain_posteriors(emission[None], step[None], np.array([[1 - p["start"], p["start"]]])) if len(y) else (np.zeros((1, 1)), np.zeros((1, 1, 0, 2)))
-    negative = math.log(1 - p["positive"]) + _log_normal(y, p["negative"], p["variance"]).sum() + _log_normal(level, p["level0"], p["level_variance"])
-    positive = math.log(p["positive"]) + evidence[0, 0] + _log_normal(level, p["level1"], p["level_variance"])
+    emission = np.stack([_log_normal(y, p["off"], p["variance"]), _log_normal(y, p["on"], p["variance"])], axis=2)
+    evidence, states = chain_posteriors(np.where(there[:, :, None], emission, 0.0), step[None], np.array([[1 - p["start"], p["start"]]]))  # steps behind a series are as likely in both states
+    negative = math.log(1 - p["positive"]) + np.where(there, _log_normal(y, p["negative"], p["variance"]), 0.0).sum(axis=1) + _log_normal(level, p["level0"], p["level_variance"])
+    positive = math.log(p["positive"]) + evidence[:, 0] + _log_normal(level, p["level1"], p["level_variance"])
     total = np.logaddexp(negative, positive)
-    return float(total), float(np.exp(positive - total)), states[0, 0]
+    return total, np.exp(positive - total), y, there, states[:, 0]
 
 
-def _sums(y: np.ndarray, level: float, p: dict[str, float], stay: float) -> np.ndarray:
-    total, w, states = _expected(y, level, p, stay)
-    powers = np.array([np.ones(len(y)), y, y * y])
-    own = [total, 1.0, w, w * level, w * level**2, (1 - w) * level, (1 - w) * level**2, w * states[0, 1] if len(y) else w * p["start"]]
-    return np.r_[own, (1 - w) * powers.sum(axis=1), w * powers @ states[:, 0], w * powers @ states[:, 1]]
+def _sums(series: list[np.ndarray], level: np.ndarray, p: dict[str, float], stay: float) -> np.ndarray:
+    out = np.zeros(SUMS)
+    for some in _side_by_side(series):
+        z = level[some]
+        total, w, y, there, states = _expected([series[k] for k in some], z, p, stay)
+        out[:8] += [total.sum(), len(w), w.sum(), (w * z).sum(), (w * z**2).sum(), ((1 - w) * z).sum(), ((1 - w) * z**2).sum(), (w * states[:, 0, 1]).sum()]
+        weights = [np.where(there, x, 0.0) for x in ((1 - w)[:, None], w[:, None] * states[:, :, 0], w[:, None] * states[:, :, 1])]
+        out[8:] += [(x * y**k).sum() for x in weights for k in range(3)]
+    return out
 
 
 def fit(series: DataFrame, stay: float, steps: int, tolerance: float = 1e-7) -> dict[str, float]:
@@ -66,8 +88,7 @@ def fit(series: DataFrame, stay: float, steps: int, tolerance: float = 1e-7) ->
         def sums(parts: Iterator[pd.DataFrame], p: dict[str, float] = p) -> Iterator[pd.DataFrame]:
             total = np.zeros(SUMS)
             for part in parts:
-                for y, level in zip(part["y"], part["level"], strict=True):
-                    total += _sums(np.asarray(y, float), level, p, stay)
+                total += _sums([np.asarray(y, float) for y in part["y"]], part["level"].to_numpy(), p, stay)
             yield pd.DataFrame({"s": [total.tolist()]})
 
         s = held.mapInPandas(sums, "s array<double>").agg(*[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(SUMS)]).first()
@@ -92,7 +113,10 @@ def positives(series: DataFrame, p: dict[str, float], stay: float) -> DataFrame:
 
     @F.pandas_udf("double")
     def chance(y: pd.Series, level: pd.Series) -> pd.Series:
-        known = [a is not None and b is not None and not math.isnan(b) for a, b in zip(y, level, strict=True)]
-        return pd.Series([_expected(np.asarray(a, float), b, p, stay)[1] if k else None for a, b, k in zip(y, level, known, strict=True)], dtype=float)
+        known = [k for k, (a, b) in enumerate(zip(y, level, strict=True)) if a is not None and b is not None and not math.isnan(b)]
+        own, levels, out = [np.asarray(y.iloc[k], float) for k in known], level.iloc[known].to_numpy(dtype=float), np.full(len(y), np.nan)
+        for some in _side_by_side(own):
+            out[[known[k] for k in some]] = _expected([own[k] for k in some], levels[some], p, stay)[1]
+        return pd.Series(out)
 
     return series.withColumn("w", chance("y", F.col("level").cast("double")))

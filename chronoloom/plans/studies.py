@@ -123,7 +123,8 @@ def high_posterior(spark, sf):
 @query("q_two_level")
 def two_level(spark, sf):
     """Chance that a series is positive, by the two-level mixture fitted to all series."""
-    c = curve(spark, sf).groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("idx", F.log1p("s").alias("x")))).alias("l"), F.avg("y").alias("level"))
+    own = F.struct("t", "event_id", F.log1p("s").alias("x"))  # in the order of the positions
+    c = points(spark, sf).groupBy("gid").agg(F.array_sort(F.collect_list(own)).alias("l"), F.avg("y").alias("level"))
     series = stored(c.select("gid", F.col("l.x").alias("y"), "level"), "two-level-series")
     fitted = L.fit(series, STAY, 8)
     return L.positives(series, fitted, STAY).select("gid", F.round("w", 4).alias("w"), F.lit(round(fitted.get("log_likelihood", 0.0), 3)).alias("log_likelihood"))
