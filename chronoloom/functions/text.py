@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -260,26 +261,34 @@ def aligned_slots(anchor: Column, own: Column) -> Column:
     return slots(anchor, own)
 
 
-def collapse_repeats(text: Column, longest: int = 4) -> Column:
-    """Immediate repetitions of 1 to ``longest`` words reduced to one, again and again until none is left."""
-    @F.pandas_udf("string")
-    def collapse(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str:
-            own = (t or "").split()
-            changed = True
-            while changed:
-                changed = False
-                for n in range(longest, 0, -1):
-                    out: list[str] = []
-                    for w in own:
-                        out.append(w)
-                        if len(out) >= 2 * n and out[-n:] == out[-2 * n : -n]:
-                            del out[-n:]
-                            changed = True
-                    own = out
-            return " ".join(own)
+def collapsed_words(text: str | None, longest: int = 4) -> str:
+    """``collapse_repeats`` of one text."""
+    own = (text or "").split()
+    changed = True
+    while changed:
+        changed = False
+        for n in range(longest, 0, -1):
+            out: list[str] = []
+            for w in own:
+                out.append(w)
+                if len(out) >= 2 * n and out[-1 - n] == w and out[-n:] == out[-2 * n : -n]:
+                    del out[-n:]
+                    changed = True
+            own = out
+    return " ".join(own)
 
-        return texts.map(one)
+
+#: Texts of an Arrow batch that are Python strings at a time.
+SOME_TEXTS = 100
+
+
+def collapse_repeats(text: Column, longest: int = 4) -> Column:
+    """Immediate repetitions of 1 to ``longest`` words reduced to one, again and again until none is left. Few texts of a batch are Python strings at a time, and go back at once."""
+    @F.arrow_udf("string")
+    def collapse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for at in range(0, len(texts), SOME_TEXTS):
+                yield pa.array([collapsed_words(t, longest) for t in texts.slice(at, SOME_TEXTS).to_pylist()], pa.string())
 
     return collapse(text)
 

@@ -206,6 +206,31 @@ def test_text_functions(spark):
     assert one(spark, text.label_prefix(t('{"why": "x", "label": 3}')))[0] == '{"why": "x", "label": '
 
 
+def test_collapse_repeats_of_some_texts_at_a_time(spark, monkeypatch):
+    """Texts come back in their order, whatever the number taken at a time; nulls are empty; and few are strings at once."""
+    r = random.Random(3)
+    texts = [None, "", " a  a ", "a b c d a b c d", *(" ".join(r.choice("ab") for _ in range(r.randrange(40))) for _ in range(400))]
+
+    def plain(t):
+        own, changed = (t or "").split(), True
+        while changed:
+            changed = False
+            for n in (4, 3, 2, 1):
+                out = []
+                for w in own:
+                    out.append(w)
+                    if len(out) >= 2 * n and out[-n:] == out[-2 * n : -n]:
+                        del out[-n:]
+                        changed = True
+                own = out
+        return " ".join(own)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    for some in (7, text.SOME_TEXTS, 1000):
+        monkeypatch.setattr(text, "SOME_TEXTS", some)
+        assert {x["k"]: x["c"] for x in df.select("k", text.collapse_repeats(F.col("t")).alias("c")).collect()} == {k: plain(t) for k, t in enumerate(texts)}
+
+
 def test_word_distance_by_tables():
     rng = random.Random(5)
     for _ in range(300):
