@@ -273,16 +273,18 @@ class TwoStates:
         (a, b), (c, d) = self.steps
         return a * p + c * (1 - p), b * p + d * (1 - p)
 
-    def forth(self, likely: np.ndarray, first: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Chances after each step of blocks, given those before them; ``first`` blocks begin a series."""
-        out = np.empty(likely.shape[1:])
+    def forth(self, likely: np.ndarray, first: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chances after each step of blocks, given those before them, and which blocks have a step without one: there a guess stands. ``first`` blocks begin a series."""
+        out, lost = np.empty(likely.shape[1:]), np.zeros(len(p), dtype=bool)
         with np.errstate(all="ignore"):
             for t in range(BLOCK):
                 q0, q1 = self.after(p)
                 if t == 0:
                     q0, q1 = np.where(first, self.start[0], q0), np.where(first, self.start[1], q1)
-                out[:, t] = p = q0 * likely[0][:, t] / (q0 * likely[0][:, t] + q1 * likely[1][:, t])
-        return out
+                p = q0 * likely[0][:, t] / (q0 * likely[0][:, t] + q1 * likely[1][:, t])
+                lost |= np.isnan(p)
+                out[:, t] = p = np.where(np.isnan(p), 0.5, p)
+        return out, lost
 
     def back(self, p: np.ndarray, n: np.ndarray, last: np.ndarray, g: np.ndarray) -> np.ndarray:
         """Chances given the whole series, from those of the steps that follow the blocks; ``last`` blocks end a series."""
@@ -300,15 +302,17 @@ def two_states(series: DataFrame, value: str, chain: TwoStates) -> DataFrame:
     """Rows (gid, idx, n, value) to (gid, idx, p): chances of the first state given the whole series, the very doubles of a loop from row to row.
 
     Blocks begin with a guess, and each then begins with what the block before it ended in, until no beginning changes:
-    that is the loop's result. A chain forgets its beginning within a block or two, so a few rounds do.
+    that is the loop's result. A chain forgets its beginning within a block or two, so a few rounds do. It never forgets
+    a value under which both likelihoods are 0, or NaN: the loop then gives NaN in the whole series, and null if a value
+    is null. So a guess stands for such a step, which makes no more rounds, and its series is marked. No step's chance is 0.
     """
-    blocks = blocks_of(series, [value]).drop("steps")
+    blocks = blocks_of(series, [value]).withColumn("missing", F.exists("values", lambda x: x.isNull())).drop("steps")
 
     def forward(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             likely, n = chain.likelihoods(p["values"])
-            found = chain.forth(likely, p["block"].to_numpy() == 0, p["held"].to_numpy())
-            yield p.assign(p=[x[:k] for x, k in zip(found, n, strict=True)], out=found[np.arange(len(p)), n - 1])
+            found, lost = chain.forth(likely, p["block"].to_numpy() == 0, p["held"].to_numpy())
+            yield p.assign(p=[x[:k] for x, k in zip(found, n, strict=True)], out=found[np.arange(len(p)), n - 1], lost=lost)
 
     def backward(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -317,11 +321,11 @@ def two_states(series: DataFrame, value: str, chain: TwoStates) -> DataFrame:
             p[np.arange(BLOCK)[None] < n[:, None]] = np.concatenate(list(part["p"]))
             last = (part["block"].to_numpy() + 1) * BLOCK >= part["n"].to_numpy()
             found = chain.back(p, n, last, part["held"].to_numpy())
-            yield part.assign(g=[x[:k] for x, k in zip(found, n, strict=True)], out=found[:, 0])
+            yield part.assign(g=[x[:k] for x, k in zip(found, n, strict=True)], out=found[:, 0], lost=False)
 
     def settled(given: DataFrame, step: Callable, result: str, towards: int) -> DataFrame:
         """Blocks with a list ``result``, run until what a block begins with is what its neighbour ended in."""
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema) + f", held double, {result} array<double>, out double"
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema) + f", held double, {result} array<double>, out double, lost boolean"
         now = stored(given.withColumn("held", F.lit(0.5)).mapInPandas(step, schema), "two-states")
         while True:
             beside = now.select("gid", (F.col("block") + towards).alias("block"), F.col("out").alias("following"))
@@ -333,6 +337,9 @@ def two_states(series: DataFrame, value: str, chain: TwoStates) -> DataFrame:
             now = following
 
     ahead = settled(blocks, forward, "p", 1)
-    whole = settled(ahead.select("gid", "block", "n", "p"), backward, "g", -1)
+    whole = settled(ahead.select("gid", "block", "n", "p"), backward, "g", -1).drop("lost")
     drop(blocks)
-    return whole.select("gid", "block", F.posexplode("g").alias("at", "p")).select("gid", (F.col("block") * BLOCK + F.col("at")).alias("idx"), "p")
+    marked = ahead.where("missing or lost").groupBy("gid").agg(F.max("missing").alias("missing"))  # a row for each series that has no chances
+    p = F.when(F.col("missing"), F.lit(None)).when(~F.col("missing"), F.lit(float("nan"))).otherwise(F.col("p"))
+    each = whole.join(marked, "gid", "left").select("gid", "block", "missing", F.posexplode("g").alias("at", "p"))
+    return each.select("gid", (F.col("block") * BLOCK + F.col("at")).alias("idx"), p.alias("p"))
