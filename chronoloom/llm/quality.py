@@ -10,7 +10,7 @@ rules and its mean weight per n-gram is at least ``least`` millionths.
 The weights are ``buckets`` integers, a number that no input changes; they travel
 as a literal inside the expression, so scoring neither joins nor shuffles.
 
-Null and empty texts have no words and fail the base rules. Without any trusted
+Null and empty texts have no words, fail the base rules and have no ratio. Without any trusted
 text the base rules alone decide and the ratio is null. Repeated rows count as
 often as they occur. A text with just the least mean weight is kept. Very long
 texts are read whole. Only the named columns are read; ``filtered`` carries the
@@ -129,7 +129,7 @@ def report(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     weight = weights(docs, labels, key, text)
     judged = docs.select(key, rules(F.col(text), weight).alias("r"))
     fields = [F.col(f"r.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
-    return judged.select(key, *fields, (F.col("r.weight") / F.col("r.n_grams") / 1e6).alias("ratio"), kept(F.col("r")).alias("kept"))
+    return judged.select(key, *fields, (F.try_divide("r.weight", "r.n_grams") / 1e6).alias("ratio"), kept(F.col("r")).alias("kept"))
 
 
 def filtered(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

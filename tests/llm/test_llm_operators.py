@@ -115,6 +115,14 @@ def test_quality_edges(spark, edge, empty, labels):
     assert quality.filtered(edge, trusted).columns == edge.columns
 
 
+def test_quality_ratio_of_texts_without_words(spark, labels):
+    own = spark.createDataFrame([(1, "one two three"), (2, None), (3, ""), (4, " \t\n\x0b")], "doc_id bigint, text string")
+    for trusted in (spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int"), labels.where("false")):
+        found = {r["doc_id"]: r for r in quality.report(own, trusted).collect()}
+        assert all((found[k]["n_words"], found[k]["base_failed"], found[k]["ratio"], found[k]["kept"]) == (0, True, None, False) for k in (2, 3, 4))
+        assert (found[1]["ratio"] is None) == trusted.isEmpty()
+
+
 def test_quality_bounds_the_trusted_sample(docs, labels):
     some = quality.weights(docs, labels, trusted_rows=20)
     assert len(some) == quality.BUCKETS and some != quality.weights(docs, labels)
